@@ -53,3 +53,14 @@ def scaled_weighted_sum(x, digits: int, w="households") -> Column:
 def weighted_mean_scaled(x, digits: int, w="households") -> Column:
     """Weighted mean of a ``d``-decimal score from exact sums: one final division."""
     return safe_div(scaled_weighted_sum(x, digits, w), F.sum(_col(w)) * F.lit(float(10 ** digits)))
+
+
+def fixed_point_mean(x, digits: int = 9) -> Column:
+    """Unweighted mean computed from exact fixed-point sums at 10^-d resolution.
+
+    sum(rint(x*10^d)) adds integer-valued doubles, which is exact in any
+    order, so the mean (and anything rounded from it) is independent of how
+    rows are partitioned.
+    """
+    scale = float(10 ** digits)
+    return F.sum(F.rint(_col(x) * F.lit(scale))) / (F.count(_col(x)) * F.lit(scale))

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.numeric import rint_round
+import os
+
+from cohortlens.operators import insights, portfolio, scenario, views
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import quality, segments, value
+from cohortlens.operators.scenario import Scenario
+from cohortlens.sources.files import read_initiatives_csv
 from cohortlens.plans.baseline import baseline_table
 from cohortlens.schema import DEFAULT_ACQUISITION_COST, DEFAULT_DISCOUNT_RATE, KEY_COLUMNS
 from cohortlens.sources.facts import cohorts_from_facts
@@ -153,6 +158,198 @@ def q_monetization_kpis(spark, sf):
     return finalize(mon.portfolio_monetization_kpis(_base(spark, sf)))
 
 
+# ---------------------------------------------------------------- views ----
+
+def q_coverage(spark, sf):
+    """A9 - dataset coverage by market and region (unweighted means, 2 dp)."""
+    return finalize(views.coverage(_base(spark, sf)))
+
+
+def q_cardinalities(spark, sf):
+    """A10 - rows and distinct markets / months / devices."""
+    return views.cardinalities(_base(spark, sf))
+
+
+def q_retention_curves(spark, sf):
+    """A11 - weighted retention curve per engagement segment (long form)."""
+    return finalize(views.retention_curves(_base(spark, sf)))
+
+
+def q_headline_gaps(spark, sf):
+    """A12 - High vs Low CLV premium and m6 gap, top market share of value."""
+    return finalize(views.headline_gaps(_base(spark, sf)))
+
+
+def q_score_grid(spark, sf):
+    """A17 - depth x health score grid (5-point bins) with quadrant labels and weights."""
+    return finalize(views.score_grid(_base(spark, sf)))
+
+
+def q_score_points(spark, sf):
+    """A17 - row-level score/value points with quadrant labels."""
+    return finalize(views.score_points(_base(spark, sf)))
+
+
+def q_yield_by_market(spark, sf):
+    """A15 - monetization yield per hour by market (ascending)."""
+    return finalize(views.yield_by(_base(spark, sf), "market"))
+
+
+def q_yield_by_device(spark, sf):
+    """A15 - monetization yield per hour by device type (ascending)."""
+    return finalize(views.yield_by(_base(spark, sf), "device_type"))
+
+
+def q_clv_by_cohort(spark, sf):
+    """A16 - CLV by cohort month in month order."""
+    return finalize(views.clv_by_cohort(_base(spark, sf)))
+
+
+FILTER_REGIONS = ["AMERICA", "EUROPE"]
+FILTER_SEGMENTS = ["High", "Medium"]
+
+
+def q_filtered_kpis(spark, sf):
+    """F1 - KPIs on a region x engagement-segment multi-select (filters after global scoring)."""
+    v = views.filter_cohorts(_base(spark, sf), regions=FILTER_REGIONS, segments=FILTER_SEGMENTS)
+    return finalize(value.portfolio_kpis(v, acquisition_cost=CAC))
+
+
+def q_scoped_walkthrough(spark, sf):
+    """F2 + A13 - average household walkthrough for every market x device scope."""
+    b = _base(spark, sf)
+    a = b.groupBy("market", "device_type").agg(
+        *[F.try_divide(F.sum(F.col(c) * F.col("households")), F.sum("households")).alias(c) for c in (
+            "ad_revenue_per_household", "subscription_revenue_per_household", "total_monthly_revenue_per_household",
+            "gross_margin", "support_cost_per_household", "gross_profit_per_household", "expected_retained_months",
+            "baseline_clv", "discounted_clv")]).withColumn("net_clv", F.col("discounted_clv") - F.lit(CAC))
+    return finalize(a)
+
+
+# ------------------------------------------------------------ scenarios ----
+
+SCOPED_SCENARIOS = [
+    Scenario("cpm20_risk30_all", {"cpm_lift": 0.20, "experience_risk_penalty": 0.30}),
+    Scenario("monetization_push_nation3_high", {"cpm_lift": 0.10, "sub_conversion_lift": 0.15}, 600_000.0,
+             market="NATION_3", engagement_segment="High"),
+    Scenario("onboarding_building", {"first_week_lift": 0.15, "app_install_lift": 0.10}, 750_000.0,
+             device_type="BUILDING"),
+    Scenario("retention_margin_nation7_machinery_low", {"retention_lift": 0.10, "gross_margin_change": -0.02},
+             250_000.0, market="NATION_7", device_type="MACHINERY", engagement_segment="Low"),
+    Scenario("trc_push_low", {"trc_usage_lift": 0.30, "experience_risk_penalty": 0.5}, 400_000.0,
+             engagement_segment="Low"),
+    Scenario("empty_scope", {"retention_lift": 0.05}, 100_000.0, market="NO_SUCH_MARKET"),
+]
+
+
+def verdict_grid() -> list[Scenario]:
+    out = []
+    for cpm in (0.0, 0.1, 0.2, 0.35, 0.5):
+        for risk in (0.0, 0.3, 0.6, 1.0):
+            for sub in (0.0, 0.15):
+                out.append(Scenario(f"cpm{cpm}_risk{risk}_sub{sub}",
+                                    {"cpm_lift": cpm, "experience_risk_penalty": risk, "sub_conversion_lift": sub},
+                                    500_000.0))
+    return out
+
+
+COMPARE_COLUMNS = ["scenario_id", "initiative_cost", "households", "baseline_avg_clv", "scenario_avg_clv",
+                   "baseline_total_lifecycle_value", "scenario_total_lifecycle_value",
+                   "baseline_avg_month_6_retention", "scenario_avg_month_6_retention",
+                   "baseline_avg_revenue_per_household", "scenario_avg_revenue_per_household",
+                   "baseline_avg_gross_profit_per_household", "scenario_avg_gross_profit_per_household",
+                   "baseline_avg_expected_retained_months", "scenario_avg_expected_retained_months",
+                   "baseline_ad_revenue_share", "scenario_ad_revenue_share", "baseline_mph", "scenario_mph",
+                   "baseline_hours", "scenario_hours", "incremental_value", "incremental_clv_per_household",
+                   "clv_lift_pct", "roi", "payback_months", "never_pays_back", "month_6_retention_delta_pts",
+                   "mph_change_pct", "streaming_hours_change_pct", "verdict"]
+
+
+def q_scenario_presets(spark, sf):
+    """C1-C5 - the preset scenarios on all households, compared with the baseline."""
+    return finalize(scenario.compare_scenarios(_base(spark, sf), scenario.PRESETS, RATE).select(*COMPARE_COLUMNS))
+
+
+def q_scenario_scoped(spark, sf):
+    """F3 + C1-C4 - scenarios with market / device / segment scopes (an empty scope yields no row)."""
+    return finalize(scenario.compare_scenarios(_base(spark, sf), SCOPED_SCENARIOS, RATE).select(*COMPARE_COLUMNS))
+
+
+def q_scenario_verdicts(spark, sf):
+    """C1-C4 - a 40-scenario CPM x risk x subscription grid in one fan-out job, with verdicts."""
+    c = scenario.compare_scenarios(_base(spark, sf), verdict_grid(), RATE)
+    return finalize(c.select("scenario_id", "households", "incremental_value", "month_6_retention_delta_pts",
+                             "baseline_mph", "scenario_mph", "roi", "payback_months", "never_pays_back", "verdict"))
+
+
+def q_scenario_impact(spark, sf):
+    """C6 - baseline vs scenario on the four headline metrics for the presets."""
+    return finalize(scenario.scenario_impact(scenario.compare_scenarios(_base(spark, sf), scenario.PRESETS, RATE)))
+
+
+def q_scenario_levers(spark, sf):
+    """C7 - non-zero levers per preset scenario with their labels, next to the modeled value."""
+    levers = scenario.lever_summary(scenario.scenario_table(spark, scenario.PRESETS))
+    cmp = scenario.compare_scenarios(_base(spark, sf), scenario.PRESETS, RATE).select("scenario_id", "incremental_value")
+    return finalize(levers.join(cmp, "scenario_id"))
+
+
+# ----------------------------------------------------------- initiatives ----
+
+def q_initiative_ranking(spark, sf):
+    """I1-I9 - preset initiatives through the scenario engine, scored, ranked, classified."""
+    return finalize(portfolio.score_initiatives(_base(spark, sf), None, RATE).drop("thesis"))
+
+
+UPLOAD_CSV = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))),
+                          "tests", "fixtures", "initiatives_upload.csv")
+
+
+def q_initiative_ranking_uploaded(spark, sf):
+    """S5 + I1-I9 - an uploaded initiative CSV (BOM, no retention_risk column, blanks) ranked."""
+    ini = read_initiatives_csv(spark, UPLOAD_CSV)
+    return finalize(portfolio.score_initiatives(_base(spark, sf), ini, RATE).drop("thesis"))
+
+
+def q_roadmap(spark, sf):
+    """I10 - Now / Next / Foundational buckets in rank order."""
+    return finalize(portfolio.roadmap(portfolio.score_initiatives(_base(spark, sf), None, RATE)))
+
+
+def q_impact_complexity(spark, sf):
+    """I11 + I12 - impact vs complexity points and the top-ranked initiative."""
+    ranked = portfolio.score_initiatives(_base(spark, sf), None, RATE)
+    top = portfolio.top_initiative(ranked).first()["top_initiative"]
+    return finalize(portfolio.impact_complexity(ranked).withColumn("is_top", F.col("initiative") == F.lit(top)))
+
+
+# ------------------------------------------------------------- insights ----
+
+def q_under_monetized(spark, sf):
+    """G1 - the largest under-monetized engaged pocket."""
+    return finalize(insights.under_monetized(_base(spark, sf)))
+
+
+def q_vintage_trend(spark, sf):
+    """G2 - newest vs oldest cohorts and the driver of the move."""
+    return finalize(insights.vintage_trend(_base(spark, sf)))
+
+
+def q_marginal_retention(spark, sf):
+    """G3 - where the next retention point pays most."""
+    return finalize(insights.marginal_retention(_base(spark, sf), RATE))
+
+
+def q_marginal_retention_by_market(spark, sf):
+    """G3 per market: CLV per household per +1 % retention."""
+    return finalize(insights.marginal_retention_by_market(_base(spark, sf), RATE))
+
+
+def q_gap_insights(spark, sf):
+    """G4 - all gap insights as tidy rows."""
+    return finalize(insights.gap_insights(_base(spark, sf), RATE))
+
+
 QUERIES = {
     "cohort_table": q_cohort_table,
     "quality_issues": q_quality_issues,
@@ -177,4 +374,29 @@ QUERIES = {
     "monetization_by_device": q_monetization_by_device,
     "guardrail_segments": q_guardrail_segments,
     "monetization_kpis": q_monetization_kpis,
+    "coverage": q_coverage,
+    "cardinalities": q_cardinalities,
+    "retention_curves": q_retention_curves,
+    "headline_gaps": q_headline_gaps,
+    "score_grid": q_score_grid,
+    "score_points": q_score_points,
+    "yield_by_market": q_yield_by_market,
+    "yield_by_device": q_yield_by_device,
+    "clv_by_cohort": q_clv_by_cohort,
+    "filtered_kpis": q_filtered_kpis,
+    "scoped_walkthrough": q_scoped_walkthrough,
+    "scenario_presets": q_scenario_presets,
+    "scenario_scoped": q_scenario_scoped,
+    "scenario_verdicts": q_scenario_verdicts,
+    "scenario_impact": q_scenario_impact,
+    "scenario_levers": q_scenario_levers,
+    "initiative_ranking": q_initiative_ranking,
+    "initiative_ranking_uploaded": q_initiative_ranking_uploaded,
+    "roadmap": q_roadmap,
+    "impact_complexity": q_impact_complexity,
+    "under_monetized": q_under_monetized,
+    "vintage_trend": q_vintage_trend,
+    "marginal_retention": q_marginal_retention,
+    "marginal_retention_by_market": q_marginal_retention_by_market,
+    "gap_insights": q_gap_insights,
 }

@@ -471,4 +471,201 @@ def queries() -> dict[str, str]:
         "guardrail_segments": guardrail_sql(5),
         "monetization_kpis": monetization_kpis_sql(),
     }
+    q.update(views_queries())
+    q.update(scenario_queries())
     return q
+
+
+# ------------------------------------------------------ views & filters ----
+def r_(e: str, d: int) -> str:
+    """numpy-style rounding to d decimals (no outer 6-dp rounding)."""
+    return f"(round_even(CAST({e} AS DOUBLE) * {float(10 ** d)!r}, 0) / {float(10 ** d)!r} + 0.0)"
+
+
+def fp_mean(x: str) -> str:
+    return f"(sum(round_even({x} * 1e9, 0)) / (count({x}) * 1e9))"
+
+
+def quadrant_sql() -> str:
+    x, y = "monetization_depth_score", "experience_health_score"
+    return (f"CASE WHEN {x} < 50.0 AND {y} >= 50.0 THEN 'engaged_under_monetized' "
+            f"WHEN {x} >= 50.0 AND {y} < 50.0 THEN 'monetized_experience_risk' "
+            f"WHEN {x} >= 50.0 THEN 'healthy_monetized' ELSE 'low_depth_low_health' END")
+
+
+def views_queries() -> dict[str, str]:
+    m = {1: "month_1_retention", 3: "month_3_retention", 6: "month_6_retention", 12: "month_12_retention"}
+    rc = ", ".join(f"{wavg(c)} AS m{k}" for k, c in m.items())
+    curves = " UNION ALL ".join(f"SELECT segment, 'Month {k}' AS month_label, {k} AS month, {r(f'm{k}')} AS retention FROM rc"
+                                for k in m)
+    hl = f"""
+, ss AS (SELECT engagement_segment, {wavg('discounted_clv')} AS clv, {wavg('month_6_retention')} AS m6
+         FROM base GROUP BY engagement_segment),
+ms AS (SELECT market, {wavg('discounted_clv')} AS clv, sum(discounted_clv * households) AS tlv FROM base GROUP BY market),
+tp AS (SELECT market, tlv FROM ms ORDER BY clv DESC, market ASC LIMIT 1),
+sv AS (SELECT max(CASE WHEN engagement_segment = 'High' THEN clv END) AS ch,
+              max(CASE WHEN engagement_segment = 'Low' THEN clv END) AS cl,
+              max(CASE WHEN engagement_segment = 'High' THEN m6 END) AS mh,
+              max(CASE WHEN engagement_segment = 'Low' THEN m6 END) AS ml FROM ss)
+SELECT 'high_vs_low_clv_premium' AS metric, {r('ch / nullif(cl, 0) - 1.0')} AS value, CAST(NULL AS VARCHAR) AS label FROM sv
+UNION ALL SELECT 'high_vs_low_m6_gap_pts', {r('(mh - ml) * 100.0')}, CAST(NULL AS VARCHAR) FROM sv
+UNION ALL SELECT 'top_market_value_share', {r('tp.tlv / nullif((SELECT sum(tlv) FROM ms), 0)')}, tp.market FROM tp
+UNION ALL SELECT 'top_market_lifecycle_value', {r('tp.tlv')}, tp.market FROM tp"""
+    walk_cols = ["ad_revenue_per_household", "subscription_revenue_per_household", "total_monthly_revenue_per_household",
+                 "gross_margin", "support_cost_per_household", "gross_profit_per_household", "expected_retained_months",
+                 "baseline_clv", "discounted_clv"]
+    return {
+        "coverage": with_base(
+            "SELECT market, region, count(DISTINCT cohort_month) AS cohorts, CAST(sum(households) AS BIGINT) AS households, "
+            f"{r(r_(fp_mean('month_6_retention'), 2))} AS avg_m6_retention_unweighted, "
+            f"{r(r_(fp_mean('discounted_clv'), 2))} AS avg_clv_unweighted FROM base GROUP BY market, region"),
+        "cardinalities": with_base(
+            "SELECT count(*) AS cohort_rows, count(DISTINCT market) AS markets, count(DISTINCT cohort_month) AS "
+            "cohort_months, count(DISTINCT device_type) AS device_types FROM base"),
+        "retention_curves": with_base(f", rc AS (SELECT engagement_segment AS segment, {rc} FROM base "
+                                      f"GROUP BY engagement_segment)\n{curves}"),
+        "headline_gaps": with_base(hl),
+        "score_grid": with_base(
+            "SELECT floor(monetization_depth_score / 5.0) * 5.0 AS depth_bin, "
+            "floor(experience_health_score / 5.0) * 5.0 AS health_bin, "
+            f"{quadrant_sql()} AS quadrant, count(*) AS cohort_rows, CAST(sum(households) AS BIGINT) AS households, "
+            f"{r(wavg('discounted_clv'))} AS avg_clv FROM base GROUP BY 1, 2, 3"),
+        "score_points": with_base(
+            "SELECT cohort_month, market, device_type, engagement_segment, households, "
+            + ", ".join(f"{r(c)} AS {c}" for c in ("engagement_score", "discounted_clv", "monetization_depth_score",
+                                                   "experience_health_score"))
+            + f", {quadrant_sql()} AS quadrant FROM base"),
+        "yield_by_market": mon_summary_sql("market"),
+        "yield_by_device": mon_summary_sql("device_type"),
+        "clv_by_cohort": summary_sql("cohort_month"),
+        "filtered_kpis": with_base(kpi_select(src="(SELECT * FROM base WHERE region IN ('AMERICA', 'EUROPE') "
+                                                  "AND engagement_segment IN ('High', 'Medium'))")),
+        "scoped_walkthrough": with_base(
+            "SELECT market, device_type, " + ", ".join(f"{r(wavg(c))} AS {c}" for c in walk_cols)
+            + f", {r(wavg('discounted_clv') + ' - 8.0')} AS net_clv FROM base GROUP BY market, device_type"),
+    }
+
+
+# ------------------------------------------------------------- scenarios ----
+LEVERS = ["first_week_lift", "app_install_lift", "trc_usage_lift", "sub_conversion_lift", "retention_lift",
+          "cpm_lift", "gross_margin_change", "experience_risk_penalty"]
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def scenario_values(scenarios) -> str:
+    rows = []
+    for s in scenarios:
+        vals = [s.scenario_id] + [float(s.levers.get(n, 0.0) or 0.0) for n in LEVERS] + [s.cost, s.market,
+                                                                                       s.device_type,
+                                                                                       s.engagement_segment]
+        rows.append("(" + ", ".join(_lit(v) for v in vals) + ")")
+    cols = ", ".join(["scenario_id"] + LEVERS + ["cost", "scope_market", "scope_device", "scope_segment"])
+    return f"sc({cols}) AS (SELECT * FROM (VALUES {', '.join(rows)}) v({cols}))"
+
+
+def fanout_ctes(src: str = "base", name: str = "sclv") -> str:
+    mult = ("(1.0 + sc.retention_lift) * (1.0 + 0.25 * sc.first_week_lift) * (1.0 + 0.15 * sc.app_install_lift)"
+            " * (1.0 + 0.2 * sc.trc_usage_lift) * (1.0 - sc.experience_risk_penalty * (sc.cpm_lift + sc.sub_conversion_lift))")
+    ret = ", ".join(f"least(greatest(b.{c} * {mult}, 0.0), 0.98) AS {c}"
+                    for c in ("month_1_retention", "month_3_retention", "month_6_retention", "month_12_retention"))
+    return f"""
+fo AS (
+  SELECT sc.scenario_id, sc.cost AS initiative_cost, b.market, b.households,
+    b.discounted_clv AS b_clv, b.total_lifecycle_value AS b_tlv, b.month_6_retention AS b_m6,
+    b.total_monthly_revenue_per_household AS b_rev, b.gross_profit_per_household AS b_gp,
+    b.expected_retained_months AS b_months, b.ad_revenue_per_household AS b_ad,
+    b.monthly_streaming_hours AS b_hours, b.first_week_hours AS b_fw,
+    b.total_monthly_revenue_per_household / greatest(b.monthly_streaming_hours, 1e-9) AS b_mph,
+    b.cohort_month, b.region, b.device_type, b.activation_rate,
+    b.first_week_hours * (1.0 + sc.first_week_lift) AS first_week_hours,
+    b.first_week_app_installs * (1.0 + sc.app_install_lift) AS first_week_app_installs,
+    least(greatest(b.trc_usage_rate * (1.0 + sc.trc_usage_lift), 0.0), 1.0) AS trc_usage_rate,
+    least(greatest(b.subscription_conversion_rate * (1.0 + sc.sub_conversion_lift), 0.0), 1.0)
+      AS subscription_conversion_rate,
+    b.monthly_streaming_hours * (1.0 + 0.4 * sc.trc_usage_lift)
+      * greatest(0.0, 1.0 - 0.5 * sc.experience_risk_penalty * sc.cpm_lift) AS monthly_streaming_hours,
+    b.ad_supported_share, b.ad_impressions_per_hour, b.cpm * (1.0 + sc.cpm_lift) AS cpm, b.fill_rate,
+    b.subscription_arpu, least(greatest(b.gross_margin + sc.gross_margin_change, 0.0), 0.95) AS gross_margin,
+    {ret}, b.support_cost_per_household
+  FROM {src} b JOIN sc ON (sc.scope_market IS NULL OR b.market = sc.scope_market)
+    AND (sc.scope_device IS NULL OR b.device_type = sc.scope_device)
+    AND (sc.scope_segment IS NULL OR b.engagement_segment = sc.scope_segment)),{clv_ctes('fo', name=name)}"""
+
+
+def compare_ctes(scenarios) -> str:
+    w = "households"
+    pair = [
+        f"CAST(sum({w}) AS BIGINT) AS households",
+        f"{wavg('b_clv')} AS baseline_avg_clv", f"{wavg('discounted_clv')} AS scenario_avg_clv",
+        "sum(b_tlv) AS baseline_total_lifecycle_value", "sum(total_lifecycle_value) AS scenario_total_lifecycle_value",
+        f"{wavg('b_m6')} AS baseline_avg_month_6_retention", f"{wavg('month_6_retention')} AS scenario_avg_month_6_retention",
+        f"{wavg('b_rev')} AS baseline_avg_revenue_per_household",
+        f"{wavg('total_monthly_revenue_per_household')} AS scenario_avg_revenue_per_household",
+        f"{wavg('b_gp')} AS baseline_avg_gross_profit_per_household",
+        f"{wavg('gross_profit_per_household')} AS scenario_avg_gross_profit_per_household",
+        f"{wavg('b_months')} AS baseline_avg_expected_retained_months",
+        f"{wavg('expected_retained_months')} AS scenario_avg_expected_retained_months",
+        "sum(b_ad * households) / greatest(sum(b_rev * households), 1e-9) AS baseline_ad_revenue_share",
+        "sum(ad_revenue_per_household * households) / greatest(sum(total_monthly_revenue_per_household * households),"
+        " 1e-9) AS scenario_ad_revenue_share",
+        f"{wavg('b_mph')} AS baseline_mph",
+        f"{wavg('total_monthly_revenue_per_household / greatest(monthly_streaming_hours, 1e-9)')} AS scenario_mph",
+        f"{wavg('b_hours')} AS baseline_hours", f"{wavg('monthly_streaming_hours')} AS scenario_hours",
+        f"{wavg('b_fw')} AS baseline_first_week_hours", f"{wavg('first_week_hours')} AS scenario_first_week_hours",
+    ]
+    inc = "(scenario_total_lifecycle_value - baseline_total_lifecycle_value)"
+    has_cost = "(initiative_cost IS NOT NULL AND initiative_cost > 0)"
+    return f""", {scenario_values(scenarios)},{fanout_ctes()},
+sagg AS (SELECT scenario_id, initiative_cost, {', '.join(pair)} FROM sclv GROUP BY scenario_id, initiative_cost
+         HAVING sum(households) > 0),
+cmp0 AS (SELECT *, {inc} AS incremental_value,
+    scenario_avg_clv - baseline_avg_clv AS incremental_clv_per_household,
+    CASE WHEN baseline_avg_clv <> 0 THEN scenario_avg_clv / baseline_avg_clv - 1.0 ELSE 0.0 END AS clv_lift_pct,
+    CASE WHEN {has_cost} THEN {inc} / initiative_cost END AS roi,
+    CASE WHEN {has_cost} AND {inc} / 24.0 > 0 THEN initiative_cost / ({inc} / 24.0) END AS payback_months,
+    {has_cost} AND {inc} / 24.0 <= 0 AS never_pays_back,
+    (scenario_avg_month_6_retention - baseline_avg_month_6_retention) * 100.0 AS month_6_retention_delta_pts,
+    CASE WHEN baseline_mph <> 0 THEN scenario_mph / baseline_mph - 1.0 END AS mph_change_pct,
+    CASE WHEN baseline_hours <> 0 THEN scenario_hours / baseline_hours - 1.0 ELSE 0.0 END AS streaming_hours_change_pct
+  FROM sagg),
+cmp AS (SELECT *, CASE WHEN incremental_value > 0 AND month_6_retention_delta_pts >= -0.5 THEN 'Balanced'
+                       WHEN incremental_value > 0 THEN 'Guardrail flag'
+                       WHEN scenario_mph > baseline_mph * 1.001 THEN 'Net negative' ELSE 'Neutral' END AS verdict
+        FROM cmp0)"""
+
+
+def cols_sql(cols, keep=("scenario_id", "households", "never_pays_back", "verdict", "initiative", "classification",
+                         "rank", "market", "segment", "best_market", "worst_market", "largest_total_market")) -> str:
+    return ", ".join(c if c in keep else f"{r(c)} AS {c}" for c in cols)
+
+
+def scenario_queries() -> dict[str, str]:
+    from cohortlens.operators.scenario import IMPACT_METRICS, LEVER_LABELS, PRESETS
+    from cohortlens.plans.catalog import COMPARE_COLUMNS, SCOPED_SCENARIOS, verdict_grid
+
+    impact = " UNION ALL ".join(
+        f"SELECT scenario_id, {i + 1} AS position, '{label}' AS metric, {r('baseline_' + k)} AS baseline, "
+        f"{r('scenario_' + k)} AS scenario FROM cmp" for i, (label, k) in enumerate(IMPACT_METRICS))
+    labels = ", ".join(f"('{k}', {i + 1}, '{v}')" for i, (k, v) in enumerate(LEVER_LABELS.items()))
+    levers = f"""
+, lv AS (UNPIVOT sc ON {', '.join(LEVERS)} INTO NAME lever VALUE value),
+lab(lever, position, label) AS (SELECT * FROM (VALUES {labels}) t(lever, position, label))
+SELECT lv.scenario_id, lab.position, lv.lever, lab.label, {r('lv.value')} AS value, {r('cmp.incremental_value')}
+  AS incremental_value
+FROM lv JOIN lab ON lab.lever = lv.lever JOIN cmp ON cmp.scenario_id = lv.scenario_id WHERE lv.value <> 0"""
+    verdict_cols = ["scenario_id", "households", "incremental_value", "month_6_retention_delta_pts", "baseline_mph",
+                    "scenario_mph", "roi", "payback_months", "never_pays_back", "verdict"]
+    return {
+        "scenario_presets": with_base(compare_ctes(PRESETS) + f"\nSELECT {cols_sql(COMPARE_COLUMNS)} FROM cmp"),
+        "scenario_scoped": with_base(compare_ctes(SCOPED_SCENARIOS) + f"\nSELECT {cols_sql(COMPARE_COLUMNS)} FROM cmp"),
+        "scenario_verdicts": with_base(compare_ctes(verdict_grid()) + f"\nSELECT {cols_sql(verdict_cols)} FROM cmp"),
+        "scenario_impact": with_base(compare_ctes(PRESETS) + "\n" + impact),
+        "scenario_levers": with_base(compare_ctes(PRESETS) + levers),
+    }

@@ -473,6 +473,8 @@ def queries() -> dict[str, str]:
     }
     q.update(views_queries())
     q.update(scenario_queries())
+    q.update(initiative_queries())
+    q.update(insight_queries())
     return q
 
 
@@ -669,3 +671,208 @@ FROM lv JOIN lab ON lab.lever = lv.lever JOIN cmp ON cmp.scenario_id = lv.scenar
         "scenario_impact": with_base(compare_ctes(PRESETS) + "\n" + impact),
         "scenario_levers": with_base(compare_ctes(PRESETS) + levers),
     }
+
+
+# ----------------------------------------------------------- initiatives ----
+QUAL = ["confidence", "speed", "complexity", "strategic_fit", "risk", "retention_risk"]
+LIFTS = ["first_week_lift", "app_install_lift", "trc_usage_lift", "sub_conversion_lift", "retention_lift", "cpm_lift"]
+
+
+def initiative_src_presets() -> str:
+    from cohortlens.operators.portfolio import PRESET_INITIATIVES
+    rows = []
+    for i, p in enumerate(PRESET_INITIATIVES):
+        rows.append("(" + ", ".join([str(i + 1), _lit(p[0])] + [_lit(v) for v in p[1:14]] + [_lit(p[14])]) + ")")
+    cols = ", ".join(["position", "initiative"] + LIFTS + ["cost"] + QUAL + ["thesis"])
+    return f"ini AS (SELECT * FROM (VALUES {', '.join(rows)}) v({cols}))"
+
+
+def initiative_src_csv(path: str) -> str:
+    def num(c, d):
+        return (f"CASE WHEN TRY_CAST(nullif(trim(\"{c}\"), '') AS DOUBLE) IS NULL OR "
+                f"isnan(TRY_CAST(nullif(trim(\"{c}\"), '') AS DOUBLE)) THEN {d} "
+                f"ELSE TRY_CAST(nullif(trim(\"{c}\"), '') AS DOUBLE) END")
+    cols = [f"{num(c, '0.0')} AS {c}" for c in LIFTS + ["cost"]]
+    cols += [f"{num(c, '3.0')} AS {c}" for c in QUAL[:-1]] + ["3.0 AS retention_risk"]
+    return (f"ini_raw AS (SELECT *, row_number() OVER () AS position FROM read_csv('{path}', header = true, "
+            f"all_varchar = true)), "
+            f"ini AS (SELECT position, trim(coalesce(initiative, '')) AS initiative, {', '.join(cols)}, "
+            f"coalesce(thesis, '') AS thesis FROM ini_raw WHERE trim(coalesce(initiative, '')) <> '')")
+
+
+def _n(c: str) -> str:
+    lo, hi = f"min({c}) OVER ()", f"max({c}) OVER ()"
+    return f"CASE WHEN {hi} - {lo} < 1e-12 THEN 0.5 ELSE ({c} - {lo}) / ({hi} - {lo}) END"
+
+
+def ranking_ctes(ini_cte: str) -> str:
+    """Ranked initiatives as CTE ``iranked``; reuses the scenario fan-out with sc built from ``ini``."""
+    zero = "CAST(0.0 AS DOUBLE)"
+    sc = (f"sc AS (SELECT 'i' || lpad(CAST(position AS VARCHAR), 5, '0') AS scenario_id, "
+          + ", ".join(LIFTS) + f", {zero} AS gross_margin_change, {zero} AS experience_risk_penalty, "
+          "CASE WHEN cost > 0 THEN cost END AS cost, CAST(NULL AS VARCHAR) AS scope_market, "
+          "CAST(NULL AS VARCHAR) AS scope_device, CAST(NULL AS VARCHAR) AS scope_segment FROM ini)")
+    cmp = compare_ctes([])  # body reused below with our own sc
+    cmp = cmp[cmp.index("\nfo AS ("):]
+
+    def rel(s, b):
+        return f"CASE WHEN {b} <> 0 THEN {s} / {b} - 1.0 ELSE 0.0 END"
+
+    legacy = ("0.3 * n_incremental_value + 0.15 * n_clv_lift_pct + 0.15 * n_roi + 0.1 * (confidence / 5.0)"
+              " + 0.1 * (speed / 5.0) + 0.1 * (strategic_fit / 5.0) - 0.1 * (complexity / 5.0) - 0.1 * (risk / 5.0)")
+    bal = ("0.25 * n_monetization_lift + 0.2 * n_incremental_value + 0.15 * n_experience_impact"
+           " + 0.1 * (confidence / 5.0) + 0.1 * (strategic_fit / 5.0) + 0.05 * (speed / 5.0)"
+           " - 0.1 * (complexity / 5.0) - 0.15 * (retention_risk / 5.0)")
+    return f""", {ini_cte}, {sc},{cmp},
+t0 AS (
+  SELECT ini.position, ini.initiative, ini.thesis, ini.cost, {', '.join('ini.' + q for q in QUAL)},
+    cmp.incremental_value, cmp.clv_lift_pct,
+    {rel('cmp.scenario_avg_revenue_per_household', 'cmp.baseline_avg_revenue_per_household')} AS monetization_lift,
+    0.5 * ({rel('cmp.scenario_avg_month_6_retention', 'cmp.baseline_avg_month_6_retention')})
+      + 0.3 * ({rel('cmp.scenario_hours', 'cmp.baseline_hours')})
+      + 0.2 * ({rel('cmp.scenario_first_week_hours', 'cmp.baseline_first_week_hours')}) AS experience_impact,
+    coalesce(cmp.roi, 0.0) AS roi, cmp.payback_months, cmp.never_pays_back
+  FROM ini JOIN cmp ON cmp.scenario_id = 'i' || lpad(CAST(ini.position AS VARCHAR), 5, '0')),
+t1 AS (SELECT *, {_n('incremental_value')} AS n_incremental_value, {_n('clv_lift_pct')} AS n_clv_lift_pct,
+              {_n('roi')} AS n_roi, {_n('monetization_lift')} AS n_monetization_lift,
+              {_n('experience_impact')} AS n_experience_impact FROM t0),
+t2 AS (SELECT *, {legacy} AS _score, {bal} AS _bal FROM t1),
+t3 AS (SELECT *, round_even(100.0 * ({_n('_score')}) * 10.0, 0) / 10.0 + 0.0 AS score,
+              round_even(100.0 * ({_n('_bal')}) * 10.0, 0) / 10.0 + 0.0 AS balanced_score FROM t2),
+iranked AS (
+  SELECT *, row_number() OVER (ORDER BY balanced_score DESC, initiative ASC, position ASC) AS rank,
+    CASE WHEN monetization_lift < 0.005 AND experience_impact < 0.005 THEN 'Enabler'
+         WHEN complexity <= 2.5 THEN 'Quick win' ELSE 'Strategic bet' END AS classification
+  FROM t3)"""
+
+
+RANK_COLS = ["rank", "initiative", "classification", "balanced_score", "score", "monetization_lift",
+             "experience_impact", "incremental_value", "clv_lift_pct", "roi", "payback_months", "never_pays_back",
+             "cost"] + QUAL
+
+
+def initiative_queries() -> dict[str, str]:
+    import os
+    upload = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tests", "fixtures", "initiatives_upload.csv")
+    pre = ranking_ctes(initiative_src_presets())
+    roadmap = (f"SELECT CASE classification WHEN 'Quick win' THEN 'Now' WHEN 'Strategic bet' THEN 'Next' "
+               f"ELSE 'Foundational' END AS bucket, classification, "
+               f"row_number() OVER (PARTITION BY classification ORDER BY rank) AS bucket_position, rank, initiative, "
+               f"{r('CASE WHEN roi <> 0 THEN incremental_value END')} AS incremental_value, "
+               f"{r('CASE WHEN roi <> 0 THEN roi END')} AS roi FROM iranked")
+    impact = (f"SELECT initiative, classification, {r('complexity')} AS complexity, "
+              f"{r('incremental_value')} AS incremental_value, {r('greatest(score, 5.0)')} AS size, "
+              f"rank = 1 AS is_top FROM iranked")
+    return {
+        "initiative_ranking": with_base(pre + f"\nSELECT {cols_sql(RANK_COLS)} FROM iranked"),
+        "initiative_ranking_uploaded": with_base(ranking_ctes(initiative_src_csv(upload))
+                                                 + f"\nSELECT {cols_sql(RANK_COLS)} FROM iranked"),
+        "roadmap": with_base(pre + "\n" + roadmap),
+        "impact_complexity": with_base(pre + "\n" + impact),
+    }
+
+
+# -------------------------------------------------------------- insights ----
+def under_monetized_ctes() -> str:
+    return f"""
+, g1s AS (SELECT market || ' · ' || device_type AS segment, CAST(sum(households) AS BIGINT) AS households,
+            sum(monetization_per_streaming_hour * households) AS s_mph,
+            {wavg('monetization_per_streaming_hour')} AS mph, {wavg('monthly_streaming_hours')} AS hours,
+            {wavg('experience_health_score')} AS health
+          FROM base GROUP BY market || ' · ' || device_type),
+g1w AS (SELECT *, sum(s_mph) OVER () / nullif(sum(households) OVER (), 0) AS port_mph,
+               median(health) OVER () AS median_health FROM g1s),
+g1c AS (SELECT *, (port_mph - mph) * hours * households * 12.0 AS v FROM g1w
+        WHERE health >= median_health AND mph < port_mph),
+g1 AS (SELECT segment, households, {r_('mph', 3)} AS segment_yield_per_hour,
+              {r_('port_mph', 3)} AS portfolio_yield_per_hour, {r_('mph / port_mph - 1.0', 3)} AS yield_gap_pct,
+              {r_('health', 1)} AS experience_health, {r_('v * 0.5', 0)} AS annual_value_of_closing_half_gap
+       FROM g1c ORDER BY v DESC, segment ASC LIMIT 1)"""
+
+
+def vintage_ctes() -> str:
+    def wm(flag, c):
+        return (f"sum(CASE WHEN {flag} THEN {c} * households END) / "
+                f"nullif(sum(CASE WHEN {flag} THEN households END), 0)")
+
+    same = lambda x: f"(({x} >= 0) = (clv_d >= 0))"
+    return f"""
+, mo AS (SELECT cohort_month, row_number() OVER (ORDER BY cohort_month) AS rn, count(*) OVER () AS n
+         FROM (SELECT DISTINCT cohort_month FROM base)),
+fl AS (SELECT b.*, mo.rn <= 3 AS is_e, mo.rn > mo.n - 3 AS is_l, mo.n AS n FROM base b JOIN mo USING (cohort_month)),
+va AS (SELECT max(n) AS n, {wm('is_e', 'discounted_clv')} AS e_clv, {wm('is_l', 'discounted_clv')} AS l_clv,
+              {wm('is_e', 'month_6_retention')} AS e_m6, {wm('is_l', 'month_6_retention')} AS l_m6,
+              {wm('is_e', 'total_monthly_revenue_per_household')} AS e_rev,
+              {wm('is_l', 'total_monthly_revenue_per_household')} AS l_rev FROM fl),
+vb AS (SELECT *, l_clv / e_clv - 1.0 AS clv_d,
+              CASE WHEN e_rev <> 0 THEN l_rev / e_rev - 1.0 ELSE 0.0 END AS rev_d,
+              CASE WHEN e_m6 <> 0 THEN l_m6 / e_m6 - 1.0 ELSE 0.0 END AS m6_d
+       FROM va WHERE n >= 4 AND e_clv <> 0),
+g2 AS (SELECT (SELECT min(cohort_month) FROM mo WHERE rn <= 3) || ' – ' || (SELECT max(cohort_month) FROM mo WHERE rn <= 3)
+                AS oldest_cohorts,
+              (SELECT min(cohort_month) FROM mo WHERE rn > n - 3) || ' – ' || (SELECT max(cohort_month) FROM mo WHERE rn > n - 3)
+                AS newest_cohorts,
+              {r_('clv_d', 3)} AS clv_delta_pct, {r_('(l_m6 - e_m6) * 100.0', 1)} AS month_6_retention_delta_pts,
+              {r_('rev_d', 3)} AS revenue_per_hh_delta_pct,
+              CASE WHEN {same('m6_d')} AND {same('rev_d')} THEN
+                     CASE WHEN abs(m6_d) >= abs(rev_d) THEN 'retention' ELSE 'monetization' END
+                   WHEN {same('m6_d')} THEN 'retention' WHEN {same('rev_d')} THEN 'monetization'
+                   ELSE 'cohort mix (market/device composition)' END AS primary_driver
+       FROM vb)"""
+
+
+def marginal_ctes() -> str:
+    from cohortlens.operators.scenario import Scenario
+    body = compare_ctes([Scenario("retention_plus_5", {"retention_lift": 0.05})])
+    body = body[:body.index(",\nsagg AS (")]
+    return body + f""",
+g3m AS (SELECT market, CAST(sum(households) AS BIGINT) AS households, {wavg('b_clv')} AS base_clv,
+               {wavg('discounted_clv')} AS scen_clv FROM sclv GROUP BY market),
+g3v AS (SELECT *, (scen_clv - base_clv) / 5.0 AS value_per_hh_per_pct,
+               (scen_clv - base_clv) / 5.0 * households AS total_per_pct FROM g3m),
+g3b AS (SELECT market, value_per_hh_per_pct AS v FROM g3v ORDER BY value_per_hh_per_pct DESC, market ASC LIMIT 1),
+g3w AS (SELECT market, value_per_hh_per_pct AS v FROM g3v ORDER BY value_per_hh_per_pct ASC, market ASC LIMIT 1),
+g3t AS (SELECT market, total_per_pct AS v FROM g3v ORDER BY total_per_pct DESC, market ASC LIMIT 1),
+g3 AS (SELECT g3b.market AS best_market, {r_('g3b.v', 2)} AS best_value_per_hh_per_pct_lift,
+              g3w.market AS worst_market, {r_('g3w.v', 2)} AS worst_value_per_hh_per_pct_lift,
+              CASE WHEN g3w.v <> 0 THEN {r_('g3b.v / g3w.v', 1)} END AS spread_x,
+              g3t.market AS largest_total_market, {r_('g3t.v', 0)} AS largest_total_per_pct_lift
+       FROM g3b, g3w, g3t WHERE (SELECT count(*) FROM g3v) >= 2)"""
+
+
+G1_COLS = ["segment", "households", "segment_yield_per_hour", "portfolio_yield_per_hour", "yield_gap_pct",
+           "experience_health", "annual_value_of_closing_half_gap"]
+G2_COLS = ["oldest_cohorts", "newest_cohorts", "clv_delta_pct", "month_6_retention_delta_pts",
+           "revenue_per_hh_delta_pct", "primary_driver"]
+G3_COLS = ["best_market", "best_value_per_hh_per_pct_lift", "worst_market", "worst_value_per_hh_per_pct_lift",
+           "spread_x", "largest_total_market", "largest_total_per_pct_lift"]
+G_STR = {"segment", "oldest_cohorts", "newest_cohorts", "primary_driver", "best_market", "worst_market",
+         "largest_total_market"}
+
+
+def _tidy_sql(src: str, insight: str, cols) -> str:
+    parts = []
+    for c in cols:
+        if c in G_STR:
+            parts.append(f"SELECT '{insight}' AS insight, '{c}' AS metric, CAST(NULL AS DOUBLE) AS value_double, "
+                         f"{c} AS value_string FROM {src}")
+        else:
+            parts.append(f"SELECT '{insight}', '{c}', {r(c)}, CAST(NULL AS VARCHAR) FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+def insight_queries() -> dict[str, str]:
+    keep = set(G_STR) | {"households"}
+    return {
+        "under_monetized": with_base(under_monetized_ctes() + f"\nSELECT {cols_sql(G1_COLS, keep)} FROM g1"),
+        "vintage_trend": with_base(vintage_ctes() + f"\nSELECT {cols_sql(G2_COLS, keep)} FROM g2"),
+        "marginal_retention": with_base(marginal_ctes() + f"\nSELECT {cols_sql(G3_COLS, keep)} FROM g3"),
+        "marginal_retention_by_market": with_base(
+            marginal_ctes() + "\nSELECT market, households, " + ", ".join(
+                f"{r(c)} AS {c}" for c in ("base_clv", "scen_clv", "value_per_hh_per_pct", "total_per_pct"))
+            + " FROM g3v"),
+        "gap_insights": with_base(under_monetized_ctes() + vintage_ctes() + marginal_ctes() + "\n"
+                                  + " UNION ALL ".join([_tidy_sql("g1", "under_monetized_opportunity", G1_COLS),
+                                                        _tidy_sql("g2", "vintage_trend", G2_COLS),
+                                                        _tidy_sql("g3", "marginal_retention_value", G3_COLS)])),
+    }

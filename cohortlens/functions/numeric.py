@@ -35,10 +35,29 @@ def safe_div(num, den) -> Column:
     return F.try_divide(_col(num), _col(den))
 
 
+FIXED_POINT_DIGITS = 9
+FIXED_POINT_SCALE = float(10 ** FIXED_POINT_DIGITS)
+
+
+def fixed_point_sum(x, w="households") -> Column:
+    """sum(rint(x*1e9) * w): the weighted sum in fixed point at 1e-9 resolution.
+
+    Every term is an integer-valued double, so partial sums are exact (and
+    independent of the order rows meet in a distributed aggregate) while they
+    stay below 2^53; beyond that they round like any floating sum.
+    """
+    return F.sum(F.rint(_col(x) * F.lit(FIXED_POINT_SCALE)) * _col(w))
+
+
 def weighted_mean(x, w="households") -> Column:
-    """Household-weighted mean sum(x*w)/sum(w); NULL when the weight total is 0."""
+    """Household-weighted mean sum(x*w)/sum(w) from fixed-point sums; NULL when the weight total is 0.
+
+    Cohort measures are averages of small-denominator shares, so their means
+    often sit exactly on a rounding tie; the fixed-point sum keeps the result
+    reproducible across partitionings (and engines).
+    """
     wc = _col(w)
-    return safe_div(F.sum(_col(x) * wc), F.sum(wc))
+    return safe_div(fixed_point_sum(x, w), F.sum(wc) * F.lit(FIXED_POINT_SCALE))
 
 
 def scaled_weighted_sum(x, digits: int, w="households") -> Column:

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import clip, rint_round, scaled_weighted_sum, weighted_mean, weighted_mean_scaled
+from cohortlens.functions.numeric import (
+    FIXED_POINT_SCALE,
+    clip,
+    fixed_point_sum,
+    rint_round,
+    scaled_weighted_sum,
+    weighted_mean,
+    weighted_mean_scaled,
+)
 from cohortlens.schema import SEGMENT_SEPARATOR
 
 # ---- fixed values: score weights (column, weight) ---------------------------
@@ -102,14 +110,18 @@ def monetization_summary(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(*monetization_aggs()).orderBy(F.desc("balanced_value_score"), F.asc(by))
 
 
+def _scale(src: str) -> float:
+    return 10.0 if src in SCORE_COLUMNS else FIXED_POINT_SCALE
+
+
 def guardrail_summary(df: DataFrame) -> DataFrame:
     """A6 at market x device grain with the health-depth gap (plus the weighted sums behind it)."""
     seg = df.withColumn("segment", segment_key())
     w = F.col("households")
-    sums = [(scaled_weighted_sum(src, 1) if src in SCORE_COLUMNS else F.sum(F.col(src) * w)).alias(f"_sx_{n}")
+    sums = [(scaled_weighted_sum(src, 1) if src in SCORE_COLUMNS else fixed_point_sum(src)).alias(f"_sx_{n}")
             for n, src in MONETIZATION_SUMMARY]
     s = seg.groupBy("segment").agg(F.sum(w).alias("households"), *sums)
-    s = s.withColumns({n: F.try_divide(F.col(f"_sx_{n}"), F.col("households") * (10.0 if src in SCORE_COLUMNS else 1.0))
+    s = s.withColumns({n: F.try_divide(F.col(f"_sx_{n}"), F.col("households") * _scale(src))
                        for n, src in MONETIZATION_SUMMARY})
     return s.withColumn("gap", F.col("experience_health_score") - F.col("monetization_depth_score"))
 
@@ -139,7 +151,7 @@ def portfolio_monetization_kpis(df: DataFrame) -> DataFrame:
     """
     s = guardrail_summary(df)
     sw = F.sum("households")
-    scale = {n: (10.0 if src in SCORE_COLUMNS else 1.0) for n, src in MONETIZATION_SUMMARY}
+    scale = {n: _scale(src) for n, src in MONETIZATION_SUMMARY}
     mean = lambda n: F.try_divide(F.sum(f"_sx_{n}"), sw * scale[n])
     under_key = F.when(F.col("gap") > GAP_THRESHOLD, F.struct(-rint_round(F.col("gap"), 1), F.col("segment")))
     risk_key = F.when(F.col("gap") < -GAP_THRESHOLD, F.struct(-rint_round(-F.col("gap"), 1), F.col("segment")))

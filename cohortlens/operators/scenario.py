@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numeric import clip, safe_div
+from cohortlens.functions.numeric import clip, safe_div, weighted_mean
 from cohortlens.operators.value import run_clv_model
 from cohortlens.schema import (
     APP_INSTALL_TO_RETENTION,
@@ -153,7 +153,7 @@ def fan_out(baseline: DataFrame, scenarios: list[Scenario],
 
 
 def _wm(col: str) -> Column:
-    return safe_div(F.sum(F.col(col) * F.col("households")), F.sum("households"))
+    return weighted_mean(col)
 
 
 def _kpi_pair() -> list[Column]:
@@ -176,7 +176,7 @@ def _kpi_pair() -> list[Column]:
          / F.greatest(F.sum(F.col("total_monthly_revenue_per_household") * F.col("households")), F.lit(1e-9))
          ).alias("scenario_ad_revenue_share"),
         _wm("b_mph").alias("baseline_mph"),
-        safe_div(F.sum(scen_mph * F.col("households")), F.sum("households")).alias("scenario_mph"),
+        weighted_mean(scen_mph).alias("scenario_mph"),
         _wm("b_hours").alias("baseline_hours"), _wm("monthly_streaming_hours").alias("scenario_hours"),
         _wm("b_fw").alias("baseline_first_week_hours"), _wm("first_week_hours").alias("scenario_first_week_hours"),
     ]

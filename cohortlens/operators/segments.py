@@ -101,7 +101,8 @@ def segment_summaries(df: DataFrame, dims: list[str]) -> DataFrame:
     gs = ", ".join(f"(`{d}`)" for d in dims)
     df.createOrReplaceTempView("__seg_input")
     metric_sql = ", ".join(
-        [f"try_divide(sum(`{src}` * households), sum(households)) AS {name}" for name, src in SUMMARY_METRICS])
+        [f"try_divide(sum(rint(`{src}` * 1e9) * households), sum(households) * 1e9) AS {name}"
+         for name, src in SUMMARY_METRICS])
     dim_case = " ".join(f"WHEN grouping(`{d}`) = 0 THEN '{d}'" for d in dims)
     key_case = " ".join(f"WHEN grouping(`{d}`) = 0 THEN CAST(`{d}` AS STRING)" for d in dims)
     sql = (f"SELECT CASE {dim_case} END AS dimension, CASE {key_case} END AS key, "

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numeric import rint_round
+from cohortlens.functions.numeric import rint_round, weighted_mean
 import os
 
-from cohortlens.operators import insights, portfolio, scenario, views
+from cohortlens.operators import grounding, insights, portfolio, scenario, verify, views
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import quality, segments, value
 from cohortlens.operators.scenario import Scenario
@@ -219,7 +219,7 @@ def q_scoped_walkthrough(spark, sf):
     """F2 + A13 - average household walkthrough for every market x device scope."""
     b = _base(spark, sf)
     a = b.groupBy("market", "device_type").agg(
-        *[F.try_divide(F.sum(F.col(c) * F.col("households")), F.sum("households")).alias(c) for c in (
+        *[weighted_mean(c).alias(c) for c in (
             "ad_revenue_per_household", "subscription_revenue_per_household", "total_monthly_revenue_per_household",
             "gross_margin", "support_cost_per_household", "gross_profit_per_household", "expected_retained_months",
             "baseline_clv", "discounted_clv")]).withColumn("net_clv", F.col("discounted_clv") - F.lit(CAC))
@@ -350,6 +350,84 @@ def q_gap_insights(spark, sf):
     return finalize(insights.gap_insights(_base(spark, sf), RATE))
 
 
+# ------------------------------------------------------------- grounding ----
+
+def overview_facts(b: DataFrame) -> DataFrame:
+    return grounding.base_facts(b, "overview").unionByName(
+        grounding.insight_facts(insights.gap_insights(b, RATE), "overview"))
+
+
+def q_grounding_facts(spark, sf):
+    """N1-N3, N5 - overview (KPIs, summaries, gap insights), cohort view, drivers and guardrail contexts."""
+    b = _base(spark, sf)
+    view = views.filter_cohorts(b, regions=FILTER_REGIONS)
+    parts = [overview_facts(b),
+             grounding.cohort_facts(view, "cohort_view", {"region": FILTER_REGIONS}),
+             grounding.driver_facts(b, "drivers"),
+             grounding.guardrail_facts(b, "guardrails")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return finalize(out)
+
+
+def q_grounding_facts_planning(spark, sf):
+    """N4, N6, N7 - scenario read-out, initiative ranking and executive memo contexts."""
+    b = _base(spark, sf)
+    onboarding = scenario.PRESETS[0]
+    cmp = scenario.compare_scenarios(b, [onboarding], RATE)
+    ranked = portfolio.score_initiatives(b, None, RATE)
+    parts = [grounding.scenario_facts(cmp, onboarding.scenario_id, onboarding.levers, "All households", "scenario"),
+             grounding.ranking_facts(ranked, "ranking"),
+             grounding.memo_facts(b, ranked, insights.gap_insights(b, RATE), "memo")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return finalize(out)
+
+
+def market_drafts(b: DataFrame) -> DataFrame:
+    """Draft texts quoting per-market figures (some traceable to the overview context, some derived)."""
+    m = segments.segment_summary(b, "market")
+    fmt = ("%s: %s households, average CLV $%.2f, month-6 retention %.1f%%, revenue $%.2f per household per month, "
+           "lifecycle value $%.1fK and a %.1fx CLV-to-CAC ratio over %.1f months.")
+    text = F.format_string(
+        fmt, F.col("market"), F.format_number(F.col("households"), 0), rint_round("avg_clv", 2),
+        rint_round(F.col("avg_month_6_retention") * 100.0, 1), rint_round("avg_monthly_revenue", 2),
+        rint_round(F.col("total_lifecycle_value") / 1000.0, 1), rint_round(F.col("avg_clv") / CAC, 1),
+        rint_round(F.col("avg_first_week_hours"), 1))
+    return m.select(F.concat(F.lit("market:"), F.col("market")).alias("draft_id"),
+                    F.lit("overview").alias("context_id"), text.alias("text"))
+
+
+def _verified(v: DataFrame) -> DataFrame:
+    return v.withColumn("unverified", F.array_join("unverified", " | "))
+
+
+def q_figure_verification(spark, sf):
+    """N8-N15 - per-market drafts checked against the overview grounding context."""
+    b = _base(spark, sf)
+    return _verified(verify.verify_drafts(market_drafts(b), overview_facts(b)))
+
+
+def _documents(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+def q_document_figures(spark, sf):
+    """N8-N9 - every substantive figure in the whole documents table, parsed with its tolerance."""
+    figs = verify.parse_figures(verify.extract_figures(_documents(spark, sf), ["doc_id"]))
+    return finalize(figs.select("doc_id", "pos", "raw", "value", "tol"))
+
+
+def q_document_verification(spark, sf):
+    """N8-N15 - each document's figures traced against the overview grounding context."""
+    b = _base(spark, sf)
+    drafts = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("draft_id"),
+                                          F.lit("overview").alias("context_id"), "text")
+    return _verified(verify.verify_drafts(drafts, overview_facts(b)))
+
+
 QUERIES = {
     "cohort_table": q_cohort_table,
     "quality_issues": q_quality_issues,
@@ -399,4 +477,9 @@ QUERIES = {
     "marginal_retention": q_marginal_retention,
     "marginal_retention_by_market": q_marginal_retention_by_market,
     "gap_insights": q_gap_insights,
+    "grounding_facts": q_grounding_facts,
+    "grounding_facts_planning": q_grounding_facts_planning,
+    "figure_verification": q_figure_verification,
+    "document_figures": q_document_figures,
+    "document_verification": q_document_verification,
 }

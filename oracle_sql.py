@@ -27,7 +27,7 @@ def r(e: str, d: int = 6) -> str:
 def wavg(x: str, w: str = "households") -> str:
     if x in SCORES:
         return f"(sum(round_even(({x}) * 10.0, 0) * {w}) / nullif(sum({w}) * 10.0, 0))"
-    return f"(sum(({x}) * {w}) / nullif(sum({w}), 0))"
+    return f"(sum(round_even(({x}) * 1e9, 0) * {w}) / nullif(sum({w}) * 1e9, 0))"
 
 
 SCORES = {"monetization_depth_score", "experience_health_score", "balanced_value_score"}
@@ -475,6 +475,7 @@ def queries() -> dict[str, str]:
     q.update(scenario_queries())
     q.update(initiative_queries())
     q.update(insight_queries())
+    q.update(verification_queries())
     return q
 
 
@@ -575,7 +576,7 @@ def scenario_values(scenarios) -> str:
 def fanout_ctes(src: str = "base", name: str = "sclv") -> str:
     mult = ("(1.0 + sc.retention_lift) * (1.0 + 0.25 * sc.first_week_lift) * (1.0 + 0.15 * sc.app_install_lift)"
             " * (1.0 + 0.2 * sc.trc_usage_lift) * (1.0 - sc.experience_risk_penalty * (sc.cpm_lift + sc.sub_conversion_lift))")
-    ret = ", ".join(f"least(greatest(b.{c} * {mult}, 0.0), 0.98) AS {c}"
+    ret = ", ".join(f"least(greatest(b.{c} * ({mult}), 0.0), 0.98) AS {c}"
                     for c in ("month_1_retention", "month_3_retention", "month_6_retention", "month_12_retention"))
     return f"""
 fo AS (
@@ -776,11 +777,11 @@ def initiative_queries() -> dict[str, str]:
 def under_monetized_ctes() -> str:
     return f"""
 , g1s AS (SELECT market || ' · ' || device_type AS segment, CAST(sum(households) AS BIGINT) AS households,
-            sum(monetization_per_streaming_hour * households) AS s_mph,
+            sum(round_even(monetization_per_streaming_hour * 1e9, 0) * households) AS s_mph,
             {wavg('monetization_per_streaming_hour')} AS mph, {wavg('monthly_streaming_hours')} AS hours,
             {wavg('experience_health_score')} AS health
           FROM base GROUP BY market || ' · ' || device_type),
-g1w AS (SELECT *, sum(s_mph) OVER () / nullif(sum(households) OVER (), 0) AS port_mph,
+g1w AS (SELECT *, sum(s_mph) OVER () / nullif(sum(households) OVER () * 1e9, 0) AS port_mph,
                median(health) OVER () AS median_health FROM g1s),
 g1c AS (SELECT *, (port_mph - mph) * hours * households * 12.0 AS v FROM g1w
         WHERE health >= median_health AND mph < port_mph),
@@ -792,8 +793,8 @@ g1 AS (SELECT segment, households, {r_('mph', 3)} AS segment_yield_per_hour,
 
 def vintage_ctes() -> str:
     def wm(flag, c):
-        return (f"sum(CASE WHEN {flag} THEN {c} * households END) / "
-                f"nullif(sum(CASE WHEN {flag} THEN households END), 0)")
+        return (f"sum(CASE WHEN {flag} THEN round_even({c} * 1e9, 0) * households END) / "
+                f"nullif(sum(CASE WHEN {flag} THEN households END) * 1e9, 0)")
 
     same = lambda x: f"(({x} >= 0) = (clv_d >= 0))"
     return f"""
@@ -876,3 +877,255 @@ def insight_queries() -> dict[str, str]:
                                                         _tidy_sql("g2", "vintage_trend", G2_COLS),
                                                         _tidy_sql("g3", "marginal_retention_value", G3_COLS)])),
     }
+
+
+# ------------------------------------------------------------- grounding ----
+SEG_COLS = ["households", "avg_first_week_hours", "avg_trc_usage_rate", "avg_sub_conversion", "avg_month_6_retention",
+            "avg_monthly_revenue", "avg_clv", "total_lifecycle_value"]
+
+
+def _fact_val(c: str, kind: str, digits) -> tuple[str, str]:
+    if kind == "str":
+        return "CAST(NULL AS DOUBLE)", c
+    if kind == "bool":
+        return "CAST(NULL AS DOUBLE)", f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+    if kind == "int" or digits is None:
+        return f"CAST({c} AS DOUBLE)", "CAST(NULL AS VARCHAR)"
+    return r_(c, digits), "CAST(NULL AS VARCHAR)"
+
+
+def record_facts_sql(src: str, ctx: str, prefix: str, cols, digits=3) -> str:
+    parts = []
+    for c, kind in cols:
+        vd, vs = _fact_val(c, kind, digits)
+        parts.append(f"SELECT '{ctx}' AS context_id, '{prefix}.{c}' AS path, {vd} AS value_double, {vs} AS value_string "
+                     f"FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+def records_facts_sql(src: str, ctx: str, prefix: str, cols, order: str, limit: int = 12, digits=3) -> str:
+    inner = f"(SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS __i FROM {src}) q WHERE __i < {limit}"
+    parts = []
+    for c, kind in cols:
+        vd, vs = _fact_val(c, kind, digits)
+        parts.append(f"SELECT '{ctx}' AS context_id, '{prefix}[' || CAST(__i AS VARCHAR) || '].{c}' AS path, "
+                     f"{vd} AS value_double, {vs} AS value_string FROM {inner}")
+    return " UNION ALL ".join(parts)
+
+
+def seg_summary_cte(name: str, by: str, src: str = "base") -> str:
+    return (f"{name} AS (SELECT {by}, CAST(sum(households) AS BIGINT) AS households, "
+            + ", ".join(f"{wavg(s_)} AS {n}" for n, s_ in SUMMARY)
+            + f", sum(discounted_clv * households) AS total_lifecycle_value FROM {src} GROUP BY {by})")
+
+
+KPI_COLS = [("total_households", "int"), ("avg_clv", "d"), ("total_lifecycle_value", "d"),
+            ("avg_month_6_retention", "d"), ("avg_revenue_per_household", "d"), ("avg_gross_profit_per_household", "d"),
+            ("avg_expected_retained_months", "d"), ("ad_revenue_share", "d")]
+
+
+def kpi_cte(name: str, src: str = "base") -> str:
+    return (f"{name} AS (SELECT CAST(sum(households) AS BIGINT) AS total_households, {wavg('discounted_clv')} AS avg_clv, "
+            f"sum(total_lifecycle_value) AS total_lifecycle_value, {wavg('month_6_retention')} AS avg_month_6_retention, "
+            f"{wavg('total_monthly_revenue_per_household')} AS avg_revenue_per_household, "
+            f"{wavg('gross_profit_per_household')} AS avg_gross_profit_per_household, "
+            f"{wavg('expected_retained_months')} AS avg_expected_retained_months, "
+            "sum(ad_revenue_per_household * households) / greatest(sum(total_monthly_revenue_per_household * households),"
+            f" 1e-9) AS ad_revenue_share FROM {src} HAVING sum(households) > 0)")
+
+
+def base_facts_sql(ctx: str, src: str = "base") -> tuple[str, str]:
+    """(ctes, union select) for N1 on ``src``."""
+    p = f"{ctx}_"
+    ctes = ", ".join([kpi_cte(p + "k", src), seg_summary_cte(p + "ss", "engagement_segment", src),
+                      seg_summary_cte(p + "sm", "market", src), seg_summary_cte(p + "sd", "device_type", src)])
+    seg = [("households", "int")] + [(c, "d") for c in SEG_COLS[1:]]
+    sel = " UNION ALL ".join([
+        record_facts_sql(p + "k", ctx, "portfolio_kpis", KPI_COLS),
+        records_facts_sql(p + "ss", ctx, "by_engagement_segment", [("engagement_segment", "str")] + seg,
+                          "avg_clv DESC, engagement_segment ASC"),
+        records_facts_sql(p + "sm", ctx, "by_market", [("market", "str")] + seg, "avg_clv DESC, market ASC"),
+        records_facts_sql(p + "sd", ctx, "by_device_type", [("device_type", "str")] + seg,
+                          "avg_clv DESC, device_type ASC"),
+    ])
+    return ctes, sel
+
+
+def insight_tidy_cte() -> str:
+    keep = set(G_STR) | {"households"}
+    del keep
+    parts = []
+    for src, insight, cols in (("g1", "under_monetized_opportunity", G1_COLS), ("g2", "vintage_trend", G2_COLS),
+                               ("g3", "marginal_retention_value", G3_COLS)):
+        for c in cols:
+            if c in G_STR:
+                parts.append(f"SELECT '{insight}' AS insight, '{c}' AS metric, CAST(NULL AS DOUBLE) AS value_double, "
+                             f"{c} AS value_string FROM {src}")
+            else:
+                parts.append(f"SELECT '{insight}', '{c}', CAST({c} AS DOUBLE), CAST(NULL AS VARCHAR) FROM {src}")
+    return "gi AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def insight_facts_sql(ctx: str) -> str:
+    return (f"SELECT '{ctx}' AS context_id, 'gap_insights_non_obvious.' || insight || '.' || metric AS path, "
+            "value_double, value_string FROM gi")
+
+
+def overview_facts_ctes() -> str:
+    ctes, sel = base_facts_sql("overview")
+    return (under_monetized_ctes() + vintage_ctes() + marginal_ctes() + f", {insight_tidy_cte()}, {ctes}, "
+            f"facts AS ({sel} UNION ALL {insight_facts_sql('overview')})")
+
+
+def finalize_facts(src: str) -> str:
+    return f"SELECT context_id, path, {r('value_double')} AS value_double, value_string FROM {src}"
+
+
+def guardrail_facts_sql(ctx: str) -> tuple[str, str]:
+    rg = "round_even(gap * 10.0, 0) / 10.0 + 0.0"
+    rng = "round_even(-gap * 10.0, 0) / 10.0 + 0.0"
+    mk = (f"gk AS (SELECT {wavg('revenue_per_household')} AS avg_revenue_per_household, "
+          f"{wavg('monetization_per_streaming_hour')} AS avg_monetization_per_hour, "
+          f"{wavg('monetization_depth_score')} AS avg_monetization_depth, "
+          f"{wavg('experience_health_score')} AS avg_experience_health, "
+          f"{wavg('balanced_value_score')} AS avg_balanced_value, "
+          f"coalesce((SELECT segment FROM segg WHERE gap > 5 ORDER BY {rg} DESC, segment ASC LIMIT 1), 'None flagged')"
+          " AS top_under_monetized, "
+          f"coalesce((SELECT segment FROM segg WHERE gap < -5 ORDER BY {rng} DESC, segment ASC LIMIT 1), 'None flagged')"
+          " AS top_experience_risk FROM base)")
+    lists = (f"gu AS (SELECT *, {rg} AS opportunity_gap FROM segg WHERE gap > 5 ORDER BY opportunity_gap DESC, segment "
+             f"ASC LIMIT 5), gr AS (SELECT *, {rng} AS risk_gap FROM segg WHERE gap < -5 ORDER BY risk_gap DESC, "
+             "segment ASC LIMIT 5), gb AS (SELECT * FROM segg ORDER BY balanced_value_score DESC, segment ASC LIMIT 5)")
+    kcols = [(c, "d") for c in ("avg_revenue_per_household", "avg_monetization_per_hour", "avg_monetization_depth",
+                                "avg_experience_health", "avg_balanced_value")] + [("top_under_monetized", "str"),
+                                                                                   ("top_experience_risk", "str")]
+    base_cols = [("segment", "str"), ("households", "int")] + [(c, "d") for c, _ in MON]
+    sel = " UNION ALL ".join([
+        record_facts_sql("gk", ctx, "portfolio_monetization_kpis", kcols),
+        records_facts_sql("gu", ctx, "engaged_under_monetized_segments", base_cols + [("opportunity_gap", "d")],
+                          "opportunity_gap DESC, segment ASC", 5),
+        records_facts_sql("gr", ctx, "monetized_experience_risk_segments", base_cols + [("risk_gap", "d")],
+                          "risk_gap DESC, segment ASC", 5),
+        records_facts_sql("gb", ctx, "best_balanced_segments", base_cols, "balanced_value_score DESC, segment ASC", 5),
+    ])
+    return SEG_CTE[2:] + ", " + mk + ", " + lists, sel
+
+
+def grounding_sql() -> str:
+    ov = overview_facts_ctes()
+    cv_ctes, cv_sel = base_facts_sql("cohort_view", "cv")
+    dr_ctes, dr_sel = base_facts_sql("drivers")
+    g_ctes, g_sel = guardrail_facts_sql("guardrails")
+    cohort_month = records_facts_sql("cv_sc", "cohort_view", "by_cohort_month",
+                                     [("cohort_month", "str"), ("households", "int")] + [(c, "d") for c in SEG_COLS[1:]],
+                                     "avg_clv DESC, cohort_month ASC")
+    filt = " UNION ALL ".join(
+        f"SELECT 'cohort_view' AS context_id, 'active_filters.region[{i}]' AS path, CAST(NULL AS DOUBLE), '{v}'"
+        for i, v in enumerate(["AMERICA", "EUROPE"]))
+    mix = ("SELECT 'drivers', 'revenue_mix.ad_revenue_share', " + r_("ad_revenue_share", 3)
+           + ", CAST(NULL AS VARCHAR) FROM drivers_k UNION ALL SELECT 'drivers', 'revenue_mix.subscription_revenue_share', "
+           + r_("1.0 - ad_revenue_share", 3) + ", CAST(NULL AS VARCHAR) FROM drivers_k")
+    return with_base(f"""{ov},
+cv AS (SELECT * FROM base WHERE region IN ('AMERICA', 'EUROPE')), {cv_ctes}, {seg_summary_cte('cv_sc', 'cohort_month', 'cv')},
+{dr_ctes}, {g_ctes},
+allf AS ({' UNION ALL '.join(['SELECT * FROM facts', cv_sel, filt, cohort_month, dr_sel, mix, g_sel])})
+{finalize_facts('allf')}""")
+
+
+# ---------------------------------------------------------- verification ----
+RE2_FIGURE = (r"\$\s?\d[\d,]*\.?\d*(?:\s?[KkMmBb])?"
+              r"|[-+]?\d[\d,]*\.?\d*\s?(?:%|pts?\b)"
+              r"|\b\d+\.?\d*\s?x\b"
+              r"|\b\d+\.\d+\s?(?:months?|mo)\b"
+              r"|\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b"
+              r"|\b\d+\.\d+\b")
+SUFFIX_THEN_LETTER = r"(\$\s?\d[\d,]*\.?\d*)(\s?[KkMmBb][A-Za-z])"
+
+
+def figures_ctes(src: str, keys: str) -> str:
+    """Extract and parse figures of ``src(keys..., text)`` into ``pf``."""
+    strip = lambda e: f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    s = strip(f"regexp_replace(regexp_replace({strip('raw')}, '^\\$+', ''), '[,+]', '', 'g')")
+    num = strip("regexp_replace(body, '(%|pts?|months?|mo|x)\\s*$', '', 'i')")
+    return f"""
+fx AS (SELECT {keys}, regexp_extract_all(regexp_replace(coalesce(text, ''), '{SUFFIX_THEN_LETTER}',
+         '\\1' || chr(1) || '\\2', 'g'), '{RE2_FIGURE}') AS l FROM {src}),
+fr AS (SELECT {keys}, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM fx),
+f1 AS (SELECT *, {s} AS s FROM fr),
+f2 AS (SELECT *, lower(right(s, 1)) AS last FROM f1),
+f3 AS (SELECT *, CASE last WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1.0 END AS mult,
+              CASE WHEN last IN ('k', 'm', 'b') THEN left(s, length(s) - 1) ELSE s END AS body FROM f2),
+f4 AS (SELECT *, {num} AS num FROM f3),
+pf AS (SELECT {keys}, pos, raw, TRY_CAST(num AS DOUBLE) * mult AS value,
+              0.5 * pow(10.0, -(CASE WHEN contains(num, '.') THEN length(split_part(num, '.', 2)) ELSE 0 END)) * mult
+                AS tol
+       FROM f4 WHERE TRY_CAST(num AS DOUBLE) IS NOT NULL)"""
+
+
+def pool_ctes(facts: str = "facts") -> str:
+    return f"""
+pl0 AS (SELECT context_id, value_double AS n FROM {facts} WHERE value_double IS NOT NULL
+        UNION ALL
+        SELECT context_id, TRY_CAST(replace(tok, ',', '') AS DOUBLE) FROM
+          (SELECT context_id, unnest(regexp_extract_all(value_string, '-?\\d[\\d,]*\\.?\\d*')) AS tok FROM {facts}
+           WHERE value_string IS NOT NULL)),
+pl1 AS (SELECT context_id, unnest([n, n * 100.0, n / 100.0, n * 12.0]) AS n FROM pl0 WHERE n IS NOT NULL),
+kb AS (SELECT context_id, regexp_extract(path, '^baseline_kpis\\.([^.\\[]+)$', 1) AS k, value_double AS bv FROM {facts}
+       WHERE value_double IS NOT NULL AND regexp_extract(path, '^baseline_kpis\\.([^.\\[]+)$', 1) <> ''),
+ks AS (SELECT context_id, regexp_extract(path, '^scenario_kpis\\.([^.\\[]+)$', 1) AS k, value_double AS sv FROM {facts}
+       WHERE value_double IS NOT NULL AND regexp_extract(path, '^scenario_kpis\\.([^.\\[]+)$', 1) <> ''),
+pl2 AS (SELECT context_id, unnest([sv - bv, abs(sv - bv), (sv - bv) * 100.0, abs(sv - bv) * 100.0]) AS n
+        FROM kb JOIN ks USING (context_id, k)
+        UNION ALL
+        SELECT context_id, unnest([(sv / bv - 1.0) * 100.0, abs((sv / bv - 1.0) * 100.0), (sv / bv - 1.0) * 100.0 / 100.0])
+        FROM kb JOIN ks USING (context_id, k) WHERE bv <> 0),
+pool AS (SELECT DISTINCT context_id, abs(n) AS b FROM (SELECT * FROM pl1 UNION ALL SELECT * FROM pl2)
+         WHERE n IS NOT NULL AND NOT isnan(n) AND NOT isinf(n))"""
+
+
+def verify_sql(drafts_cte: str) -> str:
+    """Drafts CTE ``dr(draft_id, context_id, text)``; facts CTE ``facts`` must exist."""
+    return f""", {drafts_cte},
+drc AS (SELECT * FROM dr WHERE context_id IN (SELECT DISTINCT context_id FROM facts)),{figures_ctes('drc', 'draft_id, context_id')},
+{pool_ctes()[1:]},
+mt AS (SELECT pf.draft_id, pf.pos, bool_or(p.b IS NOT NULL) AS ok FROM pf LEFT JOIN pool p ON p.context_id = pf.context_id
+       AND abs(abs(pf.value) - p.b) <= greatest(pf.tol, 0.001 * greatest(p.b, abs(pf.value)))
+       GROUP BY pf.draft_id, pf.pos),
+pv AS (SELECT pf.*, mt.ok, CASE WHEN NOT mt.ok THEN row_number() OVER (PARTITION BY pf.draft_id, mt.ok ORDER BY pf.pos)
+       END AS urn FROM pf JOIN mt USING (draft_id, pos)),
+per AS (SELECT draft_id, count(*) AS total, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS verified,
+               string_agg(CASE WHEN NOT ok THEN raw END, ' | ' ORDER BY pos) AS unv,
+               count(*) FILTER (WHERE NOT ok) AS n_unv,
+               string_agg(CASE WHEN NOT ok AND urn <= 6 THEN '`' || raw || '`' END, ', ' ORDER BY pos) AS shown
+        FROM pv GROUP BY draft_id)
+SELECT dr.draft_id, dr.context_id, CAST(coalesce(per.total, 0) AS BIGINT) AS total,
+       CAST(coalesce(per.verified, 0) AS BIGINT) AS verified, coalesce(per.unv, '') AS unverified,
+       CASE WHEN coalesce(per.total, 0) > 0 AND coalesce(per.n_unv, 0) = 0
+              THEN printf('all %d figures cited trace to the model outputs', per.total)
+            WHEN coalesce(per.n_unv, 0) > 0
+              THEN printf('%d of %d figures could not be traced directly to the model outputs: %s', per.n_unv, per.total,
+                          per.shown) END AS verdict
+FROM dr LEFT JOIN per USING (draft_id)"""
+
+
+def market_drafts_cte() -> str:
+    r2 = lambda e: r_(e, 2)
+    r1 = lambda e: r_(e, 1)
+    fmt = ("%s: %s households, average CLV $%.2f, month-6 retention %.1f%%, revenue $%.2f per household per month, "
+           "lifecycle value $%.1fK and a %.1fx CLV-to-CAC ratio over %.1f months.")
+    return (f"{seg_summary_cte('dm', 'market')}, dr AS (SELECT 'market:' || market AS draft_id, 'overview' AS context_id, "
+            f"printf('{fmt}', market, format('{{:,}}', households), {r2('avg_clv')}, "
+            f"{r1('avg_month_6_retention * 100.0')}, {r2('avg_monthly_revenue')}, {r1('total_lifecycle_value / 1000.0')}, "
+            f"{r1('avg_clv / 8.0')}, {r1('avg_first_week_hours')}) AS text FROM dm)")
+
+
+def verification_queries() -> dict[str, str]:
+    doc_figs = (f"WITH {figures_ctes('documents', 'doc_id')[1:]}\n"
+                f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, raw, {r('value')} AS value, {r('tol')} AS tol FROM pf")
+    return {
+        "grounding_facts": grounding_sql(),
+        "figure_verification": with_base(overview_facts_ctes() + verify_sql(market_drafts_cte())),
+        "document_figures": doc_figs,
+        "document_verification": with_base(overview_facts_ctes() + verify_sql(
+            "dr AS (SELECT CAST(doc_id AS VARCHAR) AS draft_id, 'overview' AS context_id, text FROM documents)")),
+    }

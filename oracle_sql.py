@@ -1124,8 +1124,66 @@ def verification_queries() -> dict[str, str]:
                 f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, raw, {r('value')} AS value, {r('tol')} AS tol FROM pf")
     return {
         "grounding_facts": grounding_sql(),
+        "grounding_facts_planning": planning_sql(),
         "figure_verification": with_base(overview_facts_ctes() + verify_sql(market_drafts_cte())),
         "document_figures": doc_figs,
         "document_verification": with_base(overview_facts_ctes() + verify_sql(
             "dr AS (SELECT CAST(doc_id AS VARCHAR) AS draft_id, 'overview' AS context_id, text FROM documents)")),
     }
+
+
+# ------------------------------------------------------ planning contexts ----
+_CTE_NAMES = r"\b(sc|fo|sclv\w*|sagg|cmp0|cmp|ini|ini_raw|iranked|t0|t1|t2|t3)\b"
+
+
+def _rename(sql: str, suffix: str) -> str:
+    import re
+    return re.sub(_CTE_NAMES, lambda m: m.group(1) + suffix, sql)
+
+
+def planning_sql() -> str:
+    from cohortlens.operators.scenario import PRESETS
+    from cohortlens.operators.value import KPI_NAMES
+    onboarding = PRESETS[0]
+    ins = under_monetized_ctes() + vintage_ctes() + marginal_ctes() + ", " + insight_tidy_cte()
+    scen = _rename(compare_ctes([onboarding]), "_s")
+    rank = _rename(ranking_ctes(initiative_src_presets()), "_r")
+    memo_ctes, memo_sel = base_facts_sql("memo")
+
+    def kpis(side):
+        return ", ".join(("households" if k == "total_households" else f"{side}_{k}") + f" AS {k}" for k in KPI_NAMES)
+
+    kcols = [("total_households", "int")] + [(k, "d") for k in KPI_NAMES[1:]]
+    head = ["SELECT 'scenario' AS context_id, 'scenario_scope' AS path, CAST(NULL AS DOUBLE) AS value_double, "
+            "'All households' AS value_string"]
+    head += [f"SELECT 'scenario', 'scenario_levers.{k}', CAST({float(v)!r} AS DOUBLE), CAST(NULL AS VARCHAR)"
+             for k, v in onboarding.levers.items()]
+    money = (f"(SELECT {r_('incremental_value', 0)} AS incremental_value, {r_('clv_lift_pct', 4)} AS clv_lift_pct, "
+             "roi, payback_months, initiative_cost FROM cmp_s)")
+    guard = (f"(SELECT {r_('baseline_mph', 4)} AS monetization_per_hour_baseline, "
+             f"{r_('scenario_mph', 4)} AS monetization_per_hour_scenario, "
+             f"{r_('month_6_retention_delta_pts', 2)} AS month_6_retention_delta_pts, "
+             f"{r_('streaming_hours_change_pct', 4)} AS streaming_hours_change_pct FROM cmp_s)")
+    money_sel = " UNION ALL ".join(
+        f"SELECT 'scenario', '{c}', CAST({c} AS DOUBLE), CAST(NULL AS VARCHAR) FROM {money} m"
+        for c in ("incremental_value", "clv_lift_pct", "roi", "payback_months", "initiative_cost"))
+    rk = [("rank", "int"), ("initiative", "str"), ("classification", "str")]
+    rank_cols = rk + [(c, "d") for c in ("balanced_score", "monetization_lift", "experience_impact", "retention_risk",
+                                         "incremental_value", "clv_lift_pct", "roi", "payback_months", "confidence",
+                                         "complexity", "score")]
+    memo_cols = rk + [(c, "d") for c in ("incremental_value", "roi", "payback_months", "score", "balanced_score",
+                                         "monetization_lift", "experience_impact", "retention_risk")]
+    parts = head + [
+        record_facts_sql(f"(SELECT {kpis('baseline')} FROM cmp_s) bk", "scenario", "baseline_kpis", kcols),
+        record_facts_sql(f"(SELECT {kpis('scenario')} FROM cmp_s) sk", "scenario", "scenario_kpis", kcols),
+        money_sel,
+        record_facts_sql(f"{guard} g", "scenario", "monetization_and_experience_guardrails",
+                         [(c, "d") for c in ("monetization_per_hour_baseline", "monetization_per_hour_scenario",
+                                             "month_6_retention_delta_pts", "streaming_hours_change_pct")], None),
+        records_facts_sql("iranked_r", "ranking", "ranked_initiatives", rank_cols, "rank ASC", 12),
+        memo_sel, insight_facts_sql("memo"),
+        records_facts_sql("iranked_r", "memo", "top_initiatives", memo_cols, "rank ASC", 8),
+    ]
+    return with_base(f"""{ins}{scen}{rank}, {memo_ctes},
+allf AS ({' UNION ALL '.join(parts)})
+{finalize_facts('allf')}""")

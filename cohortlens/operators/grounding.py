@@ -9,14 +9,15 @@ happens; numbers are rounded to 3 dp like the prompt context they stand for.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numeric import rint_round
+from cohortlens.functions.numeric import rint_round, weighted_mean
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import value
-from cohortlens.operators.segments import segment_summary
+from cohortlens.operators.segments import SUMMARY_METRICS, segment_summary
 
 FACT_SCHEMA = T.StructType([
     T.StructField("context_id", T.StringType()), T.StructField("path", T.StringType()),
@@ -65,14 +66,45 @@ def _by(df: DataFrame, dim: str) -> DataFrame:
     return segment_summary(df, dim)
 
 
+BASE_DIMS = [("engagement_segment", "by_engagement_segment"), ("market", "by_market"),
+             ("device_type", "by_device_type")]
+
+
 def base_facts(df: DataFrame, context_id: str) -> DataFrame:
-    """N1 - portfolio KPIs + segment / market / device summaries (first 12 rows each)."""
-    kpis = value.portfolio_kpis(df)
-    order = lambda d: [F.desc("avg_clv"), F.asc(d)]
+    """N1 - portfolio KPIs + segment / market / device summaries (first 12 rows each).
+
+    One aggregate with GROUPING SETS ((), (segment), (market), (device)) gives
+    the KPI row and all three summaries in a single shuffle; the first rows of
+    each summary are picked by a window partitioned by dimension over that
+    small aggregated result.
+    """
+    w = F.col("households")
+    dims = [d for d, _ in BASE_DIMS]
+    g = df.groupingSets([[]] + [[d] for d in dims], *dims).agg(
+        F.grouping_id().alias("__gid"),
+        F.sum(w).alias("households"),
+        *[weighted_mean(src).alias(name) for name, src in SUMMARY_METRICS],
+        F.sum(F.col("discounted_clv") * w).alias("total_lifecycle_value"),
+        F.sum("total_lifecycle_value").alias("__tlv_rows"),
+        weighted_mean("expected_retained_months").alias("__months"),
+        weighted_mean("gross_profit_per_household").alias("__gp"),
+        F.sum(F.col("ad_revenue_per_household") * w).alias("__ad"),
+        F.sum(F.col("total_monthly_revenue_per_household") * w).alias("__rev"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    full = (1 << len(dims)) - 1
+    kpis = g.where((F.col("__gid") == full) & (F.col("households") > 0)).select(
+        F.col("households").alias("total_households"), F.col("avg_clv"),
+        F.col("__tlv_rows").alias("total_lifecycle_value"), F.col("avg_month_6_retention"),
+        F.col("avg_monthly_revenue").alias("avg_revenue_per_household"),
+        F.col("__gp").alias("avg_gross_profit_per_household"),
+        F.col("__months").alias("avg_expected_retained_months"),
+        (F.col("__ad") / F.greatest(F.col("__rev"), F.lit(1e-9))).alias("ad_revenue_share"))
     parts = [record_facts(kpis, context_id, "portfolio_kpis")]
-    for dim, name in (("engagement_segment", "by_engagement_segment"), ("market", "by_market"),
-                      ("device_type", "by_device_type")):
-        parts.append(records_facts(_by(df, dim), context_id, name, order(dim)))
+    cols = ["households"] + [n for n, _ in SUMMARY_METRICS] + ["total_lifecycle_value"]
+    for i, (dim, name) in enumerate(BASE_DIMS):
+        gid = full & ~(1 << (len(dims) - 1 - i))
+        t = g.where(F.col("__gid") == gid).select(dim, *cols)
+        parts.append(records_facts(t, context_id, name, [F.desc("avg_clv"), F.asc(dim)]))
     return _union(parts)
 
 

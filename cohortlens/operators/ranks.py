@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import checkpoint
+from pyspark import StorageLevel
 
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 1_000_000
@@ -43,10 +43,28 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
         "metric", (F.col("value") + F.lit(0.0)).alias("value"))
 
 
-def rank_table(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:
-    """Distributed rank lookup ``(metric, value, pr)`` plus distinct counts per metric."""
+def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
+               ) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Distributed rank lookup ``(metric, value, pr)``.
+
+    Returns the lookup, an upper bound of its row count, and the persisted
+    frames (value counts, lookup) for the caller to release after use. Their
+    lineage is one aggregate over the input, so a lost executor recomputes
+    them cheaply.
+
+    ``max_rows`` - a known bound on the input rows (e.g. from validation).
+    When it is at most ``ROWS_PER_BUCKET`` every column fits one window
+    partition, so no statistics job is needed.
+    """
     spark = df.sparkSession
-    vc = checkpoint(_long_values(df, columns).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    vc = (_long_values(df, columns).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("cnt"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    if max_rows is not None and max_rows <= ROWS_PER_BUCKET:
+        w_cum = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        n = F.sum("cnt").over(Window.partitionBy("metric"))
+        ranked = vc.select("metric", "value", ((F.sum("cnt").over(w_cum) - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
+                                               / n).alias("pr")).persist(StorageLevel.MEMORY_AND_DISK)
+        return ranked, max_rows * len(columns), [vc, ranked]
     stats = {r["metric"]: (int(r["n_distinct"]), int(r["n"]))
              for r in vc.groupBy("metric").agg(F.count(F.lit(1)).alias("n_distinct"),
                                                 F.sum("cnt").alias("n")).collect()}
@@ -78,19 +96,34 @@ def rank_table(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str,
               .select("metric", "value",
                       ((F.col("offset") + F.col("cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
                        / F.col("n")).alias("pr")))
-    return checkpoint(ranked), {m: s[0] for m, s in stats.items()}
+    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    return ranked, sum(s[0] for s in stats.values()), [vc, ranked]
 
 
-def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] | None = None) -> DataFrame:
-    """Append ``pr`` (0..1] for each column; NULL for missing values."""
+def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] | None = None,
+                          held: list | None = None, max_rows: int | None = None) -> DataFrame:
+    """Append ``pr`` (0..1] for each column; NULL for missing values.
+
+    When the whole lookup is at most ``BROADCAST_ROWS`` rows, every column is
+    joined against the SAME broadcast relation keyed by ``struct(metric,
+    value)``, so Spark ships one broadcast and reuses it for all columns.
+    Otherwise each column is a shuffle join against its slice of the lookup.
+    Persisted intermediates go to ``held`` for the caller to release.
+    """
     names = names or [f"{c}_pr" for c in columns]
-    ranks, distinct = rank_table(df, columns)
+    ranks, size_bound, frames = rank_table(df, columns, max_rows)
+    if held is not None:
+        held.extend(frames)
     out = df
+    if size_bound <= BROADCAST_ROWS:
+        lookup = F.broadcast(ranks.select(F.struct("metric", "value").alias("__rk"), F.col("pr").alias("__pr")))
+        for c, name in zip(columns, names):
+            key = F.struct(F.lit(c).alias("metric"), (F.col(c).cast("double") + F.lit(0.0)).alias("value"))
+            out = out.join(lookup, key == lookup["__rk"], "left").withColumnRenamed("__pr", name).drop("__rk")
+        return out
     for i, (c, name) in enumerate(zip(columns, names)):
         key = f"__rk{i}"
         lookup = ranks.where(F.col("metric") == c).select(F.col("value").alias(key), F.col("pr").alias(name))
-        if distinct.get(c, 0) <= BROADCAST_ROWS:
-            lookup = F.broadcast(lookup)
         out = out.join(lookup, (F.col(c).cast("double") + F.lit(0.0)) == F.col(key), "left").drop(key)
     return out
 

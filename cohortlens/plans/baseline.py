@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,17 +58,23 @@ class Baseline:
     discount_rate: float
 
 
-def add_scores(clv: DataFrame, weights=None) -> DataFrame:
-    """Append W1 ranks (internal), W2 engagement score, W5-W7 scores, W3/W4 segment."""
+def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows: int | None = None) -> DataFrame:
+    """Append W1 ranks (internal), W2 engagement score, W5-W7 scores, W3/W4 segment.
+
+    The scored table is persisted before the tercile edges are read from it,
+    so the rank join-back runs once for the edges and the final write.
+    """
+    held = held if held is not None else []
     mon = add_ratio_metrics(clv)
-    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS])
+    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], held, max_rows)
     scored = ranked.withColumn("engagement_score",
                                engagement_score_expr(weights, [_pr(c) for c in ENGAGEMENT_COMPONENTS]))
     scored = scored.withColumns(score_columns(_pr))
     scored = scored.withColumn("balanced_value_score", balanced_column(_pr))
-    scored = scored.drop(*[_pr(c) for c in RANKED_COLUMNS])
+    scored = scored.drop(*[_pr(c) for c in RANKED_COLUMNS]).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(scored)
     edges = tercile_edges(scored)
-    return assign_terciles(scored, edges)
+    return assign_terciles(scored, edges, held=held, max_rows=max_rows)
 
 
 BASELINE_ORDER_TAIL = [
@@ -82,13 +89,18 @@ BASELINE_ORDER_TAIL = [
 def build_baseline(cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
                    weights=None) -> Baseline:
     """Validate, model and score a cohort table; raises ``ValueError`` on blocking errors."""
-    v = validate(cohorts)
+    raw = checkpoint(cohorts)  # the (expensive) source plan runs once
+    v = validate(raw)
     if v.errors:
         raise ValueError("; ".join(v.errors))
-    clv = checkpoint(run_clv_model(v.clean, annual_discount_rate))
-    scored = add_scores(clv, weights)
+    clv = run_clv_model(v.clean, annual_discount_rate)
+    held: list = []
+    scored = add_scores(clv, weights, held, max_rows=v.rows_out)
     cols = [c for c in cohorts.columns if c not in BASELINE_ORDER_TAIL] + BASELINE_ORDER_TAIL
-    return Baseline(checkpoint(scored.select(*cols)), v, annual_discount_rate)
+    table = checkpoint(scored.select(*cols))
+    for frame in held:
+        frame.unpersist()
+    return Baseline(table, v, annual_discount_rate)
 
 
 _REGISTRY: dict[tuple, Baseline] = {}

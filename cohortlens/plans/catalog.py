@@ -21,6 +21,7 @@ from cohortlens.operators.scenario import Scenario
 from cohortlens.sources.files import read_initiatives_csv
 from cohortlens.plans.baseline import baseline_table
 from cohortlens.schema import DEFAULT_ACQUISITION_COST, DEFAULT_DISCOUNT_RATE, KEY_COLUMNS
+from cohortlens.session import checkpoint
 from cohortlens.sources.facts import cohorts_from_facts
 
 RATE = DEFAULT_DISCOUNT_RATE
@@ -353,8 +354,18 @@ def q_gap_insights(spark, sf):
 # ------------------------------------------------------------- grounding ----
 
 def overview_facts(b: DataFrame) -> DataFrame:
-    return grounding.base_facts(b, "overview").unionByName(
-        grounding.insight_facts(insights.gap_insights(b, RATE), "overview"))
+    """N1 + G4 overview context, materialised once per baseline (it feeds several verification jobs)."""
+    key = id(b)
+    hit = _FACTS.get(key)
+    if hit is None or hit[0] is not b:
+        facts = grounding.base_facts(b, "overview").unionByName(
+            grounding.insight_facts(insights.gap_insights(b, RATE), "overview"))
+        hit = (b, checkpoint(facts))
+        _FACTS[key] = hit
+    return hit[1]
+
+
+_FACTS: dict[int, tuple] = {}
 
 
 def q_grounding_facts(spark, sf):

@@ -83,3 +83,12 @@ def fixed_point_mean(x, digits: int = 9) -> Column:
     """
     scale = float(10 ** digits)
     return F.sum(F.rint(_col(x) * F.lit(scale))) / (F.count(_col(x)) * F.lit(scale))
+
+
+TOTAL_DIGITS = 6
+TOTAL_SCALE = float(10 ** TOTAL_DIGITS)
+
+
+def fixed_total(x) -> Column:
+    """sum(x) in fixed point at 1e-6 resolution (exact, order-independent below 2^53 / 1e6 = 9e9)."""
+    return F.sum(F.rint(_col(x) * F.lit(TOTAL_SCALE))) / F.lit(TOTAL_SCALE)

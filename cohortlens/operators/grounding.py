@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numeric import rint_round, weighted_mean
+from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import value
 from cohortlens.operators.segments import SUMMARY_METRICS, segment_summary
@@ -84,8 +84,8 @@ def base_facts(df: DataFrame, context_id: str) -> DataFrame:
         F.grouping_id().alias("__gid"),
         F.sum(w).alias("households"),
         *[weighted_mean(src).alias(name) for name, src in SUMMARY_METRICS],
-        F.sum(F.col("discounted_clv") * w).alias("total_lifecycle_value"),
-        F.sum("total_lifecycle_value").alias("__tlv_rows"),
+        fixed_total(F.col("discounted_clv") * w).alias("total_lifecycle_value"),
+        fixed_total("total_lifecycle_value").alias("__tlv_rows"),
         weighted_mean("expected_retained_months").alias("__months"),
         weighted_mean("gross_profit_per_household").alias("__gp"),
         F.sum(F.col("ad_revenue_per_household") * w).alias("__ad"),

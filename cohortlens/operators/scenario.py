@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numeric import clip, safe_div, weighted_mean
+from cohortlens.functions.numeric import clip, fixed_total, safe_div, weighted_mean
 from cohortlens.operators.value import run_clv_model
 from cohortlens.schema import (
     APP_INSTALL_TO_RETENTION,
@@ -132,10 +132,15 @@ CARRIED = {
 }
 
 
-def in_scope(p: str = "sc") -> Column:
+def in_scope(columns: list[str], scenarios: list[Scenario], p: str = "sc") -> Column:
+    """Row-in-scope predicate; a dimension absent from the table may only be left unscoped."""
     cond = F.lit(True)
-    for col, key in (("market", "scope_market"), ("device_type", "scope_device"),
-                     ("engagement_segment", "scope_segment")):
+    for col, key, attr in (("market", "scope_market", "market"), ("device_type", "scope_device", "device_type"),
+                           ("engagement_segment", "scope_segment", "engagement_segment")):
+        if col not in columns:
+            if any(getattr(s, attr) is not None for s in scenarios):
+                raise ValueError(f"scenario scope on {col!r} needs a scored table with that column")
+            continue
         cond = cond & (F.col(f"{p}.{key}").isNull() | (F.col(col) == F.col(f"{p}.{key}")))
     return cond
 
@@ -147,7 +152,7 @@ def fan_out(baseline: DataFrame, scenarios: list[Scenario],
     b_mph = (F.col("total_monthly_revenue_per_household")
              / F.greatest(F.col("monthly_streaming_hours"), F.lit(1e-9))).alias("b_mph")
     x = baseline.select("*", *carried, b_mph, F.explode(_literal_array(scenarios)).alias("sc"))
-    x = x.where(in_scope())
+    x = x.where(in_scope(baseline.columns, scenarios))
     x = x.withColumns(lifted_drivers())
     return run_clv_model(x, annual_discount_rate)
 
@@ -161,8 +166,10 @@ def _kpi_pair() -> list[Column]:
     return [
         F.sum("households").alias("households"),
         _wm("b_clv").alias("baseline_avg_clv"), _wm("discounted_clv").alias("scenario_avg_clv"),
-        F.sum("b_tlv").alias("baseline_total_lifecycle_value"),
-        F.sum("total_lifecycle_value").alias("scenario_total_lifecycle_value"),
+        fixed_total("b_tlv").alias("baseline_total_lifecycle_value"),
+        fixed_total("total_lifecycle_value").alias("scenario_total_lifecycle_value"),
+        # summed per row: no cancellation between two large totals
+        fixed_total(F.col("total_lifecycle_value") - F.col("b_tlv")).alias("incremental_value"),
         _wm("b_m6").alias("baseline_avg_month_6_retention"), _wm("month_6_retention").alias("scenario_avg_month_6_retention"),
         _wm("b_rev").alias("baseline_avg_revenue_per_household"),
         _wm("total_monthly_revenue_per_household").alias("scenario_avg_revenue_per_household"),
@@ -201,13 +208,12 @@ def compare_scenarios(baseline: DataFrame, scenarios: list[Scenario],
 
 
 def with_comparison(a: DataFrame) -> DataFrame:
-    inc = F.col("scenario_total_lifecycle_value") - F.col("baseline_total_lifecycle_value")
+    inc = F.col("incremental_value")
     cost = F.col("initiative_cost")
     has_cost = cost.isNotNull() & (cost > 0)
     monthly = inc / F.lit(float(CLV_HORIZON_MONTHS))
     m6_pts = (F.col("scenario_avg_month_6_retention") - F.col("baseline_avg_month_6_retention")) * F.lit(100.0)
     out = a.withColumns({
-        "incremental_value": inc,
         "incremental_clv_per_household": F.col("scenario_avg_clv") - F.col("baseline_avg_clv"),
         "clv_lift_pct": F.when(F.col("baseline_avg_clv") != 0,
                                F.col("scenario_avg_clv") / F.col("baseline_avg_clv") - F.lit(1.0)).otherwise(F.lit(0.0)),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import rint_round, weighted_mean
+from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
 from cohortlens.operators.ranks import with_percentile_ranks
 from cohortlens.schema import DEFAULT_ENGAGEMENT_WEIGHTS, ENGAGEMENT_COMPONENTS, SEGMENT_LABELS
 
@@ -89,7 +89,7 @@ SUMMARY_METRICS = [
 def summary_aggs() -> list[F.Column]:
     return ([F.sum("households").alias("households")]
             + [weighted_mean(src).alias(name) for name, src in SUMMARY_METRICS]
-            + [F.sum(F.col("discounted_clv") * F.col("households")).alias("total_lifecycle_value")])
+            + [fixed_total(F.col("discounted_clv") * F.col("households")).alias("total_lifecycle_value")])
 
 
 def segment_summary(df: DataFrame, by: str = "engagement_segment") -> DataFrame:
@@ -108,7 +108,7 @@ def segment_summaries(df: DataFrame, dims: list[str]) -> DataFrame:
     key_case = " ".join(f"WHEN grouping(`{d}`) = 0 THEN CAST(`{d}` AS STRING)" for d in dims)
     sql = (f"SELECT CASE {dim_case} END AS dimension, CASE {key_case} END AS key, "
            f"sum(households) AS households, {metric_sql}, "
-           f"sum(discounted_clv * households) AS total_lifecycle_value "
+           f"sum(rint(discounted_clv * households * 1e6)) / 1e6 AS total_lifecycle_value "
            f"FROM __seg_input GROUP BY GROUPING SETS ({gs})")
     return df.sparkSession.sql(sql)
 

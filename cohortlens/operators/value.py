@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import safe_div, weighted_mean
+from cohortlens.functions.numeric import fixed_total, safe_div, weighted_mean
 from cohortlens.functions.survival import discount_factors, survival_terms
 from cohortlens.schema import (
     AD_MONETIZATION_SHARE,
@@ -80,7 +80,7 @@ def kpi_aggs() -> list[Column]:
     return [
         F.sum(w).alias("total_households"),
         weighted_mean("discounted_clv").alias("avg_clv"),
-        F.sum("total_lifecycle_value").alias("total_lifecycle_value"),
+        fixed_total("total_lifecycle_value").alias("total_lifecycle_value"),
         weighted_mean("month_6_retention").alias("avg_month_6_retention"),
         weighted_mean("total_monthly_revenue_per_household").alias("avg_revenue_per_household"),
         weighted_mean("gross_profit_per_household").alias("avg_gross_profit_per_household"),

@@ -24,6 +24,10 @@ def r(e: str, d: int = 6) -> str:
     return f"(round_even(CAST({e} AS DOUBLE) * 1e{d}, 0) / 1e{d} + 0.0)"
 
 
+def ftot(x: str) -> str:
+    return f"(sum(round_even(({x}) * 1e6, 0)) / 1e6)"
+
+
 def wavg(x: str, w: str = "households") -> str:
     if x in SCORES:
         return f"(sum(round_even(({x}) * 10.0, 0) * {w}) / nullif(sum({w}) * 10.0, 0))"
@@ -289,7 +293,7 @@ def kpi_select(keys: str = "", src: str = "base", cac: float | None = CAC) -> st
     k = f"{keys}, " if keys else ""
     avg_clv = wavg("discounted_clv")
     body = (f"SELECT {k}CAST(sum(households) AS BIGINT) AS total_households, {r(avg_clv)} AS avg_clv, "
-            f"{r('sum(total_lifecycle_value)')} AS total_lifecycle_value, "
+            f"{r(ftot('total_lifecycle_value'))} AS total_lifecycle_value, "
             f"{r(wavg('month_6_retention'))} AS avg_month_6_retention, "
             f"{r(wavg('total_monthly_revenue_per_household'))} AS avg_revenue_per_household, "
             f"{r(wavg('gross_profit_per_household'))} AS avg_gross_profit_per_household, "
@@ -354,7 +358,7 @@ SUMMARY = [("avg_first_week_hours", "first_week_hours"), ("avg_trc_usage_rate",
 def summary_cols() -> str:
     return ("CAST(sum(households) AS BIGINT) AS households, "
             + ", ".join(f"{r(wavg(src))} AS {n}" for n, src in SUMMARY)
-            + f", {r('sum(discounted_clv * households)')} AS total_lifecycle_value")
+            + f", {r(ftot('discounted_clv * households'))} AS total_lifecycle_value")
 
 
 def summary_sql(by: str) -> str:
@@ -504,7 +508,7 @@ def views_queries() -> dict[str, str]:
     hl = f"""
 , ss AS (SELECT engagement_segment, {wavg('discounted_clv')} AS clv, {wavg('month_6_retention')} AS m6
          FROM base GROUP BY engagement_segment),
-ms AS (SELECT market, {wavg('discounted_clv')} AS clv, sum(discounted_clv * households) AS tlv FROM base GROUP BY market),
+ms AS (SELECT market, {wavg('discounted_clv')} AS clv, {ftot('discounted_clv * households')} AS tlv FROM base GROUP BY market),
 tp AS (SELECT market, tlv FROM ms ORDER BY clv DESC, market ASC LIMIT 1),
 sv AS (SELECT max(CASE WHEN engagement_segment = 'High' THEN clv END) AS ch,
               max(CASE WHEN engagement_segment = 'Low' THEN clv END) AS cl,
@@ -607,7 +611,8 @@ def compare_ctes(scenarios) -> str:
     pair = [
         f"CAST(sum({w}) AS BIGINT) AS households",
         f"{wavg('b_clv')} AS baseline_avg_clv", f"{wavg('discounted_clv')} AS scenario_avg_clv",
-        "sum(b_tlv) AS baseline_total_lifecycle_value", "sum(total_lifecycle_value) AS scenario_total_lifecycle_value",
+        f"{ftot('b_tlv')} AS baseline_total_lifecycle_value", f"{ftot('total_lifecycle_value')} AS scenario_total_lifecycle_value",
+        f"{ftot('total_lifecycle_value - b_tlv')} AS incremental_value",
         f"{wavg('b_m6')} AS baseline_avg_month_6_retention", f"{wavg('month_6_retention')} AS scenario_avg_month_6_retention",
         f"{wavg('b_rev')} AS baseline_avg_revenue_per_household",
         f"{wavg('total_monthly_revenue_per_household')} AS scenario_avg_revenue_per_household",
@@ -623,12 +628,12 @@ def compare_ctes(scenarios) -> str:
         f"{wavg('b_hours')} AS baseline_hours", f"{wavg('monthly_streaming_hours')} AS scenario_hours",
         f"{wavg('b_fw')} AS baseline_first_week_hours", f"{wavg('first_week_hours')} AS scenario_first_week_hours",
     ]
-    inc = "(scenario_total_lifecycle_value - baseline_total_lifecycle_value)"
+    inc = "incremental_value"
     has_cost = "(initiative_cost IS NOT NULL AND initiative_cost > 0)"
     return f""", {scenario_values(scenarios)},{fanout_ctes()},
 sagg AS (SELECT scenario_id, initiative_cost, {', '.join(pair)} FROM sclv GROUP BY scenario_id, initiative_cost
          HAVING sum(households) > 0),
-cmp0 AS (SELECT *, {inc} AS incremental_value,
+cmp0 AS (SELECT *,
     scenario_avg_clv - baseline_avg_clv AS incremental_clv_per_household,
     CASE WHEN baseline_avg_clv <> 0 THEN scenario_avg_clv / baseline_avg_clv - 1.0 ELSE 0.0 END AS clv_lift_pct,
     CASE WHEN {has_cost} THEN {inc} / initiative_cost END AS roi,
@@ -916,7 +921,7 @@ def records_facts_sql(src: str, ctx: str, prefix: str, cols, order: str, limit:
 def seg_summary_cte(name: str, by: str, src: str = "base") -> str:
     return (f"{name} AS (SELECT {by}, CAST(sum(households) AS BIGINT) AS households, "
             + ", ".join(f"{wavg(s_)} AS {n}" for n, s_ in SUMMARY)
-            + f", sum(discounted_clv * households) AS total_lifecycle_value FROM {src} GROUP BY {by})")
+            + f", {ftot('discounted_clv * households')} AS total_lifecycle_value FROM {src} GROUP BY {by})")
 
 
 KPI_COLS = [("total_households", "int"), ("avg_clv", "d"), ("total_lifecycle_value", "d"),
@@ -926,7 +931,7 @@ KPI_COLS = [("total_households", "int"), ("avg_clv", "d"), ("total_lifecycle_val
 
 def kpi_cte(name: str, src: str = "base") -> str:
     return (f"{name} AS (SELECT CAST(sum(households) AS BIGINT) AS total_households, {wavg('discounted_clv')} AS avg_clv, "
-            f"sum(total_lifecycle_value) AS total_lifecycle_value, {wavg('month_6_retention')} AS avg_month_6_retention, "
+            f"{ftot('total_lifecycle_value')} AS total_lifecycle_value, {wavg('month_6_retention')} AS avg_month_6_retention, "
             f"{wavg('total_monthly_revenue_per_household')} AS avg_revenue_per_household, "
             f"{wavg('gross_profit_per_household')} AS avg_gross_profit_per_household, "
             f"{wavg('expected_retained_months')} AS avg_expected_retained_months, "

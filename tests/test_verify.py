@@ -1,0 +1,72 @@
+"""N8-N15 figure extraction, parsing and verification edge cases."""
+
+import pytest
+
+from cohortlens.operators import verify
+
+EXAMPLE = "CLV $94 and $1.3M vs $3 monthly, 12%, +3.5 pts, 3.2x, 11.4 months, 1,268,059 and 11.4; 24 rows"
+FACT_SCHEMA = "context_id string, path string, value_double double, value_string string"
+
+
+def _figs(spark, text):
+    d = spark.createDataFrame([("d", text)], "draft_id string, text string")
+    return [(r.raw, r.value, r.tol) for r in
+            verify.parse_figures(verify.extract_figures(d, ["draft_id"])).orderBy("pos").collect()]
+
+
+def test_extract_documented_example(spark):
+    raws = [f[0] for f in _figs(spark, EXAMPLE)]
+    assert raws == ["$94", "$1.3M", "$3", "12%", "+3.5 pts", "3.2x", "11.4 months", "1,268,059", "11.4"]
+
+
+def test_parse(spark):
+    got = {raw: (v, t) for raw, v, t in _figs(spark, "$1.3M, 9.9x, $94, 12% and $2.50 k and 4.0 mo")}
+    assert got["$1.3M"] == (pytest.approx(1_300_000), pytest.approx(50_000))
+    assert got["9.9x"] == (pytest.approx(9.9), pytest.approx(0.05))
+    assert got["$94"] == (94.0, 0.5)
+    assert got["12%"] == (12.0, 0.5)
+    assert got["$2.50 k"] == (pytest.approx(2500.0), pytest.approx(5.0))
+    assert got["4.0 mo"] == (4.0, pytest.approx(0.05))
+
+
+def _verify(spark, drafts, facts):
+    d = spark.createDataFrame(drafts, "draft_id string, context_id string, text string")
+    f = spark.createDataFrame(facts, FACT_SCHEMA)
+    return {r.draft_id: r for r in verify.verify_drafts(d, f).collect()}
+
+
+def test_verification_rules(spark):
+    facts = [("c", "portfolio_kpis.avg_clv", 17.2, None), ("c", "share", 0.904, None),
+             ("c", "label", None, "Mexico 2,500 households"), ("c", "payback", float("inf"), None),
+             ("s", "baseline_kpis.avg_clv", 10.0, None), ("s", "scenario_kpis.avg_clv", 12.5, None),
+             ("z", "baseline_kpis.avg_clv", 0.0, None), ("z", "scenario_kpis.avg_clv", 3.0, None)]
+    drafts = [("a", "c", "CLV $17.20, ads 90.4% of revenue, 2,500 homes, $206.40 a year, -17.2 pts, 4.2x"),
+              ("b", "s", "CLV rose $2.50 (+25.0%) to 12.5 and 250 pts"),
+              ("e", "c", ""), ("n", "nothing", "CLV $17.20"), ("zz", "z", "up 3.0 with 50.0% lift")]
+    got = _verify(spark, drafts, facts)
+    a = got["a"]
+    assert (a.total, a.verified) == (6, 5) and list(a.unverified) == ["4.2x"]
+    assert "1 of 6" in a.verdict and "`4.2x`" in a.verdict
+    b = got["b"]
+    assert b.total == 4 and b.verified == 4 and b.verdict.startswith("all 4")
+    assert (got["e"].total, got["e"].verified, list(got["e"].unverified)) == (0, 0, [])
+    assert got["e"].verdict is None
+    assert got["n"].total == 0  # no facts for the context -> nothing is checked
+    zz = got["zz"]
+    assert zz.verified == 1 and list(zz.unverified) == ["50.0%"]  # no % change when the baseline is 0
+
+
+def test_infinity_does_not_verify_everything(spark):
+    got = _verify(spark, [("a", "c", "A made-up 123.45 figure")], [("c", "x", float("inf"), None)])
+    assert got["a"].verified == 0
+
+
+def test_sign_agnostic(spark):
+    got = _verify(spark, [("a", "c", "down -3.6 pts")], [("c", "delta", 3.6, None)])
+    assert got["a"].verified == 1
+
+
+def test_band_edges_across_octaves(spark):
+    # 1.0 vs 0.9995: the relative floor (0.1%) crosses the power-of-two boundary at 1.0
+    got = _verify(spark, [("a", "c", "value 1.0000 and 0.50000")], [("c", "x", 0.9995, None), ("c", "y", 0.5004, None)])
+    assert got["a"].verified == 2

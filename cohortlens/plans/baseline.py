@@ -131,6 +131,18 @@ def baseline_for(spark: SparkSession, sf_dir: str, annual_discount_rate: float =
     return b
 
 
+def build_baseline_cached(key: tuple, cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
+                          weights=None) -> DataFrame:
+    """Baseline of an arbitrary cohort table, memoised under a caller-chosen key."""
+    full = (id(cohorts.sparkSession._jsparkSession), "custom", key, float(annual_discount_rate),
+            tuple(weights) if weights is not None else None)
+    b = _REGISTRY.get(full)
+    if b is None:
+        b = build_baseline(cohorts, annual_discount_rate, weights)
+        _REGISTRY[full] = b
+    return b.table
+
+
 def baseline_table(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return baseline_for(spark, sf_dir, **kw).table
 

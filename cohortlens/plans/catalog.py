@@ -55,6 +55,45 @@ def q_quality_issues(spark, sf):
     return quality.issue_counts_long(cohorts_from_facts(spark, sf))
 
 
+def inject_faults(cohorts: DataFrame) -> DataFrame:
+    """Dirty stand-in input for the validation job: deterministic faults keyed on the cohort keys.
+
+    Missing activation (January cohorts), NaN fill rate (June), TRC above 1
+    (BUILDING), negative CPM (MACHINERY in ASIA), retention above 1 (December),
+    negative households (AFRICA in March). Only values change; every row stays.
+    """
+    month = F.substring("cohort_month", 6, 2)
+    return cohorts.withColumns({
+        "activation_rate": F.when(month == "01", F.lit(None).cast("double")).otherwise(F.col("activation_rate")),
+        "fill_rate": F.when(month == "06", F.lit(float("nan"))).otherwise(F.col("fill_rate")),
+        "trc_usage_rate": F.when(F.col("device_type") == "BUILDING", F.col("trc_usage_rate") + 1.0)
+                           .otherwise(F.col("trc_usage_rate")),
+        "cpm": F.when((F.col("device_type") == "MACHINERY") & (F.col("region") == "ASIA"), -F.col("cpm"))
+                .otherwise(F.col("cpm")),
+        "month_12_retention": F.when(month == "12", F.col("month_12_retention") + 1.0)
+                               .otherwise(F.col("month_12_retention")),
+        "households": F.when((F.col("region") == "AFRICA") & (month == "03"), -F.col("households"))
+                       .otherwise(F.col("households")),
+    })
+
+
+def q_quality_issues_injected(spark, sf):
+    """V2, V4-V7 on a cohort table with injected nulls, NaN, out-of-range and negative values."""
+    return quality.issue_counts_long(inject_faults(cohorts_from_facts(spark, sf)))
+
+
+def q_cohort_csv_roundtrip(spark, sf):
+    """S7 -> S1: the cohort table written as CSV to the shared folder, read back typed, then A4 KPIs."""
+    from cohortlens.session import table_path
+    from cohortlens.sources.files import read_cohort_csv, write_results
+    from cohortlens.operators.quality import validate as _validate
+    import uuid
+    path = table_path(spark, f"cohort_csv_{uuid.uuid4().hex}")
+    write_results(cohorts_from_facts(spark, sf), path, fmt="csv")
+    v = _validate(read_cohort_csv(spark, path))
+    return finalize(value.portfolio_kpis(value.run_clv_model(v.clean, RATE), acquisition_cost=CAC))
+
+
 # ---------------------------------------------------------------- value ----
 
 def q_clv_detail(spark, sf):
@@ -109,6 +148,24 @@ def q_engagement_segments(spark, sf):
     return finalize(b.select(*KEY_COLUMNS, "engagement_score", "engagement_segment"))
 
 
+TIE_WEIGHTS = (0.0, 1.0, 0.0, 0.0)
+
+
+def q_engagement_segments_ties(spark, sf):
+    """W4 - the rank-based tercile fallback.
+
+    Stand-in input: installs counted in blocks of four (``floor(x / 4)``) and
+    an installs-only weighting; the lowest block holds over a third of the
+    rows, so the 1/3 quantile equals the minimum score and the rank-based cut
+    takes over.
+    """
+    from cohortlens.plans.baseline import build_baseline_cached
+    c = cohorts_from_facts(spark, sf).withColumn(
+        "first_week_app_installs", F.floor(F.col("first_week_app_installs") / 4.0).cast("double"))
+    b = build_baseline_cached(("ties", sf), c, RATE, TIE_WEIGHTS)
+    return finalize(b.select(*KEY_COLUMNS, "first_week_app_installs", "engagement_score", "engagement_segment"))
+
+
 def _summary(by):
     def q(spark, sf):
         return finalize(segments.segment_summary(_base(spark, sf), by))
@@ -442,6 +499,8 @@ def q_document_verification(spark, sf):
 QUERIES = {
     "cohort_table": q_cohort_table,
     "quality_issues": q_quality_issues,
+    "quality_issues_injected": q_quality_issues_injected,
+    "cohort_csv_roundtrip": q_cohort_csv_roundtrip,
     "clv_detail": q_clv_detail,
     "survival_long": q_survival_long,
     "kpis": q_kpis,
@@ -451,6 +510,7 @@ QUERIES = {
     "payback": q_payback,
     "payback_by_market_device": q_payback_by_market_device,
     "engagement_segments": q_engagement_segments,
+    "engagement_segments_ties": q_engagement_segments_ties,
     "segment_summary_segment": _summary("engagement_segment"),
     "segment_summary_market": _summary("market"),
     "segment_summary_device": _summary("device_type"),

@@ -480,6 +480,7 @@ def queries() -> dict[str, str]:
     q.update(initiative_queries())
     q.update(insight_queries())
     q.update(verification_queries())
+    q.update(extra_queries())
     return q
 
 
@@ -1192,3 +1193,43 @@ def planning_sql() -> str:
     return with_base(f"""{ins}{scen}{rank}, {memo_ctes},
 allf AS ({' UNION ALL '.join(parts)})
 {finalize_facts('allf')}""")
+
+
+
+# ------------------------------------------------------------ extra checks ----
+def injected_cohort_cte() -> str:
+    m = "substr(cohort_month, 6, 2)"
+    cols = []
+    for c in REQUIRED_COLUMNS:
+        if c == "activation_rate":
+            cols.append(f"CASE WHEN {m} = '01' THEN CAST(NULL AS DOUBLE) ELSE activation_rate END AS activation_rate")
+        elif c == "fill_rate":
+            cols.append(f"CASE WHEN {m} = '06' THEN CAST('NaN' AS DOUBLE) ELSE fill_rate END AS fill_rate")
+        elif c == "trc_usage_rate":
+            cols.append("CASE WHEN device_type = 'BUILDING' THEN trc_usage_rate + 1.0 ELSE trc_usage_rate END "
+                        "AS trc_usage_rate")
+        elif c == "cpm":
+            cols.append("CASE WHEN device_type = 'MACHINERY' AND region = 'ASIA' THEN -cpm ELSE cpm END AS cpm")
+        elif c == "month_12_retention":
+            cols.append(f"CASE WHEN {m} = '12' THEN month_12_retention + 1.0 ELSE month_12_retention END "
+                        "AS month_12_retention")
+        elif c == "households":
+            cols.append(f"CASE WHEN region = 'AFRICA' AND {m} = '03' THEN -households ELSE households END "
+                        "AS households")
+        else:
+            cols.append(c)
+    return f"dirty AS (SELECT {', '.join(cols)} FROM cohort)"
+
+
+def extra_queries() -> dict[str, str]:
+    ties = baseline_ctes((0.0, 1.0, 0.0, 0.0), src_cohort="cohort_t")
+    ties_sql = (f"WITH {COHORT_CTES}, cohort_t AS (SELECT * REPLACE (CAST(floor(first_week_app_installs / 4.0) AS DOUBLE) "
+                f"AS first_week_app_installs) FROM cohort), {ties}\n"
+                f"SELECT {KEYS}, {r('first_week_app_installs')} AS first_week_app_installs, "
+                f"{r('engagement_score')} AS engagement_score, engagement_segment FROM base")
+    return {
+        "quality_issues_injected": quality_issues_sql("dirty", COHORT_CTES + ", " + injected_cohort_cte()),
+        "cohort_csv_roundtrip": f"WITH {COHORT_CTES}, clean AS ({_clean_select('cohort')}), {clv_ctes('clean')[1:]}\n"
+                                + kpi_select(src="clv"),
+        "engagement_segments_ties": ties_sql,
+    }

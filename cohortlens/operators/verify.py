@@ -106,8 +106,19 @@ def _octave(x: Column) -> Column:
         F.greatest(F.floor(F.log2(x)).cast("int"), F.lit(MIN_OCTAVE)))
 
 
-def match_figures(figs: DataFrame, pool: DataFrame, key_cols: list[str]) -> DataFrame:
-    """N13 - figures with a ``verified`` flag (bucketed band join on context and magnitude)."""
+POOL_BROADCAST_ROWS = 2_000_000
+
+
+def match_figures(figs: DataFrame, pool: DataFrame, key_cols: list[str], broadcast_pool: bool | None = None
+                  ) -> DataFrame:
+    """N13 - figures with a ``verified`` flag (band join on context and magnitude octave).
+
+    The pool comes from grounding facts (small tables), so it is broadcast
+    when its measured size is under ``POOL_BROADCAST_ROWS``: the figure side -
+    which may be every figure of a huge text table, all in one context - is
+    then never shuffled for the join, and one context cannot skew it. A
+    larger pool falls back to a shuffle join on ``(context_id, octave)``.
+    """
     a = F.abs(F.col("value"))
     lo = F.least(a - F.col("tol"), a * (1.0 - RELATIVE_FLOOR))
     hi = F.greatest(a + F.col("tol"), a / (1.0 - RELATIVE_FLOOR))
@@ -115,33 +126,40 @@ def match_figures(figs: DataFrame, pool: DataFrame, key_cols: list[str]) -> Data
     f = figs.withColumns({"__lo": _octave(F.greatest(lo, F.lit(0.0))) - 1, "__hi": _octave(hi) + 1})
     f = f.withColumn("__oct", F.explode(F.sequence(F.col("__lo"), F.col("__hi"))))
     p = pool.select("context_id", F.abs("n").alias("__b")).distinct().withColumn("__oct", _octave(F.col("__b")))
-    cond = F.abs(F.abs(F.col("value")) - F.col("__b")) <= F.greatest(
-        F.col("tol"), F.lit(RELATIVE_FLOOR) * F.greatest(F.col("__b"), F.abs(F.col("value"))))
-    hits = (f.join(p, ["context_id", "__oct"]).where(cond)
-            .select(*key_cols, "pos").distinct().withColumn("verified", F.lit(True)))
-    return figs.join(hits, key_cols + ["pos"], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+    if broadcast_pool is None:
+        broadcast_pool = p.count() <= POOL_BROADCAST_ROWS
+    if broadcast_pool:
+        p = F.broadcast(p)
+    cond = (F.abs(F.abs(F.col("value")) - F.col("__b")) <= F.greatest(
+        F.col("tol"), F.lit(RELATIVE_FLOOR) * F.greatest(F.col("__b"), F.abs(F.col("value")))))
+    j = f.join(p, ["context_id", "__oct"], "left")
+    return (j.groupBy(*key_cols, "pos", "raw")
+            .agg(F.max(F.when(F.col("__b").isNotNull() & cond, 1).otherwise(0)).alias("__m"))
+            .select(*key_cols, "pos", "raw", (F.col("__m") == 1).alias("verified")))
 
 
 def verify_drafts(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     """N8-N15 end to end: one row per draft with totals, unverified figures and the verdict line.
 
     A draft with empty text or without any fact in its context has 0 figures
-    (nothing is checked against an empty context).
+    (nothing is checked against an empty context). Drafts are unioned with
+    their checked figures and aggregated once, so drafts without figures keep
+    their row without a join back.
     """
     keys = ["draft_id", "context_id"]
-    ctx = facts.select("context_id").distinct().withColumn("__has_ctx", F.lit(True))
-    d = drafts.join(ctx, "context_id", "left").where(F.col("__has_ctx").isNotNull())
-    figs = parse_figures(extract_figures(d, keys))
+    ctx = facts.select("context_id").distinct()
+    with_ctx = drafts.join(F.broadcast(ctx) if ctx.count() <= POOL_BROADCAST_ROWS else ctx, "context_id", "left_semi")
+    figs = parse_figures(extract_figures(with_ctx, keys))
     checked = match_figures(figs, context_pool(facts), keys)
-    per = checked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.sum(F.col("verified").cast("int")).alias("verified"),
+    empty = drafts.select(*keys, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("raw"),
+                          F.lit(None).cast("boolean").alias("verified"))
+    per = checked.unionByName(empty).groupBy(*keys).agg(
+        F.count("pos").alias("total"),
+        F.coalesce(F.sum(F.col("verified").cast("int")), F.lit(0)).cast("bigint").alias("verified"),
         F.array_sort(F.collect_list(F.when(~F.col("verified"), F.struct("pos", "raw")))).alias("__u"),
     )
-    out = drafts.select(*keys).join(per, keys, "left").select(
-        *keys, F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
-        F.coalesce("verified", F.lit(0)).cast("bigint").alias("verified"),
-        F.coalesce(F.transform("__u", lambda s: s["raw"]), F.array().cast("array<string>")).alias("unverified"))
+    out = per.select(*keys, F.col("total").cast("bigint").alias("total"), "verified",
+                     F.transform("__u", lambda s: s["raw"]).alias("unverified"))
     return out.withColumn("verdict", verdict_line())
 
 

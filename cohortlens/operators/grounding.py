@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import value
@@ -27,6 +28,7 @@ RECORD_LIMIT = 12
 ROUND_DIGITS = 3
 
 
+@per_context
 def _entry(name: str, dtype: T.DataType, digits: int | None) -> tuple[Column, Column]:
     c = F.col(f"`{name}`")
     if isinstance(dtype, T.StringType):

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import clip, fixed_total, safe_div, weighted_mean
 from cohortlens.operators.value import run_clv_model
 from cohortlens.schema import (
@@ -98,6 +99,7 @@ def _literal_array(scenarios: list[Scenario]) -> Column:
     return F.array(*structs)
 
 
+@per_context
 def lifted_drivers(p: str = "sc") -> dict[str, Column]:
     """C1 lever formulas as column expressions over the scenario struct ``p``."""
     lv = lambda n: F.col(f"{p}.{n}")
@@ -161,6 +163,7 @@ def _wm(col: str) -> Column:
     return weighted_mean(col)
 
 
+@per_context
 def _kpi_pair() -> list[Column]:
     scen_mph = F.col("total_monthly_revenue_per_household") / F.greatest(F.col("monthly_streaming_hours"), F.lit(1e-9))
     return [

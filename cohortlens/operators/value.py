@@ -13,6 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import fixed_total, safe_div, weighted_mean
 from cohortlens.functions.survival import discount_factors, survival_terms
 from cohortlens.schema import (
@@ -34,7 +35,8 @@ CLV_COLUMNS = [
 ]
 
 
-def _survival(df_cols=None) -> list[Column]:
+@per_context
+def _survival() -> list[Column]:
     return survival_terms(F.col("month_1_retention"), F.col("month_3_retention"),
                           F.col("month_6_retention"), F.col("month_12_retention"))
 
@@ -46,21 +48,29 @@ def revenue_columns() -> dict[str, Column]:
     return {"ad_revenue_per_household": ad, "subscription_revenue_per_household": sub}
 
 
-def run_clv_model(df: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE) -> DataFrame:
-    """Append the eight CLV columns (P1-P9)."""
-    out = df.withColumns(revenue_columns())
-    out = out.withColumn("total_monthly_revenue_per_household",
-                         F.col("ad_revenue_per_household") + F.col("subscription_revenue_per_household"))
-    out = out.withColumn("gross_profit_per_household",
-                         F.col("total_monthly_revenue_per_household") * F.col("gross_margin")
-                         - F.col("support_cost_per_household"))
+@per_context
+def _clv_stages(annual_discount_rate: float) -> tuple[dict, dict]:
+    """The model as two projections: revenue, profit and survival sums; then the CLV columns."""
     s = _survival()
     disc = discount_factors(annual_discount_rate)
-    months = reduce(add, s)
-    disc_sum = reduce(add, [st * F.lit(d) for st, d in zip(s, disc)])
-    out = out.withColumns({"expected_retained_months": months, "_disc_surv": disc_sum})
-    out = out.withColumn("baseline_clv", F.col("gross_profit_per_household") * F.col("expected_retained_months"))
-    out = out.withColumn("discounted_clv", F.col("_disc_surv") * F.col("gross_profit_per_household"))
+    rev = revenue_columns()
+    total = rev["ad_revenue_per_household"] + rev["subscription_revenue_per_household"]
+    first = dict(rev)
+    first["total_monthly_revenue_per_household"] = total
+    first["gross_profit_per_household"] = total * F.col("gross_margin") - F.col("support_cost_per_household")
+    first["expected_retained_months"] = reduce(add, s)
+    first["_disc_surv"] = reduce(add, [st * F.lit(d) for st, d in zip(s, disc)])
+    second = {
+        "baseline_clv": F.col("gross_profit_per_household") * F.col("expected_retained_months"),
+        "discounted_clv": F.col("_disc_surv") * F.col("gross_profit_per_household"),
+    }
+    return first, second
+
+
+def run_clv_model(df: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE) -> DataFrame:
+    """Append the eight CLV columns (P1-P9) in two narrow projections."""
+    first, second = _clv_stages(float(annual_discount_rate))
+    out = df.withColumns(first).withColumns(second)
     out = out.withColumn("total_lifecycle_value", F.col("discounted_clv") * F.col("households"))
     return out.drop("_disc_surv")
 
@@ -115,23 +125,14 @@ def with_unit_economics(kpis: DataFrame, acquisition_cost: float) -> DataFrame:
     })
 
 
-def payback_month(df: DataFrame, acquisition_cost: float,
-                  annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
-                  by: list[str] | None = None) -> DataFrame:
-    """A5 - first month whose cumulative weighted discounted gross profit covers CAC.
-
-    One aggregate computes the 24 weighted stream sums; running sums and the
-    first crossing are evaluated on the (tiny) aggregated row. 0 when CAC <= 0,
-    NULL when the last cumulative value stays below CAC (or the weight is 0).
-    """
+@per_context
+def _payback_exprs(acquisition_cost: float, annual_discount_rate: float) -> tuple[list[Column], Column, Column]:
     s = _survival()
     disc = discount_factors(annual_discount_rate)
     w = F.col("households")
     gp = F.col("gross_profit_per_household")
     aggs = [F.sum(w).alias("_w")] + [F.sum(st * F.lit(d) * gp * w).alias(f"_st{t + 1}")
                                      for t, (st, d) in enumerate(zip(s, disc))]
-    g = df.groupBy(*by) if by else df
-    a = g.agg(*aggs)
     stream = [safe_div(F.col(f"_st{t}"), F.col("_w")) for t in range(1, CLV_HORIZON_MONTHS + 1)]
     cum = []
     running = None
@@ -145,8 +146,23 @@ def payback_month(df: DataFrame, acquisition_cost: float,
     result = (F.when(cac <= 0, F.lit(0))
               .when((F.col("_w") == 0) | cum[-1].isNull() | (cum[-1] < cac), F.lit(None).cast("int"))
               .otherwise(first))
+    return aggs, result, cum[-1]
+
+
+def payback_month(df: DataFrame, acquisition_cost: float,
+                  annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
+                  by: list[str] | None = None) -> DataFrame:
+    """A5 - first month whose cumulative weighted discounted gross profit covers CAC.
+
+    One aggregate computes the 24 weighted stream sums; running sums and the
+    first crossing are evaluated on the (tiny) aggregated row. 0 when CAC <= 0,
+    NULL when the last cumulative value stays below CAC (or the weight is 0).
+    """
+    aggs, result, last = _payback_exprs(float(acquisition_cost), float(annual_discount_rate))
+    g = df.groupBy(*by) if by else df
+    a = g.agg(*aggs)
     return a.select(*(by or []), F.col("_w").alias("households"), result.alias("payback_month"),
-                    cum[-1].alias("cumulative_discounted_gp_24"))
+                    last.alias("cumulative_discounted_gp_24"))
 
 
 def walkthrough(df: DataFrame, acquisition_cost: float, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE) -> DataFrame:

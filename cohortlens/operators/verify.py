@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import checkpoint
+
 # ---- fixed values: the figure grammar (currency with K/M/B suffix, signed
 # percent / points, multiples, decimal durations, thousands-separated numbers,
 # bare decimals), the context-number pattern and the suffix multipliers -------
@@ -147,10 +149,14 @@ def verify_drafts(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     their row without a join back.
     """
     keys = ["draft_id", "context_id"]
-    ctx = facts.select("context_id").distinct()
-    with_ctx = drafts.join(F.broadcast(ctx) if ctx.count() <= POOL_BROADCAST_ROWS else ctx, "context_id", "left_semi")
+    # contexts and their number pool in one small checkpointed table (computed once, counted once)
+    ctx_pool = checkpoint(context_pool(facts).unionByName(
+        facts.select("context_id", F.lit(None).cast("double").alias("n")).distinct()))
+    small = ctx_pool.count() <= POOL_BROADCAST_ROWS
+    ctx = ctx_pool.select("context_id").distinct()
+    with_ctx = drafts.join(F.broadcast(ctx) if small else ctx, "context_id", "left_semi")
     figs = parse_figures(extract_figures(with_ctx, keys))
-    checked = match_figures(figs, context_pool(facts), keys)
+    checked = match_figures(figs, ctx_pool.where(F.col("n").isNotNull()), keys, broadcast_pool=small)
     empty = drafts.select(*keys, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("raw"),
                           F.lit(None).cast("boolean").alias("verified"))
     per = checked.unionByName(empty).groupBy(*keys).agg(

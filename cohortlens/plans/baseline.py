@@ -47,6 +47,9 @@ RANKED_COLUMNS = [
 ]
 
 
+ROW_ID = "__rid"
+
+
 def _pr(c: str) -> str:
     return f"__pr_{c}"
 
@@ -58,7 +61,8 @@ class Baseline:
     discount_rate: float
 
 
-def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows: int | None = None) -> DataFrame:
+def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows: int | None = None,
+               row_id: str | None = None) -> DataFrame:
     """Append W1 ranks (internal), W2 engagement score, W5-W7 scores, W3/W4 segment.
 
     The scored table is persisted before the tercile edges are read from it,
@@ -66,7 +70,7 @@ def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows:
     """
     held = held if held is not None else []
     mon = add_ratio_metrics(clv)
-    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], held, max_rows)
+    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], held, max_rows, row_id)
     scored = ranked.withColumn("engagement_score",
                                engagement_score_expr(weights, [_pr(c) for c in ENGAGEMENT_COMPONENTS]))
     scored = scored.withColumns(score_columns(_pr))
@@ -89,13 +93,14 @@ BASELINE_ORDER_TAIL = [
 def build_baseline(cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
                    weights=None) -> Baseline:
     """Validate, model and score a cohort table; raises ``ValueError`` on blocking errors."""
-    raw = checkpoint(cohorts)  # the (expensive) source plan runs once
+    # the (expensive) source plan runs once; row ids on the checkpointed partitions are stable on recompute
+    raw = checkpoint(cohorts).withColumn(ROW_ID, F.monotonically_increasing_id())
     v = validate(raw)
     if v.errors:
         raise ValueError("; ".join(v.errors))
     clv = run_clv_model(v.clean, annual_discount_rate)
     held: list = []
-    scored = add_scores(clv, weights, held, max_rows=v.rows_out)
+    scored = add_scores(clv, weights, held, max_rows=v.rows_out, row_id=ROW_ID)
     cols = [c for c in cohorts.columns if c not in BASELINE_ORDER_TAIL] + BASELINE_ORDER_TAIL
     table = checkpoint(scored.select(*cols))
     for frame in held:

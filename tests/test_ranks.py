@@ -80,3 +80,16 @@ def test_rank_plan_has_no_single_partition(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_long_form_join_back_matches(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({c: rng.normal(size=300).round(2) for c in ("a", "b", "c", "d", "e")})
+    pdf["rid"] = np.arange(300)
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 40)
+    cols = ["a", "b", "c", "d", "e"]
+    got = ranks.with_percentile_ranks(df, cols, [f"p_{c}" for c in cols], row_id="rid").toPandas().sort_values("rid")
+    for c in cols:
+        assert np.allclose(got[f"p_{c}"].to_numpy(), pdf[c].rank(pct=True).to_numpy())

@@ -425,13 +425,23 @@ def overview_facts(b: DataFrame) -> DataFrame:
 _FACTS: dict[int, tuple] = {}
 
 
+def drivers_facts(b: DataFrame) -> DataFrame:
+    """N3 from the materialised overview context: its N1 part relabelled, plus the revenue mix."""
+    base = (overview_facts(b).where(~F.col("path").startswith("gap_insights_non_obvious."))
+            .withColumn("context_id", F.lit("drivers")))
+    mix = value.portfolio_kpis(b).select(
+        rint_round("ad_revenue_share", 3).alias("ad_revenue_share"),
+        rint_round(F.lit(1.0) - F.col("ad_revenue_share"), 3).alias("subscription_revenue_share"))
+    return base.unionByName(grounding.record_facts(mix, "drivers", "revenue_mix", None))
+
+
 def q_grounding_facts(spark, sf):
     """N1-N3, N5 - overview (KPIs, summaries, gap insights), cohort view, drivers and guardrail contexts."""
     b = _base(spark, sf)
     view = views.filter_cohorts(b, regions=FILTER_REGIONS)
     parts = [overview_facts(b),
              grounding.cohort_facts(view, "cohort_view", {"region": FILTER_REGIONS}),
-             grounding.driver_facts(b, "drivers"),
+             drivers_facts(b),
              grounding.guardrail_facts(b, "guardrails")]
     out = parts[0]
     for p in parts[1:]:

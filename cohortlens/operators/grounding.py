@@ -28,27 +28,26 @@ RECORD_LIMIT = 12
 ROUND_DIGITS = 3
 
 
-@per_context
-def _entry(name: str, dtype: T.DataType, digits: int | None) -> tuple[Column, Column]:
-    c = F.col(f"`{name}`")
+def _entry_sql(name: str, dtype: T.DataType, digits: int | None) -> tuple[str, str]:
+    c = f"`{name}`"
     if isinstance(dtype, T.StringType):
-        return F.lit(None).cast("double"), c
+        return "CAST(NULL AS DOUBLE)", c
     if isinstance(dtype, T.BooleanType):
-        return F.lit(None).cast("double"), F.when(c, "True").otherwise("False")
-    x = c.cast("double")
+        return "CAST(NULL AS DOUBLE)", f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+    x = f"CAST({c} AS DOUBLE)"
     if digits is not None and not isinstance(dtype, (T.IntegerType, T.LongType)):
-        x = rint_round(x, digits)
-    return x, F.lit(None).cast("string")
+        scale = f"{float(10 ** digits)!r}D"
+        x = f"(rint({x} * {scale}) / {scale} + 0.0D)"
+    return x, "CAST(NULL AS STRING)"
 
 
 def record_facts(df: DataFrame, context_id: str, prefix: str, digits: int | None = ROUND_DIGITS) -> DataFrame:
-    """A one-row table as ``prefix.column`` facts."""
+    """A one-row table as ``prefix.column`` facts (one ``inline`` expression)."""
     structs = []
     for f in df.schema.fields:
-        vd, vs = _entry(f.name, f.dataType, digits)
-        structs.append(F.struct(F.lit(f"{prefix}.{f.name}").alias("path"), vd.alias("value_double"),
-                                vs.alias("value_string")))
-    return df.select(F.lit(context_id).alias("context_id"), F.inline(F.array(*structs)))
+        vd, vs = _entry_sql(f.name, f.dataType, digits)
+        structs.append(f"named_struct('path', '{prefix}.{f.name}', 'value_double', {vd}, 'value_string', {vs})")
+    return df.selectExpr(f"'{context_id}' AS context_id", f"inline(array({', '.join(structs)}))")
 
 
 def records_facts(df: DataFrame, context_id: str, prefix: str, order: list[Column], limit: int = RECORD_LIMIT,
@@ -58,10 +57,10 @@ def records_facts(df: DataFrame, context_id: str, prefix: str, order: list[Colum
     top = top.withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1)
     structs = []
     for f in df.schema.fields:
-        vd, vs = _entry(f.name, f.dataType, digits)
-        path = F.concat(F.lit(f"{prefix}["), F.col("__i").cast("string"), F.lit(f"].{f.name}"))
-        structs.append(F.struct(path.alias("path"), vd.alias("value_double"), vs.alias("value_string")))
-    return top.select(F.lit(context_id).alias("context_id"), F.inline(F.array(*structs)))
+        vd, vs = _entry_sql(f.name, f.dataType, digits)
+        path = f"concat('{prefix}[', CAST(__i AS STRING), '].{f.name}')"
+        structs.append(f"named_struct('path', {path}, 'value_double', {vd}, 'value_string', {vs})")
+    return top.selectExpr(f"'{context_id}' AS context_id", f"inline(array({', '.join(structs)}))")
 
 
 def _by(df: DataFrame, dim: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import (
     FIXED_POINT_SCALE,
     clip,
@@ -99,6 +100,7 @@ MONETIZATION_SUMMARY = [
 ]
 
 
+@per_context
 def monetization_aggs() -> list[F.Column]:
     return [F.sum("households").alias("households")] + [
         (weighted_mean_scaled(src, 1) if src in SCORE_COLUMNS else weighted_mean(src)).alias(n)

@@ -92,11 +92,21 @@ def scenario_table(spark, scenarios: list[Scenario]) -> DataFrame:
     return spark.createDataFrame(scenario_rows(scenarios), SCENARIO_STRUCT)
 
 
+def _sql_literal(v, dtype: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString().upper()})"
+    if isinstance(dtype, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{float(v)!r}D"
+
+
 def _literal_array(scenarios: list[Scenario]) -> Column:
+    """The scenario list as one literal ``array<struct>`` (a single SQL expression, parsed once)."""
     structs = []
     for row in scenario_rows(scenarios):
-        structs.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, SCENARIO_STRUCT.fields)]))
-    return F.array(*structs)
+        fields = ", ".join(f"'{f.name}', {_sql_literal(v, f.dataType)}" for v, f in zip(row, SCENARIO_STRUCT.fields))
+        structs.append(f"named_struct({fields})")
+    return F.expr(f"array({', '.join(structs)})")
 
 
 @per_context

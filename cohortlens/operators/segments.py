@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
 from cohortlens.operators.ranks import with_percentile_ranks
 from cohortlens.schema import DEFAULT_ENGAGEMENT_WEIGHTS, ENGAGEMENT_COMPONENTS, SEGMENT_LABELS
@@ -86,6 +87,7 @@ SUMMARY_METRICS = [
 ]
 
 
+@per_context
 def summary_aggs() -> list[F.Column]:
     return ([F.sum("households").alias("households")]
             + [weighted_mean(src).alias(name) for name, src in SUMMARY_METRICS]

@@ -84,6 +84,7 @@ def survival_long(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- rollups ----
 
+@per_context
 def kpi_aggs() -> list[Column]:
     """A4 portfolio KPIs as aggregate expressions (usable with or without groupBy)."""
     w = F.col("households")

@@ -42,3 +42,12 @@ def test_coverage_is_unweighted(spark):
     rows = [("A", "d", "High", 1, 50.0, 55.0, 60.0, 10.0, 0.5), ("A", "e", "Low", 99, 50.0, 45.0, 40.0, 0.0, 0.3)]
     c = views.coverage(_scored(spark, rows)).first()
     assert c.avg_clv_unweighted == 5.0 and c.avg_m6_retention_unweighted == 0.4 and c.households == 100
+
+
+def test_empty_scope_stops(spark):
+    rows = [("A", "d", "High", 10, 50.0, 55.0, 60.0, 5.0, 0.5)]
+    df = _scored(spark, rows)
+    assert views.require_rows(views.scope(df, market="A")).count() == 1
+    with pytest.raises(ValueError):
+        views.require_rows(views.scope(df, market="A", device="zzz"))
+    assert views.filter_cohorts(df, markets=[], segments=["High"]).count() == 1

@@ -185,9 +185,9 @@ def roadmap(ranked: DataFrame) -> DataFrame:
 
 
 def impact_complexity(ranked: DataFrame) -> DataFrame:
-    """I11 - points for the impact vs complexity matrix (size = max(score, 5))."""
+    """I11 - points for the impact vs complexity matrix (size = max(score, 5)); I12 flag on the top rank."""
     return ranked.select("initiative", "classification", "complexity", "incremental_value",
-                         F.greatest(F.col("score"), F.lit(5.0)).alias("size"))
+                         F.greatest(F.col("score"), F.lit(5.0)).alias("size"), (F.col("rank") == 1).alias("is_top"))
 
 
 def top_initiative(ranked: DataFrame) -> DataFrame:

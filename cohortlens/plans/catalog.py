@@ -377,8 +377,7 @@ def q_roadmap(spark, sf):
 def q_impact_complexity(spark, sf):
     """I11 + I12 - impact vs complexity points and the top-ranked initiative."""
     ranked = portfolio.score_initiatives(_base(spark, sf), None, RATE)
-    top = portfolio.top_initiative(ranked).first()["top_initiative"]
-    return finalize(portfolio.impact_complexity(ranked).withColumn("is_top", F.col("initiative") == F.lit(top)))
+    return finalize(portfolio.impact_complexity(ranked))
 
 
 # ------------------------------------------------------------- insights ----
@@ -506,6 +505,27 @@ def q_document_verification(spark, sf):
     return _verified(verify.verify_drafts(drafts, overview_facts(b)))
 
 
+def q_document_verification_stream(spark, sf):
+    """N8-N15 through Structured Streaming: the documents land as JSON draft files in the shared folder and
+    a micro-batch stream (availableNow, two files per trigger) verifies them against the overview context."""
+    import uuid
+
+    from cohortlens.session import table_path
+    from cohortlens.streaming.drafts import verify_draft_stream
+    b = _base(spark, sf)
+    root = table_path(spark, f"draft_stream_{uuid.uuid4().hex}")
+    drafts = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("draft_id"),
+                                          F.lit("overview").alias("context_id"), "text")
+    drafts.write.json(f"{root}/in")
+    q = verify_draft_stream(spark, f"{root}/in", overview_facts(b), f"{root}/out",
+                            name=f"docs_{uuid.uuid4().hex[:8]}", max_files_per_trigger=2)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    out = spark.read.parquet(f"{root}/out").drop("batch_id")
+    return _verified(out).select("draft_id", "context_id", "total", "verified", "unverified", "verdict")
+
+
 QUERIES = {
     "cohort_table": q_cohort_table,
     "quality_issues": q_quality_issues,
@@ -563,4 +583,5 @@ QUERIES = {
     "figure_verification": q_figure_verification,
     "document_figures": q_document_figures,
     "document_verification": q_document_verification,
+    "document_verification_stream": q_document_verification_stream,
 }

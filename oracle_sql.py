@@ -481,6 +481,7 @@ def queries() -> dict[str, str]:
     q.update(insight_queries())
     q.update(verification_queries())
     q.update(extra_queries())
+    q["document_verification_stream"] = q["document_verification"]  # the stream must equal the batch job
     return q
 
 

@@ -9,12 +9,10 @@ happens; numbers are rounded to 3 dp like the prompt context they stand for.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import value
@@ -91,7 +89,7 @@ def base_facts(df: DataFrame, context_id: str) -> DataFrame:
         weighted_mean("gross_profit_per_household").alias("__gp"),
         F.sum(F.col("ad_revenue_per_household") * w).alias("__ad"),
         F.sum(F.col("total_monthly_revenue_per_household") * w).alias("__rev"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )  # consumed four times below; within one job Spark reuses its exchange
     full = (1 << len(dims)) - 1
     kpis = g.where((F.col("__gid") == full) & (F.col("households") > 0)).select(
         F.col("households").alias("total_households"), F.col("avg_clv"),

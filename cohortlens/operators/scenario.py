@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.cache import per_context
-from cohortlens.functions.numeric import clip, fixed_total, safe_div, weighted_mean
+from cohortlens.functions.numeric import clip, fixed_total, weighted_mean
 from cohortlens.operators.value import run_clv_model
 from cohortlens.schema import (
     APP_INSTALL_TO_RETENTION,

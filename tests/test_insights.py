@@ -1,6 +1,5 @@
 """G1-G4 gap insights: presence rules and overlapping vintage windows."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import insights

@@ -1,6 +1,5 @@
 """V1-V7 validation: one-pass counts, null vs NaN, clips, inverted retention, blocking errors."""
 
-import pytest
 
 from cohortlens.operators.quality import validate
 from cohortlens.schema import REQUIRED_COLUMNS

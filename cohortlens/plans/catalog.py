@@ -21,7 +21,7 @@ from cohortlens.operators.scenario import Scenario
 from cohortlens.sources.files import read_initiatives_csv
 from cohortlens.plans.baseline import baseline_table
 from cohortlens.schema import DEFAULT_ACQUISITION_COST, DEFAULT_DISCOUNT_RATE, KEY_COLUMNS
-from cohortlens.session import checkpoint
+from cohortlens.session import materialize
 from cohortlens.sources.facts import cohorts_from_facts
 
 RATE = DEFAULT_DISCOUNT_RATE
@@ -416,7 +416,7 @@ def overview_facts(b: DataFrame) -> DataFrame:
     if hit is None or hit[0] is not b:
         facts = grounding.base_facts(b, "overview").unionByName(
             grounding.insight_facts(insights.gap_insights(b, RATE), "overview"))
-        hit = (b, checkpoint(facts))
+        hit = (b, materialize(facts, "overview_facts"))
         _FACTS[key] = hit
     return hit[1]
 

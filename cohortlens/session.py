@@ -62,3 +62,18 @@ def table_path(spark: SparkSession, name: str) -> str:
     """A location for a written intermediate table beside the checkpoints."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Like a reliable checkpoint this cuts the lineage (a lost executor re-reads
+    the files), and unlike an RDD checkpoint the result is a columnar source:
+    later queries read only the columns they use, push filters into the scan
+    and give the planner real size statistics.
+    """
+    import uuid
+
+    path = table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

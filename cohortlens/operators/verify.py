@@ -49,10 +49,23 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a text table that arrives in fewer partitions than the cluster has cores.
+
+    Regex extraction is CPU-bound per row; a source that lands in one or two
+    partitions (e.g. a single-row-group file) would run it on one core. A large
+    input already has far more partitions than cores and is left as it is, so
+    this never adds a shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def extract_figures(drafts: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """N8 - ``key_cols + (pos, raw)``: every substantive figure, in text order."""
     arr = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(JAVA_FIGURE_PATTERN), 0)
-    return drafts.select(*key_cols, F.posexplode(arr).alias("pos", "raw")).withColumn("pos", F.col("pos") + 1)
+    return spread(drafts).select(*key_cols, F.posexplode(arr).alias("pos", "raw")).withColumn(
+        "pos", F.col("pos") + 1)
 
 
 def parse_figures(figs: DataFrame) -> DataFrame:

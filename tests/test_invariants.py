@@ -13,7 +13,7 @@ def test_segments_partition_and_households_invariant(spark):
     b = baseline_for(spark, SF_SMALL).table
     total = b.agg(F.sum("households")).first()[0]
     n = b.count()
-    seg = {r.engagement_segment: r.count for r in b.groupBy("engagement_segment").count().collect()}
+    seg = {r["engagement_segment"]: r["count"] for r in b.groupBy("engagement_segment").count().collect()}
     assert set(seg) <= {"Low", "Medium", "High"} and sum(seg.values()) == n
     assert b.where(F.col("engagement_segment").isNull()).count() == 0
     dims = ["engagement_segment", "market", "device_type", "cohort_month", "region"]

@@ -60,14 +60,15 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
     lookup fits a broadcast, no statistics job is needed.
     """
     spark = df.sparkSession
-    vc = (_long_values(df, columns).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("cnt"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    vc = _long_values(df, columns).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("cnt"))
     if max_rows is not None and max_rows <= ROWS_PER_BUCKET and max_rows * len(columns) <= BROADCAST_ROWS:
+        # nothing persisted: the lookup is computed once, inside the one broadcast every join reuses
         w_cum = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         n = F.sum("cnt").over(Window.partitionBy("metric"))
         ranked = vc.select("metric", "value", ((F.sum("cnt").over(w_cum) - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
-                                               / n).alias("pr")).persist(StorageLevel.MEMORY_AND_DISK)
-        return ranked, {c: max_rows for c in columns}, [vc, ranked]
+                                               / n).alias("pr"))
+        return ranked, {c: max_rows for c in columns}, []
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)  # read by the statistics, cut-point and window jobs
     stats = {r["metric"]: (int(r["n_distinct"]), int(r["n"]))
              for r in vc.groupBy("metric").agg(F.count(F.lit(1)).alias("n_distinct"),
                                                 F.sum("cnt").alias("n")).collect()}
@@ -104,6 +105,21 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
     return ranked, distinct, [vc, ranked]
 
 
+def _broadcast_join_back(df: DataFrame, lookup: DataFrame, columns: list[str], name_of: dict) -> DataFrame:
+    """All small-lookup columns joined against the same broadcast relation, projected once at the end.
+
+    Every join reads the same broadcast plan, which Spark ships once and
+    reuses (AQE shows it as a reused exchange).
+    """
+    lk = F.broadcast(lookup.select(F.struct("metric", "value").alias("__rk"), F.col("pr").alias("__pr")))
+    base_cols = [F.col(f"__src.`{c}`") for c in df.columns]
+    out = df.alias("__src")
+    for i, c in enumerate(columns):
+        key = F.struct(F.lit(c).alias("metric"), (F.col(f"__src.`{c}`").cast("double") + F.lit(0.0)).alias("value"))
+        out = out.join(lk.alias(f"__l{i}"), key == F.col(f"__l{i}.__rk"), "left")
+    return out.select(*base_cols, *[F.col(f"__l{i}.__pr").alias(name_of[c]) for i, c in enumerate(columns)])
+
+
 def _broadcast_split(distinct: dict[str, int], columns: list[str]) -> tuple[list[str], list[str]]:
     """Columns whose lookups fit one broadcast together (fewest distinct values first), and the rest."""
     small, total = [], 0
@@ -139,10 +155,7 @@ def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] |
     out = df
     if small:
         part = ranks if not large else ranks.where(F.col("metric").isin(small))
-        lookup = F.broadcast(part.select(F.struct("metric", "value").alias("__rk"), F.col("pr").alias("__pr")))
-        for c in small:
-            key = F.struct(F.lit(c).alias("metric"), (F.col(c).cast("double") + F.lit(0.0)).alias("value"))
-            out = out.join(lookup, key == lookup["__rk"], "left").withColumnRenamed("__pr", name_of[c]).drop("__rk")
+        out = _broadcast_join_back(df, part, small, name_of)
     if len(large) >= LONG_FORM_MIN_COLUMNS and row_id is not None:
         long = (
             df.select(row_id, F.explode(F.array(*[

@@ -84,12 +84,10 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
             q = r["q"]
             picked = sorted({q[int(round(i * len(q) / b)) - 1] for i in range(1, b)})
             cuts[r["metric"]] = picked
-    meta_schema = T.StructType([T.StructField("metric", T.StringType()), T.StructField("n", T.LongType()),
-                                T.StructField("cuts", T.ArrayType(T.DoubleType()))])
-    meta = spark.createDataFrame([(m, stats[m][1], cuts[m]) for m in stats], meta_schema)
+    meta_schema = T.StructType([T.StructField("metric", T.StringType()), T.StructField("n", T.LongType())])
+    meta = spark.createDataFrame([(m, stats[m][1]) for m in stats], meta_schema)
     # meta has one row per ranked column (bounded by the column list)
-    vcb = vc.join(F.broadcast(meta), "metric").withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
+    vcb = _bucketize(vc, cuts).join(F.broadcast(meta), "metric")
     totals = vcb.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
     w_off = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("bcnt").over(w_off), F.lit(0))).drop("bcnt")
@@ -105,6 +103,31 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
     return ranked, distinct, [vc, ranked]
 
 
+def _bucketize(vc: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Value-range bucket of every distinct value: a binary search over the column's cut points.
+
+    Columns without cuts are one bucket. Each cut column is one ``Bucketizer``
+    pass (JVM binary search, O(log B) per value) over its slice of the
+    persisted value counts; equal values always share a bucket.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    parts = []
+    plain = [m for m, c in cuts.items() if not c]
+    if plain:
+        parts.append(vc.where(F.col("metric").isin(plain)).withColumn("bucket", F.lit(0)))
+    for m, c in cuts.items():
+        if c:
+            splits = [float("-inf")] + list(c) + [float("inf")]
+            b = Bucketizer(splits=splits, inputCol="value", outputCol="__b")
+            parts.append(b.transform(vc.where(F.col("metric") == m))
+                         .withColumn("bucket", F.col("__b").cast("int")).drop("__b"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _broadcast_join_back(df: DataFrame, lookup: DataFrame, columns: list[str], name_of: dict) -> DataFrame:
     """All small-lookup columns joined against the same broadcast relation, projected once at the end.
 

@@ -105,11 +105,10 @@ def clean_initiatives(df: DataFrame) -> DataFrame:
 
 def _initiative_scenarios(clean: DataFrame) -> tuple[list[Scenario], list[tuple]]:
     """Bounded collect of the (small) parameter table; larger portfolios are refused, not truncated."""
-    n = clean.count()
-    if n > MAX_INITIATIVES:
-        raise ValueError(f"{n} initiatives exceed the parameter-table bound of {MAX_INITIATIVES}; "
+    rows = clean.orderBy("_order").limit(MAX_INITIATIVES + 1).collect()  # the size check and the read in one job
+    if len(rows) > MAX_INITIATIVES:
+        raise ValueError(f"more than {MAX_INITIATIVES} initiatives exceed the parameter-table bound; "
                          "score them in separate portfolios")
-    rows = clean.orderBy("_order").collect()
     scen, params = [], []
     for i, r in enumerate(rows):
         sid = f"i{i:05d}"

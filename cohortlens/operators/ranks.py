@@ -10,13 +10,16 @@ the rank is computed as a distributed job:
 2. per metric, cut the distinct values into value-range buckets with
    ``percentile_approx`` cut points when a metric has more distinct values than
    one window partition should hold (the cut points are a bounded driver-side
-   list; explicit cuts are reproducible on recompute);
+   list; explicit cuts are reproducible on recompute); each value finds its
+   bucket by binary search (``Bucketizer``);
 3. bucket totals -> running offsets over at most ``MAX_BUCKETS`` rows;
 4. running count inside each ``(metric, bucket)`` window;
 5. join the rank back on the value itself (a rank is a function of the
-   value, so no row id is needed). The lookup side is broadcast only when its
-   distinct-value count - measured in step 2 - is under ``BROADCAST_ROWS``;
-   otherwise it is a shuffle join that AQE may split on skew.
+   value). Columns whose lookups fit ``BROADCAST_ROWS`` together - measured
+   distinct counts, or the validated row count - share ONE broadcast that
+   Spark reuses for every join; high-cardinality columns are shuffle joins
+   (AQE splits a skewed value), or, from ``LONG_FORM_MIN_COLUMNS`` of them on,
+   one narrow long-form join + pivot keyed by a deterministic row id.
 """
 
 from __future__ import annotations

@@ -404,7 +404,7 @@ def q_marginal_retention_by_market(spark, sf):
 
 def q_gap_insights(spark, sf):
     """G4 - all gap insights as tidy rows."""
-    return finalize(insights.gap_insights(_base(spark, sf), RATE))
+    return finalize(gap_insights_for(_base(spark, sf)))
 
 
 # ------------------------------------------------------------- grounding ----
@@ -415,13 +415,23 @@ def overview_facts(b: DataFrame) -> DataFrame:
     hit = _FACTS.get(key)
     if hit is None or hit[0] is not b:
         facts = grounding.base_facts(b, "overview").unionByName(
-            grounding.insight_facts(insights.gap_insights(b, RATE), "overview"))
+            grounding.insight_facts(gap_insights_for(b), "overview"))
         hit = (b, materialize(facts, "overview_facts"))
         _FACTS[key] = hit
     return hit[1]
 
 
 _FACTS: dict[int, tuple] = {}
+_INSIGHTS: dict[int, tuple] = {}
+
+
+def gap_insights_for(b: DataFrame) -> DataFrame:
+    """G4 for a baseline, materialised once (the overview page and the grounding context both read it)."""
+    hit = _INSIGHTS.get(id(b))
+    if hit is None or hit[0] is not b:
+        hit = (b, materialize(insights.gap_insights(b, RATE), "gap_insights"))
+        _INSIGHTS[id(b)] = hit
+    return hit[1]
 
 
 def drivers_facts(b: DataFrame) -> DataFrame:
@@ -456,7 +466,7 @@ def q_grounding_facts_planning(spark, sf):
     ranked = portfolio.score_initiatives(b, None, RATE)
     parts = [grounding.scenario_facts(cmp, onboarding.scenario_id, onboarding.levers, "All households", "scenario"),
              grounding.ranking_facts(ranked, "ranking"),
-             grounding.memo_facts(b, ranked, insights.gap_insights(b, RATE), "memo")]
+             grounding.memo_facts(b, ranked, gap_insights_for(b), "memo")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -487,6 +487,12 @@ def market_drafts(b: DataFrame) -> DataFrame:
                     F.lit("overview").alias("context_id"), text.alias("text"))
 
 
+def q_draft_figures(spark, sf):
+    """N8-N9 - the figures quoted in the per-market drafts, parsed with their tolerances."""
+    figs = verify.parse_figures(verify.extract_figures(market_drafts(_base(spark, sf)), ["draft_id"]))
+    return finalize(figs.select("draft_id", "pos", "raw", "value", "tol"))
+
+
 def _verified(v: DataFrame) -> DataFrame:
     return v.withColumn("unverified", F.array_join("unverified", " | "))
 
@@ -590,6 +596,7 @@ QUERIES = {
     "gap_insights": q_gap_insights,
     "grounding_facts": q_grounding_facts,
     "grounding_facts_planning": q_grounding_facts_planning,
+    "draft_figures": q_draft_figures,
     "figure_verification": q_figure_verification,
     "document_figures": q_document_figures,
     "document_verification": q_document_verification,

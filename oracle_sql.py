@@ -1131,6 +1131,9 @@ def verification_queries() -> dict[str, str]:
                 f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, raw, {r('value')} AS value, {r('tol')} AS tol FROM pf")
     return {
         "grounding_facts": grounding_sql(),
+        "draft_figures": with_base(", " + market_drafts_cte() + "," + figures_ctes("dr", "draft_id")
+                                   + f"\nSELECT draft_id, CAST(pos AS INTEGER) AS pos, raw, {r('value')} AS value, "
+                                   f"{r('tol')} AS tol FROM pf"),
         "grounding_facts_planning": planning_sql(),
         "figure_verification": with_base(overview_facts_ctes() + verify_sql(market_drafts_cte())),
         "document_figures": doc_figs,

@@ -521,6 +521,9 @@ def q_document_verification(spark, sf):
     return _verified(verify.verify_drafts(drafts, overview_facts(b)))
 
 
+STREAM_TIMEOUT_SEC = 3600
+
+
 def q_document_verification_stream(spark, sf):
     """N8-N15 through Structured Streaming: the documents land as JSON draft files in the shared folder and
     a micro-batch stream (availableNow, two files per trigger) verifies them against the overview context."""
@@ -535,7 +538,9 @@ def q_document_verification_stream(spark, sf):
     drafts.write.json(f"{root}/in")
     q = verify_draft_stream(spark, f"{root}/in", overview_facts(b), f"{root}/out",
                             name=f"docs_{uuid.uuid4().hex[:8]}", max_files_per_trigger=2)
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_SEC):  # availableNow stops by itself; never wait forever
+        q.stop()
+        raise TimeoutError(f"draft stream did not finish within {STREAM_TIMEOUT_SEC} s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     out = spark.read.parquet(f"{root}/out").drop("batch_id")

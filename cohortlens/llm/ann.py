@@ -5,8 +5,7 @@ length, a query gets 0; then distance^2 = |q|^2 + M^2 - 2 q.x.
 
 Every vector is hashed by ``PROJECTIONS`` random projections, each kept as one sorted array. A query opens a
 window around its own projection in every array. Virtual rehashing widens all windows together (radius R, then R times ``GROWTH``,
-...), only the new rims are counted, and a vector that lies in enough windows is verified with its exact inner
-product. A vector within distance R lies in a window of radius R with a known probability, so the threshold is that
+...), and a vector that lies in enough windows is verified with its inner product. A vector within distance R lies in a window of radius R with a known probability, so the threshold is that
 expectation less ``SLACK`` standard deviations. The query ends when its k-th best verified distance is at most R, or everything is verified.
 
 The vectors are dealt into blocks by their id, each with its own arrays; every block meets every chunk of the stated
@@ -16,6 +15,9 @@ block returns k rows for a query, of which the best k are kept.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,52 +46,55 @@ class CollisionIndex:
     """Sorted projections of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.x, self.longest = ids, vectors, longest
+        self.ids, self.x, self.coarse, self.longest = ids, vectors, vectors.astype(np.float32), longest
         axes = np.random.default_rng(SEED).standard_normal((PROJECTIONS, vectors.shape[1] + 1))
         self.axes = axes[:, :-1]
         rest = np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", vectors, vectors)))
         projected = axes[:, :-1] @ vectors.T + axes[:, -1:] * rest
-        self.order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        # where each vector stands in each sorted array; the narrowest type that also holds a whole array's length
+        self.position = np.empty(order.shape, dtype=np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.position, order, np.arange(len(ids), dtype=self.position.dtype)[None, :], axis=1)
         p = _INSIDE
         self.threshold = max(1, int(PROJECTIONS * p - SLACK * np.sqrt(PROJECTIONS * p * (1 - p))))
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k nearest vectors found, the query's own id left out; ties to the smaller id."""
-        centre = self.axes @ q
-        counts = np.zeros(len(self.ids), dtype=np.uint8)
-        checked = self.ids == query_id
-        left = right = None
-        scores, found = np.empty(0), np.empty(0, dtype=np.int64)
-        q2 = float(q @ q)
-        radius = START * self.longest
-        while True:
-            half = WIDTH * radius
-            low = [int(np.searchsorted(s, c - half, "left")) for s, c in zip(self.sorted, centre)]
-            high = [int(np.searchsorted(s, c + half, "right")) for s, c in zip(self.sorted, centre)]
-            for j, (a, b) in enumerate(zip(low, high)):
-                if left is None:
-                    counts[self.order[j, a:b]] += 1
-                else:
-                    counts[self.order[j, a : left[j]]] += 1
-                    counts[self.order[j, right[j] : b]] += 1
-            left, right = low, high
-            new = np.flatnonzero((counts >= self.threshold) & ~checked)
-            checked[new] = True
-            scores, found = np.concatenate([scores, self.x[new] @ q]), np.concatenate([found, new])
-            if len(scores) > k:
-                # what may still be among the k best; the margin is above the product's rounding, so equal vectors stay together
-                kth = np.partition(scores, -k)[-k]
-                near = scores >= kth - 1e-9 * max(1.0, self.longest * np.sqrt(q2))
-                scores, found = scores[near], found[near]
-            if checked.all():
-                break
-            if len(scores) >= k and q2 + self.longest**2 - 2 * np.partition(scores, -k)[-k] <= radius**2:
-                break
-            radius *= GROWTH
-        exact = (self.x[found] * q).sum(axis=1)  # row by row in one order: equal vectors get equal products
-        best = np.lexsort((self.ids[found], -exact))[:k]
-        return self.ids[found][best], exact[best]
+    def windows(self, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """First position inside and first behind every query's window in each sorted array."""
+        half = WIDTH * radius
+        return tuple(np.stack([np.searchsorted(s, c + sign * half, side) for s, c in zip(self.sorted, centres.T)], axis=1) for sign, side in ((-1, "left"), (1, "right")))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and inner products of the k nearest vectors found, its own id left out; ties to the smaller id."""
+        centres = queries @ self.axes.T
+        levels: list[tuple[float, np.ndarray, np.ndarray]] = []  # all queries widen through the same radii
+        for i, (query_id, q) in enumerate(zip(query_ids, queries)):
+            checked = self.ids == query_id
+            scores, found = np.empty(0, dtype=np.float32), np.empty(0, dtype=np.int64)
+            q2 = float(q @ q)
+            # single precision picks what may still be among the k best; the margin is above its error
+            coarse, margin = q.astype(np.float32), (len(q) + 8) * 2.4e-7 * self.longest * np.sqrt(q2)
+            for level in itertools.count():
+                if level == len(levels):
+                    radius = START * self.longest * GROWTH**level
+                    levels.append((radius, *self.windows(centres, radius)))
+                radius, low, high = levels[level]
+                new = np.flatnonzero((self.collisions(low[i], high[i]) >= self.threshold) & ~checked)
+                checked[new] = True
+                scores, found = np.concatenate([scores, self.coarse.take(new, axis=0) @ coarse]), np.concatenate([found, new])
+                if len(scores) > k:
+                    near = scores >= np.partition(scores, -k)[-k] - margin
+                    scores, found = scores[near], found[near]
+                if checked.all() or len(scores) >= k and q2 + self.longest**2 - 2 * float(np.partition(scores, -k)[-k]) <= radius**2:
+                    break
+            exact = (self.x[found] * q).sum(axis=1)  # row by row in one order: equal vectors get equal products
+            best = np.lexsort((self.ids[found], -exact))[:k]
+            yield self.ids[found][best], exact[best]
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many of the windows low..high each vector lies, told by its position in each sorted array."""
+        low, size = (x.astype(self.position.dtype)[:, None] for x in (low, high - low))
+        return (self.position - low < size).view(np.uint8).sum(axis=0, dtype=np.uint8)  # positions before the window wrap around
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -99,11 +104,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _search_block(k: int):
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        out: list[tuple] = []
         if vectors.num_rows and queries.num_rows:
             index = CollisionIndex(vectors["id"].to_numpy(), _matrix(vectors["vec"]), float(vectors["longest"][0].as_py()))
-            for query_id, q in zip(queries["q_id"].to_pylist(), _matrix(queries["q_vec"])):
-                out.append((query_id, *index.search(query_id, q, k)))
+            ids = queries["q_id"].to_numpy()
+            out = [(i, *found) for i, found in zip(ids, index.search(ids, _matrix(queries["q_vec"]), k))]
         n = [len(x[1]) for x in out]
         return pa.table({
             "query_id": pa.array(np.repeat(np.array([x[0] for x in out], dtype=np.int64), n)),

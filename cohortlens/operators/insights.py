@@ -58,15 +58,17 @@ def under_monetized(df: DataFrame) -> DataFrame:
 def vintage_trend(df: DataFrame) -> DataFrame:
     """G2 - newest 3 vs oldest 3 cohort months (overlapping when fewer than 6), 0 or 1 row.
 
-    The distinct cohort months are a calendar-bounded list; they are read once
-    to find the two windows, then one conditional aggregate does the rest.
+    Only the first and last few distinct months reach the driver, however many
+    there are; one conditional aggregate does the rest.
     """
-    months = sorted(r[0] for r in df.select("cohort_month").distinct().collect())
-    if len(months) < MIN_VINTAGE_MONTHS:
+    months = df.select("cohort_month").where(F.col("cohort_month").isNotNull()).distinct()
+    oldest = [r[0] for r in months.orderBy("cohort_month").limit(MIN_VINTAGE_MONTHS).collect()]
+    newest = [r[0] for r in months.orderBy(F.desc("cohort_month")).limit(VINTAGE_WINDOW).collect()]
+    if len(oldest) < MIN_VINTAGE_MONTHS:
         return df.sparkSession.createDataFrame(
             [], "oldest_cohorts string, newest_cohorts string, clv_delta_pct double, "
                 "month_6_retention_delta_pts double, revenue_per_hh_delta_pct double, primary_driver string")
-    early, late = months[:VINTAGE_WINDOW], months[-VINTAGE_WINDOW:]
+    early, late = oldest[:VINTAGE_WINDOW], sorted(newest)
     w = F.col("households")
     is_e, is_l = F.col("cohort_month").isin(early), F.col("cohort_month").isin(late)
 

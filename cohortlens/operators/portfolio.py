@@ -133,7 +133,7 @@ def score_initiatives(baseline: DataFrame, initiatives: DataFrame | None = None,
     clean = clean_initiatives(initiatives if initiatives is not None else initiatives_table(spark))
     scen, params = _initiative_scenarios(clean)
     if not scen:
-        return spark.createDataFrame([], "rank int, initiative string")
+        return score_initiatives(baseline, None, annual_discount_rate).where(F.lit(False))  # no rows, all columns
     pschema = T.StructType([T.StructField("scenario_id", T.StringType()), T.StructField("position", T.IntegerType()),
                             T.StructField("initiative", T.StringType()), T.StructField("thesis", T.StringType()),
                             T.StructField("cost", T.DoubleType())]

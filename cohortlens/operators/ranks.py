@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark import StorageLevel
+from cohortlens.session import materialize
 
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 1_000_000
@@ -49,33 +49,35 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
         "metric", (F.col("value") + F.lit(0.0)).alias("value"))
 
 
-def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
-               ) -> tuple[DataFrame, dict[str, int], list[DataFrame]]:
+def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None, rows_per_bucket: int | None = None,
+               broadcast_rows: int | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Distributed rank lookup ``(metric, value, pr)``.
 
-    Returns the lookup, the number of distinct values per column (an upper
-    bound when it was not measured), and the persisted frames (value counts,
-    lookup) for the caller to release after use. Their lineage is one
-    aggregate over the input, so a lost executor recomputes them cheaply.
+    Returns the lookup and the number of distinct values per column (an upper
+    bound when it was not measured). Value counts and lookup are parquet
+    tables in the shared folder: the source is read once, and the statistics,
+    cut-point, window and join jobs read the tables.
 
     ``max_rows`` - a known bound on the input rows (e.g. from validation).
     When every column is then known to fit one window partition and the whole
     lookup fits a broadcast, no statistics job is needed.
     """
     spark = df.sparkSession
+    rows_per_bucket = ROWS_PER_BUCKET if rows_per_bucket is None else rows_per_bucket
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     vc = _long_values(df, columns).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    if max_rows is not None and max_rows <= ROWS_PER_BUCKET and max_rows * len(columns) <= BROADCAST_ROWS:
-        # nothing persisted: the lookup is computed once, inside the one broadcast every join reuses
+    if max_rows is not None and max_rows <= rows_per_bucket and max_rows * len(columns) <= broadcast_rows:
+        # nothing written: the lookup is computed once, inside the one broadcast every join reuses
         w_cum = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         n = F.sum("cnt").over(Window.partitionBy("metric"))
         ranked = vc.select("metric", "value", ((F.sum("cnt").over(w_cum) - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
                                                / n).alias("pr"))
-        return ranked, {c: max_rows for c in columns}, []
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)  # read by the statistics, cut-point and window jobs
+        return ranked, {c: max_rows for c in columns}
+    vc = materialize(vc, "rank_counts")  # read by the statistics, cut-point and window jobs
     stats = {r["metric"]: (int(r["n_distinct"]), int(r["n"]))
              for r in vc.groupBy("metric").agg(F.count(F.lit(1)).alias("n_distinct"),
                                                 F.sum("cnt").alias("n")).collect()}
-    n_buckets = {m: max(1, min(MAX_BUCKETS, math.ceil(nd / ROWS_PER_BUCKET))) for m, (nd, _) in stats.items()}
+    n_buckets = {m: max(1, min(MAX_BUCKETS, math.ceil(nd / rows_per_bucket))) for m, (nd, _) in stats.items()}
     cuts: dict[str, list[float]] = {m: [] for m in stats}
     big = [m for m, b in n_buckets.items() if b > 1]
     if big:
@@ -101,34 +103,28 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None
               .select("metric", "value",
                       ((F.col("offset") + F.col("cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
                        / F.col("n")).alias("pr")))
-    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     distinct = {c: stats.get(c, (0, 0))[0] for c in columns}
-    return ranked, distinct, [vc, ranked]
+    return materialize(ranked, "rank_lookup"), distinct
 
 
 def _bucketize(vc: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """Value-range bucket of every distinct value: a binary search over the column's cut points.
 
-    Columns without cuts are one bucket. Each cut column is one ``Bucketizer``
-    pass (JVM binary search, O(log B) per value) over its slice of the
-    persisted value counts; equal values always share a bucket.
+    Columns without cuts are one bucket. All cut columns go through one
+    ``Bucketizer`` (JVM binary search, O(log B) per value) in one pass over the
+    value counts, each in a column of its own that is null for the others;
+    equal values always share a bucket.
     """
     from pyspark.ml.feature import Bucketizer
 
-    parts = []
-    plain = [m for m, c in cuts.items() if not c]
-    if plain:
-        parts.append(vc.where(F.col("metric").isin(plain)).withColumn("bucket", F.lit(0)))
-    for m, c in cuts.items():
-        if c:
-            splits = [float("-inf")] + list(c) + [float("inf")]
-            b = Bucketizer(splits=splits, inputCol="value", outputCol="__b")
-            parts.append(b.transform(vc.where(F.col("metric") == m))
-                         .withColumn("bucket", F.col("__b").cast("int")).drop("__b"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cut = [m for m, c in cuts.items() if c]
+    if not cut:
+        return vc.withColumn("bucket", F.lit(0))
+    own, found = [f"__v{i}" for i in range(len(cut))], [f"__b{i}" for i in range(len(cut))]
+    spread = vc.withColumns({o: F.when(F.col("metric") == m, F.col("value")) for o, m in zip(own, cut)})
+    buckets = Bucketizer(splitsArray=[[float("-inf"), *cuts[m], float("inf")] for m in cut], inputCols=own, outputCols=found,
+                         handleInvalid="keep").transform(spread)
+    return buckets.withColumn("bucket", F.coalesce(*found, F.lit(0.0)).cast("int")).drop(*own, *found)
 
 
 def _broadcast_join_back(df: DataFrame, lookup: DataFrame, columns: list[str], name_of: dict) -> DataFrame:
@@ -146,19 +142,19 @@ def _broadcast_join_back(df: DataFrame, lookup: DataFrame, columns: list[str], n
     return out.select(*base_cols, *[F.col(f"__l{i}.__pr").alias(name_of[c]) for i, c in enumerate(columns)])
 
 
-def _broadcast_split(distinct: dict[str, int], columns: list[str]) -> tuple[list[str], list[str]]:
+def _broadcast_split(distinct: dict[str, int], columns: list[str], broadcast_rows: int) -> tuple[list[str], list[str]]:
     """Columns whose lookups fit one broadcast together (fewest distinct values first), and the rest."""
     small, total = [], 0
     for c in sorted(columns, key=lambda c: distinct.get(c, 0)):
-        if total + distinct.get(c, 0) <= BROADCAST_ROWS:
+        if total + distinct.get(c, 0) <= broadcast_rows:
             small.append(c)
             total += distinct.get(c, 0)
     return [c for c in columns if c in small], [c for c in columns if c not in small]
 
 
 def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] | None = None,
-                          held: list | None = None, max_rows: int | None = None,
-                          row_id: str | None = None) -> DataFrame:
+                          max_rows: int | None = None, row_id: str | None = None, rows_per_bucket: int | None = None,
+                          broadcast_rows: int | None = None) -> DataFrame:
     """Append ``pr`` (0..1] for each column; NULL for missing values.
 
     Columns whose lookups fit ``BROADCAST_ROWS`` together are joined against
@@ -170,14 +166,13 @@ def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] |
     one wide shuffle per column (used from ``LONG_FORM_MIN_COLUMNS`` such
     columns on). Otherwise each such column is a shuffle join on its value
     (AQE splits a skewed value).
-    Persisted intermediates go to ``held`` for the caller to release.
+    ``rows_per_bucket`` and ``broadcast_rows`` choose among these plans by size; the result is the same.
     """
     names = names or [f"{c}_pr" for c in columns]
     name_of = dict(zip(columns, names))
-    ranks, distinct, frames = rank_table(df, columns, max_rows)
-    if held is not None:
-        held.extend(frames)
-    small, large = _broadcast_split(distinct, columns)
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    ranks, distinct = rank_table(df, columns, max_rows, rows_per_bucket, broadcast_rows)
+    small, large = _broadcast_split(distinct, columns, broadcast_rows)
     out = df
     if small:
         part = ranks if not large else ranks.where(F.col("metric").isin(small))

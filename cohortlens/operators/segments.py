@@ -63,7 +63,7 @@ def tercile_edges(df: DataFrame, score: str = "engagement_score") -> TercileEdge
 
 
 def assign_terciles(df: DataFrame, edges: TercileEdges, score: str = "engagement_score",
-                    out: str = "engagement_segment", held: list | None = None,
+                    out: str = "engagement_segment",
                     max_rows: int | None = None) -> DataFrame:
     """W3 right-closed tercile cut; W4 rank-based fallback when edges coincide."""
     low, mid, high = SEGMENT_LABELS
@@ -71,7 +71,7 @@ def assign_terciles(df: DataFrame, edges: TercileEdges, score: str = "engagement
         e1 = F.lit(edges.low)
         e2 = F.lit(edges.high)
         return df.withColumn(out, F.when(F.col(score) <= e1, low).when(F.col(score) <= e2, mid).otherwise(high))
-    ranked = with_percentile_ranks(df, [score], ["__score_pr"], held, max_rows)
+    ranked = with_percentile_ranks(df, [score], ["__score_pr"], max_rows)
     p = F.col("__score_pr")
     return ranked.withColumn(
         out, F.when(p <= F.lit(1.0 / 3.0), low).when(p <= F.lit(2.0 / 3.0), mid).otherwise(high)).drop("__score_pr")

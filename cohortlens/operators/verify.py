@@ -12,19 +12,21 @@ value_double, value_string)`` are tables; the check is a Spark job:
   dropped, the pool is de-duplicated;
 * N13 - a figure is verified when some pool number ``n`` of its context has
   ``| |f| - |n| | <= max(tol, 0.001 * max(|n|, |f|))`` (the signed test is
-  implied by this one). The band join runs as an equi-join on
-  ``(context_id, octave)``: each figure is expanded to the few binary-magnitude
-  octaves its band can reach, so it is compared only with pool numbers of a
-  similar size - never with the whole context;
+  implied by this one). Only the nearest pool numbers below and above ``|f|``
+  matter; they are found by sorting figures and pool together, so no figure is
+  ever paired with the pool;
 * N14/N15 - per-draft totals, the unverified figures in text order, verdict.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import checkpoint
+from cohortlens.session import materialize
 
 # ---- fixed values: the figure grammar (currency with K/M/B suffix, signed
 # percent / points, multiples, decimal durations, thousands-separated numbers,
@@ -36,7 +38,7 @@ FIGURE_PATTERN = (r"\$\s?\d[\d,]*\.?\d*(?:\s?[KkMmBb](?![A-Za-z]))?"
                   r"|\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b"
                   r"|\b\d+\.\d+\b")
 CONTEXT_NUMBER_PATTERN = r"-?\d[\d,]*\.?\d*"
-UNIT_PATTERN = r"(?i)(%|pts?|months?|mo|x)\s*$"
+UNIT_PATTERN = r"(?iU)(%|pts?|months?|mo|x)\s*$"
 SUFFIX_MULTIPLIERS = {"k": 1e3, "m": 1e6, "b": 1e9}
 RELATIVE_FLOOR = 0.001
 UNVERIFIED_SHOWN = 6
@@ -46,31 +48,31 @@ MIN_OCTAVE = -40
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a text table that arrives in fewer partitions than the cluster has cores.
 
-    Regex extraction is CPU-bound per row; a source that lands in one or two
-    partitions (e.g. a single-row-group file) would run it on one core. A large
-    input already has far more partitions than cores and is left as it is, so
-    this never adds a shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """Every decimal digit of the basic plane beyond ASCII, and the ASCII digit of the same value."""
+    other = [chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(other), "".join(str(unicodedata.digit(c)) for c in other)
 
 
 def extract_figures(drafts: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """N8 - ``key_cols + (pos, raw)``: every substantive figure, in text order."""
     arr = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(JAVA_FIGURE_PATTERN), 0)
-    return spread(drafts).select(*key_cols, F.posexplode(arr).alias("pos", "raw")).withColumn(
+    return drafts.select(*key_cols, F.posexplode(arr).alias("pos", "raw")).withColumn(
         "pos", F.col("pos") + 1)
 
 
 def parse_figures(figs: DataFrame) -> DataFrame:
-    """N9 - value and precision-aware tolerance (half a unit of the quoted precision x multiplier)."""
-    s = _strip(F.regexp_replace(F.regexp_replace(_strip(F.col("raw")), r"^\$+", ""), r"[,+]", ""))
+    """N9 - value and precision-aware tolerance (half a unit of the quoted precision x multiplier).
+
+    White space and digits of any script count as such. A figure that is no number for all that keeps its row with a null
+    value, so it is counted and never traced.
+    """
+    ascii_digits = F.translate(F.col("raw"), *_digits())
+    s = _strip(F.regexp_replace(F.regexp_replace(_strip(ascii_digits), r"^\$+", ""), r"[,+]", ""))
     last = F.lower(F.substring(s, -1, 1))
     mult = F.coalesce(F.create_map(*[x for k, v in SUFFIX_MULTIPLIERS.items() for x in (F.lit(k), F.lit(v))])[last],
                       F.lit(1.0))
@@ -84,7 +86,7 @@ def parse_figures(figs: DataFrame) -> DataFrame:
         "value": F.col("__num").try_cast("double") * F.col("__mult"),
         "tol": F.lit(0.5) * F.pow(F.lit(10.0), -decimals) * F.col("__mult"),
     })
-    return out.where(F.col("value").isNotNull()).drop("__s", "__mult", "__body", "__num")
+    return out.drop("__s", "__mult", "__body", "__num")
 
 
 def context_pool(facts: DataFrame) -> DataFrame:
@@ -115,42 +117,48 @@ def context_pool(facts: DataFrame) -> DataFrame:
     return pool.where(finite).select("context_id", (F.col("n") + F.lit(0.0)).alias("n")).distinct()
 
 
-def _octave(x: Column) -> Column:
-    """floor(log2 x) for x > 0, clamped below at MIN_OCTAVE (0 and tiny values share that octave)."""
-    return F.when(x <= F.lit(2.0 ** MIN_OCTAVE), F.lit(MIN_OCTAVE)).otherwise(
-        F.greatest(F.floor(F.log2(x)).cast("int"), F.lit(MIN_OCTAVE)))
+def _value_range(x: Column) -> Column:
+    """A step of the magnitude: four per binary octave; 0 and the tiniest values share the first."""
+    return F.when(x <= F.lit(2.0 ** MIN_OCTAVE), F.lit(4 * MIN_OCTAVE)).otherwise(F.floor(F.log2(x) * 4)).cast("int")
 
 
-POOL_BROADCAST_ROWS = 2_000_000
+def nearest_numbers(figs: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(context_id, size, below, above)``: for each magnitude quoted in a context its nearest pool magnitudes.
 
-
-def match_figures(figs: DataFrame, pool: DataFrame, key_cols: list[str], broadcast_pool: bool | None = None
-                  ) -> DataFrame:
-    """N13 - figures with a ``verified`` flag (band join on context and magnitude octave).
-
-    The pool comes from grounding facts (small tables), so it is broadcast
-    when its measured size is under ``POOL_BROADCAST_ROWS``: the figure side -
-    which may be every figure of a huge text table, all in one context - is
-    then never shuffled for the join, and one context cannot skew it. A
-    larger pool falls back to a shuffle join on ``(context_id, octave)``.
+    Quoted and pool magnitudes are sorted together inside ``(context, value range)``; the last pool number before
+    and the first behind a quoted one are its neighbours, and range edges are carried over from the ranges' extremes
+    (a few numbers per range). Each distinct magnitude is one row: nothing is paired, however large a context is.
+    """
+    quoted = figs.where(F.col("value").isNotNull()).select("context_id", F.abs("value").alias("size"), F.lit(1).alias("quoted"))
+    known = pool.select("context_id", F.abs("n").alias("size"), F.lit(0).alias("quoted"))
+    rows = quoted.unionByName(known).distinct().withColumn("range", _value_range(F.col("size")))
+    number = F.when(F.col("quoted") == 0, F.col("size"))
+    edges = rows.groupBy("context_id", "range").agg(F.max(number).alias("top"), F.min(number).alias("bottom"))
+    ranges = Window.partitionBy("context_id").orderBy("range")
+    edges = edges.select("context_id", "range",
+                         F.last("top", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+                         F.first("bottom", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    inside = Window.partitionBy("context_id", "range").orderBy("size", "quoted")
+    near = rows.withColumns({"last": F.last(number, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+                             "next": F.first(number, True).over(inside.rowsBetween(0, Window.unboundedFollowing))})
+    return near.where("quoted = 1").join(edges, ["context_id", "range"]).select(
+        "context_id", "size", F.coalesce("last", "earlier").alias("below"), F.coalesce("next", "later").alias("above"))
+
+
+def match_figures(figs: DataFrame, pool: DataFrame, key_cols: list[str]) -> DataFrame:
+    """N13 - figures with a ``verified`` flag.
+
+    The tolerance never favours a number that is farther away on the same side, so a figure is verified exactly when the
+    nearest pool number below or above its magnitude is within tolerance.
     """
+    near = nearest_numbers(figs, pool).withColumnRenamed("context_id", "__c")
     a = F.abs(F.col("value"))
-    lo = F.least(a - F.col("tol"), a * (1.0 - RELATIVE_FLOOR))
-    hi = F.greatest(a + F.col("tol"), a / (1.0 - RELATIVE_FLOOR))
-    # widen by one octave on each side so rounding at a bucket edge can never lose a candidate
-    f = figs.withColumns({"__lo": _octave(F.greatest(lo, F.lit(0.0))) - 1, "__hi": _octave(hi) + 1})
-    f = f.withColumn("__oct", F.explode(F.sequence(F.col("__lo"), F.col("__hi"))))
-    p = pool.select("context_id", F.abs("n").alias("__b")).distinct().withColumn("__oct", _octave(F.col("__b")))
-    if broadcast_pool is None:
-        broadcast_pool = p.count() <= POOL_BROADCAST_ROWS
-    if broadcast_pool:
-        p = F.broadcast(p)
-    cond = (F.abs(F.abs(F.col("value")) - F.col("__b")) <= F.greatest(
-        F.col("tol"), F.lit(RELATIVE_FLOOR) * F.greatest(F.col("__b"), F.abs(F.col("value")))))
-    j = f.join(p, ["context_id", "__oct"], "left")
-    return (j.groupBy(*key_cols, "pos", "raw")
-            .agg(F.max(F.when(F.col("__b").isNotNull() & cond, 1).otherwise(0)).alias("__m"))
-            .select(*key_cols, "pos", "raw", (F.col("__m") == 1).alias("verified")))
+
+    def within(n: str) -> Column:
+        return F.coalesce(F.abs(a - F.col(n)) <= F.greatest(F.col("tol"), F.lit(RELATIVE_FLOOR) * F.greatest(F.col(n), a)), F.lit(False))
+
+    j = figs.join(near, (F.col("context_id") == F.col("__c")) & (a == F.col("size")), "left")
+    return j.select(*key_cols, "pos", "raw", (within("below") | within("above")).alias("verified"))
 
 
 def verify_drafts(drafts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -159,26 +167,27 @@ def verify_drafts(drafts: DataFrame, facts: DataFrame) -> DataFrame:
     A draft with empty text or without any fact in its context has 0 figures
     (nothing is checked against an empty context). Drafts are unioned with
     their checked figures and aggregated once, so drafts without figures keep
-    their row without a join back.
+    their row without a join back. Drafts that share an id are told apart by
+    their text; a draft that comes twice gives two equal rows.
     """
-    keys = ["draft_id", "context_id"]
-    # contexts and their number pool in one small checkpointed table (computed once, counted once)
-    ctx_pool = checkpoint(context_pool(facts).unionByName(
-        facts.select("context_id", F.lit(None).cast("double").alias("n")).distinct()))
-    small = ctx_pool.count() <= POOL_BROADCAST_ROWS
-    ctx = ctx_pool.select("context_id").distinct()
-    with_ctx = drafts.join(F.broadcast(ctx) if small else ctx, "context_id", "left_semi")
-    figs = parse_figures(extract_figures(with_ctx, keys))
-    checked = match_figures(figs, ctx_pool.where(F.col("n").isNotNull()), keys, broadcast_pool=small)
-    empty = drafts.select(*keys, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("raw"),
-                          F.lit(None).cast("boolean").alias("verified"))
+    ids = ["draft_id", "context_id"]
+    keys = [*ids, "__text"]
+    pool = materialize(context_pool(facts), "context_pool")
+    contexts = facts.select("context_id").distinct()
+    told = drafts.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
+    figs = parse_figures(extract_figures(told.join(contexts, "context_id", "left_semi"), keys))
+    checked = match_figures(figs, pool, keys)
+    empty = told.select(*keys, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("raw"),
+                        F.lit(None).cast("boolean").alias("verified"))
     per = checked.unionByName(empty).groupBy(*keys).agg(
+        F.count_if(F.col("pos").isNull()).alias("__copies"),
         F.count("pos").alias("total"),
         F.coalesce(F.sum(F.col("verified").cast("int")), F.lit(0)).cast("bigint").alias("verified"),
-        F.array_sort(F.collect_list(F.when(~F.col("verified"), F.struct("pos", "raw")))).alias("__u"),
+        F.array_sort(F.collect_set(F.when(~F.col("verified"), F.struct("pos", "raw")))).alias("__u"),
     )
-    out = per.select(*keys, F.col("total").cast("bigint").alias("total"), "verified",
-                     F.transform("__u", lambda s: s["raw"]).alias("unverified"))
+    each = per.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+    out = each.select(*ids, *[F.expr(f"{c} div __copies").alias(c) for c in ("total", "verified")],
+                      F.transform("__u", lambda s: s["raw"]).alias("unverified"))
     return out.withColumn("verdict", verdict_line())
 
 

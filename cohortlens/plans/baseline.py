@@ -3,8 +3,8 @@
 Order matters: ranks and terciles are global over the validated table and are
 computed before any filter is applied by downstream views.
 
-Materialisation: the input cohort table is a reliable checkpoint and the final
-baseline a parquet table, both in the shared ``spark.checkpoint.dir`` folder.
+Materialisation: the input cohort table and the final baseline are parquet
+tables in the shared ``spark.checkpoint.dir`` folder.
 That cuts the lineage back to the fact tables (a lost executor re-reads files
 instead of recomputing the facts) and lets every downstream view read the
 baseline - only the columns it needs, with filters pushed into the scan -
@@ -27,7 +27,7 @@ from cohortlens.operators.ranks import with_percentile_ranks
 from cohortlens.operators.segments import assign_terciles, engagement_score_expr, tercile_edges
 from cohortlens.operators.value import run_clv_model
 from cohortlens.schema import DEFAULT_DISCOUNT_RATE, ENGAGEMENT_COMPONENTS
-from cohortlens.session import checkpoint, materialize
+from cohortlens.session import materialize
 from cohortlens.sources.facts import cohorts_from_facts
 
 # the 13 distinct ranked columns (engagement 4; depth 5; health 6; CLV), each ranked once
@@ -71,7 +71,7 @@ def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows:
     """
     held = held if held is not None else []
     mon = add_ratio_metrics(clv)
-    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], held, max_rows, row_id)
+    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], max_rows, row_id)
     scored = ranked.withColumn("engagement_score",
                                engagement_score_expr(weights, [_pr(c) for c in ENGAGEMENT_COMPONENTS]))
     scored = scored.withColumns(score_columns(_pr))
@@ -79,7 +79,7 @@ def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows:
     scored = scored.drop(*[_pr(c) for c in RANKED_COLUMNS]).persist(StorageLevel.MEMORY_AND_DISK)
     held.append(scored)
     edges = tercile_edges(scored)
-    return assign_terciles(scored, edges, held=held, max_rows=max_rows)
+    return assign_terciles(scored, edges, max_rows=max_rows)
 
 
 BASELINE_ORDER_TAIL = [
@@ -94,8 +94,8 @@ BASELINE_ORDER_TAIL = [
 def build_baseline(cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
                    weights=None) -> Baseline:
     """Validate, model and score a cohort table; raises ``ValueError`` on blocking errors."""
-    # the (expensive) source plan runs once; row ids on the checkpointed partitions are stable on recompute
-    raw = checkpoint(cohorts).withColumn(ROW_ID, F.monotonically_increasing_id())
+    # the (expensive) source plan runs once; row ids over the written files are stable on recompute
+    raw = materialize(cohorts, "cohorts").withColumn(ROW_ID, F.monotonically_increasing_id())
     v = validate(raw)
     if v.errors:
         raise ValueError("; ".join(v.errors))

@@ -19,6 +19,7 @@ from cohortlens.operators import monetization as mon
 from cohortlens.operators import quality, segments, value
 from cohortlens.operators.scenario import Scenario
 from cohortlens.sources.files import read_initiatives_csv
+from cohortlens.operators.ranks import with_percentile_ranks
 from cohortlens.plans.baseline import baseline_table
 from cohortlens.schema import DEFAULT_ACQUISITION_COST, DEFAULT_DISCOUNT_RATE, KEY_COLUMNS
 from cohortlens.session import materialize
@@ -90,7 +91,8 @@ def q_cohort_csv_roundtrip(spark, sf):
     import uuid
     path = table_path(spark, f"cohort_csv_{uuid.uuid4().hex}")
     write_results(cohorts_from_facts(spark, sf), path, fmt="csv")
-    v = _validate(read_cohort_csv(spark, path))
+    back = read_cohort_csv(spark, path)  # counts come back as DOUBLE; those written here are whole
+    v = _validate(back.withColumn("households", F.col("households").cast("bigint")))
     return finalize(value.portfolio_kpis(value.run_clv_model(v.clean, RATE), acquisition_cost=CAC))
 
 
@@ -363,9 +365,19 @@ UPLOAD_CSV = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.pat
                           "tests", "fixtures", "initiatives_upload.csv")
 
 
+def uploaded(spark, path):
+    """The shared folder of an uploaded file: the driver has the upload, executors read the copy."""
+    from cohortlens.session import table_path
+    import uuid
+    folder = table_path(spark, f"upload_{uuid.uuid4().hex}")
+    with open(path, encoding="utf-8") as f:
+        spark.createDataFrame([(f.read(),)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
 def q_initiative_ranking_uploaded(spark, sf):
     """S5 + I1-I9 - an uploaded initiative CSV (BOM, no retention_risk column, blanks) ranked."""
-    ini = read_initiatives_csv(spark, UPLOAD_CSV)
+    ini = read_initiatives_csv(spark, uploaded(spark, UPLOAD_CSV))
     return finalize(portfolio.score_initiatives(_base(spark, sf), ini, RATE).drop("thesis"))
 
 
@@ -521,9 +533,6 @@ def q_document_verification(spark, sf):
     return _verified(verify.verify_drafts(drafts, overview_facts(b)))
 
 
-STREAM_TIMEOUT_SEC = 3600
-
-
 def q_document_verification_stream(spark, sf):
     """N8-N15 through Structured Streaming: the documents land as JSON draft files in the shared folder and
     a micro-batch stream (availableNow, two files per trigger) verifies them against the overview context."""
@@ -538,16 +547,37 @@ def q_document_verification_stream(spark, sf):
     drafts.write.json(f"{root}/in")
     q = verify_draft_stream(spark, f"{root}/in", overview_facts(b), f"{root}/out",
                             name=f"docs_{uuid.uuid4().hex[:8]}", max_files_per_trigger=2)
-    if not q.awaitTermination(STREAM_TIMEOUT_SEC):  # availableNow stops by itself; never wait forever
-        q.stop()
-        raise TimeoutError(f"draft stream did not finish within {STREAM_TIMEOUT_SEC} s")
+    q.awaitTermination()  # availableNow stops by itself when all files are done
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     out = spark.read.parquet(f"{root}/out").drop("batch_id")
     return _verified(out).select("draft_id", "context_id", "total", "verified", "unverified", "verdict")
 
 
+RANKED_LINE_COLUMNS = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+
+
+def _line_ranks(rows_per_bucket, broadcast_rows, row_id):
+    def q(spark, sf):
+        cols = RANKED_LINE_COLUMNS
+        lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", *cols)
+        lines = materialize(lines, "lines").withColumn("line_id", F.monotonically_increasing_id())  # its keys repeat
+        ranked = with_percentile_ranks(lines, cols, [f"{c}_pr" for c in cols], row_id="line_id" if row_id else None,
+                                       rows_per_bucket=rows_per_bucket, broadcast_rows=broadcast_rows)
+        return ranked.select("l_orderkey", "l_linenumber", *[f"{c}_pr" for c in cols])
+    return q
+
+
+def _documented(q, text):
+    q.__doc__ = text
+    return q
+
+
 QUERIES = {
+    "line_ranks_broadcast": _documented(_line_ranks(None, None, False), "W1 on every line item; lookups in one broadcast."),
+    "line_ranks_bucketed": _documented(_line_ranks(500, None, False), "W1 on every line item; values cut into ranges of about 500."),
+    "line_ranks_shuffled": _documented(_line_ranks(500, 0, False), "W1 on every line item; value ranges, a shuffle join per column."),
+    "line_ranks_long": _documented(_line_ranks(500, 0, True), "W1 on every line item; value ranges, one long-form join."),
     "cohort_table": q_cohort_table,
     "quality_issues": q_quality_issues,
     "quality_issues_injected": q_quality_issues_injected,

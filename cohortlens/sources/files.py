@@ -1,9 +1,11 @@
 """S1, S2, S5, S7 - cohort/initiative files in, result tables out.
 
-CSV text is read as strings and typed by expression: the usual missing-value
-spellings (``NA``, ``null``, ``None``, ``nan``, empty) become NULL and
-``try_cast`` turns unparsable cells into NULL instead of failing the job, so
-the validation step can count and drop them like any other missing value.
+CSV text is read as strings and typed by expression: the missing-value
+spellings that pandas documents become NULL and ``try_cast`` turns unparsable
+cells into NULL instead of failing the job, so the validation step can count
+and drop them like any other missing value. Quoted cells may hold doubled
+quotes, commas and line breaks. Household counts are read as DOUBLE, so a
+fractional count is kept.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ from pyspark.sql import types as T
 
 from cohortlens.schema import COHORT_SCHEMA
 
-# ---- fixed values: spellings read as missing --------------------------------
-NA_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "none", "<NA>", "#N/A"]
+# ---- fixed values: spellings read as missing (pandas' documented list) ------
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+             "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+# one dialect for reading and writing: a quote inside a quoted cell is doubled
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def _typed(col_name: str, dtype: T.DataType) -> F.Column:
@@ -23,15 +29,18 @@ def _typed(col_name: str, dtype: T.DataType) -> F.Column:
     s = F.when(raw.isin(NA_TOKENS), F.lit(None)).otherwise(raw)
     if isinstance(dtype, T.StringType):
         return s.alias(col_name)
-    if isinstance(dtype, T.LongType):
-        d = s.try_cast("double")
-        return F.when(d == F.floor(d), d.try_cast("bigint")).alias(col_name)
-    return s.try_cast(dtype.simpleString()).alias(col_name)
+    return s.try_cast("double" if isinstance(dtype, T.LongType) else dtype.simpleString()).alias(col_name)
+
+
+def _read_text_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Every cell as text, under the header's names without a byte-order mark or outer spaces."""
+    raw = spark.read.options(**CSV_DIALECT).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    return raw.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff").strip()) for c in raw.columns])
 
 
 def read_cohort_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 - a cohort CSV with a header row; required columns typed, extra columns kept as text."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    raw = _read_text_cells(spark, path)
     types = {f.name: f.dataType for f in COHORT_SCHEMA.fields}
     return raw.select(*[_typed(c, types[c]) if c in types else F.col(f"`{c}`") for c in raw.columns])
 
@@ -48,8 +57,7 @@ def ensure_dataset(spark: SparkSession, path: str, build) -> DataFrame:
 
 def read_initiatives_csv(spark: SparkSession, path: str) -> DataFrame:
     """S5 - an uploaded/edited initiative table (any subset of the 15 columns; BOM tolerated)."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    renamed = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in raw.columns])
+    renamed = _read_text_cells(spark, path)
     return renamed.select(*[F.when(F.trim(F.col(f"`{c}`")).isin(NA_TOKENS), F.lit(None))
                             .otherwise(F.col(f"`{c}`")).alias(c) for c in renamed.columns])
 
@@ -59,7 +67,7 @@ def write_results(df: DataFrame, path: str, partition_by: list[str] | None = Non
     """S7 - write a result table (parquet by default, optionally partitioned, e.g. by market)."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_DIALECT)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -438,8 +438,17 @@ SURV_LONG = " UNION ALL ".join(
     f"SELECT {KEYS}, {t} AS month, {r(f's{t}')} AS survival FROM sl" for t in range(1, CLV_HORIZON_MONTHS + 1))
 
 
+def line_ranks_sql() -> str:
+    def pr(c: str) -> str:
+        return (f"(rank() OVER (ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY {c}) + 1)::DOUBLE / 2)::DOUBLE"
+                f" / count(*) OVER () AS {c}_pr")
+    columns = ("l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    return f"SELECT l_orderkey, l_linenumber, {', '.join(map(pr, columns))} FROM lineitem"
+
+
 def queries() -> dict[str, str]:
     q = {
+        **dict.fromkeys(("line_ranks_broadcast", "line_ranks_bucketed", "line_ranks_shuffled", "line_ranks_long"), line_ranks_sql()),
         "cohort_table": f"WITH {COHORT_CTES} SELECT {COHORT_COLS} FROM cohort",
         "quality_issues": quality_issues_sql(),
         "clv_detail": with_base(f"SELECT {KEYS}, engagement_segment, households, "

@@ -49,3 +49,15 @@ def test_roadmap_and_top(base):
     assert top == ranked.where(F.col("rank") == 1).first().initiative
     pts = portfolio.impact_complexity(ranked).collect()
     assert all(r.size >= 5.0 for r in pts)
+
+
+def test_empty_portfolio_keeps_its_columns(spark):
+    from cohortlens.operators import portfolio
+    from cohortlens.plans.baseline import baseline_table
+    from tests.conftest import SF_SMALL
+
+    b = baseline_table(spark, SF_SMALL)
+    none = portfolio.initiatives_table(spark).limit(0)
+    ranked = portfolio.score_initiatives(b, none)
+    assert ranked.columns == portfolio.score_initiatives(b).columns and ranked.count() == 0
+    assert portfolio.roadmap(ranked).count() == portfolio.impact_complexity(ranked).count() == 0

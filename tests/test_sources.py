@@ -23,7 +23,7 @@ def test_cohort_csv_with_na_tokens_and_bom(spark):
         f.write("\n".join([header, good, na_row, nan_row, junk]) + "\n")
     df = files.read_cohort_csv(spark, path)
     assert df.columns == REQUIRED_COLUMNS + ["note"]
-    assert dict(df.dtypes)["households"] == "bigint" and dict(df.dtypes)["cpm"] == "double"
+    assert dict(df.dtypes)["households"] == "double" and dict(df.dtypes)["cpm"] == "double"
     v = validate(df)
     assert v.rows_in == 4 and v.rows_out == 1
     miss = {r.column: r.n_rows for r in v.issues.collect() if r.check == "missing_values"}
@@ -72,3 +72,22 @@ def test_initiative_csv_upload(spark):
     from cohortlens.operators.portfolio import clean_initiatives
     names = [r.initiative for r in clean_initiatives(df).collect()]
     assert len(names) == 6 and "" not in names
+
+
+def test_csv_dialect_keeps_quotes_line_breaks_and_fractions(spark):
+    d = tempfile.mkdtemp(prefix="cl-csv-")
+    path = os.path.join(d, "c.csv")
+    good = ",".join(str(GOLDEN[c]) for c in REQUIRED_COLUMNS)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(",".join(REQUIRED_COLUMNS + ["note"]) + "\n")
+        f.write(good.replace("1000", "1000.5", 1) + ',"say ""hi"", now"\n')
+        f.write(good + ',"line one\nline two"\n')
+        f.write(good.replace("Mexico", "n/a", 1) + ",x\n")
+    df = files.read_cohort_csv(spark, path)
+    rows = df.orderBy("note").collect()
+    assert [(r.households, r.market, r.note) for r in rows] == [
+        (1000.0, "Mexico", "line one\nline two"), (1000.5, "Mexico", 'say "hi", now'), (1000.0, None, "x")]
+    assert validate(df).rows_out == 2
+    out = os.path.join(d, "out")
+    files.write_results(df, out, fmt="csv")
+    assert {r.note for r in files.read_cohort_csv(spark, out).collect()} == {r.note for r in rows}

@@ -104,3 +104,39 @@ def test_documents_match_python_regex_brute_force(spark):
            verify.parse_figures(verify.extract_figures(docs, ["doc_id"])).collect()]
     assert sorted(got) == sorted(want)
     assert len(got) > 0
+
+
+def test_figures_with_other_spaces_and_digits(spark):
+    from cohortlens.operators import verify
+
+    text = "12\u00a0% and 3.5\u202f% or $\u00a094, \u0661\u0662.\u0665 months"
+    d = spark.createDataFrame([("a", "c", text)], "draft_id string, context_id string, text string")
+    got = [(r.value, r.tol) for r in verify.parse_figures(verify.extract_figures(d, ["draft_id", "context_id"])).orderBy("pos").collect()]
+    assert got == [(12.0, 0.5), (3.5, 0.05), (94.0, 0.5), (12.5, 0.05)]
+
+
+def test_drafts_that_share_an_id(spark):
+    from cohortlens.operators import verify
+
+    d = spark.createDataFrame([("a", "c", "$5 and $94"), ("a", "c", "$5 and $94"), ("a", "c", "$5 only"), ("a", "c", None)],
+                              "draft_id string, context_id string, text string")
+    facts = spark.createDataFrame([("c", "x", 5.0, None)], "context_id string, path string, value_double double, value_string string")
+    got = sorted((r.total, r.verified, tuple(r.unverified)) for r in verify.verify_drafts(d, facts).collect())
+    assert got == [(0, 0, ()), (1, 1, ()), (2, 1, ("$94",)), (2, 1, ("$94",))]
+
+
+def test_nearest_numbers_decide_like_all_pairs(spark):
+    import random
+
+    from cohortlens.operators import verify
+
+    rng = random.Random(5)
+    pool = [("c", rng.choice([-1, 1]) * round(10 ** rng.uniform(-3, 7), rng.randrange(5))) for _ in range(300)] + [("c", 0.0), ("d", 1e-20)]
+    figs = [(rng.choice("ccd"), i, "x", (1 + rng.uniform(-2e-3, 2e-3)) * rng.choice(pool)[1], rng.choice([0.0, 0.05, 0.5])) for i in range(400)]
+    figs += [("c", 900, "x", None, 0.5), ("e", 901, "x", 1.0, 0.5), ("c", 902, "x", 0.0, 0.0)]
+    got = {r.pos: r.verified for r in verify.match_figures(
+        spark.createDataFrame(figs, "context_id string, pos int, raw string, value double, tol double"),
+        spark.createDataFrame(pool, "context_id string, n double"), ["context_id"]).collect()}
+    for c, pos, _, v, tol in figs:
+        want = v is not None and any(abs(abs(v) - abs(n)) <= max(tol, 0.001 * max(abs(n), abs(v))) for k, n in pool if k == c)
+        assert got[pos] == want, (c, v, tol)

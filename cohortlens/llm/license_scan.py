@@ -12,7 +12,6 @@ that a text shares with a template is found.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,8 +219,3 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
             yield pa.RecordBatch.from_arrays(kept + made, [*batch.schema.names[:-1], "license", "coverage", "n_matches", "spans"])
 
     return docs.select(*keep, F.col(text).alias("__text")).where("__text is not null").mapInArrow(found, schema)
-
-
-def template_digest(templates: dict[str, str] | None = None) -> str:
-    """Identifies the template set that a result was made with."""
-    return hashlib.sha256(repr(sorted((templates or TEMPLATES).items())).encode()).hexdigest()

@@ -35,10 +35,6 @@ def counted(text):
     return out
 
 
-def ordered(counts, size):
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [ord(c) for c in x[0]] if len(x[0]) == 1 else [], code(x[0])))][:size]
-
-
 def code(gram):
     out = 0
     for c in gram:

@@ -7,7 +7,7 @@ on. Around it, document and item are compared word by word along the diagonal: t
 (a word alike +1, a replaced word -REPLACED) must have enough equal words.
 
 The index of the benchmark is sent to every task if it has at most ``BROADCAST_ROWS`` rows of a few numbers, else both sides
-are shuffled by the hash. Items of equal words are one item, named by the smallest id, so copies in the benchmark add no rows.
+are shuffled by the hash, the documents' words left behind. Items of equal words are one item, named by the smallest id, so copies in the benchmark add no rows.
 """
 
 from __future__ import annotations
@@ -82,6 +82,26 @@ def best_stretch(words: Column, item: Column) -> Column:
     return F.aggregate(same, start, step, lambda a: F.struct(a["best"].alias("score"), a["best_equal"].alias("n_equal"), a["best_length"].alias("n_words")))
 
 
+def _document_seeds(rows: DataFrame, masks: tuple[str, ...], *columns: str) -> DataFrame:
+    """``columns``, words, at, mask and seed of every window of every document."""
+    return _windows(rows, masks, *columns).select(*columns, "words", "at", F.explode(_seeds(masks)).alias("s")).where("s is not null").select(*columns, "words", "at", "s.*")
+
+
+def _first_hits(seeds: DataFrame, index: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """Hits whose mask does not also hit one word earlier on the diagonal."""
+    hits = seeds.join(index, "seed").where("mask = item_mask")
+    if "before" not in hits.columns:
+        hits = hits.withColumn("before", _before(F.col("at"), masks))
+    return hits.where("item_before is null or before is null or item_before <> before")
+
+
+def _here(hits: DataFrame, *columns: str) -> DataFrame:
+    """The part of the item's diagonal that lies inside the document: where it starts in the item, and what the document has there."""
+    shift = F.col("at") - F.col("item_at")
+    begin, end = F.greatest(shift, F.lit(0)), F.least(shift + F.col("item_size"), F.size("words"))
+    return hits.select(*columns, "item", "item_size", (begin - shift).alias("skip"), F.slice("words", begin + 1, end - begin).alias("here"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each distinct ``keep`` of ``docs`` and benchmark item found in it: the columns ``keep``, item_id, n_equal, n_words.
 
@@ -89,23 +109,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
     shortest mask are too short to tell and are never found; of items with equal words the smallest id is named. Repeated rows
     of one ``keep`` give one row per item.
     """
-    known = stored(items(benchmark), "items")
+    own = [f"__k{i}" for i in range(len(keep))]  # the columns may have any names
+    known = stored(items(benchmark).where(F.size("words") >= min(map(len, masks))), "items")
     places = _windows(known, masks, "item").select("item", "words", "at", F.explode(_seeds(masks)).alias("s")).where("s is not null").select("item", "words", "at", "s.*")
     index = stored(places.select("seed", F.col("mask").alias("item_mask"), "item", F.col("at").alias("item_at"), F.size("words").alias("item_size"), _before(F.col("at"), masks).alias("item_before")), "seeds")
     small = index.count() <= BROADCAST_ROWS
-    sent = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    rows = docs.select(*keep, word_hashes(F.col(text)).alias("words"))
-    seeds = _windows(rows, masks, *keep).select(*keep, "words", "at", F.explode(_seeds(masks)).alias("s")).where("s is not null").select(*keep, "words", "at", "s.*")
-    hits = seeds.join(sent(index), "seed").where("mask = item_mask").withColumn("before", _before(F.col("at"), masks))
-    first = hits.where("item_before is null or before is null or item_before <> before")
-    # the part of the item's diagonal that lies inside the document, and what the document has there
-    shift = F.col("at") - F.col("item_at")
-    begin, end = F.greatest(shift, F.lit(0)), F.least(shift + F.col("item_size"), F.size("words"))
-    local = first.select(*keep, "item", "item_size", (begin - shift).alias("skip"), F.slice("words", begin + 1, end - begin).alias("here"))
-    compared = local.join(sent(known.select("item", F.col("words").alias("item_words"))), "item")
-    found = compared.select(*keep, F.col("item").alias("item_id"), "item_size", best_stretch(F.col("here"), F.slice("item_words", F.col("skip") + 1, F.size("here"))).alias("b"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own)], word_hashes(F.col(text)).alias("words"))
+    if small:
+        local = _here(_first_hits(_document_seeds(rows, masks, *own), F.broadcast(index), masks), *own)
+        compared = local.join(F.broadcast(known.select("item", F.col("words").alias("item_words"))), "item")
+    else:
+        # seeds are shuffled without their document's words, which are joined back to the first hits alone
+        told = rows.withColumn("__doc", F.xxhash64("words")).withColumn("__size", F.size("words"))
+        seeds = _document_seeds(told, masks, *own, "__doc", "__size").withColumn("before", _before(F.col("at"), masks)).drop("words")
+        first = _first_hits(seeds, index, masks).select(*own, "__doc", "__size", "item", "item_size", "at", "item_at").withColumn("shift", F.expr("at - item_at")).drop("at", "item_at").distinct()
+        sides = first.select(*[F.col(k).alias(f"{k}_") for k in own], F.col("__doc").alias("__doc_"), F.col("__size").alias("__size_"), "item", "item_size", F.col("shift").alias("at"), F.lit(0).alias("item_at"))
+        alike = (F.col("__doc") == F.col("__doc_")) & (F.col("__size") == F.col("__size_"))
+        for k in own:
+            alike = alike & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        compared = _here(told.join(sides, alike), *own).join(known.select("item", F.col("words").alias("item_words")), "item")
+    found = compared.select(*own, F.col("item").alias("__item"), "item_size", best_stretch(F.col("here"), F.slice("item_words", F.col("skip") + 1, F.size("here"))).alias("b"))
     enough = found.where((F.col("b.n_equal") >= F.least(F.lit(min_words), F.col("item_size"))) & (F.col("b.n_equal") >= min_share * F.col("b.n_words")))
-    return enough.groupBy(*keep, "item_id").agg(F.max(F.struct("b.n_equal", "b.n_words")).alias("b")).select(*keep, "item_id", "b.n_equal", "b.n_words")
+    best = enough.groupBy(*own, "__item").agg(F.max(F.struct("b.n_equal", "b.n_words")).alias("b"))
+    return best.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], F.col("__item").alias("item_id"), "b.n_equal", "b.n_words")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -292,6 +292,19 @@ def test_decontamination_equals_plain_version(spark, monkeypatch, broadcast_rows
     assert decontaminate.contaminated(frame, bench.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_with_clashing_names_and_one_id(spark, monkeypatch, broadcast_rows):
+    """Documents of one id, and columns named like the operator's own."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast_rows)
+    item = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, "x", f"{item} tail"), (1, "x", "nothing of it here"), (1, "x", f"{item} tail"), (None, None, f"head {item}")]
+    docs = spark.createDataFrame(rows, "words long, item string, seed string")
+    bench = spark.createDataFrame([(7, item), (8, "too short")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench, ["words", "item"], "seed")
+    assert got.columns == ["words", "item", "item_id", "n_equal", "n_words"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "x", 7, 15, 15), (None, None, 7, 15, 15)]
+
+
 def test_every_benchmark_passage_in_documents_is_found(spark):
     docs, bench = documents(spark, SF_MID), spark.read.parquet(f"{SF_MID}/benchmark.parquet")
     got = {r.doc_id for r in decontaminate.contaminated(docs, bench, ["doc_id"]).collect()}

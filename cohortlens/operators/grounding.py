@@ -189,10 +189,25 @@ def insight_facts(insights_tidy: DataFrame, context_id: str) -> DataFrame:
         "value_double", "value_string")
 
 
-def memo_facts(df: DataFrame, ranked: DataFrame, insights_tidy: DataFrame, context_id: str) -> DataFrame:
-    """N7 - N1 + gap insights + top-8 initiatives."""
-    return _union([base_facts(df, context_id), insight_facts(insights_tidy, context_id),
-                   records_facts(ranked.select(*MEMO_COLUMNS), context_id, "top_initiatives", [F.asc("rank")], 8)])
+def active_scenario_facts(comparison: DataFrame, scenario_id: str, levers: dict, scope_label: str,
+                          context_id: str) -> DataFrame:
+    """The scenario under discussion: levers, scope, value, lift, ROI and payback."""
+    name = "active_scenario"
+    head = comparison.sparkSession.createDataFrame(
+        [(context_id, f"{name}.levers.{k}", float(v), None) for k, v in levers.items()]
+        + [(context_id, f"{name}.scope", None, scope_label)], FACT_SCHEMA)
+    money = comparison.where(F.col("scenario_id") == scenario_id).select(
+        rint_round("incremental_value", 0).alias("incremental_value"),
+        rint_round("clv_lift_pct", 4).alias("clv_lift_pct"), "roi", "payback_months")
+    return head.unionByName(record_facts(money, context_id, name, None))
+
+
+def memo_facts(df: DataFrame, ranked: DataFrame, insights_tidy: DataFrame, context_id: str,
+               active: DataFrame | None = None) -> DataFrame:
+    """N7 - N1 + gap insights + top-8 initiatives + the facts of the active scenario, if there is one."""
+    parts = [base_facts(df, context_id), insight_facts(insights_tidy, context_id),
+             records_facts(ranked.select(*MEMO_COLUMNS), context_id, "top_initiatives", [F.asc("rank")], 8)]
+    return _union(parts + ([active] if active is not None else []))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -1,10 +1,10 @@
 """I1-I12 initiative prioritisation.
 
-Initiatives are planning parameters (a few to a few thousand rows). Their
-driver lifts run through the scenario engine against the WHOLE baseline in
-one distributed job (one fan-out, one ``groupBy``); everything after that -
-min-max normalisation, composite scores, rank, classification, roadmap -
-works on the initiative-sized result, where global windows are fine.
+Initiatives are planning parameters. Their driver lifts run through the
+scenario engine against the WHOLE baseline as a table (one fan-out in blocks,
+one ``groupBy``; nothing is collected and any number is scored); everything
+after that - min-max normalisation, composite scores, rank, classification,
+roadmap - works on the initiative-sized result, where global windows are fine.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.numeric import rint_round
 from cohortlens.operators.ranks import minmax_normalize
-from cohortlens.operators.scenario import Scenario, compare_scenarios
-from cohortlens.schema import DEFAULT_DISCOUNT_RATE
+from cohortlens.operators.scenario import SCENARIO_STRUCT, compare_scenario_table
+from cohortlens.schema import DEFAULT_DISCOUNT_RATE, SCENARIO_LEVERS
+from cohortlens.session import materialize
 
 # ---- fixed values: initiative levers and qualitative fields, in order -------
 LIFT_FIELDS = ["first_week_lift", "app_install_lift", "trc_usage_lift", "sub_conversion_lift", "retention_lift",
@@ -24,7 +25,6 @@ LIFT_FIELDS = ["first_week_lift", "app_install_lift", "trc_usage_lift", "sub_con
 QUAL_FIELDS = ["confidence", "speed", "complexity", "strategic_fit", "risk", "retention_risk"]
 INPUT_COLUMNS = ["initiative"] + LIFT_FIELDS + ["cost"] + QUAL_FIELDS + ["thesis"]
 DEFAULT_QUAL = 3.0
-MAX_INITIATIVES = 10_000
 
 INITIATIVE_SCHEMA = T.StructType(
     [T.StructField("initiative", T.StringType())]
@@ -103,18 +103,13 @@ def clean_initiatives(df: DataFrame) -> DataFrame:
     return out
 
 
-def _initiative_scenarios(clean: DataFrame) -> tuple[list[Scenario], list[tuple]]:
-    """Bounded collect of the (small) parameter table; larger portfolios are refused, not truncated."""
-    rows = clean.orderBy("_order").limit(MAX_INITIATIVES + 1).collect()  # the size check and the read in one job
-    if len(rows) > MAX_INITIATIVES:
-        raise ValueError(f"more than {MAX_INITIATIVES} initiatives exceed the parameter-table bound; "
-                         "score them in separate portfolios")
-    scen, params = [], []
-    for i, r in enumerate(rows):
-        sid = f"i{i:05d}"
-        scen.append(Scenario(sid, {f: r[f] for f in LIFT_FIELDS}, r["cost"] if r["cost"] > 0 else None))
-        params.append((sid, i + 1, r["initiative"], r["thesis"], r["cost"], *[r[q] for q in QUAL_FIELDS]))
-    return scen, params
+def _as_scenarios(clean: DataFrame) -> DataFrame:
+    """Each initiative's lifts and cost as a scenario over all rows, named by its id."""
+    zero = F.lit(0.0)
+    fields = {f.name: F.lit(None).cast(f.dataType) for f in SCENARIO_STRUCT.fields}
+    fields |= {n: F.col(n) if n in LIFT_FIELDS else zero for n in SCENARIO_LEVERS}
+    fields |= {"scenario_id": F.col("scenario_id"), "cost": F.when(F.col("cost") > 0, F.col("cost"))}
+    return clean.select(*[c.alias(n) for n, c in fields.items()])
 
 
 def _weighted(weights: dict) -> F.Column:
@@ -131,15 +126,9 @@ def score_initiatives(baseline: DataFrame, initiatives: DataFrame | None = None,
     """I2-I9 - modeled financials through the scenario engine, scores, rank and class."""
     spark = baseline.sparkSession
     clean = clean_initiatives(initiatives if initiatives is not None else initiatives_table(spark))
-    scen, params = _initiative_scenarios(clean)
-    if not scen:
-        return score_initiatives(baseline, None, annual_discount_rate).where(F.lit(False))  # no rows, all columns
-    pschema = T.StructType([T.StructField("scenario_id", T.StringType()), T.StructField("position", T.IntegerType()),
-                            T.StructField("initiative", T.StringType()), T.StructField("thesis", T.StringType()),
-                            T.StructField("cost", T.DoubleType())]
-                           + [T.StructField(q, T.DoubleType()) for q in QUAL_FIELDS])
-    p = spark.createDataFrame(params, pschema)
-    cmp = compare_scenarios(baseline, scen, annual_discount_rate)
+    clean = materialize(clean, "initiatives").withColumn("scenario_id", F.col("_order").cast("string"))
+    p = clean.select("scenario_id", F.col("_order").alias("position"), "initiative", "thesis", "cost", *QUAL_FIELDS)
+    cmp = compare_scenario_table(baseline, _as_scenarios(clean), annual_discount_rate)
 
     def rel(scen_col, base_col):
         return F.when(F.col(base_col) != 0, F.col(scen_col) / F.col(base_col) - F.lit(1.0)).otherwise(F.lit(0.0))

@@ -36,6 +36,7 @@ from cohortlens.schema import (
 )
 
 MAX_SCENARIOS_PER_PASS = 2_000
+BLOCKS_PER_PASS = 32  # of a scenario table: 32 x 2,000 scenarios of about 150 bytes are broadcast, some 10 MB
 RETENTION_GUARDRAIL_PTS = -0.5
 MPH_UP_FACTOR = 1.001
 
@@ -169,6 +170,57 @@ def fan_out(baseline: DataFrame, scenarios: list[Scenario],
     return run_clv_model(x, annual_discount_rate)
 
 
+def _scope_of_table(columns: list[str], p: str = "sc") -> Column:
+    """Row-in-scope predicate for a scenario table; a scope on a dimension that the rows lack raises an error."""
+    cond = F.lit(True)
+    for col, key in (("market", "scope_market"), ("device_type", "scope_device"), ("engagement_segment", "scope_segment")):
+        wanted = F.col(f"{p}.{key}")
+        met = F.col(col) == wanted if col in columns else F.raise_error(F.lit(f"a scenario is scoped on {col}, which the table lacks")).cast("boolean")
+        cond = cond & F.when(wanted.isNull(), F.lit(True)).otherwise(met)
+    return cond
+
+
+def compare_scenario_table(baseline: DataFrame, scenarios: DataFrame,
+                           annual_discount_rate: float = DEFAULT_DISCOUNT_RATE) -> DataFrame:
+    """C2-C4 for a table of scenarios (the columns of ``SCENARIO_STRUCT``, distinct ids) of any length; nothing is collected.
+
+    The scenarios are dealt by their id into blocks of about ``MAX_SCENARIOS_PER_PASS``, each one row with an array. Every
+    baseline row meets every block through a join on the block number. ``BLOCKS_PER_PASS`` blocks at a time are
+    broadcast, so the sent side has a bounded size; more blocks take more passes over the baseline. ``scenarios`` is
+    read twice and should be a stored table.
+    """
+    n = scenarios.count()
+    blocks = max(1, -(-n // MAX_SCENARIOS_PER_PASS))
+    block = F.pmod(F.xxhash64("scenario_id"), F.lit(blocks)).cast("int")
+    dealt = scenarios.select(block.alias("__block"), F.struct(*[f.name for f in SCENARIO_STRUCT.fields]).alias("sc"))
+    dealt = dealt.groupBy("__block").agg(F.collect_list("sc").alias("__scenarios"))
+    carried = [F.col(src).alias(dst) for dst, src in CARRIED.items()]
+    b_mph = (F.col("total_monthly_revenue_per_household")
+             / F.greatest(F.col("monthly_streaming_hours"), F.lit(1e-9))).alias("b_mph")
+    parts = []
+    for first in range(0, blocks, BLOCKS_PER_PASS):
+        last = min(blocks, first + BLOCKS_PER_PASS) - 1
+        rows = baseline.select("*", *carried, b_mph, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("__block"))
+        sent = F.broadcast(dealt.where(F.col("__block").between(first, last)))
+        x = rows.join(sent, "__block").withColumn("sc", F.explode("__scenarios")).drop("__block", "__scenarios")
+        x = run_clv_model(x.where(_scope_of_table(baseline.columns)).withColumns(lifted_drivers()), annual_discount_rate)
+        parts.append(_kpis_by_scenario(x))
+    return with_comparison(_all(parts))
+
+
+def _kpis_by_scenario(fanned: DataFrame) -> DataFrame:
+    agg = fanned.groupBy(F.col("sc.scenario_id").alias("scenario_id"),
+                         F.col("sc.cost").alias("initiative_cost")).agg(*_kpi_pair())
+    return agg.where(F.col("households") > 0)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _wm(col: str) -> Column:
     return weighted_mean(col)
 
@@ -210,14 +262,8 @@ def compare_scenarios(baseline: DataFrame, scenarios: list[Scenario],
         chunk = scenarios[i:i + MAX_SCENARIOS_PER_PASS]
         if not chunk:
             break
-        fo = fan_out(baseline, chunk, annual_discount_rate)
-        agg = fo.groupBy(F.col("sc.scenario_id").alias("scenario_id"),
-                         F.col("sc.cost").alias("initiative_cost")).agg(*_kpi_pair())
-        parts.append(agg.where(F.col("households") > 0))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return with_comparison(out)
+        parts.append(_kpis_by_scenario(fan_out(baseline, chunk, annual_discount_rate)))
+    return with_comparison(_all(parts))
 
 
 def with_comparison(a: DataFrame) -> DataFrame:

@@ -101,18 +101,12 @@ def segment_summary(df: DataFrame, by: str = "engagement_segment") -> DataFrame:
 
 def segment_summaries(df: DataFrame, dims: list[str]) -> DataFrame:
     """A2 for several dimensions in one job (GROUPING SETS): ``(dimension, key, metrics...)``."""
-    gs = ", ".join(f"(`{d}`)" for d in dims)
-    df.createOrReplaceTempView("__seg_input")
-    metric_sql = ", ".join(
-        [f"try_divide(sum(rint(`{src}` * 1e9) * households), sum(households) * 1e9) AS {name}"
-         for name, src in SUMMARY_METRICS])
-    dim_case = " ".join(f"WHEN grouping(`{d}`) = 0 THEN '{d}'" for d in dims)
-    key_case = " ".join(f"WHEN grouping(`{d}`) = 0 THEN CAST(`{d}` AS STRING)" for d in dims)
-    sql = (f"SELECT CASE {dim_case} END AS dimension, CASE {key_case} END AS key, "
-           f"sum(households) AS households, {metric_sql}, "
-           f"sum(rint(discounted_clv * households * 1e6)) / 1e6 AS total_lifecycle_value "
-           f"FROM __seg_input GROUP BY GROUPING SETS ({gs})")
-    return df.sparkSession.sql(sql)
+    g = df.groupingSets([[d] for d in dims], *dims).agg(F.grouping_id().alias("__gid"), *summary_aggs())
+    # a set's grouping id has a 0 for its own dimension only; bits are in the order of ``dims``
+    own = {d: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}
+    pick = lambda values: F.coalesce(*[F.when(F.col("__gid") == own[d], v) for d, v in zip(dims, values)])
+    names = [n for n in g.columns if n not in {*dims, "__gid"}]
+    return g.select(pick([F.lit(d) for d in dims]).alias("dimension"), pick([F.col(d).cast("string") for d in dims]).alias("key"), *names)
 
 
 def value_segments(df: DataFrame, top_n: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import fixed_point_mean, rint_round, weighted_mean
+from cohortlens.functions.numeric import fixed_point_mean, rint_round, weighted_mean, weighted_mean_scaled
 from cohortlens.operators.monetization import monetization_summary
 from cohortlens.operators.segments import segment_summary
 from cohortlens.schema import RETENTION_COLUMNS, RETENTION_MONTHS
@@ -139,3 +139,11 @@ def score_grid(df: DataFrame, step: float = GRID_STEP) -> DataFrame:
         quadrant().alias("quadrant"),
     ).agg(F.count(F.lit(1)).alias("cohort_rows"), F.sum("households").alias("households"),
           weighted_mean("discounted_clv").alias("avg_clv"))
+
+
+def point_grid(df: DataFrame, x: str, y: str, x_cells: float, y_cells: float) -> DataFrame:
+    """A17 at scale - points (x, y) counted on a grid with so many cells per unit of each axis."""
+    cell = lambda c, n: (F.floor(F.col(c) * F.lit(float(n))) / F.lit(float(n)))
+    return df.groupBy(cell(x, x_cells).alias("x_bin"), cell(y, y_cells).alias("y_bin")).agg(
+        F.count(F.lit(1)).alias("cohort_rows"), F.sum("households").alias("households"),
+        weighted_mean_scaled("experience_health_score", 1).alias("avg_health"))

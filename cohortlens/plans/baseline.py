@@ -14,7 +14,6 @@ the materialised baseline for repeated requests with the same inputs.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -112,23 +111,21 @@ def build_baseline(cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DIS
 _REGISTRY: dict[tuple, Baseline] = {}
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    names = ("lineitem", "orders", "customer", "nation", "region")
+def fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files of the fact tables with size and time, from the file system that Spark reads them by."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     out = []
-    for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((n, st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append((n, None, None))
-    return tuple(out)
+    for n in ("lineitem", "orders", "customer", "nation", "region"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        for f in path.getFileSystem(conf).listStatus(path):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def baseline_for(spark: SparkSession, sf_dir: str, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
                  weights=None) -> Baseline:
     """Baseline built from the fact tables in ``sf_dir`` (memoised per session and inputs)."""
-    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), _fingerprint(sf_dir), float(annual_discount_rate),
+    key = (id(spark._jsparkSession), fingerprint(spark, sf_dir), float(annual_discount_rate),
            tuple(weights) if weights is not None else None)
     b = _REGISTRY.get(key)
     if b is None:

@@ -20,7 +20,7 @@ from cohortlens.operators import quality, segments, value
 from cohortlens.operators.scenario import Scenario
 from cohortlens.sources.files import read_initiatives_csv
 from cohortlens.operators.ranks import with_percentile_ranks
-from cohortlens.plans.baseline import baseline_table
+from cohortlens.plans.baseline import baseline_table, fingerprint
 from cohortlens.schema import DEFAULT_ACQUISITION_COST, DEFAULT_DISCOUNT_RATE, KEY_COLUMNS
 from cohortlens.session import materialize
 from cohortlens.sources.facts import cohorts_from_facts
@@ -83,6 +83,16 @@ def q_quality_issues_injected(spark, sf):
     return quality.issue_counts_long(inject_faults(cohorts_from_facts(spark, sf)))
 
 
+def q_cleaned_injected(spark, sf):
+    """V3-V5 - the rows that stay of the faulty cohort table, rates and non-negative drivers clipped."""
+    return finalize(quality.validate(inject_faults(cohorts_from_facts(spark, sf))).clean)
+
+
+def q_issue_records_injected(spark, sf):
+    """V2, V4-V7 - the ordered issue records of the faulty cohort table, with their messages."""
+    return quality.validate(inject_faults(cohorts_from_facts(spark, sf))).issues
+
+
 def q_cohort_csv_roundtrip(spark, sf):
     """S7 -> S1: the cohort table written as CSV to the shared folder, read back typed, then A4 KPIs."""
     from cohortlens.session import table_path
@@ -142,6 +152,28 @@ def q_payback_by_market_device(spark, sf):
     return finalize(value.payback_month(_base(spark, sf), CAC, RATE, by=["market", "device_type"]))
 
 
+OTHER_RATE, OTHER_CAC = 0.15, 12.5
+OTHER_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
+
+
+def q_kpis_other_terms(spark, sf):
+    """A4 + P10-P12 by market at a discount rate of 15 % and an acquisition cost of 12.50."""
+    b = baseline_table(spark, sf, annual_discount_rate=OTHER_RATE)
+    return finalize(value.portfolio_kpis(b, by=["market"], acquisition_cost=OTHER_CAC))
+
+
+def q_payback_other_terms(spark, sf):
+    """A5 by device type at a discount rate of 15 % and an acquisition cost of 12.50."""
+    b = baseline_table(spark, sf, annual_discount_rate=OTHER_RATE)
+    return finalize(value.payback_month(b, OTHER_CAC, OTHER_RATE, by=["device_type"]))
+
+
+def q_engagement_segments_weighted(spark, sf):
+    """W1-W3 with engagement weights of 0.4, 0.3, 0.2 and 0.1."""
+    b = baseline_table(spark, sf, weights=OTHER_WEIGHTS)
+    return finalize(b.select(*KEY_COLUMNS, "engagement_score", "engagement_segment"))
+
+
 # ------------------------------------------------------------ segments ----
 
 def q_engagement_segments(spark, sf):
@@ -164,7 +196,7 @@ def q_engagement_segments_ties(spark, sf):
     from cohortlens.plans.baseline import build_baseline_cached
     c = cohorts_from_facts(spark, sf).withColumn(
         "first_week_app_installs", F.floor(F.col("first_week_app_installs") / 4.0).cast("double"))
-    b = build_baseline_cached(("ties", sf), c, RATE, TIE_WEIGHTS)
+    b = build_baseline_cached(("ties", fingerprint(spark, sf)), c, RATE, TIE_WEIGHTS)
     return finalize(b.select(*KEY_COLUMNS, "first_week_app_installs", "engagement_score", "engagement_segment"))
 
 
@@ -250,6 +282,16 @@ def q_score_points(spark, sf):
     return finalize(views.score_points(_base(spark, sf)))
 
 
+def q_engagement_clv_grid(spark, sf):
+    """A17 - engagement score x CLV points counted in cells of 0.05 and 5 dollars."""
+    return finalize(views.point_grid(_base(spark, sf), "engagement_score", "discounted_clv", 20, 0.2))
+
+
+def q_depth_clv_grid(spark, sf):
+    """A17 - monetization depth x CLV points counted in cells of 5 points and 5 dollars."""
+    return finalize(views.point_grid(_base(spark, sf), "monetization_depth_score", "discounted_clv", 0.2, 0.2))
+
+
 def q_yield_by_market(spark, sf):
     """A15 - monetization yield per hour by market (ascending)."""
     return finalize(views.yield_by(_base(spark, sf), "market"))
@@ -286,6 +328,22 @@ def q_scoped_walkthrough(spark, sf):
     return finalize(a)
 
 
+FILTER_MARKETS = ["NATION_1", "NATION_3", "NATION_7", "NATION_12"]
+FILTER_DEVICES = ["BUILDING", "MACHINERY"]
+FILTER_MONTHS = ["1995-01", "1995-02", "1995-04"]
+
+
+def q_filtered_kpis_markets(spark, sf):
+    """F1 - KPIs on a market x device x cohort-month multi-select."""
+    v = views.filter_cohorts(_base(spark, sf), markets=FILTER_MARKETS, devices=FILTER_DEVICES, cohorts=FILTER_MONTHS)
+    return finalize(value.portfolio_kpis(v, acquisition_cost=CAC))
+
+
+def q_walkthrough_scope(spark, sf):
+    """F2 + A13 - the average household of one market and device."""
+    return finalize(value.walkthrough(views.scope(_base(spark, sf), market="NATION_3", device="BUILDING"), CAC, RATE))
+
+
 # ------------------------------------------------------------ scenarios ----
 
 SCOPED_SCENARIOS = [
@@ -478,7 +536,8 @@ def q_grounding_facts_planning(spark, sf):
     ranked = portfolio.score_initiatives(b, None, RATE)
     parts = [grounding.scenario_facts(cmp, onboarding.scenario_id, onboarding.levers, "All households", "scenario"),
              grounding.ranking_facts(ranked, "ranking"),
-             grounding.memo_facts(b, ranked, gap_insights_for(b), "memo")]
+             grounding.memo_facts(b, ranked, gap_insights_for(b), "memo", grounding.active_scenario_facts(
+                 cmp, onboarding.scenario_id, onboarding.levers, "All households", "memo"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -515,6 +574,32 @@ def q_figure_verification(spark, sf):
     return _verified(verify.verify_drafts(market_drafts(b), overview_facts(b)))
 
 
+SCENARIO_DRAFT = ("%s: CLV moves by $%.2f per household (%.1f%%) to $%.2f, revenue by $%.3f per household per month and "
+                  "lifetime by %.2f to %.1f months, worth $%.1fK in total; support cost falls by 7.77%%.")
+
+
+def scenario_drafts(comparison: DataFrame) -> DataFrame:
+    """A draft per scenario that quotes what it changes, and one figure that no fact backs."""
+    delta = lambda k: F.col(f"scenario_{k}") - F.col(f"baseline_{k}")
+    text = F.format_string(
+        SCENARIO_DRAFT, F.col("scenario_id"), rint_round(delta("avg_clv"), 2), rint_round(F.col("clv_lift_pct") * 100.0, 1),
+        rint_round("scenario_avg_clv", 2), rint_round(delta("avg_revenue_per_household"), 3),
+        rint_round(delta("avg_expected_retained_months"), 2), rint_round("scenario_avg_expected_retained_months", 1),
+        rint_round(F.col("incremental_value") / 1000.0, 1))
+    return comparison.select(F.concat(F.lit("scenario:"), F.col("scenario_id")).alias("draft_id"),
+                             F.col("scenario_id").alias("context_id"), text.alias("text"))
+
+
+def q_scenario_verification(spark, sf):
+    """N12 with N8-N15 - drafts that quote the presets' KPI changes, each checked against its scenario's context."""
+    cmp = materialize(scenario.compare_scenarios(_base(spark, sf), scenario.PRESETS, RATE), "compared")
+    facts = None
+    for s in scenario.PRESETS:
+        one = grounding.scenario_facts(cmp, s.scenario_id, s.levers, "All households", s.scenario_id)
+        facts = one if facts is None else facts.unionByName(one)
+    return _verified(verify.verify_drafts(scenario_drafts(cmp), facts))
+
+
 def _documents(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
 
@@ -581,6 +666,8 @@ QUERIES = {
     "cohort_table": q_cohort_table,
     "quality_issues": q_quality_issues,
     "quality_issues_injected": q_quality_issues_injected,
+    "cleaned_injected": q_cleaned_injected,
+    "issue_records_injected": q_issue_records_injected,
     "cohort_csv_roundtrip": q_cohort_csv_roundtrip,
     "clv_detail": q_clv_detail,
     "survival_long": q_survival_long,
@@ -591,6 +678,9 @@ QUERIES = {
     "payback": q_payback,
     "payback_by_market_device": q_payback_by_market_device,
     "engagement_segments": q_engagement_segments,
+    "kpis_other_terms": q_kpis_other_terms,
+    "payback_other_terms": q_payback_other_terms,
+    "engagement_segments_weighted": q_engagement_segments_weighted,
     "engagement_segments_ties": q_engagement_segments_ties,
     "segment_summary_segment": _summary("engagement_segment"),
     "segment_summary_market": _summary("market"),
@@ -610,10 +700,14 @@ QUERIES = {
     "headline_gaps": q_headline_gaps,
     "score_grid": q_score_grid,
     "score_points": q_score_points,
+    "engagement_clv_grid": q_engagement_clv_grid,
+    "depth_clv_grid": q_depth_clv_grid,
     "yield_by_market": q_yield_by_market,
     "yield_by_device": q_yield_by_device,
     "clv_by_cohort": q_clv_by_cohort,
     "filtered_kpis": q_filtered_kpis,
+    "filtered_kpis_markets": q_filtered_kpis_markets,
+    "walkthrough_scope": q_walkthrough_scope,
     "scoped_walkthrough": q_scoped_walkthrough,
     "scenario_presets": q_scenario_presets,
     "scenario_scoped": q_scenario_scoped,
@@ -633,6 +727,7 @@ QUERIES = {
     "grounding_facts_planning": q_grounding_facts_planning,
     "draft_figures": q_draft_figures,
     "figure_verification": q_figure_verification,
+    "scenario_verification": q_scenario_verification,
     "document_figures": q_document_figures,
     "document_verification": q_document_verification,
     "document_verification_stream": q_document_verification_stream,

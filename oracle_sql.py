@@ -1,23 +1,33 @@
 """DuckDB reference SQL for every registered query (the correctness oracle).
 
-Written independently of the Spark code: plain SQL over the pre-registered
-views ``lineitem orders customer nation region documents``. Floating outputs
+Plain SQL over the pre-registered views ``lineitem orders customer nation region documents``. Floating outputs
 are rounded half-even to 6 dp in both engines (distributed sums differ in
 the last bits), tercile edges to 9 dp.
 """
 
 from __future__ import annotations
 
-from cohortlens.functions.survival import discount_factors
-from cohortlens.schema import (
-    CLV_HORIZON_MONTHS,
-    NON_NEGATIVE_COLUMNS,
-    RATE_COLUMNS,
-    REQUIRED_COLUMNS,
-)
+from typing import NamedTuple
 
+# Fixed values, stated here anew so that a wrong constant of the library shows.
 RATE = 0.10
 CAC = 8.0
+CLV_HORIZON_MONTHS = 24
+REQUIRED_COLUMNS = [
+    "cohort_month", "market", "region", "device_type", "households", "activation_rate", "first_week_hours",
+    "first_week_app_installs", "trc_usage_rate", "subscription_conversion_rate", "monthly_streaming_hours",
+    "ad_supported_share", "ad_impressions_per_hour", "cpm", "fill_rate", "subscription_arpu", "gross_margin",
+    "month_1_retention", "month_3_retention", "month_6_retention", "month_12_retention", "support_cost_per_household"]
+RATE_COLUMNS = [
+    "activation_rate", "trc_usage_rate", "subscription_conversion_rate", "ad_supported_share", "fill_rate", "gross_margin",
+    "month_1_retention", "month_3_retention", "month_6_retention", "month_12_retention"]
+NON_NEGATIVE_COLUMNS = ["households", "monthly_streaming_hours", "cpm", "subscription_arpu", "support_cost_per_household",
+                        "ad_impressions_per_hour"]
+
+
+def discount_factors(rate: float) -> list[float]:
+    """Month t of 24 at a twelfth of the annual rate."""
+    return [1.0 / (1.0 + rate / 12.0) ** t for t in range(1, CLV_HORIZON_MONTHS + 1)]
 
 
 def r(e: str, d: int = 6) -> str:
@@ -197,7 +207,7 @@ RANKED = ["first_week_hours", "first_week_app_installs", "trc_usage_rate", "mont
           "discounted_clv"]
 
 
-def baseline_ctes(weights=(1.0, 1.0, 1.0, 1.0), src_cohort: str = "cohort") -> str:
+def baseline_ctes(weights=(1.0, 1.0, 1.0, 1.0), src_cohort: str = "cohort", rate: float = RATE) -> str:
     """Full baseline: cohort -> clean -> clv -> ratio metrics -> ranks -> scores -> segment."""
     w = [float(x) for x in weights]
     if len(w) != 4 or sum(w) <= 0:
@@ -213,7 +223,7 @@ def baseline_ctes(weights=(1.0, 1.0, 1.0, 1.0), src_cohort: str = "cohort") -> s
     ranks = ", ".join(f"{_pr(c)} AS p_{c}" for c in RANKED)
     return f"""{COHORT_CTES if src_cohort == 'cohort' else ''}{',' if src_cohort == 'cohort' else ''}
 clean AS ({_clean_select(src_cohort)}),
-{clv_ctes('clean')},
+{clv_ctes('clean', rate)},
 mon AS (
   SELECT *, total_monthly_revenue_per_household AS revenue_per_household,
     total_monthly_revenue_per_household / greatest(monthly_streaming_hours, 1e-9) AS monetization_per_streaming_hour,
@@ -249,8 +259,8 @@ base AS (
   FROM scored s CROSS JOIN edges e)"""
 
 
-def with_base(select: str, weights=(1.0, 1.0, 1.0, 1.0)) -> str:
-    return f"WITH {baseline_ctes(weights)}\n{select}"
+def with_base(select: str, weights=(1.0, 1.0, 1.0, 1.0), rate: float = RATE) -> str:
+    return f"WITH {baseline_ctes(weights, rate=rate)}\n{select}"
 
 
 # ----------------------------------------------------------- the queries ----
@@ -310,7 +320,7 @@ def kpi_select(keys: str = "", src: str = "base", cac: float | None = CAC) -> st
     return body + " HAVING sum(households) > 0"
 
 
-def walkthrough_sql() -> str:
+def walkthrough_sql(src: str = "base") -> str:
     steps = [("ad_revenue", wavg("ad_revenue_per_household")),
              ("subscription_revenue", wavg("subscription_revenue_per_household")),
              ("monthly_revenue", wavg("total_monthly_revenue_per_household")),
@@ -325,7 +335,7 @@ def walkthrough_sql() -> str:
              ("net_clv", f"{wavg('discounted_clv')} - {CAC!r}")]
     agg = ", ".join(f"{e} AS {n}" for n, e in steps)
     parts = [f"SELECT {i + 1} AS step, '{n}' AS name, {r(n)} AS value FROM a" for i, (n, _) in enumerate(steps)]
-    return with_base(f", a AS (SELECT {agg} FROM base HAVING sum(households) > 0)\n" + "\nUNION ALL ".join(parts))
+    return with_base(f", a AS (SELECT {agg} FROM {src} HAVING sum(households) > 0)\n" + "\nUNION ALL ".join(parts))
 
 
 def payback_sql(keys: str = "", cac: float = CAC, rate: float = RATE) -> str:
@@ -347,7 +357,7 @@ def payback_sql(keys: str = "", cac: float = CAC, rate: float = RATE) -> str:
     return with_base(f""",{surv_ctes('base', 'bs')},
 pa AS (SELECT {k}CAST(sum(households) AS BIGINT) AS _w, {sums} FROM bs{group}),
 pc AS (SELECT *, {cums} FROM pa)
-SELECT {k}_w AS households, CAST({pay} AS INTEGER) AS payback_month, {r('c24')} AS cumulative_discounted_gp_24 FROM pc""")
+SELECT {k}_w AS households, CAST({pay} AS INTEGER) AS payback_month, {r('c24')} AS cumulative_discounted_gp_24 FROM pc""", rate=rate)
 
 
 SUMMARY = [("avg_first_week_hours", "first_week_hours"), ("avg_trc_usage_rate", "trc_usage_rate"),
@@ -463,6 +473,10 @@ def queries() -> dict[str, str]:
             " * households), 1e-9) AS a FROM base HAVING sum(households) > 0) "
             f"SELECT 'ad_revenue' AS revenue_type, {r('a')} AS share FROM k UNION ALL "
             f"SELECT 'subscription_revenue', {r('1.0 - a')} FROM k"),
+        "kpis_other_terms": with_base(kpi_select("market", cac=12.5), rate=0.15),
+        "payback_other_terms": payback_sql("device_type", cac=12.5, rate=0.15),
+        "engagement_segments_weighted": with_base(f"SELECT {KEYS}, {r('engagement_score')} AS engagement_score, "
+                                                  "engagement_segment FROM base", weights=(0.4, 0.3, 0.2, 0.1)),
         "payback": payback_sql(),
         "payback_by_market_device": payback_sql("market, device_type"),
         "engagement_segments": with_base(f"SELECT {KEYS}, {r('engagement_score')} AS engagement_score, "
@@ -511,6 +525,14 @@ def quadrant_sql() -> str:
             f"WHEN {x} >= 50.0 THEN 'healthy_monetized' ELSE 'low_depth_low_health' END")
 
 
+def grid_sql(x: str, y: str, nx: float, ny: float) -> str:
+    return with_base(
+        f"SELECT {r(f'floor({x} * CAST({nx} AS DOUBLE)) / CAST({nx} AS DOUBLE)')} AS x_bin, "
+        f"{r(f'floor({y} * CAST({ny} AS DOUBLE)) / CAST({ny} AS DOUBLE)')} AS y_bin, count(*) AS cohort_rows, "
+        f"CAST(sum(households) AS BIGINT) AS households, {r(wavg('experience_health_score'))} AS avg_health "
+        "FROM base GROUP BY 1, 2")
+
+
 def views_queries() -> dict[str, str]:
     m = {1: "month_1_retention", 3: "month_3_retention", 6: "month_6_retention", 12: "month_12_retention"}
     rc = ", ".join(f"{wavg(c)} AS m{k}" for k, c in m.items())
@@ -548,6 +570,13 @@ UNION ALL SELECT 'top_market_lifecycle_value', {r('tp.tlv')}, tp.market FROM tp"
             "floor(experience_health_score / 5.0) * 5.0 AS health_bin, "
             f"{quadrant_sql()} AS quadrant, count(*) AS cohort_rows, CAST(sum(households) AS BIGINT) AS households, "
             f"{r(wavg('discounted_clv'))} AS avg_clv FROM base GROUP BY 1, 2, 3"),
+        "engagement_clv_grid": grid_sql("engagement_score", "discounted_clv", 20.0, 0.2),
+        "depth_clv_grid": grid_sql("monetization_depth_score", "discounted_clv", 0.2, 0.2),
+        "filtered_kpis_markets": with_base(kpi_select(
+            src="(SELECT * FROM base WHERE market IN ('NATION_1', 'NATION_3', 'NATION_7', 'NATION_12') "
+                "AND device_type IN ('BUILDING', 'MACHINERY') AND cohort_month IN ('1995-01', '1995-02', '1995-04'))")),
+        "walkthrough_scope": walkthrough_sql(
+            "(SELECT * FROM base WHERE market = 'NATION_3' AND device_type = 'BUILDING')"),
         "score_points": with_base(
             "SELECT cohort_month, market, device_type, engagement_segment, households, "
             + ", ".join(f"{r(c)} AS {c}" for c in ("engagement_score", "discounted_clv", "monetization_depth_score",
@@ -569,6 +598,24 @@ LEVERS = ["first_week_lift", "app_install_lift", "trc_usage_lift", "sub_conversi
           "cpm_lift", "gross_margin_change", "experience_risk_penalty"]
 
 
+class What(NamedTuple):
+    scenario_id: str
+    levers: dict
+    cost: float | None = None
+    market: str | None = None
+    device_type: str | None = None
+    engagement_segment: str | None = None
+
+
+# The preset scenarios.
+PRESETS = [
+    What("onboarding_push", {"first_week_lift": 0.15, "app_install_lift": 0.10}, 750_000.0),
+    What("engagement_push", {"trc_usage_lift": 0.20}, 900_000.0),
+    What("monetization_push", {"cpm_lift": 0.10, "sub_conversion_lift": 0.15}, 600_000.0),
+    What("reset_to_baseline", {}, 0.0),
+]
+
+
 def _lit(v) -> str:
     if v is None:
         return "NULL"
@@ -666,13 +713,18 @@ def cols_sql(cols, keep=("scenario_id", "households", "never_pays_back", "verdic
 
 
 def scenario_queries() -> dict[str, str]:
-    from cohortlens.operators.scenario import IMPACT_METRICS, LEVER_LABELS, PRESETS
     from cohortlens.plans.catalog import COMPARE_COLUMNS, SCOPED_SCENARIOS, verdict_grid
 
+    impact_metrics = [("Avg CLV ($)", "avg_clv"), ("Revenue / HH / mo ($)", "avg_revenue_per_household"),
+                      ("Gross profit / HH / mo ($)", "avg_gross_profit_per_household"),
+                      ("Retained months", "avg_expected_retained_months")]
+    lever_labels = ["first-week engagement", "onboarding app installs", "free-channel usage", "subscription conversion",
+                    "retention (direct)", "CPM", "gross margin (pts)", "experience risk penalty"]
+
     impact = " UNION ALL ".join(
         f"SELECT scenario_id, {i + 1} AS position, '{label}' AS metric, {r('baseline_' + k)} AS baseline, "
-        f"{r('scenario_' + k)} AS scenario FROM cmp" for i, (label, k) in enumerate(IMPACT_METRICS))
-    labels = ", ".join(f"('{k}', {i + 1}, '{v}')" for i, (k, v) in enumerate(LEVER_LABELS.items()))
+        f"{r('scenario_' + k)} AS scenario FROM cmp" for i, (label, k) in enumerate(impact_metrics))
+    labels = ", ".join(f"('{k}', {i + 1}, '{v}')" for i, (k, v) in enumerate(zip(LEVERS, lever_labels)))
     levers = f"""
 , lv AS (UNPIVOT sc ON {', '.join(LEVERS)} INTO NAME lever VALUE value),
 lab(lever, position, label) AS (SELECT * FROM (VALUES {labels}) t(lever, position, label))
@@ -839,8 +891,7 @@ g2 AS (SELECT (SELECT min(cohort_month) FROM mo WHERE rn <= 3) || ' – ' || (SE
 
 
 def marginal_ctes() -> str:
-    from cohortlens.operators.scenario import Scenario
-    body = compare_ctes([Scenario("retention_plus_5", {"retention_lift": 0.05})])
+    body = compare_ctes([What("retention_plus_5", {"retention_lift": 0.05})])
     body = body[:body.index(",\nsagg AS (")]
     return body + f""",
 g3m AS (SELECT market, CAST(sum(households) AS BIGINT) AS households, {wavg('b_clv')} AS base_clv,
@@ -1144,6 +1195,7 @@ def verification_queries() -> dict[str, str]:
                                    + f"\nSELECT draft_id, CAST(pos AS INTEGER) AS pos, raw, {r('value')} AS value, "
                                    f"{r('tol')} AS tol FROM pf"),
         "grounding_facts_planning": planning_sql(),
+        "scenario_verification": scenario_verification_sql(),
         "figure_verification": with_base(overview_facts_ctes() + verify_sql(market_drafts_cte())),
         "document_figures": doc_figs,
         "document_verification": with_base(overview_facts_ctes() + verify_sql(
@@ -1160,48 +1212,78 @@ def _rename(sql: str, suffix: str) -> str:
     return re.sub(_CTE_NAMES, lambda m: m.group(1) + suffix, sql)
 
 
-def planning_sql() -> str:
-    from cohortlens.operators.scenario import PRESETS
-    from cohortlens.operators.value import KPI_NAMES
-    onboarding = PRESETS[0]
-    ins = under_monetized_ctes() + vintage_ctes() + marginal_ctes() + ", " + insight_tidy_cte()
-    scen = _rename(compare_ctes([onboarding]), "_s")
-    rank = _rename(ranking_ctes(initiative_src_presets()), "_r")
-    memo_ctes, memo_sel = base_facts_sql("memo")
+def scenario_facts_sql(src: str, ctx: str, levers: dict) -> list[str]:
+    """Selects of the scenario context ``ctx``; ``src`` is the compared scenario's one row."""
+    names = ["total_households", "avg_clv", "total_lifecycle_value", "avg_month_6_retention", "avg_revenue_per_household",
+             "avg_gross_profit_per_household", "avg_expected_retained_months", "ad_revenue_share"]
 
     def kpis(side):
-        return ", ".join(("households" if k == "total_households" else f"{side}_{k}") + f" AS {k}" for k in KPI_NAMES)
+        return ", ".join(("households" if k == "total_households" else f"{side}_{k}") + f" AS {k}" for k in names)
 
-    kcols = [("total_households", "int")] + [(k, "d") for k in KPI_NAMES[1:]]
-    head = ["SELECT 'scenario' AS context_id, 'scenario_scope' AS path, CAST(NULL AS DOUBLE) AS value_double, "
+    kcols = [("total_households", "int")] + [(k, "d") for k in names[1:]]
+    head = [f"SELECT '{ctx}' AS context_id, 'scenario_scope' AS path, CAST(NULL AS DOUBLE) AS value_double, "
             "'All households' AS value_string"]
-    head += [f"SELECT 'scenario', 'scenario_levers.{k}', CAST({float(v)!r} AS DOUBLE), CAST(NULL AS VARCHAR)"
-             for k, v in onboarding.levers.items()]
+    head += [f"SELECT '{ctx}', 'scenario_levers.{k}', CAST({float(v)!r} AS DOUBLE), CAST(NULL AS VARCHAR)"
+             for k, v in levers.items()]
     money = (f"(SELECT {r_('incremental_value', 0)} AS incremental_value, {r_('clv_lift_pct', 4)} AS clv_lift_pct, "
-             "roi, payback_months, initiative_cost FROM cmp_s)")
+             f"roi, payback_months, initiative_cost FROM {src} x)")
     guard = (f"(SELECT {r_('baseline_mph', 4)} AS monetization_per_hour_baseline, "
              f"{r_('scenario_mph', 4)} AS monetization_per_hour_scenario, "
              f"{r_('month_6_retention_delta_pts', 2)} AS month_6_retention_delta_pts, "
-             f"{r_('streaming_hours_change_pct', 4)} AS streaming_hours_change_pct FROM cmp_s)")
+             f"{r_('streaming_hours_change_pct', 4)} AS streaming_hours_change_pct FROM {src} x)")
     money_sel = " UNION ALL ".join(
-        f"SELECT 'scenario', '{c}', CAST({c} AS DOUBLE), CAST(NULL AS VARCHAR) FROM {money} m"
+        f"SELECT '{ctx}', '{c}', CAST({c} AS DOUBLE), CAST(NULL AS VARCHAR) FROM {money} m"
         for c in ("incremental_value", "clv_lift_pct", "roi", "payback_months", "initiative_cost"))
+    return head + [
+        record_facts_sql(f"(SELECT {kpis('baseline')} FROM {src} x) bk", ctx, "baseline_kpis", kcols),
+        record_facts_sql(f"(SELECT {kpis('scenario')} FROM {src} x) sk", ctx, "scenario_kpis", kcols),
+        money_sel,
+        record_facts_sql(f"{guard} g", ctx, "monetization_and_experience_guardrails",
+                         [(c, "d") for c in ("monetization_per_hour_baseline", "monetization_per_hour_scenario",
+                                             "month_6_retention_delta_pts", "streaming_hours_change_pct")], None)]
+
+
+def active_scenario_sql(src: str, ctx: str, levers: dict) -> list[str]:
+    head = [f"SELECT '{ctx}', 'active_scenario.levers.{k}', CAST({float(v)!r} AS DOUBLE), CAST(NULL AS VARCHAR)"
+            for k, v in levers.items()]
+    head.append(f"SELECT '{ctx}', 'active_scenario.scope', CAST(NULL AS DOUBLE), 'All households'")
+    exprs = {"incremental_value": r_("incremental_value", 0), "clv_lift_pct": r_("clv_lift_pct", 4), "roi": "roi",
+             "payback_months": "payback_months"}
+    return head + [f"SELECT '{ctx}', 'active_scenario.{c}', CAST({e} AS DOUBLE), CAST(NULL AS VARCHAR) FROM {src} x"
+                   for c, e in exprs.items()]
+
+
+def scenario_verification_sql() -> str:
+    facts = [x for s in PRESETS for x in scenario_facts_sql(f"(SELECT * FROM cmp WHERE scenario_id = '{s.scenario_id}')",
+                                                            s.scenario_id, s.levers)]
+    fmt = ("%s: CLV moves by $%.2f per household (%.1f%%) to $%.2f, revenue by $%.3f per household per month and "
+           "lifetime by %.2f to %.1f months, worth $%.1fK in total; support cost falls by 7.77%%.")
+    drafts = ("dr AS (SELECT 'scenario:' || scenario_id AS draft_id, scenario_id AS context_id, "
+              f"printf('{fmt}', scenario_id, {r_('scenario_avg_clv - baseline_avg_clv', 2)}, {r_('clv_lift_pct * 100.0', 1)}, "
+              f"{r_('scenario_avg_clv', 2)}, {r_('scenario_avg_revenue_per_household - baseline_avg_revenue_per_household', 3)}, "
+              f"{r_('scenario_avg_expected_retained_months - baseline_avg_expected_retained_months', 2)}, "
+              f"{r_('scenario_avg_expected_retained_months', 1)}, {r_('incremental_value / 1000.0', 1)}) AS text FROM cmp)")
+    return with_base(compare_ctes(PRESETS) + f",\nfacts AS ({' UNION ALL '.join(facts)})" + verify_sql(drafts))
+
+
+def planning_sql() -> str:
+    onboarding = PRESETS[0]
+    ins = under_monetized_ctes() + vintage_ctes() + marginal_ctes() + ", " + insight_tidy_cte()
+    scen = _rename(compare_ctes([onboarding]), "_s")
+    rank = _rename(ranking_ctes(initiative_src_presets()), "_r")
+    memo_ctes, memo_sel = base_facts_sql("memo")
+
     rk = [("rank", "int"), ("initiative", "str"), ("classification", "str")]
     rank_cols = rk + [(c, "d") for c in ("balanced_score", "monetization_lift", "experience_impact", "retention_risk",
                                          "incremental_value", "clv_lift_pct", "roi", "payback_months", "confidence",
                                          "complexity", "score")]
     memo_cols = rk + [(c, "d") for c in ("incremental_value", "roi", "payback_months", "score", "balanced_score",
                                          "monetization_lift", "experience_impact", "retention_risk")]
-    parts = head + [
-        record_facts_sql(f"(SELECT {kpis('baseline')} FROM cmp_s) bk", "scenario", "baseline_kpis", kcols),
-        record_facts_sql(f"(SELECT {kpis('scenario')} FROM cmp_s) sk", "scenario", "scenario_kpis", kcols),
-        money_sel,
-        record_facts_sql(f"{guard} g", "scenario", "monetization_and_experience_guardrails",
-                         [(c, "d") for c in ("monetization_per_hour_baseline", "monetization_per_hour_scenario",
-                                             "month_6_retention_delta_pts", "streaming_hours_change_pct")], None),
+    parts = scenario_facts_sql("cmp_s", "scenario", onboarding.levers) + [
         records_facts_sql("iranked_r", "ranking", "ranked_initiatives", rank_cols, "rank ASC", 12),
         memo_sel, insight_facts_sql("memo"),
         records_facts_sql("iranked_r", "memo", "top_initiatives", memo_cols, "rank ASC", 8),
+        *active_scenario_sql("cmp_s", "memo", onboarding.levers),
     ]
     return with_base(f"""{ins}{scen}{rank}, {memo_ctes},
 allf AS ({' UNION ALL '.join(parts)})
@@ -1234,6 +1316,27 @@ def injected_cohort_cte() -> str:
     return f"dirty AS (SELECT {', '.join(cols)} FROM cohort)"
 
 
+def issue_records_sql() -> str:
+    counts = quality_issues_sql("dirty", COHORT_CTES + ", " + injected_cohort_cte())
+    order = ", ".join(f"('{chk}', '{c}', {i})" for i, (chk, c, _) in enumerate(
+        [*QUALITY_SPECS, ("inverted_retention", "month_12_retention", ""), ("rows_remaining", "*", "")]))
+    return f"""WITH counts AS ({counts}),
+places(p_check, p_column, place) AS (SELECT * FROM (VALUES {order}) v(p_check, p_column, place)),
+listed AS (SELECT "check", "column", n_rows, place FROM counts JOIN places ON "check" = p_check AND "column" = p_column
+           WHERE ("check" = 'rows_remaining') = (n_rows = 0))
+SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS seq,
+  CASE WHEN "check" = 'rows_remaining' THEN 'error' ELSE 'warning' END AS severity,
+  CASE WHEN "check" = 'rows_remaining' THEN 'empty_result' ELSE "check" END AS "check",
+  CASE WHEN "check" <> 'rows_remaining' THEN "column" END AS "column", n_rows,
+  CASE "check"
+    WHEN 'missing_values' THEN '`' || "column" || '` has ' || n_rows || ' missing value(s); affected rows were dropped.'
+    WHEN 'rate_range' THEN '`' || "column" || '` has ' || n_rows || ' value(s) outside [0, 1]; clipped.'
+    WHEN 'non_negative' THEN '`' || "column" || '` has ' || n_rows || ' negative value(s); clipped to 0.'
+    WHEN 'inverted_retention' THEN n_rows || ' row(s) have month-12 retention above month-1 retention — check the retention curve inputs.'
+    ELSE 'No valid rows remain after cleaning.' END AS message
+FROM listed"""
+
+
 def extra_queries() -> dict[str, str]:
     ties = baseline_ctes((0.0, 1.0, 0.0, 0.0), src_cohort="cohort_t")
     ties_sql = (f"WITH {COHORT_CTES}, cohort_t AS (SELECT * REPLACE (CAST(floor(first_week_app_installs / 4.0) AS DOUBLE) "
@@ -1245,4 +1348,7 @@ def extra_queries() -> dict[str, str]:
         "cohort_csv_roundtrip": f"WITH {COHORT_CTES}, clean AS ({_clean_select('cohort')}), {clv_ctes('clean')[1:]}\n"
                                 + kpi_select(src="clv"),
         "engagement_segments_ties": ties_sql,
+        "cleaned_injected": f"WITH {COHORT_CTES}, {injected_cohort_cte()}, clean AS ({_clean_select('dirty')})\n"
+                            f"SELECT {COHORT_COLS} FROM clean",
+        "issue_records_injected": issue_records_sql(),
     }

@@ -51,6 +51,28 @@ def test_roadmap_and_top(base):
     assert all(r.size >= 5.0 for r in pts)
 
 
+def test_initiatives_in_any_number_of_blocks(spark, base, monkeypatch):
+    from cohortlens.operators import scenario
+
+    ini = spark.createDataFrame([(f"i{i % 7}", i / 100.0, float(i)) for i in range(40)],
+                                "initiative string, retention_lift double, cost double")
+    want = portfolio.score_initiatives(base, ini).orderBy("rank").collect()
+    monkeypatch.setattr(scenario, "MAX_SCENARIOS_PER_PASS", 3)
+    monkeypatch.setattr(scenario, "BLOCKS_PER_PASS", 4)
+    assert portfolio.score_initiatives(base, ini).orderBy("rank").collect() == want and len(want) == 40
+
+
+def test_scenario_table_equals_scenario_list(spark, base):
+    from cohortlens.operators import scenario
+
+    rows = [*scenario.PRESETS, scenario.Scenario("br", {"cpm_lift": 0.2}, 10.0, market="Brazil")]
+    got = scenario.compare_scenario_table(base, scenario.scenario_table(spark, rows)).orderBy("scenario_id").collect()
+    assert got == scenario.compare_scenarios(base, rows).orderBy("scenario_id").collect() and len(got) == 5
+    scoped = scenario.scenario_table(spark, [scenario.Scenario("s", {}, engagement_segment="High")])
+    with pytest.raises(Exception, match="engagement_segment"):
+        scenario.compare_scenario_table(base, scoped).collect()
+
+
 def test_empty_portfolio_keeps_its_columns(spark):
     from cohortlens.operators import portfolio
     from cohortlens.plans.baseline import baseline_table

@@ -35,60 +35,38 @@ def safe_div(num, den) -> Column:
     return F.try_divide(_col(num), _col(den))
 
 
-FIXED_POINT_DIGITS = 9
-FIXED_POINT_SCALE = float(10 ** FIXED_POINT_DIGITS)
+TERM = "decimal(38,18)"
 
 
-def fixed_point_sum(x, w="households") -> Column:
-    """sum(rint(x*1e9) * w): the weighted sum in fixed point at 1e-9 resolution.
+def exact_sum(x, w=None, over=None) -> Column:
+    """sum(x), or sum(x * w), added up exactly in decimals and so independent of the order rows meet in.
 
-    Every term is an integer-valued double, so partial sums are exact (and
-    independent of the order rows meet in a distributed aggregate) while they
-    stay below 2^53; beyond that they round like any floating sum.
+    A term is the product of the shortest decimals of a value (below 1e9) and a whole weight (below 1e10) with 18
+    decimals; other products are taken in double precision first. If a value or the total has no such decimal (not
+    finite, 1e20 or more) the whole sum is the plain floating one. ``over``: a window to add up in.
     """
-    return F.sum(F.rint(_col(x) * F.lit(FIXED_POINT_SCALE)) * _col(w))
+    x = _col(x)
+    if w is None:
+        plain, term = x.cast("double"), x.try_cast(TERM)
+    else:
+        w = _col(w)
+        plain, whole = x * w, w.try_cast("decimal(10,0)")
+        term = F.coalesce(F.when(w == whole, x.try_cast("decimal(27,18)") * whole), plain.try_cast(TERM))
+    within = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    inexact = within(F.count_if(plain.isNotNull() & term.isNull()))
+    return F.coalesce(F.when(inexact == 0, within(F.try_sum(term)).cast("double")), within(F.sum(plain)))
 
 
 def weighted_mean(x, w="households") -> Column:
-    """Household-weighted mean sum(x*w)/sum(w) from fixed-point sums; NULL when the weight total is 0.
+    """Household-weighted mean sum(x*w)/sum(w) from an exact sum; NULL when the weight total is 0.
 
     Cohort measures are averages of small-denominator shares, so their means
-    often sit exactly on a rounding tie; the fixed-point sum keeps the result
-    reproducible across partitionings (and engines).
+    often sit exactly on a rounding tie; the exact sum keeps the result
+    reproducible across partitionings.
     """
-    wc = _col(w)
-    return safe_div(fixed_point_sum(x, w), F.sum(wc) * F.lit(FIXED_POINT_SCALE))
+    return safe_div(exact_sum(x, w), F.sum(_col(w)))
 
 
-def scaled_weighted_sum(x, digits: int, w="households") -> Column:
-    """sum(rint(x*10^d) * w): exact (integer-valued) for scores stored with ``d`` decimals.
-
-    Integer-valued doubles add exactly in any order, so a weighted mean of
-    rounded scores does not depend on how rows meet in a distributed sum.
-    """
-    return F.sum(F.rint(_col(x) * F.lit(float(10 ** digits))) * _col(w))
-
-
-def weighted_mean_scaled(x, digits: int, w="households") -> Column:
-    """Weighted mean of a ``d``-decimal score from exact sums: one final division."""
-    return safe_div(scaled_weighted_sum(x, digits, w), F.sum(_col(w)) * F.lit(float(10 ** digits)))
-
-
-def fixed_point_mean(x, digits: int = 9) -> Column:
-    """Unweighted mean computed from exact fixed-point sums at 10^-d resolution.
-
-    sum(rint(x*10^d)) adds integer-valued doubles, which is exact in any
-    order, so the mean (and anything rounded from it) is independent of how
-    rows are partitioned.
-    """
-    scale = float(10 ** digits)
-    return F.sum(F.rint(_col(x) * F.lit(scale))) / (F.count(_col(x)) * F.lit(scale))
-
-
-TOTAL_DIGITS = 6
-TOTAL_SCALE = float(10 ** TOTAL_DIGITS)
-
-
-def fixed_total(x) -> Column:
-    """sum(x) in fixed point at 1e-6 resolution (exact, order-independent below 2^53 / 1e6 = 9e9)."""
-    return F.sum(F.rint(_col(x) * F.lit(TOTAL_SCALE))) / F.lit(TOTAL_SCALE)
+def exact_mean(x) -> Column:
+    """Unweighted mean from an exact sum; NULL when there is no value."""
+    return safe_div(exact_sum(x), F.count(_col(x)))

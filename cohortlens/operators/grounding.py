@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
+from cohortlens.functions.numeric import exact_sum, rint_round, weighted_mean
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import value
 from cohortlens.operators.segments import SUMMARY_METRICS, segment_summary
@@ -83,12 +83,12 @@ def base_facts(df: DataFrame, context_id: str) -> DataFrame:
         F.grouping_id().alias("__gid"),
         F.sum(w).alias("households"),
         *[weighted_mean(src).alias(name) for name, src in SUMMARY_METRICS],
-        fixed_total(F.col("discounted_clv") * w).alias("total_lifecycle_value"),
-        fixed_total("total_lifecycle_value").alias("__tlv_rows"),
+        exact_sum("discounted_clv", w).alias("total_lifecycle_value"),
+        exact_sum("total_lifecycle_value").alias("__tlv_rows"),
         weighted_mean("expected_retained_months").alias("__months"),
         weighted_mean("gross_profit_per_household").alias("__gp"),
-        F.sum(F.col("ad_revenue_per_household") * w).alias("__ad"),
-        F.sum(F.col("total_monthly_revenue_per_household") * w).alias("__rev"),
+        exact_sum("ad_revenue_per_household", w).alias("__ad"),
+        exact_sum("total_monthly_revenue_per_household", w).alias("__rev"),
     )  # consumed four times below; within one job Spark reuses its exchange
     full = (1 << len(dims)) - 1
     kpis = g.where((F.col("__gid") == full) & (F.col("households") > 0)).select(

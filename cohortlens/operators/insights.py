@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import FIXED_POINT_SCALE, fixed_point_sum, rint_round, safe_div, scaled_weighted_sum, weighted_mean
+from cohortlens.functions.numeric import exact_sum, rint_round, safe_div, weighted_mean
 from cohortlens.operators.monetization import segment_key
 from cohortlens.operators.scenario import Scenario, fan_out
 from cohortlens.schema import DEFAULT_DISCOUNT_RATE
@@ -30,15 +30,14 @@ def under_monetized(df: DataFrame) -> DataFrame:
     w = F.col("households")
     s = seg.groupBy("segment").agg(
         F.sum(w).alias("households"),
-        fixed_point_sum("monetization_per_streaming_hour").alias("_s_mph"),
+        exact_sum("monetization_per_streaming_hour", w).alias("_s_mph"),
         weighted_mean("monetization_per_streaming_hour").alias("mph"),
         weighted_mean("monthly_streaming_hours").alias("hours"),
-        safe_div(scaled_weighted_sum("experience_health_score", 1), F.sum(w) * F.lit(10.0)).alias("health"),
+        weighted_mean("experience_health_score").alias("health"),
     )
     everything = Window.partitionBy(F.lit(1))  # over the market x device table only
     s = s.withColumns({
-        "port_mph": safe_div(F.sum("_s_mph").over(everything),
-                             F.sum("households").over(everything) * F.lit(FIXED_POINT_SCALE)),
+        "port_mph": safe_div(exact_sum("_s_mph", over=everything), F.sum("households").over(everything)),
         "median_health": F.median("health").over(everything),
     })
     cand = s.where((F.col("health") >= F.col("median_health")) & (F.col("mph") < F.col("port_mph")))
@@ -73,8 +72,7 @@ def vintage_trend(df: DataFrame) -> DataFrame:
     is_e, is_l = F.col("cohort_month").isin(early), F.col("cohort_month").isin(late)
 
     def wm(cond, c):
-        return safe_div(F.sum(F.when(cond, F.rint(F.col(c) * F.lit(FIXED_POINT_SCALE)) * w)),
-                        F.sum(F.when(cond, w)) * F.lit(FIXED_POINT_SCALE))
+        return weighted_mean(F.when(cond, F.col(c)), F.when(cond, w))
 
     a = df.agg(wm(is_e, "discounted_clv").alias("e_clv"), wm(is_l, "discounted_clv").alias("l_clv"),
                wm(is_e, "month_6_retention").alias("e_m6"), wm(is_l, "month_6_retention").alias("l_m6"),

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.cache import per_context
-from cohortlens.functions.numeric import (
-    FIXED_POINT_SCALE,
-    clip,
-    fixed_point_sum,
-    rint_round,
-    scaled_weighted_sum,
-    weighted_mean,
-    weighted_mean_scaled,
-)
+from cohortlens.functions.numeric import clip, exact_sum, rint_round, safe_div, weighted_mean
 from cohortlens.schema import SEGMENT_SEPARATOR
 
 # ---- fixed values: score weights (column, weight) ---------------------------
@@ -86,9 +78,6 @@ def balanced_column(pr_of) -> F.Column:
     return rint_round(clip(raw, 0.0, 100.0), 1)
 
 
-# 1-dp scores are averaged from exact integer sums (order-independent)
-SCORE_COLUMNS = {"monetization_depth_score", "experience_health_score", "balanced_value_score"}
-
 MONETIZATION_SUMMARY = [
     ("revenue_per_household", "revenue_per_household"),
     ("monetization_per_streaming_hour", "monetization_per_streaming_hour"),
@@ -102,9 +91,7 @@ MONETIZATION_SUMMARY = [
 
 @per_context
 def monetization_aggs() -> list[F.Column]:
-    return [F.sum("households").alias("households")] + [
-        (weighted_mean_scaled(src, 1) if src in SCORE_COLUMNS else weighted_mean(src)).alias(n)
-        for n, src in MONETIZATION_SUMMARY]
+    return [F.sum("households").alias("households")] + [weighted_mean(src).alias(n) for n, src in MONETIZATION_SUMMARY]
 
 
 def monetization_summary(df: DataFrame, by: str) -> DataFrame:
@@ -112,19 +99,13 @@ def monetization_summary(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(*monetization_aggs()).orderBy(F.desc("balanced_value_score"), F.asc(by))
 
 
-def _scale(src: str) -> float:
-    return 10.0 if src in SCORE_COLUMNS else FIXED_POINT_SCALE
-
-
 def guardrail_summary(df: DataFrame) -> DataFrame:
     """A6 at market x device grain with the health-depth gap (plus the weighted sums behind it)."""
     seg = df.withColumn("segment", segment_key())
     w = F.col("households")
-    sums = [(scaled_weighted_sum(src, 1) if src in SCORE_COLUMNS else fixed_point_sum(src)).alias(f"_sx_{n}")
-            for n, src in MONETIZATION_SUMMARY]
+    sums = [exact_sum(src, w).alias(f"_sx_{n}") for n, src in MONETIZATION_SUMMARY]
     s = seg.groupBy("segment").agg(F.sum(w).alias("households"), *sums)
-    s = s.withColumns({n: F.try_divide(F.col(f"_sx_{n}"), F.col("households") * _scale(src))
-                       for n, src in MONETIZATION_SUMMARY})
+    s = s.withColumns({n: safe_div(f"_sx_{n}", "households") for n, _ in MONETIZATION_SUMMARY})
     return s.withColumn("gap", F.col("experience_health_score") - F.col("monetization_depth_score"))
 
 
@@ -141,7 +122,8 @@ def guardrail_segments(df: DataFrame, top_n: int = GUARDRAIL_TOP_N) -> DataFrame
             .orderBy(F.desc("list_gap"), F.asc("segment")).limit(top_n).withColumn("list", F.lit("experience_risk")))
     best = (s.orderBy(F.desc("balanced_value_score"), F.asc("segment")).limit(top_n)
             .withColumn("list_gap", F.lit(None).cast("double")).withColumn("list", F.lit("best_balanced")))
-    return under.unionByName(risk).unionByName(best)
+    shown = Window.partitionBy("list").orderBy(F.desc(F.coalesce("list_gap", "balanced_value_score")), F.asc("segment"))
+    return under.unionByName(risk).unionByName(best).withColumn("position", F.row_number().over(shown))
 
 
 def portfolio_monetization_kpis(df: DataFrame) -> DataFrame:
@@ -152,9 +134,7 @@ def portfolio_monetization_kpis(df: DataFrame) -> DataFrame:
     ``min_by`` over (negated rounded gap, name) - the same order the lists use.
     """
     s = guardrail_summary(df)
-    sw = F.sum("households")
-    scale = {n: _scale(src) for n, src in MONETIZATION_SUMMARY}
-    mean = lambda n: F.try_divide(F.sum(f"_sx_{n}"), sw * scale[n])
+    mean = lambda n: safe_div(exact_sum(f"_sx_{n}"), F.sum("households"))
     under_key = F.when(F.col("gap") > GAP_THRESHOLD, F.struct(-rint_round(F.col("gap"), 1), F.col("segment")))
     risk_key = F.when(F.col("gap") < -GAP_THRESHOLD, F.struct(-rint_round(-F.col("gap"), 1), F.col("segment")))
     return s.agg(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.cache import per_context
-from cohortlens.functions.numeric import clip, fixed_total, weighted_mean
+from cohortlens.functions.numeric import clip, exact_sum, weighted_mean
 from cohortlens.operators.value import run_clv_model
 from cohortlens.schema import (
     APP_INSTALL_TO_RETENTION,
@@ -231,10 +231,10 @@ def _kpi_pair() -> list[Column]:
     return [
         F.sum("households").alias("households"),
         _wm("b_clv").alias("baseline_avg_clv"), _wm("discounted_clv").alias("scenario_avg_clv"),
-        fixed_total("b_tlv").alias("baseline_total_lifecycle_value"),
-        fixed_total("total_lifecycle_value").alias("scenario_total_lifecycle_value"),
+        exact_sum("b_tlv").alias("baseline_total_lifecycle_value"),
+        exact_sum("total_lifecycle_value").alias("scenario_total_lifecycle_value"),
         # summed per row: no cancellation between two large totals
-        fixed_total(F.col("total_lifecycle_value") - F.col("b_tlv")).alias("incremental_value"),
+        exact_sum(F.col("total_lifecycle_value") - F.col("b_tlv")).alias("incremental_value"),
         _wm("b_m6").alias("baseline_avg_month_6_retention"), _wm("month_6_retention").alias("scenario_avg_month_6_retention"),
         _wm("b_rev").alias("baseline_avg_revenue_per_household"),
         _wm("total_monthly_revenue_per_household").alias("scenario_avg_revenue_per_household"),
@@ -242,10 +242,10 @@ def _kpi_pair() -> list[Column]:
         _wm("gross_profit_per_household").alias("scenario_avg_gross_profit_per_household"),
         _wm("b_months").alias("baseline_avg_expected_retained_months"),
         _wm("expected_retained_months").alias("scenario_avg_expected_retained_months"),
-        (F.sum(F.col("b_ad") * F.col("households"))
-         / F.greatest(F.sum(F.col("b_rev") * F.col("households")), F.lit(1e-9))).alias("baseline_ad_revenue_share"),
-        (F.sum(F.col("ad_revenue_per_household") * F.col("households"))
-         / F.greatest(F.sum(F.col("total_monthly_revenue_per_household") * F.col("households")), F.lit(1e-9))
+        (exact_sum("b_ad", "households")
+         / F.greatest(exact_sum("b_rev", "households"), F.lit(1e-9))).alias("baseline_ad_revenue_share"),
+        (exact_sum("ad_revenue_per_household", "households")
+         / F.greatest(exact_sum("total_monthly_revenue_per_household", "households"), F.lit(1e-9))
          ).alias("scenario_ad_revenue_share"),
         _wm("b_mph").alias("baseline_mph"),
         weighted_mean(scen_mph).alias("scenario_mph"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.cache import per_context
-from cohortlens.functions.numeric import fixed_total, rint_round, weighted_mean
+from cohortlens.functions.numeric import exact_sum, rint_round, weighted_mean
 from cohortlens.operators.ranks import with_percentile_ranks
 from cohortlens.schema import DEFAULT_ENGAGEMENT_WEIGHTS, ENGAGEMENT_COMPONENTS, SEGMENT_LABELS
 
@@ -91,7 +91,7 @@ SUMMARY_METRICS = [
 def summary_aggs() -> list[F.Column]:
     return ([F.sum("households").alias("households")]
             + [weighted_mean(src).alias(name) for name, src in SUMMARY_METRICS]
-            + [fixed_total(F.col("discounted_clv") * F.col("households")).alias("total_lifecycle_value")])
+            + [exact_sum("discounted_clv", "households").alias("total_lifecycle_value")])
 
 
 def segment_summary(df: DataFrame, by: str = "engagement_segment") -> DataFrame:
@@ -110,7 +110,7 @@ def segment_summaries(df: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def value_segments(df: DataFrame, top_n: int = 3) -> DataFrame:
-    """A3 - top-n and bottom-n markets by avg CLV (bottom keeps descending order).
+    """A3 - top-n and bottom-n markets by avg CLV; ``position`` is descending in both lists.
 
     Both ends come from one grouped aggregate; ``orderBy().limit()`` plans as
     TakeOrdered, so no global sort of the market table happens.
@@ -119,4 +119,5 @@ def value_segments(df: DataFrame, top_n: int = 3) -> DataFrame:
     top = by_market.orderBy(F.desc("avg_clv"), F.asc("market")).limit(top_n).withColumn("list", F.lit("top_markets"))
     bottom = (by_market.orderBy(F.asc("avg_clv"), F.desc("market")).limit(top_n)
               .withColumn("list", F.lit("bottom_markets")))
-    return top.unionByName(bottom)
+    shown = Window.partitionBy("list").orderBy(F.desc("avg_clv"), F.asc("market"))
+    return top.unionByName(bottom).withColumn("position", F.row_number().over(shown))

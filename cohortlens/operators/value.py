@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.cache import per_context
-from cohortlens.functions.numeric import fixed_total, safe_div, weighted_mean
+from cohortlens.functions.numeric import exact_sum, safe_div, weighted_mean
 from cohortlens.functions.survival import discount_factors, survival_terms
 from cohortlens.schema import (
     AD_MONETIZATION_SHARE,
@@ -91,13 +91,13 @@ def kpi_aggs() -> list[Column]:
     return [
         F.sum(w).alias("total_households"),
         weighted_mean("discounted_clv").alias("avg_clv"),
-        fixed_total("total_lifecycle_value").alias("total_lifecycle_value"),
+        exact_sum("total_lifecycle_value").alias("total_lifecycle_value"),
         weighted_mean("month_6_retention").alias("avg_month_6_retention"),
         weighted_mean("total_monthly_revenue_per_household").alias("avg_revenue_per_household"),
         weighted_mean("gross_profit_per_household").alias("avg_gross_profit_per_household"),
         weighted_mean("expected_retained_months").alias("avg_expected_retained_months"),
-        (F.sum(F.col("ad_revenue_per_household") * w)
-         / F.greatest(F.sum(F.col("total_monthly_revenue_per_household") * w), F.lit(1e-9))).alias("ad_revenue_share"),
+        (exact_sum("ad_revenue_per_household", w)
+         / F.greatest(exact_sum("total_monthly_revenue_per_household", w), F.lit(1e-9))).alias("ad_revenue_share"),
     ]
 
 
@@ -132,7 +132,7 @@ def _payback_exprs(acquisition_cost: float, annual_discount_rate: float) -> tupl
     disc = discount_factors(annual_discount_rate)
     w = F.col("households")
     gp = F.col("gross_profit_per_household")
-    aggs = [F.sum(w).alias("_w")] + [F.sum(st * F.lit(d) * gp * w).alias(f"_st{t + 1}")
+    aggs = [F.sum(w).alias("_w")] + [exact_sum(st * F.lit(d) * gp, w).alias(f"_st{t + 1}")
                                      for t, (st, d) in enumerate(zip(s, disc))]
     stream = [safe_div(F.col(f"_st{t}"), F.col("_w")) for t in range(1, CLV_HORIZON_MONTHS + 1)]
     cum = []

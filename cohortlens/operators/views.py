@@ -6,10 +6,10 @@ global and must be computed before any scope is applied.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import fixed_point_mean, rint_round, weighted_mean, weighted_mean_scaled
+from cohortlens.functions.numeric import exact_mean, rint_round, weighted_mean
 from cohortlens.operators.monetization import monetization_summary
 from cohortlens.operators.segments import segment_summary
 from cohortlens.schema import RETENTION_COLUMNS, RETENTION_MONTHS
@@ -58,8 +58,8 @@ def coverage(df: DataFrame) -> DataFrame:
     return df.groupBy("market", "region").agg(
         F.count_distinct("cohort_month").alias("cohorts"),
         F.sum("households").alias("households"),
-        rint_round(fixed_point_mean("month_6_retention"), 2).alias("avg_m6_retention_unweighted"),
-        rint_round(fixed_point_mean("discounted_clv"), 2).alias("avg_clv_unweighted"),
+        rint_round(exact_mean("month_6_retention"), 2).alias("avg_m6_retention_unweighted"),
+        rint_round(exact_mean("discounted_clv"), 2).alias("avg_clv_unweighted"),
     )
 
 
@@ -107,13 +107,14 @@ def headline_gaps(df: DataFrame) -> DataFrame:
 
 
 def yield_by(df: DataFrame, by: str) -> DataFrame:
-    """A15 - monetization summary by a dimension sorted by yield per hour ascending."""
-    return monetization_summary(df, by).orderBy(F.asc("monetization_per_streaming_hour"), F.asc(by))
+    """A15 - monetization summary by a dimension, ``position`` ascending by yield per hour (over the dimension's values only)."""
+    shown = Window.orderBy(F.asc("monetization_per_streaming_hour"), F.asc(by))
+    return monetization_summary(df, by).withColumn("position", F.row_number().over(shown))
 
 
 def clv_by_cohort(df: DataFrame) -> DataFrame:
-    """A16 - segment summary by cohort month in month order."""
-    return segment_summary(df, "cohort_month").orderBy("cohort_month")
+    """A16 - segment summary by cohort month, ``position`` in month order (over the months only)."""
+    return segment_summary(df, "cohort_month").withColumn("position", F.row_number().over(Window.orderBy("cohort_month")))
 
 
 def quadrant(depth="monetization_depth_score", health="experience_health_score") -> F.Column:
@@ -146,4 +147,4 @@ def point_grid(df: DataFrame, x: str, y: str, x_cells: float, y_cells: float) ->
     cell = lambda c, n: (F.floor(F.col(c) * F.lit(float(n))) / F.lit(float(n)))
     return df.groupBy(cell(x, x_cells).alias("x_bin"), cell(y, y_cells).alias("y_bin")).agg(
         F.count(F.lit(1)).alias("cohort_rows"), F.sum("households").alias("households"),
-        weighted_mean_scaled("experience_health_score", 1).alias("avg_health"))
+        weighted_mean("experience_health_score").alias("avg_health"))

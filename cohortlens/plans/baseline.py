@@ -62,15 +62,17 @@ class Baseline:
 
 
 def add_scores(clv: DataFrame, weights=None, held: list | None = None, max_rows: int | None = None,
-               row_id: str | None = None) -> DataFrame:
+               row_id: str | None = None, **rank_sizes) -> DataFrame:
     """Append W1 ranks (internal), W2 engagement score, W5-W7 scores, W3/W4 segment.
 
     The scored table is persisted before the tercile edges are read from it,
     so the rank join-back runs once for the edges and the final write.
+    ``rank_sizes`` (``rows_per_bucket``, ``broadcast_rows``) go to the ranks.
     """
     held = held if held is not None else []
     mon = add_ratio_metrics(clv)
-    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], max_rows, row_id)
+    ranked = with_percentile_ranks(mon, RANKED_COLUMNS, [_pr(c) for c in RANKED_COLUMNS], max_rows, row_id,
+                                   **rank_sizes)
     scored = ranked.withColumn("engagement_score",
                                engagement_score_expr(weights, [_pr(c) for c in ENGAGEMENT_COMPONENTS]))
     scored = scored.withColumns(score_columns(_pr))
@@ -91,7 +93,7 @@ BASELINE_ORDER_TAIL = [
 
 
 def build_baseline(cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
-                   weights=None) -> Baseline:
+                   weights=None, **rank_sizes) -> Baseline:
     """Validate, model and score a cohort table; raises ``ValueError`` on blocking errors."""
     # the (expensive) source plan runs once; row ids over the written files are stable on recompute
     raw = materialize(cohorts, "cohorts").withColumn(ROW_ID, F.monotonically_increasing_id())
@@ -100,7 +102,7 @@ def build_baseline(cohorts: DataFrame, annual_discount_rate: float = DEFAULT_DIS
         raise ValueError("; ".join(v.errors))
     clv = run_clv_model(v.clean, annual_discount_rate)
     held: list = []
-    scored = add_scores(clv, weights, held, max_rows=v.rows_out, row_id=ROW_ID)
+    scored = add_scores(clv, weights, held, max_rows=v.rows_out, row_id=ROW_ID, **rank_sizes)
     cols = [c for c in cohorts.columns if c not in BASELINE_ORDER_TAIL] + BASELINE_ORDER_TAIL
     table = materialize(scored.select(*cols), "baseline")
     for frame in held:

@@ -154,6 +154,8 @@ def q_payback_by_market_device(spark, sf):
 
 OTHER_RATE, OTHER_CAC = 0.15, 12.5
 OTHER_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
+#: Small, so that the ranges and the shuffled join are used at every scale.
+HOUSEHOLDS_PER_BUCKET = 500
 
 
 def q_kpis_other_terms(spark, sf):
@@ -168,6 +170,15 @@ def q_payback_other_terms(spark, sf):
     return finalize(value.payback_month(b, OTHER_CAC, OTHER_RATE, by=["device_type"]))
 
 
+def q_household_scores(spark, sf):
+    """W1-W7 at household grain: every customer is a cohort of one, ranked by value ranges and the long-form join."""
+    from cohortlens.plans.baseline import build_baseline
+    b = build_baseline(cohorts_from_facts(spark, sf, per_household=True), RATE, rows_per_bucket=HOUSEHOLDS_PER_BUCKET,
+                       broadcast_rows=0).table
+    return finalize(b.select("custkey", *KEY_COLUMNS, "discounted_clv", "engagement_score", "engagement_segment",
+                             "monetization_depth_score", "experience_health_score", "balanced_value_score"))
+
+
 def q_engagement_segments_weighted(spark, sf):
     """W1-W3 with engagement weights of 0.4, 0.3, 0.2 and 0.1."""
     b = baseline_table(spark, sf, weights=OTHER_WEIGHTS)
@@ -208,7 +219,7 @@ def _summary(by):
 
 
 def q_value_segments(spark, sf):
-    """A3 - top-3 and bottom-3 markets by average CLV."""
+    """A3 - top-3 and bottom-3 markets by average CLV, with their positions."""
     return finalize(segments.value_segments(_base(spark, sf), 3))
 
 
@@ -242,7 +253,7 @@ def q_guardrail_segments(spark, sf):
     """A7 - under-monetized / experience-risk / best-balanced lists (top 5 each)."""
     g = mon.guardrail_segments(_base(spark, sf))
     return finalize(g.select("list", "segment", "households", *[n for n, _ in mon.MONETIZATION_SUMMARY],
-                             "gap", "list_gap"))
+                             "gap", "list_gap", "position"))
 
 
 def q_monetization_kpis(spark, sf):
@@ -681,6 +692,7 @@ QUERIES = {
     "kpis_other_terms": q_kpis_other_terms,
     "payback_other_terms": q_payback_other_terms,
     "engagement_segments_weighted": q_engagement_segments_weighted,
+    "household_scores": q_household_scores,
     "engagement_segments_ties": q_engagement_segments_ties,
     "segment_summary_segment": _summary("engagement_segment"),
     "segment_summary_market": _summary("market"),

@@ -36,10 +36,11 @@ Plan shape (designed for billions of line items):
 5. join customer, then the nation/region dimensions (Spark broadcasts them
    from their measured file size), and aggregate to the cohort grain.
 
-The averaged measures are rounded half-even to ``MEASURE_DIGITS`` decimals:
-floating sums depend on the order rows meet in a distributed aggregate, and
-the last-bit noise would otherwise split exact ties in the percentile ranks
-differently from run to run (or partitioning to partitioning).
+Amounts, quantities, discounts and taxes add up as decimals (``AMOUNT``) and
+the averages come from exact sums, so no measure depends on the order rows
+meet in a distributed aggregate. The averaged measures have ``MEASURE_DIGITS``
+decimals (rounded half-even), so shares that are equal as numbers stay ties in
+the percentile ranks. An amount that is not finite counts as missing.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numeric import rint_round
+from cohortlens.functions.numeric import exact_mean, rint_round
 from cohortlens.schema import KEY_COLUMNS, REQUIRED_COLUMNS
 
 # ---- fixed values: retention base levels per observed month -----------------
@@ -55,6 +56,7 @@ RETENTION_BASE = {1: 0.40, 3: 0.30, 6: 0.20, 12: 0.10}
 RETENTION_SPAN = 0.45
 WINDOW_WIDTH_MONTHS = 12
 MEASURE_DIGITS = 9
+AMOUNT = "decimal(18,6)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,16 +75,20 @@ def month_label(m_col) -> F.Column:
     return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
+def _amounts(c: str) -> F.Column:
+    return F.sum(F.col(c).try_cast(AMOUNT))
+
+
 def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per customer with the per-customer quantities of the mapping."""
     per_order = lineitem.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("li_n"),
-        F.sum("l_quantity").alias("li_qty"),
+        _amounts("l_quantity").alias("li_qty"),
         F.sum(F.when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("li_flag_n"),
         F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("li_status_o"),
-        F.sum("l_discount").alias("li_disc"),
-        F.sum("l_extendedprice").alias("li_price"),
-        F.sum("l_tax").alias("li_tax"),
+        _amounts("l_discount").alias("li_disc"),
+        _amounts("l_extendedprice").alias("li_price"),
+        _amounts("l_tax").alias("li_tax"),
     )
     o = orders.select(
         F.col("o_orderkey"),
@@ -95,14 +101,14 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     cm = ol.groupBy("custkey", "m").agg(
         F.count(F.lit(1)).alias("n_ord"),
         F.sum("urgent").alias("n_urgent"),
-        F.sum("o_totalprice").alias("sum_total"),
+        _amounts("o_totalprice").alias("sum_total"),
         F.sum(F.coalesce(F.col("li_n"), F.lit(0))).alias("n_li"),
-        F.sum(F.coalesce(F.col("li_qty"), F.lit(0.0))).alias("qty"),
+        F.sum(F.coalesce(F.col("li_qty"), F.lit(0))).alias("qty"),
         F.sum(F.coalesce(F.col("li_flag_n"), F.lit(0))).alias("n_flag_n"),
         F.sum(F.coalesce(F.col("li_status_o"), F.lit(0))).alias("n_status_o"),
-        F.sum(F.coalesce(F.col("li_disc"), F.lit(0.0))).alias("disc"),
-        F.sum(F.coalesce(F.col("li_price"), F.lit(0.0))).alias("price"),
-        F.sum(F.coalesce(F.col("li_tax"), F.lit(0.0))).alias("tax"),
+        F.sum(F.coalesce(F.col("li_disc"), F.lit(0))).alias("disc"),
+        F.sum(F.coalesce(F.col("li_price"), F.lit(0))).alias("price"),
+        F.sum(F.coalesce(F.col("li_tax"), F.lit(0))).alias("tax"),
     )
     cm = cm.withColumn("m0", F.min("m").over(Window.partitionBy("custkey")))
     off = F.col("m") - F.col("m0")
@@ -114,22 +120,25 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.min("m0").alias("m0"),
         F.sum("n_ord").alias("n_ord"),
         F.sum("n_urgent").alias("n_urgent"),
-        F.sum("sum_total").alias("sum_total"),
+        F.sum("sum_total").cast("double").alias("sum_total"),
         F.sum("n_li").alias("n_li"),
-        F.sum("qty").alias("qty"),
+        F.sum("qty").cast("double").alias("qty"),
         F.sum("n_flag_n").alias("n_flag_n"),
         F.sum("n_status_o").alias("n_status_o"),
-        F.sum("disc").alias("disc"),
-        F.sum("price").alias("price"),
-        F.sum("tax").alias("tax"),
-        F.sum(F.when(off == 0, F.col("qty")).otherwise(0.0)).alias("qty_m0"),
+        F.sum("disc").cast("double").alias("disc"),
+        F.sum("price").cast("double").alias("price"),
+        F.sum("tax").cast("double").alias("tax"),
+        F.sum(F.when(off == 0, F.col("qty")).otherwise(0)).cast("double").alias("qty_m0"),
         F.sum(F.when(off == 0, F.col("n_li")).otherwise(0)).alias("n_li_m0"),
         *flags,
     )
 
 
-def cohorts_from_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cohort table (22 required columns) built from the fact tables in ``sf_dir``."""
+def cohorts_from_facts(spark: SparkSession, sf_dir: str, per_household: bool = False) -> DataFrame:
+    """The cohort table (22 required columns) built from the fact tables in ``sf_dir``.
+
+    ``per_household``: a row for each customer (``custkey``) instead of each cohort, with one household.
+    """
     cust = customer_facts(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"))
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -141,29 +150,30 @@ def cohorts_from_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (cust.join(customer, cust.custkey == customer.c_custkey)
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
          .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+    own = ["custkey"] if per_household else []
     agg = j.groupBy(
         F.col("m0"), F.col("n_name").alias("market"), F.col("r_name").alias("region"),
-        F.col("c_mktsegment").alias("device_type"),
+        F.col("c_mktsegment").alias("device_type"), *own,
     ).agg(
         F.count(F.lit(1)).alias("households"),
-        F.avg(F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0)).alias("activation_rate"),
-        (F.avg("qty_m0") / 10.0).alias("first_week_hours"),
-        F.avg(F.col("n_li_m0").cast("double")).alias("first_week_app_installs"),
-        F.avg(per_li("n_flag_n")).alias("trc_usage_rate"),
-        F.avg(per_ord("n_urgent")).alias("subscription_conversion_rate"),
-        (F.avg("qty") / 12.0).alias("monthly_streaming_hours"),
-        F.avg(per_li("n_status_o")).alias("ad_supported_share"),
-        (F.lit(16.0) + F.lit(100.0) * F.avg(per_li("disc"))).alias("ad_impressions_per_hour"),
-        (F.avg(per_li("price")) / 2000.0).alias("cpm"),
-        (F.lit(1.0) - F.lit(5.0) * F.avg(per_li("tax"))).alias("fill_rate"),
-        (F.avg(per_ord("sum_total")) / 20000.0).alias("subscription_arpu"),
-        (F.lit(0.5) + F.avg(per_li("disc"))).alias("gross_margin"),
+        exact_mean(F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0)).alias("activation_rate"),
+        (exact_mean("qty_m0") / 10.0).alias("first_week_hours"),
+        exact_mean(F.col("n_li_m0").cast("double")).alias("first_week_app_installs"),
+        exact_mean(per_li("n_flag_n")).alias("trc_usage_rate"),
+        exact_mean(per_ord("n_urgent")).alias("subscription_conversion_rate"),
+        (exact_mean("qty") / 12.0).alias("monthly_streaming_hours"),
+        exact_mean(per_li("n_status_o")).alias("ad_supported_share"),
+        (F.lit(16.0) + F.lit(100.0) * exact_mean(per_li("disc"))).alias("ad_impressions_per_hour"),
+        (exact_mean(per_li("price")) / 2000.0).alias("cpm"),
+        (F.lit(1.0) - F.lit(5.0) * exact_mean(per_li("tax"))).alias("fill_rate"),
+        (exact_mean(per_ord("sum_total")) / 20000.0).alias("subscription_arpu"),
+        (F.lit(0.5) + exact_mean(per_li("disc"))).alias("gross_margin"),
         *[
-            (F.lit(base) + F.lit(RETENTION_SPAN) * F.avg(F.col(f"ret_{k}").cast("double"))).alias(f"month_{k}_retention")
+            (F.lit(base) + F.lit(RETENTION_SPAN) * exact_mean(F.col(f"ret_{k}").cast("double"))).alias(f"month_{k}_retention")
             for k, base in RETENTION_BASE.items()
         ],
-        (F.lit(0.2) + F.lit(0.005) * F.avg(F.col("n_li").cast("double"))).alias("support_cost_per_household"),
+        (F.lit(0.2) + F.lit(0.005) * exact_mean(F.col("n_li").cast("double"))).alias("support_cost_per_household"),
     )
     measures = [c for c in REQUIRED_COLUMNS if c not in KEY_COLUMNS and c != "households"]
     agg = agg.withColumns({c: rint_round(F.col(c), MEASURE_DIGITS) for c in measures})
-    return agg.withColumn("cohort_month", month_label(F.col("m0"))).select(*REQUIRED_COLUMNS)
+    return agg.withColumn("cohort_month", month_label(F.col("m0"))).select(*own, *REQUIRED_COLUMNS)

@@ -34,45 +34,54 @@ def r(e: str, d: int = 6) -> str:
     return f"(round_even(CAST({e} AS DOUBLE) * 1e{d}, 0) / 1e{d} + 0.0)"
 
 
+def dec(x: str, p: int = 38) -> str:
+    """The shortest decimal of a double, so that sums are exact and do not vary from run to run."""
+    return f"CAST(CAST(({x}) AS VARCHAR) AS DECIMAL({p}, 18))"
+
+
 def ftot(x: str) -> str:
-    return f"(sum(round_even(({x}) * 1e6, 0)) / 1e6)"
+    return f"CAST(sum({dec(x)}) AS DOUBLE)"
 
 
-def wavg(x: str, w: str = "households") -> str:
-    if x in SCORES:
-        return f"(sum(round_even(({x}) * 10.0, 0) * {w}) / nullif(sum({w}) * 10.0, 0))"
-    return f"(sum(round_even(({x}) * 1e9, 0) * {w}) / nullif(sum({w}) * 1e9, 0))"
+def wsum(x: str, w: str = "households") -> str:
+    return f"CAST(sum({dec(x, 27)} * CAST({w} AS DECIMAL(10, 0))) AS DOUBLE)"
+
 
+def share(part: str, whole: str) -> str:
+    return f"{wsum(part)} / greatest({wsum(whole)}, 1e-9)"
 
-SCORES = {"monetization_depth_score", "experience_health_score", "balanced_value_score"}
+
+def wavg(x: str, w: str = "households") -> str:
+    return f"({wsum(x, w)} / nullif(sum({w}), 0))"
 
 
 # --------------------------------------------------------------- cohorts ----
 COHORT_CTES = """
 per_order AS (
-  SELECT l_orderkey, count(*) AS li_n, sum(l_quantity) AS li_qty,
+  SELECT l_orderkey, count(*) AS li_n, sum(l_quantity::DECIMAL(18, 6)) AS li_qty,
          sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS li_flag_n,
          sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS li_status_o,
-         sum(l_discount) AS li_disc, sum(l_extendedprice) AS li_price, sum(l_tax) AS li_tax
+         sum(l_discount::DECIMAL(18, 6)) AS li_disc, sum(l_extendedprice::DECIMAL(18, 6)) AS li_price,
+         sum(l_tax::DECIMAL(18, 6)) AS li_tax
   FROM lineitem GROUP BY l_orderkey),
 ol AS (
   SELECT o.o_custkey AS custkey, year(o.o_orderdate) * 12 + month(o.o_orderdate) - 1 AS m,
          o.o_totalprice, CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent,
-         coalesce(p.li_n, 0) AS li_n, coalesce(p.li_qty, 0.0) AS li_qty, coalesce(p.li_flag_n, 0) AS li_flag_n,
-         coalesce(p.li_status_o, 0) AS li_status_o, coalesce(p.li_disc, 0.0) AS li_disc,
-         coalesce(p.li_price, 0.0) AS li_price, coalesce(p.li_tax, 0.0) AS li_tax
+         coalesce(p.li_n, 0) AS li_n, coalesce(p.li_qty, 0) AS li_qty, coalesce(p.li_flag_n, 0) AS li_flag_n,
+         coalesce(p.li_status_o, 0) AS li_status_o, coalesce(p.li_disc, 0) AS li_disc,
+         coalesce(p.li_price, 0) AS li_price, coalesce(p.li_tax, 0) AS li_tax
   FROM orders o LEFT JOIN per_order p ON p.l_orderkey = o.o_orderkey),
 cm AS (
-  SELECT custkey, m, count(*) AS n_ord, sum(urgent) AS n_urgent, sum(o_totalprice) AS sum_total,
+  SELECT custkey, m, count(*) AS n_ord, sum(urgent) AS n_urgent, sum(o_totalprice::DECIMAL(18, 6)) AS sum_total,
          sum(li_n) AS n_li, sum(li_qty) AS qty, sum(li_flag_n) AS n_flag_n, sum(li_status_o) AS n_status_o,
          sum(li_disc) AS disc, sum(li_price) AS price, sum(li_tax) AS tax
   FROM ol GROUP BY custkey, m),
 cmw AS (SELECT *, min(m) OVER (PARTITION BY custkey) AS m0 FROM cm),
 cust AS (
-  SELECT custkey, min(m0) AS m0, sum(n_ord) AS n_ord, sum(n_urgent) AS n_urgent, sum(sum_total) AS sum_total,
-         sum(n_li) AS n_li, sum(qty) AS qty, sum(n_flag_n) AS n_flag_n, sum(n_status_o) AS n_status_o,
-         sum(disc) AS disc, sum(price) AS price, sum(tax) AS tax,
-         sum(CASE WHEN m = m0 THEN qty ELSE 0.0 END) AS qty_m0,
+  SELECT custkey, min(m0) AS m0, sum(n_ord) AS n_ord, sum(n_urgent) AS n_urgent, sum(sum_total)::DOUBLE AS sum_total,
+         sum(n_li) AS n_li, sum(qty)::DOUBLE AS qty, sum(n_flag_n) AS n_flag_n, sum(n_status_o) AS n_status_o,
+         sum(disc)::DOUBLE AS disc, sum(price)::DOUBLE AS price, sum(tax)::DOUBLE AS tax,
+         sum(CASE WHEN m = m0 THEN qty ELSE 0 END)::DOUBLE AS qty_m0,
          sum(CASE WHEN m = m0 THEN n_li ELSE 0 END) AS n_li_m0,
          max(CASE WHEN m - m0 BETWEEN 1 AND 12 THEN 1 ELSE 0 END) AS ret_1,
          max(CASE WHEN m - m0 BETWEEN 3 AND 14 THEN 1 ELSE 0 END) AS ret_3,
@@ -82,23 +91,23 @@ cust AS (
 cohort_raw AS (
   SELECT cust.m0 AS m0, n.n_name AS market, rg.r_name AS region, c.c_mktsegment AS device_type,
          count(*) AS households,
-         avg(CASE WHEN c.c_acctbal > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS activation_rate,
-         (avg(qty_m0) / 10.0)::DOUBLE AS first_week_hours,
-         avg(CAST(n_li_m0 AS DOUBLE)) AS first_week_app_installs,
-         avg(CAST(n_flag_n AS DOUBLE) / nullif(n_li, 0)) AS trc_usage_rate,
-         avg(CAST(n_urgent AS DOUBLE) / nullif(n_ord, 0)) AS subscription_conversion_rate,
-         (avg(qty) / 12.0)::DOUBLE AS monthly_streaming_hours,
-         avg(CAST(n_status_o AS DOUBLE) / nullif(n_li, 0)) AS ad_supported_share,
-         (16.0 + 100.0 * avg(disc / nullif(n_li, 0)))::DOUBLE AS ad_impressions_per_hour,
-         (avg(price / nullif(n_li, 0)) / 2000.0)::DOUBLE AS cpm,
-         (1.0 - 5.0 * avg(tax / nullif(n_li, 0)))::DOUBLE AS fill_rate,
-         (avg(sum_total / nullif(n_ord, 0)) / 20000.0)::DOUBLE AS subscription_arpu,
-         (0.5 + avg(disc / nullif(n_li, 0)))::DOUBLE AS gross_margin,
-         (0.40 + 0.45 * avg(CAST(ret_1 AS DOUBLE)))::DOUBLE AS month_1_retention,
-         (0.30 + 0.45 * avg(CAST(ret_3 AS DOUBLE)))::DOUBLE AS month_3_retention,
-         (0.20 + 0.45 * avg(CAST(ret_6 AS DOUBLE)))::DOUBLE AS month_6_retention,
-         (0.10 + 0.45 * avg(CAST(ret_12 AS DOUBLE)))::DOUBLE AS month_12_retention,
-         (0.2 + 0.005 * avg(CAST(n_li AS DOUBLE)))::DOUBLE AS support_cost_per_household
+         avg(CAST(CAST(CASE WHEN c.c_acctbal > 0 THEN 1.0 ELSE 0.0 END AS VARCHAR) AS DECIMAL(38, 18)))::DOUBLE AS activation_rate,
+         (avg(CAST(CAST(qty_m0 AS VARCHAR) AS DECIMAL(38, 18))) / 10.0)::DOUBLE AS first_week_hours,
+         avg(CAST(CAST(CAST(n_li_m0 AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))) AS first_week_app_installs,
+         avg(CAST(CAST(CAST(n_flag_n AS DOUBLE) / nullif(n_li, 0) AS VARCHAR) AS DECIMAL(38, 18))) AS trc_usage_rate,
+         avg(CAST(CAST(CAST(n_urgent AS DOUBLE) / nullif(n_ord, 0) AS VARCHAR) AS DECIMAL(38, 18))) AS subscription_conversion_rate,
+         (avg(CAST(CAST(qty AS VARCHAR) AS DECIMAL(38, 18))) / 12.0)::DOUBLE AS monthly_streaming_hours,
+         avg(CAST(CAST(CAST(n_status_o AS DOUBLE) / nullif(n_li, 0) AS VARCHAR) AS DECIMAL(38, 18))) AS ad_supported_share,
+         (16.0 + 100.0 * avg(CAST(CAST(disc / nullif(n_li, 0) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS ad_impressions_per_hour,
+         (avg(CAST(CAST(price / nullif(n_li, 0) AS VARCHAR) AS DECIMAL(38, 18))) / 2000.0)::DOUBLE AS cpm,
+         (1.0 - 5.0 * avg(CAST(CAST(tax / nullif(n_li, 0) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS fill_rate,
+         (avg(CAST(CAST(sum_total / nullif(n_ord, 0) AS VARCHAR) AS DECIMAL(38, 18))) / 20000.0)::DOUBLE AS subscription_arpu,
+         (0.5 + avg(CAST(CAST(disc / nullif(n_li, 0) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS gross_margin,
+         (0.40 + 0.45 * avg(CAST(CAST(CAST(ret_1 AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS month_1_retention,
+         (0.30 + 0.45 * avg(CAST(CAST(CAST(ret_3 AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS month_3_retention,
+         (0.20 + 0.45 * avg(CAST(CAST(CAST(ret_6 AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS month_6_retention,
+         (0.10 + 0.45 * avg(CAST(CAST(CAST(ret_12 AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS month_12_retention,
+         (0.2 + 0.005 * avg(CAST(CAST(CAST(n_li AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18))))::DOUBLE AS support_cost_per_household
   FROM cust JOIN customer c ON c.c_custkey = cust.custkey
             JOIN nation n ON n.n_nationkey = c.c_nationkey
             JOIN region rg ON rg.r_regionkey = n.n_regionkey
@@ -308,7 +317,7 @@ def kpi_select(keys: str = "", src: str = "base", cac: float | None = CAC) -> st
             f"{r(wavg('total_monthly_revenue_per_household'))} AS avg_revenue_per_household, "
             f"{r(wavg('gross_profit_per_household'))} AS avg_gross_profit_per_household, "
             f"{r(wavg('expected_retained_months'))} AS avg_expected_retained_months, "
-            f"{r('sum(ad_revenue_per_household * households) / greatest(sum(total_monthly_revenue_per_household * households), 1e-9)')}"
+            f"{r(share('ad_revenue_per_household', 'total_monthly_revenue_per_household'))}"
             f" AS ad_revenue_share")
     if cac is not None:
         body += (f", {r(repr(float(cac)))} AS acquisition_cost, {r(f'{avg_clv} - {cac!r}')} AS net_clv, "
@@ -341,7 +350,7 @@ def walkthrough_sql(src: str = "base") -> str:
 def payback_sql(keys: str = "", cac: float = CAC, rate: float = RATE) -> str:
     disc = discount_factors(rate)
     k = f"{keys}, " if keys else ""
-    sums = ", ".join(f"sum(s{t} * {disc[t - 1]!r} * gross_profit_per_household * households) AS st{t}"
+    sums = ", ".join(f"{wsum(f's{t} * {disc[t - 1]!r} * gross_profit_per_household')} AS st{t}"
                      for t in range(1, CLV_HORIZON_MONTHS + 1))
     cum = []
     run = None
@@ -384,9 +393,11 @@ def summaries_sql(dims) -> str:
 def value_segments_sql(n: int = 3) -> str:
     inner = f"SELECT market, {summary_cols()}, {wavg('discounted_clv')} AS _o FROM base GROUP BY market"
     return with_base(f""", bm AS ({inner})
-SELECT * EXCLUDE (_o) FROM (SELECT *, 'top_markets' AS list FROM bm ORDER BY _o DESC, market ASC LIMIT {n})
+SELECT * EXCLUDE (_o), row_number() OVER (ORDER BY _o DESC, market) AS position
+FROM (SELECT *, 'top_markets' AS list FROM bm ORDER BY _o DESC, market ASC LIMIT {n})
 UNION ALL
-SELECT * EXCLUDE (_o) FROM (SELECT *, 'bottom_markets' AS list FROM bm ORDER BY _o ASC, market DESC LIMIT {n})""")
+SELECT * EXCLUDE (_o), row_number() OVER (ORDER BY _o DESC, market)
+FROM (SELECT *, 'bottom_markets' AS list FROM bm ORDER BY _o ASC, market DESC LIMIT {n})""")
 
 
 MON = [("revenue_per_household", "revenue_per_household"),
@@ -397,8 +408,8 @@ MON = [("revenue_per_household", "revenue_per_household"),
        ("avg_clv", "discounted_clv"), ("avg_month_6_retention", "month_6_retention")]
 
 
-def mon_summary_sql(by: str) -> str:
-    cols = ", ".join(f"{r(wavg(src))} AS {n}" for n, src in MON)
+def mon_summary_sql(by: str, position: str = "") -> str:
+    cols = ", ".join(f"{r(wavg(src))} AS {n}" for n, src in MON) + position
     return with_base(f"SELECT {by}, CAST(sum(households) AS BIGINT) AS households, {cols} FROM base GROUP BY {by}")
 
 
@@ -413,13 +424,13 @@ def guardrail_sql(n: int = 5) -> str:
     rg = "round_even(gap * 10.0, 0) / 10.0 + 0.0"
     rng = "round_even(-gap * 10.0, 0) / 10.0 + 0.0"
     return with_base(f"""{SEG_CTE}
-SELECT 'under_monetized' AS list, {cols}, {r('lg')} AS list_gap FROM
+SELECT 'under_monetized' AS list, {cols}, {r('lg')} AS list_gap, row_number() OVER (ORDER BY lg DESC, segment) AS position FROM
   (SELECT *, {rg} AS lg FROM segg WHERE gap > 5 ORDER BY lg DESC, segment ASC LIMIT {n})
 UNION ALL
-SELECT 'experience_risk', {cols}, {r('lg')} FROM
+SELECT 'experience_risk', {cols}, {r('lg')}, row_number() OVER (ORDER BY lg DESC, segment) FROM
   (SELECT *, {rng} AS lg FROM segg WHERE gap < -5 ORDER BY lg DESC, segment ASC LIMIT {n})
 UNION ALL
-SELECT 'best_balanced', {cols}, CAST(NULL AS DOUBLE) FROM
+SELECT 'best_balanced', {cols}, CAST(NULL AS DOUBLE), row_number() OVER (ORDER BY balanced_value_score DESC, segment) FROM
   (SELECT * FROM segg ORDER BY balanced_value_score DESC, segment ASC LIMIT {n})""")
 
 
@@ -469,8 +480,8 @@ def queries() -> dict[str, str]:
         "kpis_by_market_device": with_base(kpi_select("market, device_type")),
         "walkthrough": walkthrough_sql(),
         "revenue_mix": with_base(
-            ", k AS (SELECT sum(ad_revenue_per_household * households) / greatest(sum(total_monthly_revenue_per_household"
-            " * households), 1e-9) AS a FROM base HAVING sum(households) > 0) "
+            f", k AS (SELECT {share('ad_revenue_per_household', 'total_monthly_revenue_per_household')} AS a "
+            "FROM base HAVING sum(households) > 0) "
             f"SELECT 'ad_revenue' AS revenue_type, {r('a')} AS share FROM k UNION ALL "
             f"SELECT 'subscription_revenue', {r('1.0 - a')} FROM k"),
         "kpis_other_terms": with_base(kpi_select("market", cac=12.5), rate=0.15),
@@ -515,7 +526,7 @@ def r_(e: str, d: int) -> str:
 
 
 def fp_mean(x: str) -> str:
-    return f"(sum(round_even({x} * 1e9, 0)) / (count({x}) * 1e9))"
+    return f"({ftot(x)} / count({x}))"
 
 
 def quadrant_sql() -> str:
@@ -534,6 +545,7 @@ def grid_sql(x: str, y: str, nx: float, ny: float) -> str:
 
 
 def views_queries() -> dict[str, str]:
+    by_yield = f", row_number() OVER (ORDER BY {wavg('monetization_per_streaming_hour')}, {{}}) AS position"
     m = {1: "month_1_retention", 3: "month_3_retention", 6: "month_6_retention", 12: "month_12_retention"}
     rc = ", ".join(f"{wavg(c)} AS m{k}" for k, c in m.items())
     curves = " UNION ALL ".join(f"SELECT segment, 'Month {k}' AS month_label, {k} AS month, {r(f'm{k}')} AS retention FROM rc"
@@ -582,9 +594,10 @@ UNION ALL SELECT 'top_market_lifecycle_value', {r('tp.tlv')}, tp.market FROM tp"
             + ", ".join(f"{r(c)} AS {c}" for c in ("engagement_score", "discounted_clv", "monetization_depth_score",
                                                    "experience_health_score"))
             + f", {quadrant_sql()} AS quadrant FROM base"),
-        "yield_by_market": mon_summary_sql("market"),
-        "yield_by_device": mon_summary_sql("device_type"),
-        "clv_by_cohort": summary_sql("cohort_month"),
+        "yield_by_market": mon_summary_sql("market", by_yield.format("market")),
+        "yield_by_device": mon_summary_sql("device_type", by_yield.format("device_type")),
+        "clv_by_cohort": with_base(
+            f"SELECT cohort_month, {summary_cols()}, row_number() OVER (ORDER BY cohort_month) AS position FROM base GROUP BY cohort_month"),
         "filtered_kpis": with_base(kpi_select(src="(SELECT * FROM base WHERE region IN ('AMERICA', 'EUROPE') "
                                                   "AND engagement_segment IN ('High', 'Medium'))")),
         "scoped_walkthrough": with_base(
@@ -678,9 +691,8 @@ def compare_ctes(scenarios) -> str:
         f"{wavg('gross_profit_per_household')} AS scenario_avg_gross_profit_per_household",
         f"{wavg('b_months')} AS baseline_avg_expected_retained_months",
         f"{wavg('expected_retained_months')} AS scenario_avg_expected_retained_months",
-        "sum(b_ad * households) / greatest(sum(b_rev * households), 1e-9) AS baseline_ad_revenue_share",
-        "sum(ad_revenue_per_household * households) / greatest(sum(total_monthly_revenue_per_household * households),"
-        " 1e-9) AS scenario_ad_revenue_share",
+        f"{share('b_ad', 'b_rev')} AS baseline_ad_revenue_share",
+        f"{share('ad_revenue_per_household', 'total_monthly_revenue_per_household')} AS scenario_ad_revenue_share",
         f"{wavg('b_mph')} AS baseline_mph",
         f"{wavg('total_monthly_revenue_per_household / greatest(monthly_streaming_hours, 1e-9)')} AS scenario_mph",
         f"{wavg('b_hours')} AS baseline_hours", f"{wavg('monthly_streaming_hours')} AS scenario_hours",
@@ -845,11 +857,11 @@ def initiative_queries() -> dict[str, str]:
 def under_monetized_ctes() -> str:
     return f"""
 , g1s AS (SELECT market || ' · ' || device_type AS segment, CAST(sum(households) AS BIGINT) AS households,
-            sum(round_even(monetization_per_streaming_hour * 1e9, 0) * households) AS s_mph,
+            {wsum('monetization_per_streaming_hour')} AS s_mph,
             {wavg('monetization_per_streaming_hour')} AS mph, {wavg('monthly_streaming_hours')} AS hours,
             {wavg('experience_health_score')} AS health
           FROM base GROUP BY market || ' · ' || device_type),
-g1w AS (SELECT *, sum(s_mph) OVER () / nullif(sum(households) OVER () * 1e9, 0) AS port_mph,
+g1w AS (SELECT *, sum(s_mph) OVER () / nullif(sum(households) OVER (), 0) AS port_mph,
                median(health) OVER () AS median_health FROM g1s),
 g1c AS (SELECT *, (port_mph - mph) * hours * households * 12.0 AS v FROM g1w
         WHERE health >= median_health AND mph < port_mph),
@@ -861,8 +873,7 @@ g1 AS (SELECT segment, households, {r_('mph', 3)} AS segment_yield_per_hour,
 
 def vintage_ctes() -> str:
     def wm(flag, c):
-        return (f"sum(CASE WHEN {flag} THEN round_even({c} * 1e9, 0) * households END) / "
-                f"nullif(sum(CASE WHEN {flag} THEN households END) * 1e9, 0)")
+        return wavg(f"CASE WHEN {flag} THEN {c} END", f"CASE WHEN {flag} THEN households END")
 
     same = lambda x: f"(({x} >= 0) = (clv_d >= 0))"
     return f"""
@@ -997,8 +1008,8 @@ def kpi_cte(name: str, src: str = "base") -> str:
             f"{wavg('total_monthly_revenue_per_household')} AS avg_revenue_per_household, "
             f"{wavg('gross_profit_per_household')} AS avg_gross_profit_per_household, "
             f"{wavg('expected_retained_months')} AS avg_expected_retained_months, "
-            "sum(ad_revenue_per_household * households) / greatest(sum(total_monthly_revenue_per_household * households),"
-            f" 1e-9) AS ad_revenue_share FROM {src} HAVING sum(households) > 0)")
+            f"{share('ad_revenue_per_household', 'total_monthly_revenue_per_household')} AS ad_revenue_share "
+            f"FROM {src} HAVING sum(households) > 0)")
 
 
 def base_facts_sql(ctx: str, src: str = "base") -> tuple[str, str]:
@@ -1337,6 +1348,15 @@ SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS seq,
 FROM listed"""
 
 
+def household_sql() -> str:
+    """The baseline with a row for each customer."""
+    ctes = baseline_ctes().replace("GROUP BY cust.m0,", "GROUP BY cust.custkey, cust.m0,")
+    ctes = ctes.replace("  SELECT cust.m0 AS m0,", "  SELECT cust.custkey AS custkey, cust.m0 AS m0,")
+    ctes = ctes.replace("  SELECT lpad(", "  SELECT custkey, lpad(").replace("clean AS (SELECT ", "clean AS (SELECT custkey, ")
+    scores = ("discounted_clv", "engagement_score", "monetization_depth_score", "experience_health_score", "balanced_value_score")
+    return f"WITH {ctes}\nSELECT custkey, {KEYS}, engagement_segment, {', '.join(f'{r(c)} AS {c}' for c in scores)} FROM base"
+
+
 def extra_queries() -> dict[str, str]:
     ties = baseline_ctes((0.0, 1.0, 0.0, 0.0), src_cohort="cohort_t")
     ties_sql = (f"WITH {COHORT_CTES}, cohort_t AS (SELECT * REPLACE (CAST(floor(first_week_app_installs / 4.0) AS DOUBLE) "
@@ -1344,6 +1364,7 @@ def extra_queries() -> dict[str, str]:
                 f"SELECT {KEYS}, {r('first_week_app_installs')} AS first_week_app_installs, "
                 f"{r('engagement_score')} AS engagement_score, engagement_segment FROM base")
     return {
+        "household_scores": household_sql(),
         "quality_issues_injected": quality_issues_sql("dirty", COHORT_CTES + ", " + injected_cohort_cte()),
         "cohort_csv_roundtrip": f"WITH {COHORT_CTES}, clean AS ({_clean_select('cohort')}), {clv_ctes('clean')[1:]}\n"
                                 + kpi_select(src="clv"),

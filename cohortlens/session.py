@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -62,9 +63,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A location for a written intermediate table beside the checkpoints."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A location for a written intermediate table beside the checkpoints; it goes when the application ends."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete_folder, spark, folder)
+    return os.path.join(folder, name)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an application's intermediate tables through the file system Spark writes them by.
+
+    A session that was stopped before the program ended leaves them to the owner of the shared folder.
+    """
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

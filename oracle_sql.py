@@ -629,6 +629,28 @@ PRESETS = [
 ]
 
 
+# The scoped scenarios and the verdict grid of the queries.
+SCOPED = [
+    What("cpm20_risk30_all", {"cpm_lift": 0.20, "experience_risk_penalty": 0.30}),
+    What("monetization_push_nation3_high", {"cpm_lift": 0.10, "sub_conversion_lift": 0.15}, 600_000.0, "NATION_3", None, "High"),
+    What("onboarding_building", {"first_week_lift": 0.15, "app_install_lift": 0.10}, 750_000.0, None, "BUILDING"),
+    What("retention_margin_nation7_machinery_low", {"retention_lift": 0.10, "gross_margin_change": -0.02}, 250_000.0, "NATION_7",
+         "MACHINERY", "Low"),
+    What("trc_push_low", {"trc_usage_lift": 0.30, "experience_risk_penalty": 0.5}, 400_000.0, None, None, "Low"),
+    What("empty_scope", {"retention_lift": 0.05}, 100_000.0, "NO_SUCH_MARKET"),
+]
+GRID = [What(f"cpm{cpm}_risk{risk}_sub{lift}", {"cpm_lift": cpm, "experience_risk_penalty": risk, "sub_conversion_lift": lift}, 500_000.0)
+        for cpm in (0.0, 0.1, 0.2, 0.35, 0.5) for risk in (0.0, 0.3, 0.6, 1.0) for lift in (0.0, 0.15)]
+COMPARED = [
+    "scenario_id", "initiative_cost", "households", "baseline_avg_clv", "scenario_avg_clv", "baseline_total_lifecycle_value",
+    "scenario_total_lifecycle_value", "baseline_avg_month_6_retention", "scenario_avg_month_6_retention",
+    "baseline_avg_revenue_per_household", "scenario_avg_revenue_per_household", "baseline_avg_gross_profit_per_household",
+    "scenario_avg_gross_profit_per_household", "baseline_avg_expected_retained_months", "scenario_avg_expected_retained_months",
+    "baseline_ad_revenue_share", "scenario_ad_revenue_share", "baseline_mph", "scenario_mph", "baseline_hours", "scenario_hours",
+    "incremental_value", "incremental_clv_per_household", "clv_lift_pct", "roi", "payback_months", "never_pays_back",
+    "month_6_retention_delta_pts", "mph_change_pct", "streaming_hours_change_pct", "verdict"]
+
+
 def _lit(v) -> str:
     if v is None:
         return "NULL"
@@ -725,8 +747,6 @@ def cols_sql(cols, keep=("scenario_id", "households", "never_pays_back", "verdic
 
 
 def scenario_queries() -> dict[str, str]:
-    from cohortlens.plans.catalog import COMPARE_COLUMNS, SCOPED_SCENARIOS, verdict_grid
-
     impact_metrics = [("Avg CLV ($)", "avg_clv"), ("Revenue / HH / mo ($)", "avg_revenue_per_household"),
                       ("Gross profit / HH / mo ($)", "avg_gross_profit_per_household"),
                       ("Retained months", "avg_expected_retained_months")]
@@ -746,9 +766,9 @@ FROM lv JOIN lab ON lab.lever = lv.lever JOIN cmp ON cmp.scenario_id = lv.scenar
     verdict_cols = ["scenario_id", "households", "incremental_value", "month_6_retention_delta_pts", "baseline_mph",
                     "scenario_mph", "roi", "payback_months", "never_pays_back", "verdict"]
     return {
-        "scenario_presets": with_base(compare_ctes(PRESETS) + f"\nSELECT {cols_sql(COMPARE_COLUMNS)} FROM cmp"),
-        "scenario_scoped": with_base(compare_ctes(SCOPED_SCENARIOS) + f"\nSELECT {cols_sql(COMPARE_COLUMNS)} FROM cmp"),
-        "scenario_verdicts": with_base(compare_ctes(verdict_grid()) + f"\nSELECT {cols_sql(verdict_cols)} FROM cmp"),
+        "scenario_presets": with_base(compare_ctes(PRESETS) + f"\nSELECT {cols_sql(COMPARED)} FROM cmp"),
+        "scenario_scoped": with_base(compare_ctes(SCOPED) + f"\nSELECT {cols_sql(COMPARED)} FROM cmp"),
+        "scenario_verdicts": with_base(compare_ctes(GRID) + f"\nSELECT {cols_sql(verdict_cols)} FROM cmp"),
         "scenario_impact": with_base(compare_ctes(PRESETS) + "\n" + impact),
         "scenario_levers": with_base(compare_ctes(PRESETS) + levers),
     }
@@ -759,11 +779,21 @@ QUAL = ["confidence", "speed", "complexity", "strategic_fit", "risk", "retention
 LIFTS = ["first_week_lift", "app_install_lift", "trc_usage_lift", "sub_conversion_lift", "retention_lift", "cpm_lift"]
 
 
+# The preset initiatives - lifts, cost and qualities in the order above (no query returns a thesis).
+INITIATIVES = [
+    ("Onboarding Optimization", 0.15, 0.10, 0, 0, 0, 0, 750_000, 4, 4, 2, 5, 2, 1),
+    ("Home Screen Discovery Personalization", 0.08, 0, 0.10, 0, 0.02, 0, 1_500_000, 3, 3, 4, 5, 3, 2),
+    ("Roku Channel-Style Engagement Push", 0, 0, 0.20, 0, 0, 0, 900_000, 4, 4, 2, 4, 2, 2),
+    ("Subscription Merchandising", 0, 0, 0, 0.18, 0, 0, 600_000, 4, 5, 2, 4, 2, 3),
+    ("Ad Monetization Optimization", 0, 0, 0, 0, 0, 0.12, 800_000, 4, 4, 3, 4, 3, 4),
+    ("Win-back / Reactivation Campaign", 0, 0, 0, 0, 0.05, 0, 1_100_000, 3, 3, 3, 3, 3, 2),
+    ("International Lifecycle Optimization", 0.10, 0, 0, 0, 0.03, 0.08, 2_000_000, 2, 2, 4, 4, 4, 3),
+    ("Reporting Infrastructure / BI Automation", 0, 0, 0, 0, 0, 0, 500_000, 5, 3, 3, 4, 1, 1),
+]
+
+
 def initiative_src_presets() -> str:
-    from cohortlens.operators.portfolio import PRESET_INITIATIVES
-    rows = []
-    for i, p in enumerate(PRESET_INITIATIVES):
-        rows.append("(" + ", ".join([str(i + 1), _lit(p[0])] + [_lit(v) for v in p[1:14]] + [_lit(p[14])]) + ")")
+    rows = ["(" + ", ".join([str(i + 1), *map(_lit, p), "''"]) + ")" for i, p in enumerate(INITIATIVES)]
     cols = ", ".join(["position", "initiative"] + LIFTS + ["cost"] + QUAL + ["thesis"])
     return f"ini AS (SELECT * FROM (VALUES {', '.join(rows)}) v({cols}))"
 

@@ -93,6 +93,34 @@ def q_issue_records_injected(spark, sf):
     return quality.validate(inject_faults(cohorts_from_facts(spark, sf))).issues
 
 
+def q_issue_records_empty(spark, sf):
+    """V7 with V2 - the issue records of a cohort table of which no row is complete."""
+    nothing = cohorts_from_facts(spark, sf).withColumn("fill_rate", F.lit(None).cast("double"))
+    return quality.validate(nothing).issues
+
+
+def q_dataset_created_once(spark, sf):
+    """S2 - rows and households by region of a dataset that is made where it is absent, and not made again."""
+    from cohortlens.session import table_path
+    from cohortlens.sources.files import ensure_dataset
+    import uuid
+    path = table_path(spark, f"dataset_{uuid.uuid4().hex}")
+    ensure_dataset(spark, path, lambda s: cohorts_from_facts(s, sf))
+    again = ensure_dataset(spark, path, lambda s: cohorts_from_facts(s, sf).where("region = 'ASIA'"))
+    return again.groupBy("region").agg(F.count("*").alias("cohort_rows"), F.sum("households").alias("households"))
+
+
+def q_partitioned_results(spark, sf):
+    """S7 - the cohort table written as Parquet by region, one region read back by its partition."""
+    from cohortlens.session import table_path
+    from cohortlens.sources.files import read_cohort_parquet, write_results
+    import uuid
+    path = table_path(spark, f"results_{uuid.uuid4().hex}")
+    cohorts = cohorts_from_facts(spark, sf)
+    write_results(cohorts, path, partition_by=["region"])
+    return finalize(read_cohort_parquet(spark, path).where(F.col("region") == "ASIA").select(*cohorts.columns))
+
+
 def q_cohort_csv_roundtrip(spark, sf):
     """S7 -> S1: the cohort table written as CSV to the shared folder, read back typed, then A4 KPIs."""
     from cohortlens.session import table_path
@@ -679,6 +707,9 @@ QUERIES = {
     "quality_issues_injected": q_quality_issues_injected,
     "cleaned_injected": q_cleaned_injected,
     "issue_records_injected": q_issue_records_injected,
+    "issue_records_empty": q_issue_records_empty,
+    "dataset_created_once": q_dataset_created_once,
+    "partitioned_results": q_partitioned_results,
     "cohort_csv_roundtrip": q_cohort_csv_roundtrip,
     "clv_detail": q_clv_detail,
     "survival_long": q_survival_long,

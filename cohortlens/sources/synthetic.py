@@ -60,7 +60,11 @@ def _clip(c: Column, lo: float, hi: float) -> Column:
 
 def generate_cohorts(spark: SparkSession, replicas: int = 1, seed: int = 42,
                      num_partitions: int | None = None) -> DataFrame:
-    """A cohort table of ``288 * replicas`` rows (replica r adds ``r`` years to the cohort months)."""
+    """A cohort table of ``288 * replicas`` rows.
+
+    Replica r adds ``r`` years to the cohort months; after the year 9999 they
+    start again, so months sort as text and keys repeat with other values.
+    """
     nm, nd = len(MARKET_PROFILES), len(DEVICE_PROFILES)
     n = N_MONTHS * nm * nd * replicas
     base = spark.range(0, n, 1, num_partitions) if num_partitions else spark.range(n)
@@ -92,7 +96,7 @@ def generate_cohorts(spark: SparkSession, replicas: int = 1, seed: int = 42,
     m1 = _clip(F.col("p_ret") * (F.lit(0.92) + F.lit(0.10) * (F.col("q") - 1.0) * 2.5) * u(4, 0.98, 1.02), 0.40, 0.95)
     decay = _clip(F.lit(0.965) + F.lit(0.02) * (F.col("q") - 1.0), 0.93, 0.985)
     df = df.withColumns({"m1": m1, "decay": decay})
-    year = F.lit(START_YEAR) + F.col("rep")
+    year = F.lit(START_YEAR) + F.col("rep") % F.lit(10_000 - START_YEAR)
     out = df.select(
         F.concat(year.cast("string"), F.lit("-"), F.lpad(month_num.cast("string"), 2, "0")).alias("cohort_month"),
         "market", "region", "device_type",

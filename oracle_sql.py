@@ -1357,8 +1357,9 @@ def injected_cohort_cte() -> str:
     return f"dirty AS (SELECT {', '.join(cols)} FROM cohort)"
 
 
-def issue_records_sql() -> str:
-    counts = quality_issues_sql("dirty", COHORT_CTES + ", " + injected_cohort_cte())
+def issue_records_sql(dirty: str) -> str:
+    """Issue records of the CTE ``dirty``."""
+    counts = quality_issues_sql("dirty", COHORT_CTES + ", " + dirty)
     order = ", ".join(f"('{chk}', '{c}', {i})" for i, (chk, c, _) in enumerate(
         [*QUALITY_SPECS, ("inverted_retention", "month_12_retention", ""), ("rows_remaining", "*", "")]))
     return f"""WITH counts AS ({counts}),
@@ -1401,5 +1402,9 @@ def extra_queries() -> dict[str, str]:
         "engagement_segments_ties": ties_sql,
         "cleaned_injected": f"WITH {COHORT_CTES}, {injected_cohort_cte()}, clean AS ({_clean_select('dirty')})\n"
                             f"SELECT {COHORT_COLS} FROM clean",
-        "issue_records_injected": issue_records_sql(),
+        "issue_records_injected": issue_records_sql(injected_cohort_cte()),
+        "issue_records_empty": issue_records_sql("dirty AS (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS fill_rate) FROM cohort)"),
+        "dataset_created_once": f"WITH {COHORT_CTES} SELECT region, count(*) AS cohort_rows, CAST(sum(households) AS BIGINT) AS households "
+                                "FROM cohort GROUP BY region",
+        "partitioned_results": f"WITH {COHORT_CTES} SELECT {COHORT_COLS} FROM cohort WHERE region = 'ASIA'",
     }

@@ -55,6 +55,26 @@ def test_synthetic_generator(spark):
     assert v.rows_out == 576 and not v.errors
 
 
+def test_synthetic_months_keep_four_digit_years(spark):
+    g = synthetic.generate_cohorts(spark, replicas=9000).select("cohort_month")
+    assert g.agg(F.max(F.length("cohort_month")), F.min("cohort_month"), F.max("cohort_month")).first() == (7, "2025-01", "9999-12")
+
+
+def test_household_grain(spark):
+    c = facts.cohorts_from_facts(spark, SF_SMALL, per_household=True)
+    assert c.columns == ["custkey", *REQUIRED_COLUMNS]
+    rows, customers, households = c.agg(F.count("*"), F.count_distinct("custkey"), F.sum("households")).first()
+    assert rows == customers == households == facts.cohorts_from_facts(spark, SF_SMALL).agg(F.sum("households")).first()[0]
+
+
+def test_cohorts_do_not_depend_on_the_partitioning(spark, tmp_path):
+    for n in ("orders", "customer", "nation", "region"):
+        os.symlink(os.path.join(SF_SMALL, f"{n}.parquet"), tmp_path / f"{n}.parquet")
+    facts.read_table(spark, SF_SMALL, "lineitem").repartition(7, F.rand(1)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    a, b = facts.cohorts_from_facts(spark, SF_SMALL), facts.cohorts_from_facts(spark, str(tmp_path))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_cohorts_from_facts_small(spark):
     c = facts.cohorts_from_facts(spark, SF_SMALL)
     assert c.columns == REQUIRED_COLUMNS

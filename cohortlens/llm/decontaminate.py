@@ -3,8 +3,9 @@
 A mask selects some of the positions of a window of words and ignores the others, so a replaced word at an ignored
 position does not spoil the hash. The selected words of every window of every benchmark item and of every
 document are hashed; equal hashes of one mask are hits. Of hits that follow each other on one diagonal only the first goes
-on. Around it, document and item are compared word by word along the diagonal: the stretch with the best score
-(a word alike +1, a replaced word -REPLACED) must have enough equal words.
+on. Around it, document and item are compared word by word along the diagonal. With ``whole`` the item is found if any stretch
+has enough equal words at the share; without it only the stretch with the best score (a word alike +1, a replaced word
+-REPLACED) is looked at. The queries and the pipeline use ``whole``.
 
 The index of the benchmark is sent to every task if it has at most ``BROADCAST_ROWS`` rows of a few numbers, else both sides
 are shuffled by the hash, the documents' words left behind. Items of equal words are one item, named by the smallest id, so copies in the benchmark add no rows.
@@ -12,6 +13,8 @@ are shuffled by the hash, the documents' words left behind. Items of equal words
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,32 @@ def best_stretch(words: Column, item: Column) -> Column:
     return F.aggregate(same, start, step, lambda a: F.struct(a["best"].alias("score"), a["best_equal"].alias("n_equal"), a["best_length"].alias("n_words")))
 
 
+def most_equal(words: Column, item: Column, min_share: float) -> Column:
+    """Of two equally long word lists the stretch with the most equal words among those with the share: n_equal, n_words; the shortest of equals.
+
+    An equal word adds and a replaced word costs so much that a stretch has the share if its sum is not negative, that is if the
+    sum up to its start is no higher than up to its end. Only new lows of the sum are kept as starts, so the first that is low
+    enough begins the stretch with the most equal words for an end.
+    """
+    share = Fraction(str(min_share))
+    point = lambda *x: F.struct(*[F.coalesce(F.lit(v) if isinstance(v, int) else v, F.lit(0)).alias(n) for n, v in zip(("score", "equal", "length"), x)])
+    best = lambda n, m: F.struct(F.coalesce(n, F.lit(0)).alias("n_equal"), F.coalesce(m, F.lit(0)).alias("minus"))
+
+    def step(a: Column, same: Column) -> Column:
+        score = a["at"]["score"] + F.when(same, share.denominator - share.numerator).otherwise(-share.numerator)
+        equal, length = a["at"]["equal"] + same.cast("int"), a["at"]["length"] + 1
+        last, here = F.element_at(a["starts"], -1), F.array(point(score, equal, length))
+        # of starts with the same equal words before them only the last, which is the lowest
+        starts = F.when(score >= last["score"], a["starts"]).when(last["equal"] == equal, F.concat(F.slice(a["starts"], F.lit(1), F.size(a["starts"]) - 1), here)).otherwise(F.concat(a["starts"], here))
+        start = F.get(F.filter(a["starts"], lambda x: x["score"] <= score), F.lit(0))
+        found = F.when(same, F.greatest(a["best"], best(equal - start["equal"], start["length"] - length))).otherwise(a["best"])
+        return F.struct(point(score, equal, length).alias("at"), starts.alias("starts"), found.alias("best"))
+
+    begin = F.struct(point(0, 0, 0).alias("at"), F.array(point(0, 0, 0)).alias("starts"), best(F.lit(0), F.lit(0)).alias("best"))
+    same = F.zip_with(words, item, lambda x, y: x == y)
+    return F.aggregate(same, begin, step, lambda a: F.struct(a["best"]["n_equal"].alias("n_equal"), (-a["best"]["minus"]).alias("n_words")))
+
+
 def _document_seeds(rows: DataFrame, masks: tuple[str, ...], *columns: str) -> DataFrame:
     """``columns``, words, at, mask and seed of every window of every document."""
     return _windows(rows, masks, *columns).select(*columns, "words", "at", F.explode(_seeds(masks)).alias("s")).where("s is not null").select(*columns, "words", "at", "s.*")
@@ -102,10 +131,11 @@ def _here(hits: DataFrame, *columns: str) -> DataFrame:
     return hits.select(*columns, "item", "item_size", (begin - shift).alias("skip"), F.slice("words", begin + 1, end - begin).alias("here"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, whole: bool = False) -> DataFrame:
     """A row for each distinct ``keep`` of ``docs`` and benchmark item found in it: the columns ``keep``, item_id, n_equal, n_words.
 
-    n_equal of the n_words words of the best stretch are alike. Null, empty and short texts hold nothing; items shorter than the
+    n_equal of the n_words words of the best stretch are alike; with ``whole`` that is the stretch with the most equal words of all that have
+    enough of them at the share, else the one with the best score, which may fail where another would do. Null, empty and short texts hold nothing; items shorter than the
     shortest mask are too short to tell and are never found; of items with equal words the smallest id is named. Repeated rows
     of one ``keep`` give one row per item.
     """
@@ -128,14 +158,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
         for k in own:
             alike = alike & F.col(k).eqNullSafe(F.col(f"{k}_"))
         compared = _here(told.join(sides, alike), *own).join(known.select("item", F.col("words").alias("item_words")), "item")
-    found = compared.select(*own, F.col("item").alias("__item"), "item_size", best_stretch(F.col("here"), F.slice("item_words", F.col("skip") + 1, F.size("here"))).alias("b"))
-    enough = found.where((F.col("b.n_equal") >= F.least(F.lit(min_words), F.col("item_size"))) & (F.col("b.n_equal") >= min_share * F.col("b.n_words")))
+    there = F.slice("item_words", F.col("skip") + 1, F.size("here"))
+    need = F.least(F.lit(min_words), F.col("item_size"))
+    if whole:
+        compared = compared.where(F.size(F.filter(F.zip_with("here", there, lambda x, y: x == y), lambda x: x)) >= need)
+    stretch = most_equal(F.col("here"), there, min_share) if whole else best_stretch(F.col("here"), there)
+    found = compared.select(*own, F.col("item").alias("__item"), need.alias("need"), stretch.alias("b"))
+    enough = found.where((F.col("b.n_equal") >= F.col("need")) & (F.lit(whole) | (F.col("b.n_equal") >= min_share * F.col("b.n_words"))))
     best = enough.groupBy(*own, "__item").agg(F.max(F.struct("b.n_equal", "b.n_words")).alias("b"))
     return best.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], F.col("__item").alias("item_id"), "b.n_equal", "b.n_words")
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any benchmark item, every column as it was.
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
+    """The rows of ``docs`` without any benchmark item (``whole`` as in ``contaminated``), every column as it was.
 
     The verdict depends on the text alone, so rows are told apart by it: equal texts go or stay together and rows without an id are
     judged like any other.
@@ -145,5 +180,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = fresh(docs, "__text_key")
     keyed = docs.withColumn(key, F.md5("text"))
     own = docs.select(F.md5("text").alias("key"), "text")
-    gone = stored(contaminated(own, benchmark, ["key"]).select("key").distinct(), "contaminated")
+    gone = stored(contaminated(own, benchmark, ["key"], whole=whole).select("key").distinct(), "contaminated")
     return keyed.join(gone, keyed[key] == gone["key"], "left_anti").drop(key)

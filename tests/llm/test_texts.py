@@ -305,6 +305,50 @@ def test_decontamination_with_clashing_names_and_one_id(spark, monkeypatch, broa
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "x", 7, 15, 15), (None, None, 7, 15, 15)]
 
 
+def plain_most_equal(same):
+    """Most equal words, then fewest words, of all stretches with the share."""
+    found = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+    n, minus = max(found, default=(0, 0))
+    return n, -minus
+
+
+def test_most_equal_words_of_all_stretches(spark):
+    rng = random.Random(8)
+    rows = [[rng.random() < share for _ in range(rng.randrange(1, 45))] for share in (0.3, 0.6, 0.75, 0.8, 0.85, 0.95) for _ in range(40)]
+    frame = spark.createDataFrame([(same, [1] * len(same), [int(x) for x in same]) for same in rows], "same array<boolean>, a array<long>, b array<long>")
+    for r in frame.select("same", decontaminate.most_equal(F.col("a"), F.col("b"), 0.8).alias("m")).collect():
+        n, m = plain_most_equal(r.same)
+        assert tuple(r.m) == ((n, m) if n else (0, 0))
+
+
+@pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_takes_any_stretch(spark, monkeypatch, broadcast_rows):
+    """Replaced words near the ends, and a copy that goes on with more of the item."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast_rows)
+    items = {1: [f"a{i}" for i in range(15)], 2: [f"b{i}" for i in range(69)]}
+    ends = [x if i not in (1, 13) else "other" for i, x in enumerate(items[1])]
+    on = [x if i < 13 or (i - 13) % 4 else "other" for i, x in enumerate(items[2])]
+    few = [x if i not in (1, 7, 13) else "other" for i, x in enumerate(items[1])]
+    docs = spark.createDataFrame([(1, " ".join(ends)), (2, " ".join(on)), (3, " ".join(few))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in decontaminate.contaminated(docs, bench, ["doc_id"], whole=True).collect()}
+    same = [x == y for x, y in zip(on, items[2])]
+    assert got == {(1, 1): (13, 15), (2, 2): plain_most_equal(same)}
+    assert [r.doc_id for r in decontaminate.without_benchmark(docs, bench, whole=True).collect()] == [3]
+
+
+def test_queries_take_any_stretch(spark, tmp_path):
+    import corpus_pipeline
+    from cohortlens.llm.queries import QUERIES
+
+    item = [f"a{i}" for i in range(15)]
+    docs = spark.createDataFrame([(1, " ".join(x if i not in (1, 13) else "other" for i, x in enumerate(item)))], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7, 13, 15)]
+    assert corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).count() == 0
+
+
 def test_every_benchmark_passage_in_documents_is_found(spark):
     docs, bench = documents(spark, SF_MID), spark.read.parquet(f"{SF_MID}/benchmark.parquet")
     got = {r.doc_id for r in decontaminate.contaminated(docs, bench, ["doc_id"]).collect()}

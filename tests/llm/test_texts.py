@@ -170,6 +170,16 @@ def test_line_dedup_equals_plain_version(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    """9 copies among 100 pages of a source keep their text; a line of 9 different pages goes."""
+    copy = "one copied page\nwith lines of its own"
+    rows = [(i, "a", copy if i < 9 else f"own {i}\nmenu" if i < 18 else f"own {i}", 0) for i in range(100)] + [(200, "a", None, 0), (201, "a", None, 0)]
+    got = line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int"))
+    want = {i: None if t is None else t.replace("\nmenu", "") for i, _, t, _ in rows}
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
+
+
 # secret scan -----------------------------------------------------------------------------------
 
 BASE = {

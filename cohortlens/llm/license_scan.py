@@ -3,8 +3,9 @@
 The templates are a small fixed table, so their inverted index (fingerprint to template and position) goes to every
 task with the function. Words are runs of ASCII letters and digits and of non-ASCII characters, without regard to ASCII case. Each
 text is cut into words, the words are hashed and every ``GRAM`` neighbouring words looked up in the index - vectorised over the bytes of a
-batch. Only texts with a hit are aligned: hits of one template on neighbouring diagonals make one candidate, which is
-aligned with the template inside a band around those diagonals.
+batch. Only texts with a hit are aligned: hits of one template on neighbouring diagonals and near each other in the text make one
+candidate, which is aligned with the template inside a band around those diagonals. The words before and behind an occurrence are
+searched on, so notices that follow each other closely are all found.
 
 Winnowing keeps the smallest of every ``WINDOW`` neighbouring fingerprints of a template, so any run of GRAM + WINDOW - 1 words
 that a text shares with a template is found.
@@ -137,30 +138,58 @@ class Scanner:
         self.where = np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, 2)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
-        """(template, diagonal) of every looked-up fingerprint, ordered."""
+        """(template, word of the text, diagonal) of every looked-up fingerprint, ordered."""
         found = grams(hashes)
         lo, hi = np.searchsorted(self.prints, found, "left"), np.searchsorted(self.prints, found, "right")
         at = np.flatnonzero(hi > lo)
         if not len(at):
-            return np.empty((0, 2), np.int64)
+            return np.empty((0, 3), np.int64)
         n = (hi - lo)[at]
         rows = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out = np.stack([self.where[rows, 0], np.repeat(at, n) - self.where[rows, 1]], axis=1)
+        out = np.stack([self.where[rows, 0], np.repeat(at, n), np.repeat(at, n) - self.where[rows, 1]], axis=1)
         return np.unique(out, axis=0)
 
     def matches(self, hashes: np.ndarray, min_coverage: float) -> Iterator[tuple[str, float, int, int]]:
         """Template, matched share of its words, first and last word of each alignment that covers enough."""
         hits = self.hits(hashes)
-        if not len(hits):
-            return
-        new = np.ones(len(hits), dtype=bool)
-        new[1:] = (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] - hits[:-1, 1] > BAND)
-        starts = np.flatnonzero(new)
-        for a, b in zip(starts, [*starts[1:], len(hits)]):
-            t, low, high = int(hits[a, 0]), int(hits[a, 1]), int(hits[b - 1, 1])
-            n, first, last = align(self.words[t], hashes, low - BAND, high + BAND)
-            if n and n / len(self.words[t]) >= min_coverage:
-                yield self.names[t], n / len(self.words[t]), first, last
+        edges = [0, *(np.flatnonzero(np.diff(hits[:, 0])) + 1), len(hits)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield from self._occurrences(int(hits[a, 0]), hits[a:b, 1], hits[a:b, 2], hashes, min_coverage)
+
+    def _occurrences(self, t: int, at: np.ndarray, diagonals: np.ndarray, hashes: np.ndarray, min_coverage: float) -> Iterator[tuple[str, float, int, int]]:
+        """All occurrences of one template that do not overlap; ``at`` ascends.
+
+        Around the first hit left, the words that an occurrence with it can reach are aligned. What lies before the occurrence
+        found and what lies behind it is searched in turn, until no hit is left.
+        """
+        template = self.words[t]
+        reach = len(template) + max(BAND, len(template))
+        todo = [(0, len(hashes), 0)]  # words from and to, first hit to look at
+        while todo:
+            lo, hi, k = todo.pop()
+            k = max(k, int(np.searchsorted(at, lo)))
+            if k == len(at) or at[k] + GRAM > hi:
+                continue
+            start, end = max(lo, int(at[k]) - reach), min(hi, int(at[k]) + reach)
+            near = diagonals[np.searchsorted(at, start) : np.searchsorted(at, end - GRAM, "right")]
+            near = self._chain(near, int(diagonals[k]))
+            text = hashes[start:end]
+            n, first, last = 0, -1, -1
+            if np.isin(template, text).sum() >= min_coverage * len(template):
+                n, first, last = align(template, text, int(near[0]) - BAND - start, int(near[-1]) + BAND - start)
+            if n and n / len(template) >= min_coverage:
+                yield self.names[t], n / len(template), first + start, last + start
+                todo += [(last + start + 1, hi, k), (lo, first + start, k)]
+            else:
+                todo.append((lo, hi, k + 1))
+
+    @staticmethod
+    def _chain(diagonals: np.ndarray, own: int) -> np.ndarray:
+        """The diagonals that ``own`` reaches in steps of up to BAND."""
+        found = np.unique(diagonals)
+        groups = np.split(found, np.flatnonzero(np.diff(found) > BAND) + 1)
+        return next(g for g in groups if g[0] <= own <= g[-1])
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:

@@ -116,6 +116,25 @@ def test_license_spans(spark):
         license_scan.scan(frame, ["doc_id"], templates={"short": "two words"})
 
 
+@pytest.mark.parametrize("name", ["mit-short", "cc-by-4.0-short", "apache-2.0-short", "apache-2.0", "bsd"])
+@pytest.mark.parametrize("between", ["", "x ", "one two three four ", "a b c d e f g h i j "])
+def test_license_repeated_adjacent_notices(name, between):
+    """Every one of many notices that follow each other closely is found."""
+    notice = license_scan.TEMPLATES[name]
+    size, gap = (len(license_scan.words(x.encode())[0]) for x in (notice, between))
+    hashes = license_scan.words((f"{notice} {between}" * 60).encode())[2]
+    found = [x[1:] for x in license_scan.Scanner({name: notice}).matches(hashes, 0.8)]
+    assert sorted(found, key=lambda x: x[1]) == [(1.0, i * (size + gap), i * (size + gap) + size - 1) for i in range(60)]
+
+
+def test_license_better_notice_behind_a_lesser_one():
+    """The better of two neighbours is aligned first; the one before it still counts."""
+    hashes = license_scan.words(b"Licensed under the Apache License, Version two. Licensed under the Apache License, Version 2.0.")[2]
+    name = "apache-2.0-short"
+    found = sorted(license_scan.Scanner({name: license_scan.TEMPLATES[name]}).matches(hashes, 0.7), key=lambda x: x[2])
+    assert [x[1:] for x in found] == [(0.75, 0, 5), (1.0, 7, 14)]
+
+
 def test_license_alignment_equals_full_table():
     rng = random.Random(4)
     for _ in range(40):

@@ -13,6 +13,8 @@ that a text shares with a template is found.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 GRAM, WINDOW = 3, 3
 #: Words that an alignment may stray from its candidate's diagonals.
 BAND = 8
-#: Share of a template's words that must be matched.
+#: Matched words as a share of a template's words and those put between.
 MIN_COVERAGE = 0.8
 #: Bytes hashed at once.
 BLOCK = 1 << 22
@@ -66,6 +68,19 @@ TEMPLATES = {
     "cc-by-4.0-short": "Licensed under CC BY 4.0.",
 }
 
+# What tells a template apart: runs of its words that must be found without a word replaced or put between.
+IDENTITY = {
+    "apache-2.0-short": ("Apache", "2.0"),
+    "apache-2.0": ("Apache", "2.0"),
+    "mit-short": ("MIT",),
+    "gpl-3.0-short": ("GNU General Public License", "3"),
+    "gpl-3.0": ("GNU General Public License", "3"),
+    "cc-by-4.0": ("Creative Commons Attribution 4.0",),
+    "cc-by-nc-4.0-short": ("CC BY-NC 4.0",),
+    "cc-by-sa-4.0-short": ("CC BY-SA 4.0",),
+    "cc-by-4.0-short": ("CC BY 4.0",),
+}
+
 _BASE = 0x9E3779B97F4A7C15  # odd, so it can be divided by
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FOLD = np.arange(256, dtype=np.uint64) + 1
@@ -129,10 +144,12 @@ def winnow(prints: np.ndarray) -> np.ndarray:
 class Scanner:
     """The templates' inverted index and the alignment."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], identity: dict[str, tuple[str, ...]] | None = None):
         self.names = sorted(templates)
         self.words = [words(templates[x].encode())[2] for x in self.names]
-        rows = [(int(g[p]), t, int(p)) for t, w in enumerate(self.words) for g in [grams(w)] for p in winnow(g)]
+        self.marks = [[_places(w, words(p.encode())[2]) for p in (identity or {}).get(x, ())] for x, w in zip(self.names, self.words)]
+        # a short template keeps all its fingerprints, else one changed word may lose the few that are kept
+        rows = [(int(g[p]), t, int(p)) for t, w in enumerate(self.words) for g in [grams(w)] for p in (range(len(g)) if len(w) < GRAM + WINDOW + 1 else winnow(g))]
         rows.sort()
         self.prints = np.array([r[0] for r in rows], dtype=np.uint64)
         self.where = np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, 2)
@@ -150,21 +167,40 @@ class Scanner:
         return np.unique(out, axis=0)
 
     def matches(self, hashes: np.ndarray, min_coverage: float) -> Iterator[tuple[str, float, int, int]]:
-        """Template, matched share of its words, first and last word of each alignment that covers enough."""
+        """Template, coverage, first and last word of each alignment that covers enough.
+
+        Of occurrences that overlap the one with the most matched words counts, then the one with the best coverage, then the first.
+        """
         hits = self.hits(hashes)
         edges = [0, *(np.flatnonzero(np.diff(hits[:, 0])) + 1), len(hits)]
+        found = []
         for a, b in zip(edges, edges[1:]):
             if b > a:
-                yield from self._occurrences(int(hits[a, 0]), hits[a:b, 1], hits[a:b, 2], hashes, min_coverage)
-
-    def _occurrences(self, t: int, at: np.ndarray, diagonals: np.ndarray, hashes: np.ndarray, min_coverage: float) -> Iterator[tuple[str, float, int, int]]:
-        """All occurrences of one template that do not overlap; ``at`` ascends.
+                found += self._occurrences(int(hits[a, 0]), hits[a:b, 1], hits[a:b, 2], hashes, min_coverage)
+        starts, kept = [], {}
+        for _, share, first, last, name in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4])):
+            i = bisect.bisect_right(starts, last)  # of those that start no later than this one ends, the last one ends last
+            if not i or kept[starts[i - 1]][3] < first:
+                starts.insert(i, first)
+                kept[first] = (name, share, first, last)
+        yield from (kept[x] for x in starts)
+
+    def _identified(self, t: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether each mark of the template is matched somewhere by neighbouring words of the text."""
+        at = dict(pairs)
+        return all(any(all(p + i in at and at[p + i] == at[p] + i for i in range(n)) for p in places) for places, n in self.marks[t])
+
+    def _occurrences(self, t: int, at: np.ndarray, diagonals: np.ndarray, hashes: np.ndarray, min_coverage: float) -> Iterator[tuple[int, float, int, int, str]]:
+        """Matched words, coverage, first and last word and name of all occurrences of one template that do not overlap; ``at`` ascends.
+
+        Coverage is the share of matched words among the template's words and those put between. An occurrence thus has at most
+        1 / min_coverage times the template's words.
 
         Around the first hit left, the words that an occurrence with it can reach are aligned. What lies before the occurrence
         found and what lies behind it is searched in turn, until no hit is left.
         """
         template = self.words[t]
-        reach = len(template) + max(BAND, len(template))
+        reach = len(template) + max(BAND, len(template), math.ceil(len(template) / max(min_coverage, 1e-9)) - len(template))
         todo = [(0, len(hashes), 0)]  # words from and to, first hit to look at
         while todo:
             lo, hi, k = todo.pop()
@@ -175,12 +211,14 @@ class Scanner:
             near = diagonals[np.searchsorted(at, start) : np.searchsorted(at, end - GRAM, "right")]
             near = self._chain(near, int(diagonals[k]))
             text = hashes[start:end]
-            n, first, last = 0, -1, -1
+            pairs, share = [], 0.0
             if np.isin(template, text).sum() >= min_coverage * len(template):
-                n, first, last = align(template, text, int(near[0]) - BAND - start, int(near[-1]) + BAND - start)
-            if n and n / len(template) >= min_coverage:
-                yield self.names[t], n / len(template), first + start, last + start
-                todo += [(last + start + 1, hi, k), (lo, first + start, k)]
+                pairs, inserted = _aligned(template, text, int(near[0]) - BAND - start, int(near[-1]) + BAND - start)
+                share = len(pairs) / (len(template) + inserted)
+            if pairs and share >= min_coverage and self._identified(t, pairs):
+                first, last = pairs[0][1] + start, pairs[-1][1] + start
+                yield len(pairs), share, first, last, self.names[t]
+                todo += [(last + 1, hi, k), (lo, first, k)]
             else:
                 todo.append((lo, hi, k + 1))
 
@@ -192,40 +230,57 @@ class Scanner:
         return next(g for g in groups if g[0] <= own <= g[-1])
 
 
+def _places(template: np.ndarray, phrase: np.ndarray) -> tuple[list[int], int]:
+    """Where the template holds the phrase, and its words."""
+    n = len(phrase)
+    return [p for p in range(len(template) - n + 1) if np.array_equal(template[p : p + n], phrase)], n
+
+
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment inside the diagonals low..high: matched words, first and last matched word of the text.
+    """Best local alignment inside the diagonals low..high: matched words, first and last matched word of the text."""
+    pairs, _ = _aligned(template, text, low, high)
+    return (len(pairs), pairs[0][1], pairs[-1][1]) if pairs else (0, -1, -1)
+
+
+def _aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[list[tuple[int, int]], int]:
+    """Best local alignment inside the diagonals low..high: matched words (of template and text), and words put between.
 
     A match adds 2; a replaced, an inserted or a skipped word costs 1. Of equally good alignments the one that ends first in the
-    template, then in the text, counts. Cells hold (score, matches, first matched word of the text).
+    template, then in the text, counts. Cells hold (score, matches, words put between, matched pairs from the last).
     """
-    none = (0, 0, -1)
-    best, end = none, -1
-    above: dict[int, tuple[int, int, int]] = {}
+    none = (0, 0, 0, None)
+    best = none
+    above: dict[int, tuple] = {}
     for i, w in enumerate(template.tolist()):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple] = {}
         left = none
         j0, j1 = max(0, i + low), min(len(text), i + high + 1)
         for j, x in enumerate(text[j0:j1].tolist(), j0):
-            s, n, f = above.get(j - 1, none)
-            diagonal = (s + 2, n + 1, j if f < 0 else f) if x == w else (s - 1, n, f)
+            s, n, more, pairs = above.get(j - 1, none)
+            diagonal = (s + 2, n + 1, more, (i, j, pairs)) if x == w else (s - 1, n, more, pairs)
             up = above.get(j, none)
-            cell = max(diagonal, (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]), key=lambda c: (c[0], c[1]))
+            cell = max(diagonal, (up[0] - 1, *up[1:]), (left[0] - 1, left[1], left[2] + 1, left[3]), key=lambda c: (c[0], c[1]))
             if cell[0] <= 0:
                 cell = none
             row[j] = left = cell
             if x == w and cell[0] > best[0]:
-                best, end = cell, j
+                best = cell
         above = row
-    return best[1], best[2], end
+    out, rest = [], best[3]
+    while rest:
+        out.append(rest[:2])
+        rest = rest[2]
+    return out[::-1], best[2]
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per row of ``docs`` and template found: the columns ``keep``, license, coverage (the best), n_matches and spans.
 
+    Where templates overlap only the best one counts, and each of TEMPLATES needs its words of IDENTITY.
     ``spans`` lists start:end of each occurrence in code points (end exclusive), ascending, comma-joined. Null, empty and
     license-free texts give no row; repeated rows give their rows again; a template of fewer than GRAM words is refused.
     """
-    scanner = Scanner(templates or TEMPLATES)
+    scanner = Scanner(templates or TEMPLATES, None if templates else IDENTITY)
     if any(len(w) < GRAM for w in scanner.words):
         raise ValueError(f"a template needs {GRAM} words at least")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", license string, coverage double, n_matches int, spans string"

@@ -135,6 +135,45 @@ def test_license_better_notice_behind_a_lesser_one():
     assert [x[1:] for x in found] == [(0.75, 0, 5), (1.0, 7, 14)]
 
 
+def test_license_words_that_tell_apart(spark):
+    texts = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0-short": 1.0},
+        "Licensed under CC BY-SA 4.0.": {"cc-by-sa-4.0-short": 1.0},
+        "Licensed under CC BY 4.0.": {"cc-by-4.0-short": 1.0},
+        "Licensed under CC BY-ND 4.0.": {},
+        "Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.": {"cc-by-nc-4.0-short": 1.0, "cc-by-4.0-short": 1.0},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {},
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by-4.0": 1.0},
+        "This work is licensed under the GNU General Public License, version 2.": {},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {},
+        license_scan.TEMPLATES["gpl-3.0"].replace("version 3", "version 2"): {},
+        "Released under the BSD License": {},
+        "Released under the MIT": {"mit-short": 0.8},
+        "now released beneath the MIT License.": {"mit-short": 0.8},
+        "Released under the very MIT License": {"mit-short": 5 / 6},
+        "Released under the very very MIT License": {},
+        license_scan.TEMPLATES["apache-2.0"]: {"apache-2.0": 1.0},
+        license_scan.TEMPLATES["apache-2.0-short"].replace("the", "this"): {"apache-2.0-short": 0.875},
+    }
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id int, text string")
+    got = {x: {} for x in texts}
+    for r in license_scan.scan(frame, ["doc_id"]).collect():
+        got[list(texts)[r.doc_id]][r.license] = r.coverage
+    assert got == texts
+
+
+def test_license_short_templates_keep_all_fingerprints():
+    """A changed word at either end, or a fingerprint of three words alone, still finds a short template."""
+    for name, text in license_scan.TEMPLATES.items():
+        own = license_scan.words(text.encode())[2]
+        if len(own) < 7:
+            scanner = license_scan.Scanner({name: text})
+            for i in (0, len(own) - 1):
+                changed = own.copy()
+                changed[i] = 1
+                assert [x[1] for x in scanner.matches(changed, 0.8)] == [(len(own) - 1) / len(own)], name
+
+
 def test_license_alignment_equals_full_table():
     rng = random.Random(4)
     for _ in range(40):

@@ -174,6 +174,16 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> D
     return runs.mapInArrow(_link_runs(max_bits), "a long, b long")
 
 
+def _grouped(docs: DataFrame, keep: list[str], id_col: str, text: str, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The columns ``keep`` of each row with fp, __component (its smallest fingerprint) and component_id (its smallest id)."""
+    rows = stored(fingerprints(docs, keep, text, shingle), "fingerprints")
+    classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
+    linked = components(links(classes, max_bits), "simhash").withColumnRenamed("node", "fp")
+    members = classes.join(linked, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", F.col("component").alias("__component"), "component_id")
+    return rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The columns ``keep`` (the id among them) of each row with fingerprint (16 hex digits) and component_id.
 
@@ -181,25 +191,25 @@ def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
     empty; texts without words have fingerprint 0 and are linked like any other. Rows without an id are linked too but
     never name a component; it is null if no row of it has an id. Repeated rows each give a row.
     """
-    rows = stored(fingerprints(docs, keep, text, shingle), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
-    linked = components(links(classes, max_bits), "simhash").withColumnRenamed("node", "fp")
-    members = classes.join(linked, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = members.join(members.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
-    return rows.join(named, "fp").select(*keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, keep, id_col, text, shingle, max_bits).select(*keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, every column as it was: of each component the document with the smallest doc_id.
 
-    A component without any doc_id stays whole. Rows repeated under one doc_id and text are one document and stay or go
-    together.
+    Of several texts under that id, or of a component without any, the one with the smallest digest stays. Rows repeated under one
+    doc_id and text are one document and stay or go together; of rows without an id one stays, the smallest by its columns.
     """
     from cohortlens.llm.common import fresh
 
     key = fresh(docs, "__text_key")
-    own = docs.select(F.col("doc_id"), F.col("text"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    found = near_duplicates(own, ["doc_id", "key"])
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.col("key").alias("stay_key"))
-    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
-    return keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["stay_id"]) & (keyed[key] == stay["stay_key"]), "left_semi").drop(key)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    found = _grouped(docs.select("doc_id", "text", digest.alias("key")), ["doc_id", "key"], "doc_id", "text")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("stay_id"), F.col("key").alias("stay_key"))
+    stay = stored(found.groupBy("__component").agg(F.min(order).alias("stay")).select("stay.*"), "stay")
+    keyed = docs.withColumn(key, digest)
+    told, untold = (stay.where(~F.col("none")), stay.where("none"))
+    named = keyed.where("doc_id is not null").join(told, (keyed["doc_id"] == told["stay_id"]) & (keyed[key] == told["stay_key"]), "left_semi").drop(key)
+    nameless = keyed.where("doc_id is null").join(untold, keyed[key] == untold["stay_key"], "left_semi")
+    one = nameless.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return named.unionByName(one)

@@ -108,6 +108,22 @@ def test_near_duplicates_equal_plain_version(spark):
     assert simhash.near_duplicates(frame.limit(0), ["doc_id"]).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Rows without an id, and several texts under one id."""
+    base = " ".join(f"w{i}" for i in range(200))
+    near = [f"{base} end{i}" for i in range(40)]
+    own = plain_fingerprint(base)
+    near = [x for x in near if (plain_fingerprint(x) ^ own).bit_count() <= 4][:2]
+    assert len(near) == 2
+    other = " ".join(f"v{i}" for i in range(200))
+    for ids in ([None] * 5, [3, 3, 3, 3, None]):
+        rows = [(i, t, n) for n, (i, t) in enumerate(zip(ids, [base, base, *near, base]))] + [(None, other, 9), (None, other, 8)]
+        kept = sorted((str(r.doc_id), r.text, r.n) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect())
+        first = min({t for i, t, _ in rows[:4]}, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+        group = [(str(i), t, n) for i, t, n in rows[:5] if t == first and i == ids[0]]
+        assert kept == sorted((group if ids[0] else group[:1]) + [("None", other, 8)])
+
+
 # nearest neighbours ----------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, decontaminate, language_id, license_scan, line_dedup, mixing, secret_scan, simhash, token_count, warc
+from cohortlens.llm import ann, decontaminate, divergence, hard_negatives, language_id, license_scan, line_dedup, mixing, ngram_join, secret_scan, simhash, token_count, warc
 from cohortlens.llm.common import read_table, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,7 +67,23 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of links of Jaccard similarity 0.85 or more of every document."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows whose id is divisible by 100, after the labels of every seventh id have moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between the sources of every language and the terms in which each stands out."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_license_scan, op3_line_dedup, op4_secret_scan, op5_decontamination, op6_nearest, op7_mixing, op8_warc, op9_simhash, op10_token_count)
+    for f in (op1_language_id, op2_license_scan, op3_line_dedup, op4_secret_scan, op5_decontamination, op6_nearest, op7_mixing, op8_warc, op9_simhash, op10_token_count, op11_ngram_join, op12_hard_negatives, op13_source_divergence)
 }

@@ -32,7 +32,7 @@ LARGEST = 1 << 56
 SCORE = "decimal(38,0)"
 BLOCK, CHUNK = 8192, 2048
 #: Rows of a leaf, children of a node, coordinates that tiles are sorted by.
-LEAF, FANOUT, TILED = 32, 8, 3
+LEAF, FANOUT, TILED = 256, 8, 3
 
 
 def usable(vec: Column) -> Column:
@@ -107,13 +107,27 @@ class RTree:
                     if needed(int(lows[i]), int(highs[i])):
                         heapq.heappush(queue, (-int(highs[i]), level - 1, first + int(i), int(lows[i])))
                 continue
-            scores, fits = self.x[first:end] @ q, (self.labels[first:end] == label) == same
-            fits &= self.uids[first:end] != uid
+            rows, scores = slice(first, end), self.x[first:end] @ q
+            at = np.arange(first, end)
+            if self.levels[0][4][node] != self.levels[0][5][node]:  # mixed labels; a leaf of one label is all of the kind asked for
+                fits = (self.labels[rows] == label) == same
+                at, scores = at[fits], scores[fits]
+            if same:
+                other = self.uids[at] != uid
+                at, scores = at[other], scores[other]
+            if not len(at):
+                continue
+            highest = int(scores.max())
             for w, (a, b, k) in enumerate(windows):
-                inside = np.flatnonzero(fits & (scores >= a) & (scores <= b))
+                least = max(a, -best[w][-1][0]) if len(best[w]) == k else a
+                if highest < least:
+                    continue
+                inside = np.flatnonzero((scores >= least) & (scores <= b))
+                if len(inside) > k:  # equal to the k-th of them stay for their ids
+                    inside = inside[scores[inside] >= np.partition(scores[inside], -k)[-k]]
                 if len(inside):
-                    more = [(-int(scores[i]), int(self.ids[first + i]), int(self.uids[first + i])) for i in inside]
-                    best[w] = heapq.nsmallest(k, best[w] + more)
+                    more = zip([-int(x) for x in scores[inside]], self.ids[at[inside]].tolist(), self.uids[at[inside]].tolist())
+                    best[w] = sorted(best[w] + list(more))[:k]
         return [[(-s, i, u) for s, i, u in found] for found in best]
 
 

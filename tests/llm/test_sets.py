@@ -148,7 +148,8 @@ def vector_rows(seed, n, dim=6):
 
 
 @pytest.mark.parametrize("block, chunk", [(1 << 20, 1 << 20), (40, 3)])
-def test_hard_negatives(spark, block, chunk):
+def test_hard_negatives(spark, block, chunk, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAF", 8)
     rows = vector_rows(3, 260)
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)
     got = hard_negatives.hard_negatives(df, F.col("id") % 10 == 0, block=block, chunk=chunk)
@@ -167,7 +168,8 @@ def test_hard_negatives_of_large_components_and_few_rows(spark):
     assert hard_negatives.hard_negatives(df.limit(1), F.col("id") == 0).count() == 0
 
 
-def test_boxes_bound_their_rows():
+def test_boxes_bound_their_rows(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAF", 20)
     rng = np.random.default_rng(9)
     x = rng.integers(-50, 50, (700, 5)).astype(np.float64)
     tree = hard_negatives.RTree(np.arange(700), np.arange(700), rng.integers(0, 5, 700), x)

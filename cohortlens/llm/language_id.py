@@ -179,12 +179,12 @@ def reject_unidentified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     can be identified and every row goes.
     """
     profiles = learn_profiles(docs.where(~held_out()).select("text", "lang"))
-    text_at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = RankOrder(profiles)
-        for batch in batches:
-            found = [model(x) for x in batch.column(text_at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score > min_score for lang, score in found], pa.bool_()))
+        for texts in batches:
+            found = (model(x.as_py()) for x in texts)
+            yield pa.array([lang != UNDETERMINED and score > min_score for lang, score in found], pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(identified(F.col("text")))  # only texts go to Python, only verdicts come back

@@ -198,7 +198,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, every column as it was: of each component the document with the smallest doc_id.
 
     Of several texts under that id, or of a component without any, the one with the smallest digest stays. Rows repeated under one
-    doc_id and text are one document and stay or go together; of rows without an id one stays, the smallest by its columns.
+    doc_id and text are one document and stay or go together; of rows without an id one stays, the smallest by its columns as JSON (columns may be maps).
     """
     from cohortlens.llm.common import fresh
 
@@ -211,5 +211,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     told, untold = (stay.where(~F.col("none")), stay.where("none"))
     named = keyed.where("doc_id is not null").join(told, (keyed["doc_id"] == told["stay_id"]) & (keyed[key] == told["stay_key"]), "left_semi").drop(key)
     nameless = keyed.where("doc_id is null").join(untold, keyed[key] == untold["stay_key"], "left_semi")
-    one = nameless.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = nameless.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return named.unionByName(one)

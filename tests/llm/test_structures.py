@@ -235,3 +235,13 @@ def test_pipeline_equals_plain_version(spark):
     assert out.columns == [*spark.read.parquet(f"{SF_SMALL}/documents.parquet").columns, "taken"]
     assert {r.doc_id: (r.text, r.taken) for r in out.collect()} == want and out.count() == len(want)
     assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+def test_pipeline_leaves_no_tables_of_its_stages(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from cohortlens.llm import common
+
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF_SMALL)
+    assert out.count()
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "llm").iterdir()) == ["decontamination", "queue", "targets", "units"]

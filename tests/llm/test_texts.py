@@ -204,7 +204,9 @@ def test_license_words_across_blocks(monkeypatch):
 # line dedup ------------------------------------------------------------------------------------
 
 
-def test_line_dedup_equals_plain_version(spark):
+@pytest.mark.parametrize("sent", [line_dedup.BROADCAST_BYTES, 0])
+def test_line_dedup_equals_plain_version(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", sent)
     rng = random.Random(5)
     rows = []
     for i in range(120):

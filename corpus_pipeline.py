@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import decontaminate, language_id, line_dedup, mixing, simhash
-from cohortlens.llm.common import read_table, stored
+from cohortlens.llm.common import drop_stored, read_table, scratch, shared_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    """All stages over the documents of ``sf_dir``. What a stage kept goes when the next has been written, and so do its own tables."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if before is not None:
+            drop_stored(before)
+        docs = before = spark.read.schema(kept.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,3 +56,8 @@ def survival_columns(prefix: str = "s") -> list[str]:
 def discount_factors(annual_rate: float, horizon: int = CLV_HORIZON_MONTHS) -> list[float]:
     monthly = annual_rate / 12.0
     return [1.0 / (1.0 + monthly) ** t for t in range(1, horizon + 1)]
+
+
+def discount_factor_columns(annual_rate: Column, horizon: int = CLV_HORIZON_MONTHS) -> list[Column]:
+    """The same for a rate that each row carries."""
+    return [F.lit(1.0) / F.pow(F.lit(1.0) + annual_rate / F.lit(12.0), F.lit(float(t))) for t in range(1, horizon + 1)]

@@ -9,12 +9,12 @@ roadmap - works on the initiative-sized result, where global windows are fine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.numeric import rint_round
-from cohortlens.operators.ranks import minmax_normalize
+from cohortlens.operators.ranks import minmax_normalized, ordinal_rank
 from cohortlens.operators.scenario import SCENARIO_STRUCT, compare_scenario_table
 from cohortlens.schema import DEFAULT_DISCOUNT_RATE, SCENARIO_LEVERS
 from cohortlens.session import materialize
@@ -77,6 +77,25 @@ def initiatives_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRESET_INITIATIVES, INITIATIVE_SCHEMA)
 
 
+def edit_initiatives(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """S5 - ``table`` after a keyed change set: rows added, changed or removed by the name of the initiative.
+
+    ``changes`` has ``initiative``, any of the other columns and, where rows go, a boolean ``removed``. A cell that is null or absent
+    leaves the value as it is; a name that the table lacks is a new row. Names are compared without outer spaces; rows
+    of ``changes`` without a name change nothing, and of several for one name the one with the largest values counts. One full outer
+    join of two tables of any length; names may repeat in ``table``, then each of their rows changes.
+    """
+    fields = [f for f in INITIATIVE_SCHEMA.fields if f.name != "initiative"]
+    key = F.trim("initiative")
+    given = {f.name: F.col(f.name).cast(f.dataType) if f.name in changes.columns else F.lit(None).cast(f.dataType) for f in fields}
+    removed = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in changes.columns else F.lit(False)
+    told = changes.where(F.coalesce(key, F.lit("")) != "").groupBy(key.alias("__key")).agg(
+        F.max(F.struct(removed.alias("__removed"), *[c.alias(f"__new_{n}") for n, c in given.items()])).alias("c")).select("__key", "c.*")
+    both = table.join(told, key == F.col("__key"), "full_outer").where(~F.coalesce(F.col("__removed"), F.lit(False)))
+    return both.select(F.coalesce("initiative", "__key").alias("initiative"),
+                       *[F.coalesce(F.col(f"__new_{f.name}"), F.col(f.name).cast(f.dataType)).alias(f.name) for f in fields])
+
+
 def _num(c: str, default: float) -> F.Column:
     x = F.col(c).try_cast("double")
     return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x)
@@ -142,15 +161,13 @@ def score_initiatives(baseline: DataFrame, initiatives: DataFrame | None = None,
         F.coalesce(F.col("roi"), F.lit(0.0)).alias("roi"),
         "payback_months", "never_pays_back",
     ).join(p, "scenario_id")  # both sides are one row per initiative
-    for c in ("incremental_value", "clv_lift_pct", "roi", "monetization_lift", "experience_impact"):
-        t = minmax_normalize(t, c, f"n_{c}")
+    t = materialize(t, "initiative_results")  # read for the extremes and again to rate against them
+    t = minmax_normalized(t, {c: f"n_{c}" for c in ("incremental_value", "clv_lift_pct", "roi", "monetization_lift", "experience_impact")})
     t = t.withColumn("_score", _weighted(LEGACY_WEIGHTS)).withColumn("_bal", _weighted(BALANCED_WEIGHTS))
-    t = minmax_normalize(t, "_score", "_ns")
-    t = minmax_normalize(t, "_bal", "_nb")
+    t = minmax_normalized(t, {"_score": "_ns", "_bal": "_nb"})
     t = t.withColumns({"score": rint_round(F.lit(100.0) * F.col("_ns"), 1),
                        "balanced_score": rint_round(F.lit(100.0) * F.col("_nb"), 1)})
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("balanced_score"), F.asc("initiative"), F.asc("position"))
-    t = t.withColumn("rank", F.row_number().over(w))
+    t = ordinal_rank(t, [F.desc("balanced_score"), F.asc("initiative"), F.asc("position")], "rank").withColumn("rank", F.col("rank").cast("int"))
     cls = (F.when((F.col("monetization_lift") < ENABLER_THRESHOLD) & (F.col("experience_impact") < ENABLER_THRESHOLD),
                   "Enabler")
            .when(F.col("complexity") <= QUICK_WIN_COMPLEXITY, "Quick win").otherwise("Strategic bet"))
@@ -163,11 +180,13 @@ def score_initiatives(baseline: DataFrame, initiatives: DataFrame | None = None,
 def roadmap(ranked: DataFrame) -> DataFrame:
     """I10 - Now / Next / Foundational buckets in rank order; value and ROI shown unless ROI is 0."""
     bucket = F.create_map(*[x for k, v in ROADMAP_BUCKETS.items() for x in (F.lit(k), F.lit(v))])
-    w = Window.partitionBy("classification").orderBy("rank")
+    placed = ordinal_rank(ranked, [F.asc("classification"), F.asc("rank")], "__at")
+    first = placed.groupBy("classification").agg(F.min("__at").alias("__first"))  # one row per class
+    ranked = placed.join(first, "classification")
     show = F.col("roi") != 0
     return ranked.select(
         bucket[F.col("classification")].alias("bucket"), "classification",
-        F.row_number().over(w).alias("bucket_position"), "rank", "initiative",
+        (F.col("__at") - F.col("__first") + 1).cast("int").alias("bucket_position"), "rank", "initiative",
         F.when(show, F.col("incremental_value")).alias("incremental_value"),
         F.when(show, F.col("roi")).alias("roi"))
 

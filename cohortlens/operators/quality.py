@@ -125,8 +125,11 @@ def issues_from_counts(row: Row) -> list[tuple]:
     return out
 
 
-def validate(df: DataFrame) -> Validation:
-    """Run V1-V7. One Spark action (the counts aggregate) unless V1 fails first."""
+def validate(df: DataFrame, rejected: DataFrame | None = None) -> Validation:
+    """Run V1-V7. One Spark action (the counts aggregate) unless V1 fails first.
+
+    ``rejected``: rows that the reader left out; their number is the first issue.
+    """
     spark = df.sparkSession
     missing = missing_columns(df)
     if missing:
@@ -136,6 +139,10 @@ def validate(df: DataFrame) -> Validation:
         return Validation(df, issues, [msg], [], -1, -1)
     row = quality_counts(df).first()
     recs = issues_from_counts(row)
+    left_out = rejected.count() if rejected is not None else 0
+    if left_out:
+        first = (1, "warning", "malformed_rows", None, left_out, f"{left_out} malformed row(s) were not read.")
+        recs = [first, *[(r[0] + 1, *r[1:]) for r in recs]]
     issues = spark.createDataFrame(recs, ISSUE_SCHEMA)
     errors = [r[5] for r in recs if r[1] == "error"]
     warnings = [r[5] for r in recs if r[1] == "warning"]

@@ -7,13 +7,12 @@ the rank is computed as a distributed job:
 
 1. unpivot the ranked columns to ``(metric, value)`` and count each distinct
    value (one shuffle, combined map-side; a heavily tied value is one row);
-2. per metric, cut the distinct values into value-range buckets with
-   ``percentile_approx`` cut points when a metric has more distinct values than
-   one window partition should hold (the cut points are a bounded driver-side
-   list; explicit cuts are reproducible on recompute); each value finds its
-   bucket by binary search (``Bucketizer``);
-3. bucket totals -> running offsets over at most ``MAX_BUCKETS`` rows;
-4. running count inside each ``(metric, bucket)`` window;
+2. when a metric has more distinct values than one window partition should
+   hold, Spark range-partitions the ``(metric, value)`` rows into as many ranges
+   as ``rows_per_bucket`` asks for and the rows are written with their range, so
+   a range's size is bounded whatever the number of values (``with_ranges``);
+3. range totals -> running offsets over one row per range and metric;
+4. running count inside each ``(metric, range)`` window;
 5. join the rank back on the value itself (a rank is a function of the
    value). Columns whose lookups fit ``BROADCAST_ROWS`` together - measured
    distinct counts, or the validated row count - share ONE broadcast that
@@ -26,16 +25,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.session import materialize
 
-MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 1_000_000
 BROADCAST_ROWS = 2_000_000
-APPROX_ACCURACY = 100_000
 # from this many high-cardinality columns on, one narrow long-form join + pivot replaces one wide shuffle
 # join per column (measured: 3 columns x 2M rows are faster as per-column joins)
 LONG_FORM_MIN_COLUMNS = 4
@@ -77,28 +74,17 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None, r
     stats = {r["metric"]: (int(r["n_distinct"]), int(r["n"]))
              for r in vc.groupBy("metric").agg(F.count(F.lit(1)).alias("n_distinct"),
                                                 F.sum("cnt").alias("n")).collect()}
-    n_buckets = {m: max(1, min(MAX_BUCKETS, math.ceil(nd / rows_per_bucket))) for m, (nd, _) in stats.items()}
-    cuts: dict[str, list[float]] = {m: [] for m in stats}
-    big = [m for m, b in n_buckets.items() if b > 1]
-    if big:
-        fractions = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-        rows = (vc.where(F.col("metric").isin(big)).groupBy("metric")
-                .agg(F.percentile_approx("value", fractions, APPROX_ACCURACY).alias("q")).collect())
-        for r in rows:
-            b = n_buckets[r["metric"]]
-            q = r["q"]
-            picked = sorted({q[int(round(i * len(q) / b)) - 1] for i in range(1, b)})
-            cuts[r["metric"]] = picked
     meta_schema = T.StructType([T.StructField("metric", T.StringType()), T.StructField("n", T.LongType())])
     meta = spark.createDataFrame([(m, stats[m][1]) for m in stats], meta_schema)
+    ranges = math.ceil(sum(nd for nd, _ in stats.values()) / rows_per_bucket) if any(nd > rows_per_bucket for nd, _ in stats.values()) else 1
     # meta has one row per ranked column (bounded by the column list)
-    vcb = _bucketize(vc, cuts).join(F.broadcast(meta), "metric")
+    vcb = with_ranges(vc, ["metric", "value"], "bucket", ranges).join(F.broadcast(meta), "metric")
     totals = vcb.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
     w_off = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("bcnt").over(w_off), F.lit(0))).drop("bcnt")
-    # offsets: at most MAX_BUCKETS rows per ranked column
+    # offsets: one row per range and ranked column
     w_cum = Window.partitionBy("metric", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (vcb.join(F.broadcast(offsets), ["metric", "bucket"])
+    ranked = (vcb.join(offsets, ["metric", "bucket"])
               .withColumn("cum", F.sum("cnt").over(w_cum))
               .select("metric", "value",
                       ((F.col("offset") + F.col("cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
@@ -107,24 +93,33 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None, r
     return materialize(ranked, "rank_lookup"), distinct
 
 
-def _bucketize(vc: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """Value-range bucket of every distinct value: a binary search over the column's cut points.
+def with_ranges(df: DataFrame, keys: list[str], name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``keys``, with the number of each row's range; ranges ascend and equal keys share one.
 
-    Columns without cuts are one bucket. All cut columns go through one
-    ``Bucketizer`` (JVM binary search, O(log B) per value) in one pass over the
-    value counts, each in a column of its own that is null for the others;
-    equal values always share a bucket.
+    Spark draws the cuts from a sample of the rows, so a crowded stretch of values gets as many ranges as its rows need. The
+    range is written with the row: later jobs and lost executors read the same. ``ranges`` None leaves their number to the session.
     """
-    from pyspark.ml.feature import Bucketizer
+    if ranges == 1:
+        return df.withColumn(name, F.lit(0))
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    dealt = df.repartitionByRange(ranges, *cols) if ranges else df.repartitionByRange(*cols)
+    return materialize(dealt.withColumn(name, F.spark_partition_id()), "ranges")
 
-    cut = [m for m, c in cuts.items() if c]
-    if not cut:
-        return vc.withColumn("bucket", F.lit(0))
-    own, found = [f"__v{i}" for i in range(len(cut))], [f"__b{i}" for i in range(len(cut))]
-    spread = vc.withColumns({o: F.when(F.col("metric") == m, F.col("value")) for o, m in zip(own, cut)})
-    buckets = Bucketizer(splitsArray=[[float("-inf"), *cuts[m], float("inf")] for m in cut], inputCols=own, outputCols=found,
-                         handleInvalid="keep").transform(spread)
-    return buckets.withColumn("bucket", F.coalesce(*found, F.lit(0.0)).cast("int")).drop(*own, *found)
+
+def ordinal_rank(df: DataFrame, order: list[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """W9 - the position (from 1) of each row in a total order, for tables of any length.
+
+    Rows are numbered inside ranges of the order; a range starts behind the rows of the ranges before it, which one row per
+    range tells. No task holds more than a range.
+    """
+    ranged = with_ranges(df, order, "__range", ranges)
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = counts.agg(F.array_sort(F.collect_list(F.struct("__range", "rows"))).alias("s"))  # one entry per range
+    before = F.transform("s", lambda x, i: F.struct(x["__range"].alias("__range"), F.aggregate(
+        F.slice("s", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y["rows"]).alias("__before")))
+    starts = F.broadcast(sizes.select(F.inline(before)))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn(name, inside).join(starts, "__range").withColumn(name, (F.col(name) + F.col("__before")).cast("bigint")).drop("__range", "__before")
 
 
 def _broadcast_join_back(df: DataFrame, lookup: DataFrame, columns: list[str], name_of: dict) -> DataFrame:
@@ -213,11 +208,16 @@ def percentile_rank_window(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def minmax_normalize(df: DataFrame, column: str, name: str) -> DataFrame:
-    """W8 - ``(x - min) / (max - min)``; a range under 1e-12 gives 0.5 everywhere.
+    """W8 for one column."""
+    return minmax_normalized(df, {column: name})
+
+
+def minmax_normalized(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """W8 - ``(x - min) / (max - min)`` of each column under its new name; a range under 1e-12 gives 0.5 everywhere.
 
-    Used on parameter-sized tables (one row per initiative), where a global
-    window is the natural tool.
+    The extremes of all columns are one aggregate, read as a scalar: no window, whatever the length of the table.
     """
-    w = Window.partitionBy(F.lit(1))
-    lo, hi = F.min(column).over(w), F.max(column).over(w)
-    return df.withColumn(name, F.when(hi - lo < 1e-12, F.lit(0.5)).otherwise((F.col(column) - lo) / (hi - lo)))
+    ends = df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).alias("e")).scalar()
+    lo, hi = (lambda c: ends[f"lo_{c}"]), (lambda c: ends[f"hi_{c}"])
+    return df.withColumns({name: F.when(hi(c) - lo(c) < 1e-12, F.lit(0.5)).otherwise((F.col(c) - lo(c)) / (hi(c) - lo(c)))
+                           for c, name in columns.items()})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.cache import per_context
 from cohortlens.functions.numeric import exact_sum, safe_div, weighted_mean
-from cohortlens.functions.survival import discount_factors, survival_terms
+from cohortlens.functions.survival import discount_factor_columns, discount_factors, survival_terms
 from cohortlens.schema import (
     AD_MONETIZATION_SHARE,
     CLV_HORIZON_MONTHS,
@@ -48,18 +48,33 @@ def revenue_columns() -> dict[str, Column]:
     return {"ad_revenue_per_household": ad, "subscription_revenue_per_household": sub}
 
 
+def _factors(annual_discount_rate: float | Column) -> list[Column]:
+    """Discount factors of the 24 months; a column is a rate per row."""
+    if isinstance(annual_discount_rate, Column):
+        return discount_factor_columns(annual_discount_rate)
+    return [F.lit(d) for d in discount_factors(float(annual_discount_rate))]
+
+
+def _clv_stages(annual_discount_rate: float | Column) -> tuple[dict, dict]:
+    return _stages(annual_discount_rate) if isinstance(annual_discount_rate, Column) else _stages_of_rate(float(annual_discount_rate))
+
+
 @per_context
-def _clv_stages(annual_discount_rate: float) -> tuple[dict, dict]:
+def _stages_of_rate(annual_discount_rate: float) -> tuple[dict, dict]:
+    return _stages(annual_discount_rate)
+
+
+def _stages(annual_discount_rate: float | Column) -> tuple[dict, dict]:
     """The model as two projections: revenue, profit and survival sums; then the CLV columns."""
     s = _survival()
-    disc = discount_factors(annual_discount_rate)
+    disc = _factors(annual_discount_rate)
     rev = revenue_columns()
     total = rev["ad_revenue_per_household"] + rev["subscription_revenue_per_household"]
     first = dict(rev)
     first["total_monthly_revenue_per_household"] = total
     first["gross_profit_per_household"] = total * F.col("gross_margin") - F.col("support_cost_per_household")
     first["expected_retained_months"] = reduce(add, s)
-    first["_disc_surv"] = reduce(add, [st * F.lit(d) for st, d in zip(s, disc)])
+    first["_disc_surv"] = reduce(add, [st * d for st, d in zip(s, disc)])
     second = {
         "baseline_clv": F.col("gross_profit_per_household") * F.col("expected_retained_months"),
         "discounted_clv": F.col("_disc_surv") * F.col("gross_profit_per_household"),
@@ -67,9 +82,9 @@ def _clv_stages(annual_discount_rate: float) -> tuple[dict, dict]:
     return first, second
 
 
-def run_clv_model(df: DataFrame, annual_discount_rate: float = DEFAULT_DISCOUNT_RATE) -> DataFrame:
-    """Append the eight CLV columns (P1-P9) in two narrow projections."""
-    first, second = _clv_stages(float(annual_discount_rate))
+def run_clv_model(df: DataFrame, annual_discount_rate: float | Column = DEFAULT_DISCOUNT_RATE) -> DataFrame:
+    """Append the eight CLV columns (P1-P9) in two narrow projections; the rate may be a column."""
+    first, second = _clv_stages(annual_discount_rate)
     out = df.withColumns(first).withColumns(second)
     out = out.withColumn("total_lifecycle_value", F.col("discounted_clv") * F.col("households"))
     return out.drop("_disc_surv")
@@ -127,12 +142,16 @@ def with_unit_economics(kpis: DataFrame, acquisition_cost: float) -> DataFrame:
 
 
 @per_context
-def _payback_exprs(acquisition_cost: float, annual_discount_rate: float) -> tuple[list[Column], Column, Column]:
+def _payback_of_rate(acquisition_cost: float, annual_discount_rate: float) -> tuple[list[Column], Column, Column]:
+    return _payback_exprs(acquisition_cost, annual_discount_rate)
+
+
+def _payback_exprs(acquisition_cost: float, annual_discount_rate: float | Column) -> tuple[list[Column], Column, Column]:
     s = _survival()
-    disc = discount_factors(annual_discount_rate)
+    disc = _factors(annual_discount_rate)
     w = F.col("households")
     gp = F.col("gross_profit_per_household")
-    aggs = [F.sum(w).alias("_w")] + [exact_sum(st * F.lit(d) * gp, w).alias(f"_st{t + 1}")
+    aggs = [F.sum(w).alias("_w")] + [exact_sum(st * d * gp, w).alias(f"_st{t + 1}")
                                      for t, (st, d) in enumerate(zip(s, disc))]
     stream = [safe_div(F.col(f"_st{t}"), F.col("_w")) for t in range(1, CLV_HORIZON_MONTHS + 1)]
     cum = []
@@ -151,7 +170,7 @@ def _payback_exprs(acquisition_cost: float, annual_discount_rate: float) -> tupl
 
 
 def payback_month(df: DataFrame, acquisition_cost: float,
-                  annual_discount_rate: float = DEFAULT_DISCOUNT_RATE,
+                  annual_discount_rate: float | Column = DEFAULT_DISCOUNT_RATE,
                   by: list[str] | None = None) -> DataFrame:
     """A5 - first month whose cumulative weighted discounted gross profit covers CAC.
 
@@ -159,7 +178,8 @@ def payback_month(df: DataFrame, acquisition_cost: float,
     first crossing are evaluated on the (tiny) aggregated row. 0 when CAC <= 0,
     NULL when the last cumulative value stays below CAC (or the weight is 0).
     """
-    aggs, result, last = _payback_exprs(float(acquisition_cost), float(annual_discount_rate))
+    per_row = isinstance(annual_discount_rate, Column)
+    aggs, result, last = (_payback_exprs if per_row else _payback_of_rate)(float(acquisition_cost), annual_discount_rate if per_row else float(annual_discount_rate))
     g = df.groupBy(*by) if by else df
     a = g.agg(*aggs)
     return a.select(*(by or []), F.col("_w").alias("households"), result.alias("payback_month"),

@@ -26,6 +26,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ranks import with_ranges
 from cohortlens.session import materialize
 
 # ---- fixed values: the figure grammar (currency with K/M/B suffix, signed
@@ -44,7 +45,6 @@ RELATIVE_FLOOR = 0.001
 UNVERIFIED_SHOWN = 6
 
 JAVA_FIGURE_PATTERN = "(?U)" + FIGURE_PATTERN
-MIN_OCTAVE = -40
 
 
 def _strip(c: Column) -> Column:
@@ -117,27 +117,23 @@ def context_pool(facts: DataFrame) -> DataFrame:
     return pool.where(finite).select("context_id", (F.col("n") + F.lit(0.0)).alias("n")).distinct()
 
 
-def _value_range(x: Column) -> Column:
-    """A step of the magnitude: four per binary octave; 0 and the tiniest values share the first."""
-    return F.when(x <= F.lit(2.0 ** MIN_OCTAVE), F.lit(4 * MIN_OCTAVE)).otherwise(F.floor(F.log2(x) * 4)).cast("int")
-
-
-def nearest_numbers(figs: DataFrame, pool: DataFrame) -> DataFrame:
+def nearest_numbers(figs: DataFrame, pool: DataFrame, ranges: int | None = None) -> DataFrame:
     """``(context_id, size, below, above)``: for each magnitude quoted in a context its nearest pool magnitudes.
 
-    Quoted and pool magnitudes are sorted together inside ``(context, value range)``; the last pool number before
-    and the first behind a quoted one are its neighbours, and range edges are carried over from the ranges' extremes
-    (a few numbers per range). Each distinct magnitude is one row: nothing is paired, however large a context is.
+    Quoted and pool magnitudes are sorted together in ranges of ``(context, magnitude)`` that Spark cuts where the rows are, so a
+    crowded stretch of one context is many ranges. The last pool number before and the first behind a quoted one are its
+    neighbours; a range's edges are carried over from the extremes of the ranges beside it (one row per context and
+    range). Each distinct magnitude is one row: nothing is paired, however large a context is.
     """
     quoted = figs.where(F.col("value").isNotNull()).select("context_id", F.abs("value").alias("size"), F.lit(1).alias("quoted"))
     known = pool.select("context_id", F.abs("n").alias("size"), F.lit(0).alias("quoted"))
-    rows = quoted.unionByName(known).distinct().withColumn("range", _value_range(F.col("size")))
+    rows = with_ranges(quoted.unionByName(known).distinct(), ["context_id", "size"], "range", ranges)
     number = F.when(F.col("quoted") == 0, F.col("size"))
     edges = rows.groupBy("context_id", "range").agg(F.max(number).alias("top"), F.min(number).alias("bottom"))
-    ranges = Window.partitionBy("context_id").orderBy("range")
+    beside = Window.partitionBy("context_id").orderBy("range")
     edges = edges.select("context_id", "range",
-                         F.last("top", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-                         F.first("bottom", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+                         F.last("top", True).over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+                         F.first("bottom", True).over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
     inside = Window.partitionBy("context_id", "range").orderBy("size", "quoted")
     near = rows.withColumns({"last": F.last(number, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
                              "next": F.first(number, True).over(inside.rowsBetween(0, Window.unboundedFollowing))})
@@ -161,19 +157,27 @@ def match_figures(figs: DataFrame, pool: DataFrame, key_cols: list[str]) -> Data
     return j.select(*key_cols, "pos", "raw", (within("below") | within("above")).alias("verified"))
 
 
-def verify_drafts(drafts: DataFrame, facts: DataFrame) -> DataFrame:
+def stored_pool(facts: DataFrame) -> DataFrame:
+    """The number pool of all contexts in ``facts``, written once; a context without a finite number has one row with a null."""
+    contexts = facts.select("context_id", F.lit(None).cast("double").alias("n")).distinct()
+    return materialize(context_pool(facts).unionByName(contexts), "context_pool")
+
+
+def verify_drafts(drafts: DataFrame, facts: DataFrame | None, pool: DataFrame | None = None) -> DataFrame:
     """N8-N15 end to end: one row per draft with totals, unverified figures and the verdict line.
 
     A draft with empty text or without any fact in its context has 0 figures
     (nothing is checked against an empty context). Drafts are unioned with
     their checked figures and aggregated once, so drafts without figures keep
     their row without a join back. Drafts that share an id are told apart by
-    their text; a draft that comes twice gives two equal rows.
+    their text; a draft that comes twice gives two equal rows. ``pool`` is what ``stored_pool`` wrote for the
+    facts, for callers that verify many batches against them.
     """
     ids = ["draft_id", "context_id"]
     keys = [*ids, "__text"]
-    pool = materialize(context_pool(facts), "context_pool")
-    contexts = facts.select("context_id").distinct()
+    pool = stored_pool(facts) if pool is None else pool
+    contexts = pool.where(F.col("n").isNull()).select("context_id")
+    pool = pool.where(F.col("n").isNotNull())
     told = drafts.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
     figs = parse_figures(extract_figures(told.join(contexts, "context_id", "left_semi"), keys))
     checked = match_figures(figs, pool, keys)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cohortlens.functions.numeric import rint_round, weighted_mean
 import os
 
-from cohortlens.operators import grounding, insights, portfolio, scenario, verify, views
+from cohortlens.operators import contexts, grounding, insights, portfolio, scenario, terms, verify, views
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import quality, segments, value
 from cohortlens.operators.scenario import Scenario
@@ -110,6 +110,61 @@ def q_dataset_created_once(spark, sf):
     return again.groupBy("region").agg(F.count("*").alias("cohort_rows"), F.sum("households").alias("households"))
 
 
+def q_dataset_rebuilt(spark, sf):
+    """S2 - a dataset that a lost driver left without its success marker is built again."""
+    from cohortlens.session import table_path
+    from cohortlens.sources.files import ensure_dataset
+    import uuid
+    path = table_path(spark, f"dataset_{uuid.uuid4().hex}")
+    cohorts_from_facts(spark, sf).where("region = 'ASIA'").write.parquet(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(marker, False)
+    built = ensure_dataset(spark, path, lambda s: cohorts_from_facts(s, sf))
+    return built.groupBy("region").agg(F.count("*").alias("cohort_rows"), F.sum("households").alias("households"))
+
+
+def q_partitions_replaced(spark, sf):
+    """S7 - the cohort table by region, of which two regions are replaced and the others stay."""
+    from cohortlens.session import table_path
+    from cohortlens.sources.files import write_results
+    import uuid
+    path = table_path(spark, f"results_{uuid.uuid4().hex}")
+    cohorts = cohorts_from_facts(spark, sf)
+    write_results(cohorts, path, partition_by=["region"], rows_per_file=1000)
+    again = cohorts.where("region IN ('ASIA', 'EUROPE')").withColumn("households", F.col("households") * 2)
+    write_results(again, path, partition_by=["region"], touched_only=True)
+    return spark.read.parquet(path).groupBy("region").agg(F.count("*").alias("cohort_rows"), F.sum("households").alias("households"))
+
+
+def _malformed_csv(spark, sf) -> str:
+    """The cohort table as CSV text in which African rows have two cells too many and European ones end after the market."""
+    from cohortlens.schema import REQUIRED_COLUMNS
+    from cohortlens.session import table_path
+    import uuid
+    path = table_path(spark, f"malformed_{uuid.uuid4().hex}")
+    cells = F.concat_ws(",", *[F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')) for c in REQUIRED_COLUMNS])
+    cells = F.when(F.col("region") == "AFRICA", F.concat(cells, F.lit(',"x,y",z'))).when(
+        F.col("region") == "EUROPE", F.concat_ws(",", F.col(REQUIRED_COLUMNS[0]), F.col(REQUIRED_COLUMNS[1]))).otherwise(cells)
+    rows = cohorts_from_facts(spark, sf).select(cells.alias("value"))
+    # files with a header each: as many as the session has shuffle partitions
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("at"), F.lit(",".join(REQUIRED_COLUMNS)).alias("value"))
+    body = rows.select(F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(1).alias("at"), "value")
+    lines = head.unionByName(body).repartition("file").sortWithinPartitions("file", "at")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return f"{path}/file=*"
+
+
+def q_cohort_csv_rejected(spark, sf):
+    """S1 - rows of a CSV by what became of them: rejected with their reason, or read as complete or not."""
+    from cohortlens.sources.files import read_cohort_csv, rejected_rows
+    path = _malformed_csv(spark, sf)
+    rejected = rejected_rows(spark, path, line_breaks=False).select(F.col("reason").alias("outcome"))
+    read = read_cohort_csv(spark, path, line_breaks=False)
+    read = read.select(F.when(F.col("cpm").isNull(), "incomplete").otherwise("complete").alias("outcome"))
+    return rejected.unionByName(read).groupBy("outcome").agg(F.count("*").alias("n_rows"))
+
+
 def q_partitioned_results(spark, sf):
     """S7 - the cohort table written as Parquet by region, one region read back by its partition."""
     from cohortlens.session import table_path
@@ -198,6 +253,42 @@ def q_payback_other_terms(spark, sf):
     return finalize(value.payback_month(b, OTHER_CAC, OTHER_RATE, by=["device_type"]))
 
 
+GRID_RATES = [round(0.01 * i, 2) for i in range(25)]
+GRID_COSTS = [0.5 * i for i in range(40)]
+
+
+def q_unit_economics_grid(spark, sf):
+    """P8, P10-P12, A4, A5 - 25 discount rates by 40 acquisition costs from one scan of the baseline."""
+    return finalize(terms.terms_grid(_base(spark, sf), GRID_RATES, GRID_COSTS))
+
+
+def q_unit_economics_grid_by_market(spark, sf):
+    """P8, P10-P12, A4, A5 by market at three rates and four costs."""
+    return finalize(terms.terms_grid(_base(spark, sf), [0.0, 0.08, 0.3], [-1.0, 0.0, 6.25, 1000.0], by=["market"]))
+
+
+def row_rate() -> F.Column:
+    """A discount rate for each cohort: 5 % and a percent for each calendar month."""
+    return F.lit(0.05) + F.substring("cohort_month", 6, 2).cast("int") / F.lit(100.0)
+
+
+def _raw_cohorts(spark, sf) -> DataFrame:
+    return _base(spark, sf).drop(*value.CLV_COLUMNS)
+
+
+def q_clv_row_rates(spark, sf):
+    """P8 with a discount rate per row - lifetime value of every cohort."""
+    out = value.run_clv_model(_raw_cohorts(spark, sf), row_rate())
+    return finalize(out.select(*KEY_COLUMNS, "discounted_clv", "total_lifecycle_value"))
+
+
+def q_payback_row_rates(spark, sf):
+    """A4, A5 with a discount rate per row - average lifetime value and payback month by market."""
+    b = value.run_clv_model(_raw_cohorts(spark, sf), row_rate())
+    kpis = value.portfolio_kpis(b, by=["market"], acquisition_cost=CAC).select("market", "avg_clv", "net_clv", "underwater")
+    return finalize(value.payback_month(b, CAC, row_rate(), by=["market"]).join(kpis, "market"))
+
+
 def q_household_scores(spark, sf):
     """W1-W7 at household grain: every customer is a cohort of one, ranked by value ranges and the long-form join."""
     from cohortlens.plans.baseline import build_baseline
@@ -478,6 +569,22 @@ def q_initiative_ranking_uploaded(spark, sf):
     return finalize(portfolio.score_initiatives(_base(spark, sf), ini, RATE).drop("thesis"))
 
 
+INITIATIVE_CHANGES = [
+    ("Onboarding Optimization", 0.30, None, 900_000.0, None, None),
+    (" Ad Monetization Optimization ", None, 0.2, None, 5.0, False),
+    ("Win-back / Reactivation Campaign", None, None, None, None, True),
+    ("Partner Bundles", 0.05, 0.04, 0.0, 1.0, None),
+    ("Never Planned", None, None, None, None, True),
+]
+
+
+def q_initiative_ranking_edited(spark, sf):
+    """S5 + I1-I9 - the preset initiatives after rows were changed, removed and added, ranked."""
+    changes = spark.createDataFrame(INITIATIVE_CHANGES, "initiative string, first_week_lift double, cpm_lift double, cost double, complexity double, removed boolean")
+    edited = portfolio.edit_initiatives(portfolio.initiatives_table(spark), changes)
+    return finalize(portfolio.score_initiatives(_base(spark, sf), edited, RATE).drop("thesis"))
+
+
 def q_roadmap(spark, sf):
     """I10 - Now / Next / Foundational buckets in rank order."""
     return finalize(portfolio.roadmap(portfolio.score_initiatives(_base(spark, sf), None, RATE)))
@@ -613,6 +720,29 @@ def q_figure_verification(spark, sf):
     return _verified(verify.verify_drafts(market_drafts(b), overview_facts(b)))
 
 
+def market_contexts(b: DataFrame) -> DataFrame:
+    """A nested JSON context per market: its summary, a list of devices with notes and flags, and two KPI sets."""
+    three = lambda c: rint_round(c, 3)
+    summary = segments.segment_summary(b, "market").select(
+        "market", F.struct("households", three("avg_clv").alias("avg_clv"), F.struct(
+            three("avg_month_6_retention").alias("month_6"), three("avg_monthly_revenue").alias("revenue")).alias("rates")).alias("summary"),
+        F.struct(three("avg_clv").alias("avg_clv")).alias("baseline_kpis"), F.struct(three(F.col("avg_clv") * 1.1).alias("avg_clv")).alias("scenario_kpis"))
+    device = b.groupBy("market", "device_type").agg(*segments.summary_aggs())
+    note = F.format_string("kept %.1f%% over %s households", rint_round(F.col("avg_month_6_retention") * 100.0, 1), F.format_number("households", 0))
+    devices = device.groupBy("market").agg(F.array_sort(F.collect_list(F.struct(
+        "device_type", F.array(F.array(three("avg_clv")), F.array(three("avg_first_week_hours"))).alias("values"), note.alias("note"),
+        (F.col("households") > 10).alias("large"), F.lit(None).cast("double").alias("open")))).alias("devices"))  # one entry per device type
+    return summary.join(devices, "market").select(F.concat(F.lit("market:"), F.col("market")).alias("context_id"), F.to_json(
+        F.struct("market", "summary", "devices", "baseline_kpis", "scenario_kpis"), {"ignoreNullFields": "false"}).alias("context"))
+
+
+def q_nested_context_verification(spark, sf):
+    """N10 with N8-N15 - the per-market drafts, each checked against the nested JSON context of its own market."""
+    b = _base(spark, sf)
+    drafts = market_drafts(b).withColumn("context_id", F.col("draft_id"))
+    return _verified(verify.verify_drafts(drafts, contexts.nested_facts(market_contexts(b))))
+
+
 SCENARIO_DRAFT = ("%s: CLV moves by $%.2f per household (%.1f%%) to $%.2f, revenue by $%.3f per household per month and "
                   "lifetime by %.2f to %.1f months, worth $%.1fK in total; support cost falls by 7.77%%.")
 
@@ -722,6 +852,15 @@ QUERIES = {
     "engagement_segments": q_engagement_segments,
     "kpis_other_terms": q_kpis_other_terms,
     "payback_other_terms": q_payback_other_terms,
+    "unit_economics_grid": q_unit_economics_grid,
+    "unit_economics_grid_by_market": q_unit_economics_grid_by_market,
+    "clv_row_rates": q_clv_row_rates,
+    "payback_row_rates": q_payback_row_rates,
+    "dataset_rebuilt": q_dataset_rebuilt,
+    "partitions_replaced": q_partitions_replaced,
+    "cohort_csv_rejected": q_cohort_csv_rejected,
+    "initiative_ranking_edited": q_initiative_ranking_edited,
+    "nested_context_verification": q_nested_context_verification,
     "engagement_segments_weighted": q_engagement_segments_weighted,
     "household_scores": q_household_scores,
     "engagement_segments_ties": q_engagement_segments_ties,

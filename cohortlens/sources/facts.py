@@ -40,7 +40,9 @@ Amounts, quantities, discounts and taxes add up as decimals (``AMOUNT``) and
 the averages come from exact sums, so no measure depends on the order rows
 meet in a distributed aggregate. The averaged measures have ``MEASURE_DIGITS``
 decimals (rounded half-even), so shares that are equal as numbers stay ties in
-the percentile ranks. An amount that is not finite counts as missing.
+the percentile ranks. Amounts that ``AMOUNT`` does not hold (1e12 and more, or
+cut by more than a billionth) add up in double precision beside them; an
+amount that is not finite counts as missing.
 """
 
 from __future__ import annotations
@@ -57,6 +59,7 @@ RETENTION_SPAN = 0.45
 WINDOW_WIDTH_MONTHS = 12
 MEASURE_DIGITS = 9
 AMOUNT = "decimal(18,6)"
+HELD_TO = 1e-9
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,20 +78,36 @@ def month_label(m_col) -> F.Column:
     return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
-def _amounts(c: str) -> F.Column:
-    return F.sum(F.col(c).try_cast(AMOUNT))
+def _amounts(c: str, name: str) -> list[F.Column]:
+    """Sums of an amount: ``name`` of all that ``AMOUNT`` holds, ``name``_rest in double precision of those it would cut or not take."""
+    x, held = F.col(c).cast("double"), F.col(c).try_cast(AMOUNT)
+    lost = held.isNull() | (F.abs(held.cast("double") - x) > F.abs(x) * HELD_TO)
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return [F.sum(F.when(~lost, held)).alias(name), F.sum(F.when(finite & lost, x)).alias(f"{name}_rest")]
+
+
+def _summed(src: str, name: str) -> list[F.Column]:
+    """Both sums of an amount, of the rows that have one."""
+    return [F.sum(F.coalesce(F.col(src), F.lit(0))).alias(name), F.sum(f"{src}_rest").alias(f"{name}_rest")]
+
+
+def _whole(name: str, where: F.Column | None = None) -> F.Column:
+    """An amount's total, of the rows that ``where`` holds for; null where no row has any."""
+    only = (lambda c: c) if where is None else (lambda c: F.when(where, c).otherwise(0))
+    held, rest = F.sum(only(F.col(name))).cast("double"), F.sum(only(F.col(f"{name}_rest")))
+    return F.coalesce(held + rest, held, rest).alias(name)
 
 
 def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per customer with the per-customer quantities of the mapping."""
     per_order = lineitem.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("li_n"),
-        _amounts("l_quantity").alias("li_qty"),
+        *_amounts("l_quantity", "li_qty"),
         F.sum(F.when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("li_flag_n"),
         F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("li_status_o"),
-        _amounts("l_discount").alias("li_disc"),
-        _amounts("l_extendedprice").alias("li_price"),
-        _amounts("l_tax").alias("li_tax"),
+        *_amounts("l_discount", "li_disc"),
+        *_amounts("l_extendedprice", "li_price"),
+        *_amounts("l_tax", "li_tax"),
     )
     o = orders.select(
         F.col("o_orderkey"),
@@ -101,14 +120,14 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     cm = ol.groupBy("custkey", "m").agg(
         F.count(F.lit(1)).alias("n_ord"),
         F.sum("urgent").alias("n_urgent"),
-        _amounts("o_totalprice").alias("sum_total"),
+        *_amounts("o_totalprice", "sum_total"),
         F.sum(F.coalesce(F.col("li_n"), F.lit(0))).alias("n_li"),
-        F.sum(F.coalesce(F.col("li_qty"), F.lit(0))).alias("qty"),
+        *_summed("li_qty", "qty"),
         F.sum(F.coalesce(F.col("li_flag_n"), F.lit(0))).alias("n_flag_n"),
         F.sum(F.coalesce(F.col("li_status_o"), F.lit(0))).alias("n_status_o"),
-        F.sum(F.coalesce(F.col("li_disc"), F.lit(0))).alias("disc"),
-        F.sum(F.coalesce(F.col("li_price"), F.lit(0))).alias("price"),
-        F.sum(F.coalesce(F.col("li_tax"), F.lit(0))).alias("tax"),
+        *_summed("li_disc", "disc"),
+        *_summed("li_price", "price"),
+        *_summed("li_tax", "tax"),
     )
     cm = cm.withColumn("m0", F.min("m").over(Window.partitionBy("custkey")))
     off = F.col("m") - F.col("m0")
@@ -120,15 +139,15 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.min("m0").alias("m0"),
         F.sum("n_ord").alias("n_ord"),
         F.sum("n_urgent").alias("n_urgent"),
-        F.sum("sum_total").cast("double").alias("sum_total"),
+        _whole("sum_total"),
         F.sum("n_li").alias("n_li"),
-        F.sum("qty").cast("double").alias("qty"),
+        _whole("qty"),
         F.sum("n_flag_n").alias("n_flag_n"),
         F.sum("n_status_o").alias("n_status_o"),
-        F.sum("disc").cast("double").alias("disc"),
-        F.sum("price").cast("double").alias("price"),
-        F.sum("tax").cast("double").alias("tax"),
-        F.sum(F.when(off == 0, F.col("qty")).otherwise(0)).cast("double").alias("qty_m0"),
+        _whole("disc"),
+        _whole("price"),
+        _whole("tax"),
+        _whole("qty", off == 0).alias("qty_m0"),
         F.sum(F.when(off == 0, F.col("n_li")).otherwise(0)).alias("n_li_m0"),
         *flags,
     )

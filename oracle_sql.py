@@ -515,6 +515,7 @@ def queries() -> dict[str, str]:
     q.update(insight_queries())
     q.update(verification_queries())
     q.update(extra_queries())
+    q.update(third_round_queries())
     q["document_verification_stream"] = q["document_verification"]  # the stream must equal the batch job
     return q
 
@@ -1408,3 +1409,92 @@ def extra_queries() -> dict[str, str]:
                                 "FROM cohort GROUP BY region",
         "partitioned_results": f"WITH {COHORT_CTES} SELECT {COHORT_COLS} FROM cohort WHERE region = 'ASIA'",
     }
+
+
+def grid_terms_sql(rates: list[float], costs: list[float], keys: str = "") -> str:
+    """Unit economics for every rate and cost, month by month from the undiscounted terms."""
+    k = f"{keys}, " if keys else ""
+    months = range(1, CLV_HORIZON_MONTHS + 1)
+    sums = ", ".join(f"{wsum(f's{t} * gross_profit_per_household')} AS t{t}" for t in months)
+    long = " UNION ALL ".join(f"SELECT {k}rate, cost, households, {t} AS month, t{t} / power(1.0 + rate / 12.0, {t}) / households AS stream FROM ge" for t in months)
+    return with_base(f""",{surv_ctes('base', 'bs')},
+gt AS (SELECT {k}CAST(sum(households) AS BIGINT) AS households, {sums} FROM bs{f' GROUP BY {keys}' if keys else ''} HAVING sum(households) > 0),
+ge AS (SELECT * FROM gt, (SELECT unnest({[float(x) for x in rates]}::DOUBLE[]) AS rate), (SELECT unnest({[float(x) for x in costs]}::DOUBLE[]) AS cost)),
+gl AS ({long}),
+gc AS (SELECT *, sum(stream) OVER (PARTITION BY {k}rate, cost ORDER BY month ROWS UNBOUNDED PRECEDING) AS cum FROM gl),
+gf AS (SELECT {k}rate, cost, households, max(CASE WHEN month = 24 THEN cum END) AS clv, min(CASE WHEN cum >= cost THEN month END) AS first FROM gc GROUP BY {k}rate, cost, households)
+SELECT {k}{r('rate')} AS discount_rate, {r('cost')} AS acquisition_cost, households, {r('clv')} AS avg_clv, {r('clv - cost')} AS net_clv,
+  CASE WHEN cost > 0 THEN {r('clv / cost')} END AS clv_to_cac, clv - cost < 0 AS underwater,
+  CAST(CASE WHEN cost <= 0 THEN 0 WHEN clv >= cost THEN first END AS INTEGER) AS payback_month FROM gf""")
+
+
+ROW_RATE = "(0.05 + CAST(substr(cohort_month, 6, 2) AS INTEGER) / 100.0::DOUBLE)"
+
+
+def row_rate_ctes() -> str:
+    """The cohorts with a lifetime value at a rate of their own as ``rr``, and each month's discounted profit d1..d24."""
+    months = range(1, CLV_HORIZON_MONTHS + 1)
+    value = " + ".join(f"s{t} * (1.0 / power(1.0 + rate / 12.0, {t}))" for t in months)
+    each = ", ".join(f"s{t} * (1.0 / power(1.0 + rate / 12.0, {t})) * gross_profit_per_household AS d{t}" for t in months)
+    return f""",{surv_ctes('base', 'bs')},
+rs AS (SELECT *, {ROW_RATE} AS rate FROM bs),
+rr AS (SELECT * EXCLUDE (discounted_clv, total_lifecycle_value), ({value}) * gross_profit_per_household AS discounted_clv,
+  ({value}) * gross_profit_per_household * households AS total_lifecycle_value, {each} FROM rs)"""
+
+
+def payback_row_rates_sql() -> str:
+    months = range(1, CLV_HORIZON_MONTHS + 1)
+    sums = ", ".join(f"{wsum(f'd{t}')} / nullif(sum(households), 0) AS st{t}" for t in months)
+    cums = ", ".join(" + ".join(f"st{i}" for i in range(1, t + 1)) + f" AS c{t}" for t in months)
+    first = " ".join(f"WHEN c{t} >= {CAC!r} THEN {t}" for t in months)
+    clv = wavg("discounted_clv")
+    return with_base(row_rate_ctes() + f""",
+ra AS (SELECT market, CAST(sum(households) AS BIGINT) AS households, {clv} AS avg_clv, {sums} FROM rr GROUP BY market HAVING sum(households) > 0),
+rc AS (SELECT *, {cums} FROM ra)
+SELECT market, households, CAST(CASE {first} END AS INTEGER) AS payback_month, {r('c24')} AS cumulative_discounted_gp_24, {r('avg_clv')} AS avg_clv,
+  {r(f'avg_clv - {CAC!r}')} AS net_clv, avg_clv - {CAC!r} < 0 AS underwater FROM rc""")
+
+
+def edited_initiatives_src() -> str:
+    """The presets after the changes: one with a new lift and cost, one with another lift and complexity, one gone, one new."""
+    rows = [p for p in INITIATIVES if p[0] != "Win-back / Reactivation Campaign"]
+    rows = [(p[0], 0.30, *p[2:7], 900_000.0, *p[8:]) if p[0] == "Onboarding Optimization" else p for p in rows]
+    rows = [(*p[:6], 0.2, *p[7:10], 5.0, *p[11:]) if p[0] == "Ad Monetization Optimization" else p for p in rows]
+    rows.append(("Partner Bundles", 0.05, 0, 0, 0, 0, 0.04, 0.0, 3, 3, 1.0, 3, 3, 3))
+    values = ["(" + ", ".join([str(i + 1), *map(_lit, p), "''"]) + ")" for i, p in enumerate(rows)]
+    cols = ", ".join(["position", "initiative"] + LIFTS + ["cost"] + QUAL + ["thesis"])
+    return f"ini AS (SELECT * FROM (VALUES {', '.join(values)}) v({cols}))"
+
+
+def nested_contexts_sql() -> str:
+    three = lambda e: r_(e, 3)
+    dd = seg_summary_cte("dd", "market, device_type")
+    number = lambda path, e, src="dm": f"SELECT 'market:' || market AS context_id, '{path}' AS path, CAST({e} AS DOUBLE) AS value_double, CAST(NULL AS VARCHAR) AS value_string FROM {src}"
+    words = lambda path, e, src: f"SELECT 'market:' || market, '{path}', NULL, {e} FROM {src}"
+    note = f"printf('kept %.1f%% over %s households', {r_('avg_month_6_retention * 100.0', 1)}, format('{{:,}}', households))"
+    facts = [number("summary.households", "households"), number("summary.avg_clv", three("avg_clv")), number("summary.rates.month_6", three("avg_month_6_retention")),
+             number("summary.rates.revenue", three("avg_monthly_revenue")), number("baseline_kpis.avg_clv", three("avg_clv")),
+             number("scenario_kpis.avg_clv", three("avg_clv * 1.1")), number("devices.clv", three("avg_clv"), "dd"),
+             number("devices.hours", three("avg_first_week_hours"), "dd"), words("market", "market", "dm"),
+             words("devices.note", note, "dd"), words("devices.device_type", "device_type", "dd")]
+    drafts = market_drafts_cte()
+    cut = drafts.index(", dr AS (")
+    own = drafts[cut + 2:].replace("'overview' AS context_id", "'market:' || market AS context_id")
+    return with_base(f", {drafts[:cut]}, {dd}, facts AS ({' UNION ALL '.join(facts)})" + verify_sql(own))
+
+
+def third_round_queries() -> dict[str, str]:
+    by_region = "SELECT region, count(*) AS cohort_rows, CAST(sum({h}) AS BIGINT) AS households FROM cohort GROUP BY region"
+    ranked = "SELECT " + ", ".join(c if c in ("rank", "initiative", "classification", "never_pays_back") else f"{r(c)} AS {c}" for c in RANK_COLS) + " FROM iranked"
+    return {
+        "unit_economics_grid": grid_terms_sql([round(0.01 * i, 2) for i in range(25)], [0.5 * i for i in range(40)]),
+        "unit_economics_grid_by_market": grid_terms_sql([0.0, 0.08, 0.3], [-1.0, 0.0, 6.25, 1000.0], "market"),
+        "clv_row_rates": with_base(row_rate_ctes() + f"\nSELECT {KEYS}, {r('discounted_clv')} AS discounted_clv, {r('total_lifecycle_value')} AS total_lifecycle_value FROM rr"),
+        "payback_row_rates": payback_row_rates_sql(),
+        "dataset_rebuilt": f"WITH {COHORT_CTES} {by_region.format(h='households')}",
+        "partitions_replaced": f"WITH {COHORT_CTES} " + by_region.format(h="CASE WHEN region IN ('ASIA', 'EUROPE') THEN 2 ELSE 1 END * households"),
+        "cohort_csv_rejected": f"WITH {COHORT_CTES} SELECT CASE region WHEN 'AFRICA' THEN '{len(REQUIRED_COLUMNS) + 2} cells, {len(REQUIRED_COLUMNS)} columns' "
+                               "WHEN 'EUROPE' THEN 'incomplete' ELSE 'complete' END AS outcome, count(*) AS n_rows FROM cohort GROUP BY 1",
+        "initiative_ranking_edited": with_base(ranking_ctes(edited_initiatives_src()) + "\n" + ranked),
+        "nested_context_verification": nested_contexts_sql(),
+    }

@@ -66,6 +66,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def clear_of(keep: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until it differs from all of ``keep`` and from those before it."""
+    taken, out = {c.lower() for c in keep}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{c}`") for c in names]
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")

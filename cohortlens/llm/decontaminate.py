@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import clear_of, stored
 
 #: 1: the word counts, 0: it is ignored. Each mask starts and ends with 1.
 MASKS = ("111010011", "110011011", "101101101")
@@ -137,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
     n_equal of the n_words words of the best stretch are alike; with ``whole`` that is the stretch with the most equal words of all that have
     enough of them at the share, else the one with the best score, which may fail where another would do. Null, empty and short texts hold nothing; items shorter than the
     shortest mask are too short to tell and are never found; of items with equal words the smallest id is named. Repeated rows
-    of one ``keep`` give one row per item.
+    of one ``keep`` give one row per item. Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
     own = [f"__k{i}" for i in range(len(keep))]  # the columns may have any names
     known = stored(items(benchmark).where(F.size("words") >= min(map(len, masks))), "items")
@@ -166,7 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
     found = compared.select(*own, F.col("item").alias("__item"), need.alias("need"), stretch.alias("b"))
     enough = found.where((F.col("b.n_equal") >= F.col("need")) & (F.lit(whole) | (F.col("b.n_equal") >= min_share * F.col("b.n_words"))))
     best = enough.groupBy(*own, "__item").agg(F.max(F.struct("b.n_equal", "b.n_words")).alias("b"))
-    return best.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], F.col("__item").alias("item_id"), "b.n_equal", "b.n_words")
+    item, n_equal, n_words = clear_of(keep, "item_id", "n_equal", "n_words")
+    return best.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], F.col("__item").alias(item), F.col("b.n_equal").alias(n_equal), F.col("b.n_words").alias(n_words))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import clear_of, quoted
+
 #: N-grams in a profile.
 PROFILE_SIZE = 400
 #: Longest n-gram, in characters; three code points fill a 64-bit number.
@@ -143,10 +145,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
     """The columns ``keep`` of ``docs`` with lang_pred and score.
 
     A null text, an empty one and one without letters get ``und`` and 0. Every row gives one row, repeated ones too. Ties
-    between languages go to the smaller name.
+    between languages go to the smaller name. Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", lang_pred string, score double"
+    made = clear_of(keep, "lang_pred", "score", "__text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*docs.select(*quoted(keep)).dtypes, *zip(made, ("string", "double"))])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = RankOrder(profiles, profile_size)
@@ -154,9 +156,9 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
             found = [model(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             arrays += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], *made[:2]])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(classify, schema)
+    return docs.select(*quoted(keep), F.col(f"`{text}`").alias(made[2])).mapInArrow(classify, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

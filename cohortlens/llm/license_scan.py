@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import clear_of, quoted
+
 #: Words in a fingerprint, and neighbouring fingerprints of which one is kept.
 GRAM, WINDOW = 3, 3
 #: Words that an alignment may stray from its candidate's diagonals.
@@ -279,11 +281,14 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
     Where templates overlap only the best one counts, and each of TEMPLATES needs its words of IDENTITY.
     ``spans`` lists start:end of each occurrence in code points (end exclusive), ascending, comma-joined. Null, empty and
     license-free texts give no row; repeated rows give their rows again; a template of fewer than GRAM words is refused.
+    Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
     scanner = Scanner(templates or TEMPLATES, None if templates else IDENTITY)
     if any(len(w) < GRAM for w in scanner.words):
         raise ValueError(f"a template needs {GRAM} words at least")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", license string, coverage double, n_matches int, spans string"
+    made_names = clear_of(keep, "license", "coverage", "n_matches", "spans")
+    kinds = ("string", "double", "int", "string")
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*docs.select(*quoted(keep)).dtypes, *zip(made_names, kinds)])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,6 +305,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
                     out.append((name, max(x[2] for x in each), len(each), ",".join(f"{a}:{b}" for a, b in sorted({x[:2] for x in each}))))
             kept = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(batch.num_columns - 1)]
             made = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(kept + made, [*batch.schema.names[:-1], "license", "coverage", "n_matches", "spans"])
+            yield pa.RecordBatch.from_arrays(kept + made, [*batch.schema.names[:-1], *made_names])
 
-    return docs.select(*keep, F.col(text).alias("__text")).where("__text is not null").mapInArrow(found, schema)
+    text_name = clear_of(keep, "__text")[0]
+    return docs.select(*quoted(keep), F.col(f"`{text}`").alias(text_name)).where(F.col(text_name).isNotNull()).mapInArrow(found, schema)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import clear_of, quoted, stored
 
 SCANNED = "blob string, rule string, version int"
 FINDINGS = "blob string, rule string, version int, start int, end int"
@@ -117,10 +117,13 @@ def secrets(versions: DataFrame, ledger: str, keep: list[str], rules: tuple[Rule
     """Scans what is unseen, then gives for every row of ``versions`` the columns ``keep``, blob, n_<rule> and spans.
 
     Null and empty texts are the empty blob and find nothing; repeated rows and paths with one blob are scanned once and each
-    give a row.
+    give a row. Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
     scan(versions, ledger, rules)
     known = blob_findings(versions.sparkSession, ledger, rules)
-    rows = versions.select(*keep, blob_id(F.col("text")).alias("blob"))
-    counts = [F.coalesce(f"n_{r.name}", F.lit(0)).cast("long").alias(f"n_{r.name}") for r in rules]
-    return rows.join(known, "blob", "left").select(*keep, "blob", *counts, F.coalesce("spans", F.lit("")).alias("spans"))
+    own = [f"__k{i}" for i in range(len(keep))]
+    rows = versions.select(*[c.alias(k) for c, k in zip(quoted(keep), own)], blob_id(F.col("text")).alias("blob"))
+    blob, spans, *counts = clear_of(keep, "blob", "spans", *[f"n_{r.name}" for r in rules])
+    numbers = [F.coalesce(f"n_{r.name}", F.lit(0)).cast("long").alias(c) for r, c in zip(rules, counts)]
+    found = rows.join(known, "blob", "left")
+    return found.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], F.col("blob").alias(blob), *numbers, F.coalesce("spans", F.lit("")).alias(spans))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import components, stored
+from cohortlens.llm.common import clear_of, components, quoted, stored
 
 #: Words in a shingle and the largest linking distance in bits.
 SHINGLE, MAX_BITS = 4, 4
@@ -190,8 +190,14 @@ def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
     component_id is the smallest id that links reach from the row's fingerprint, its own included. A null text counts as
     empty; texts without words have fingerprint 0 and are linked like any other. Rows without an id are linked too but
     never name a component; it is null if no row of it has an id. Repeated rows each give a row.
+    Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
-    return _grouped(docs, keep, id_col, text, shingle, max_bits).select(*keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    own = [f"__k{i}" for i in range(len(keep))]
+    plain = docs.select(*[c.alias(k) for c, k in zip(quoted(keep), own)], F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("__text_in"))
+    found = _grouped(plain, [*own, "__id"], "__id", "__text_in", shingle, max_bits)
+    fingerprint_name, component_name = clear_of(keep, "fingerprint", "component_id")
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], hexed.alias(fingerprint_name), F.col("component_id").alias(component_name))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import clear_of, quoted
+
 #: Characters from which a text is cut.
 PIECE_CHARS = 1 << 16
 #: UTF-8 bytes encoded at once.
@@ -165,15 +167,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, keep: list[str], text: st
 
     ``tokenizer_path`` must be readable under the same name on every executor. A null text counts as empty: 0 bytes, 0 tokens.
     Every row gives one row. No begin, end or other special token is added; special strings inside a text are
-    handled as the library does by default.
+    handled as the library does by default. Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_bytes long, n_tokens long, over_limit boolean"
+    made = clear_of(keep, "n_bytes", "n_tokens", "over_limit", "__text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*docs.select(*quoted(keep)).dtypes, *zip(made, ("long", "long", "boolean"))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = token_lengths(batch.column(batch.num_columns - 1).to_pylist(), tokenizer_path)
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], *made[1:3]])
 
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(*keep, F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("__text")).mapInArrow(encode, schema)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(*quoted(keep), F.octet_length(whole).cast("long").alias(made[0]), whole.alias(made[3])).mapInArrow(encode, schema)

@@ -70,6 +70,16 @@ def _uri(text: str) -> str:
     return quote(text, safe="!#$%&'()*+,/:;=?@[]~")
 
 
+def _id_field(page_id: str) -> str:
+    """A page id as a header field that ``unquote`` turns back into it, ``%`` included."""
+    return quote(page_id, safe="")
+
+
+def record_id(page_id: str) -> str:
+    """The id of a page's record: the same in every run, and what its revisits refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'page:' + page_id)}>"
+
+
 class _Archive:
     """One archive file that is being written."""
 
@@ -117,13 +127,13 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK, archive_
                         archive = None
                     archive = archive or _Archive(folder)
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode("ascii")
-                    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": DATE}
+                    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else record_id(page_id), "WARC-Date": DATE}
                     if url is not None:
                         fields["WARC-Target-URI"] = _uri(url)
                     if page_id is not None:
-                        fields["X-Page-ID"] = _uri(page_id)
+                        fields["X-Page-ID"] = _id_field(page_id)
                     if refers_to is not None:
-                        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:x-page:{_uri(refers_to)}>"}
+                        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": _id_field(refers_to)}
                     fields |= {"WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
                     left = n_bytes if refers_to is None else 0
                     archive.begin(fields, head, left)
@@ -210,7 +220,7 @@ def records(path: str, chunk: int = CHUNK) -> Iterator[tuple]:
             http_head = data.until(END)
             left -= len(http_head) + len(END)
             page_id = unquote(warc["x-page-id"]) if "x-page-id" in warc else None
-            refers_to = unquote(warc["warc-refers-to"].removeprefix("<urn:x-page:").removesuffix(">")) if kind == "revisit" else None
+            refers_to = unquote(warc["x-refers-to-page-id"]) if kind == "revisit" else None
             stated, size = warc["warc-payload-digest"].removeprefix("sha256:"), int(_fields(http_head)["content-length"])
             seen, piece = hashlib.sha256(), 0
             while True:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cohortlens.functions.numeric import rint_round, weighted_mean
 import os
 
-from cohortlens.operators import contexts, grounding, insights, portfolio, scenario, terms, verify, views
+from cohortlens.operators import contexts, grounding, insights, portfolio, scenario, terms, totals, verify, views
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import quality, segments, value
 from cohortlens.operators.scenario import Scenario
@@ -282,6 +282,25 @@ def q_clv_row_rates(spark, sf):
     return finalize(out.select(*KEY_COLUMNS, "discounted_clv", "total_lifecycle_value"))
 
 
+def q_exact_totals(spark, sf):
+    """A1 for every double - line amounts that stand among others of 1e25 times their size, which cancel, and 1e-13 times it."""
+    price = F.col("l_extendedprice")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("long").alias("n"),
+        F.concat(price.cast("decimal(18,2)").cast("string"), F.lit("E-13")).cast("double").alias("tiny"),
+        F.explode(F.array(price, price * 1e25, price * -1e25)).alias("amount"))
+    out = totals.exact_totals(lines, {"amount": "amount", "by_number": ("amount", "n"), "tiny": ("tiny", "n"), "n": "n"}, ["l_returnflag", "l_linestatus"])
+    return finalize(out.select("l_returnflag", "l_linestatus", "amount", "by_number", (F.col("tiny") / F.col("n") * 1e13).alias("tiny_mean")))
+
+
+MEANS = ["month_1_retention", "month_12_retention", "gross_margin", "total_monthly_revenue_per_household", "discounted_clv"]
+
+
+def q_exact_weighted_means(spark, sf):
+    """A1 - household-weighted means by market from totals by decimal exponent."""
+    return finalize(totals.exact_weighted_means(_base(spark, sf), MEANS, by=["market"]))
+
+
 def q_payback_row_rates(spark, sf):
     """A4, A5 with a discount rate per row - average lifetime value and payback month by market."""
     b = value.run_clv_model(_raw_cohorts(spark, sf), row_rate())
@@ -856,6 +875,8 @@ QUERIES = {
     "unit_economics_grid_by_market": q_unit_economics_grid_by_market,
     "clv_row_rates": q_clv_row_rates,
     "payback_row_rates": q_payback_row_rates,
+    "exact_totals": q_exact_totals,
+    "exact_weighted_means": q_exact_weighted_means,
     "dataset_rebuilt": q_dataset_rebuilt,
     "partitions_replaced": q_partitions_replaced,
     "cohort_csv_rejected": q_cohort_csv_rejected,

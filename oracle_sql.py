@@ -1483,6 +1483,14 @@ def nested_contexts_sql() -> str:
     return with_base(f", {drafts[:cut]}, {dd}, facts AS ({' UNION ALL '.join(facts)})" + verify_sql(own))
 
 
+def exact_totals_sql() -> str:
+    """The amounts alone, in cents: what stands beside them cancels, and the mean of the small ones is their mean."""
+    cents = "l_extendedprice::DECIMAL(18, 2)"
+    weighted = f"sum({cents} * l_linenumber::DECIMAL(10, 0))"
+    return (f"SELECT l_returnflag, l_linestatus, {r(f'sum({cents})::DOUBLE')} AS amount, {r(f'{weighted}::DOUBLE')} AS by_number, "
+            f"{r(f'{weighted}::DOUBLE / sum(l_linenumber)')} AS tiny_mean FROM lineitem GROUP BY 1, 2")
+
+
 def third_round_queries() -> dict[str, str]:
     by_region = "SELECT region, count(*) AS cohort_rows, CAST(sum({h}) AS BIGINT) AS households FROM cohort GROUP BY region"
     ranked = "SELECT " + ", ".join(c if c in ("rank", "initiative", "classification", "never_pays_back") else f"{r(c)} AS {c}" for c in RANK_COLS) + " FROM iranked"
@@ -1491,6 +1499,10 @@ def third_round_queries() -> dict[str, str]:
         "unit_economics_grid_by_market": grid_terms_sql([0.0, 0.08, 0.3], [-1.0, 0.0, 6.25, 1000.0], "market"),
         "clv_row_rates": with_base(row_rate_ctes() + f"\nSELECT {KEYS}, {r('discounted_clv')} AS discounted_clv, {r('total_lifecycle_value')} AS total_lifecycle_value FROM rr"),
         "payback_row_rates": payback_row_rates_sql(),
+        "exact_totals": exact_totals_sql(),
+        "exact_weighted_means": with_base("SELECT market, " + ", ".join(f"{r(wavg(c))} AS {c}" for c in (
+            "month_1_retention", "month_12_retention", "gross_margin", "total_monthly_revenue_per_household", "discounted_clv"))
+            + " FROM base GROUP BY market"),
         "dataset_rebuilt": f"WITH {COHORT_CTES} {by_region.format(h='households')}",
         "partitions_replaced": f"WITH {COHORT_CTES} " + by_region.format(h="CASE WHEN region IN ('ASIA', 'EUROPE') THEN 2 ELSE 1 END * households"),
         "cohort_csv_rejected": f"WITH {COHORT_CTES} SELECT CASE region WHEN 'AFRICA' THEN '{len(REQUIRED_COLUMNS) + 2} cells, {len(REQUIRED_COLUMNS)} columns' "

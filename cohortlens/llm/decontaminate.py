@@ -8,14 +8,16 @@ has enough equal words at the share; without it only the stretch with the best s
 -REPLACED) is looked at. The queries and the pipeline use ``whole``.
 
 The index of the benchmark is sent to every task if it has at most ``BROADCAST_ROWS`` rows of a few numbers, else both sides
-are shuffled by the hash, the documents' words left behind. Items of equal words are one item, named by the smallest id, so copies in the benchmark add no rows.
+are shuffled by the hash, the documents' words left behind. A seed that more than ``HOT`` places of items share is not joined to all
+of them: the pair must also have an equal word outside the window, one of the item's rarest so many that no overlap long enough
+can do without all of them. Items no longer than a mask are searched by one hash of all their words. Items of equal words are one item, named by the smallest id, so copies in the benchmark add no rows.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import clear_of, stored
@@ -30,6 +32,10 @@ MIN_SHARE = 0.8
 REPLACED = 2
 #: Rows of the index (about 50 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Places of items with one seed beyond which a hit on it needs a word outside the window.
+HOT = 64
+#: Words of the shortest item that is searched; fewer in a row are common speech.
+SHORTEST = 5
 
 
 def word_hashes(text: Column) -> Column:
@@ -131,33 +137,79 @@ def _here(hits: DataFrame, *columns: str) -> DataFrame:
     return hits.select(*columns, "item", "item_size", (begin - shift).alias("skip"), F.slice("words", begin + 1, end - begin).alias("here"))
 
 
+def _index(known: DataFrame, masks: tuple[str, ...], spaced: int) -> DataFrame:
+    """A row for each seed of each item; the masks from ``spaced`` on select all words of items of their own length."""
+    places = _windows(known, masks, "item").select("item", "words", "at", F.explode(_seeds(masks)).alias("s")).where("s is not null").select("item", "words", "at", "s.*")
+    length = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
+    own = (F.col("mask") < spaced) & (F.size("words") > max([0, *[len(m) for m in masks[spaced:]]])) | (F.col("mask") >= spaced) & (F.size("words") == length)
+    return places.where(own).select("seed", F.col("mask").alias("item_mask"), "item", F.col("at").alias("item_at"), F.size("words").alias("item_size"), _before(F.col("at"), masks).alias("item_before"))
+
+
+def _tokens(words: Column, seed: Column, at: Column, begin: Column, end: Column, span: int) -> Column:
+    """Hashes of seed, distance and word for the words from ``begin`` to before ``end`` outside the window at ``at``."""
+    outside = F.filter(F.sequence(begin, F.greatest(begin, end - 1)), lambda i: (i < end) & ((i < at) | (i >= at + span)))
+    return F.transform(outside, lambda i: F.xxhash64(seed, i - at, F.get(words, i)))
+
+
+def _hot_hits(told: DataFrame, index: DataFrame, known: DataFrame, hot: DataFrame, masks: tuple[str, ...], min_words: int, *columns: str) -> DataFrame:
+    """Documents and diagonals of items that meet at a hot seed and at one of the item's rarest words outside the window.
+
+    Of the words alike at most those of a window (``span``) lie inside it, so an overlap has ``need - span`` or more outside, and
+    misses none but that many, less one, of the item's words there: one of the others is alike.
+    """
+    span, size = max(map(len, masks)), F.col("item_size")
+    held = index.join(hot.select("seed"), "seed", "left_semi").join(known, "item")
+    token = held.select("seed", "item", "item_at", "item_size", F.explode(_tokens(F.col("words"), F.col("seed"), F.col("item_at"), F.lit(0), size, span)).alias("token"))
+    token = token.join(token.groupBy("token").agg(F.count("*").alias("n")), "token")
+    rarest = Window.partitionBy("seed", "item", "item_at").orderBy("n", "token")
+    outside = F.count("*").over(Window.partitionBy("seed", "item", "item_at"))
+    enough = token.withColumn("place", F.row_number().over(rarest)).withColumn("outside", outside)
+    enough = stored(enough.where(F.col("place") <= F.col("outside") - (F.least(F.lit(min_words), size) - span) + 1).select("token", "item", "item_at", "item_size"), "tokens")
+    near = _document_seeds(told, masks, *columns).join(hot, "seed")
+    begin, end = F.greatest(F.lit(0), F.col("at") - F.col("back")), F.least(F.size("words"), F.col("at") + F.col("ahead"))
+    met = near.select(*columns, "at", F.explode(_tokens(F.col("words"), F.col("seed"), F.col("at"), begin, end, span)).alias("token")).join(enough, "token")
+    return met.select(*columns, "item", "item_size", F.expr("at - item_at").alias("shift")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, whole: bool = False) -> DataFrame:
     """A row for each distinct ``keep`` of ``docs`` and benchmark item found in it: the columns ``keep``, item_id, n_equal, n_words.
 
     n_equal of the n_words words of the best stretch are alike; with ``whole`` that is the stretch with the most equal words of all that have
-    enough of them at the share, else the one with the best score, which may fail where another would do. Null, empty and short texts hold nothing; items shorter than the
-    shortest mask are too short to tell and are never found; of items with equal words the smallest id is named. Repeated rows
+    enough of them at the share, else the one with the best score, which may fail where another would do. Null, empty and short texts hold nothing; items no longer than a mask
+    are found where all their words stand in a row, those of fewer than ``SHORTEST`` words never; of items with equal words the smallest id is named. Repeated rows
     of one ``keep`` give one row per item. Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
     own = [f"__k{i}" for i in range(len(keep))]  # the columns may have any names
-    known = stored(items(benchmark).where(F.size("words") >= min(map(len, masks))), "items")
-    places = _windows(known, masks, "item").select("item", "words", "at", F.explode(_seeds(masks)).alias("s")).where("s is not null").select("item", "words", "at", "s.*")
-    index = stored(places.select("seed", F.col("mask").alias("item_mask"), "item", F.col("at").alias("item_at"), F.size("words").alias("item_size"), _before(F.col("at"), masks).alias("item_before")), "seeds")
-    small = index.count() <= BROADCAST_ROWS
+    span = min(max(map(len, masks)), min_words)
+    known = stored(items(benchmark).where(F.size("words") >= SHORTEST), "items")
+    short = sorted(r[0] for r in known.select(F.size("words")).where(F.size("words") <= span).distinct().collect())  # at most a mask's length of numbers
+    spaced, masks = len(masks), (*masks, *["1" * n for n in short])
+    index = stored(_index(known, masks, spaced), "seeds")
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own)], word_hashes(F.col(text)).alias("words"))
-    if small:
+    # seeds are shuffled without their document's words, which are joined back to the hits alone
+    told = rows.withColumn("__doc", F.xxhash64("words")).withColumn("__size", F.size("words"))
+    seeded = (*own, "__doc", "__size")
+
+    def back(hits: DataFrame) -> DataFrame:
+        sides = hits.select(*[F.col(k).alias(f"{k}_") for k in seeded], "item", "item_size", F.col("shift").alias("at"), F.lit(0).alias("item_at"))
+        alike = F.lit(True)
+        for k in seeded:
+            alike = alike & (F.col(k).eqNullSafe(F.col(f"{k}_")) if k in own else F.col(k) == F.col(f"{k}_"))
+        return _here(told.join(sides, alike), *own).join(known.select("item", F.col("words").alias("item_words")), "item")
+
+    hot = stored(index.where(F.col("item_mask") < spaced).groupBy("seed").agg(F.count("*").alias("n"), F.max("item_at").alias("back"), F.max(F.col("item_size") - F.col("item_at")).alias("ahead")).where(F.col("n") > HOT).drop("n"), "hot")
+    crowded = None
+    if min_words > max(map(len, masks[:spaced])) and not hot.isEmpty():
+        crowded = back(_hot_hits(told, index, known, hot, masks[:spaced], min_words, *seeded))
+        index = stored(index.join(hot.select("seed"), "seed", "left_anti"), "seeds")
+    if index.count() <= BROADCAST_ROWS:
         local = _here(_first_hits(_document_seeds(rows, masks, *own), F.broadcast(index), masks), *own)
         compared = local.join(F.broadcast(known.select("item", F.col("words").alias("item_words"))), "item")
     else:
-        # seeds are shuffled without their document's words, which are joined back to the first hits alone
-        told = rows.withColumn("__doc", F.xxhash64("words")).withColumn("__size", F.size("words"))
-        seeds = _document_seeds(told, masks, *own, "__doc", "__size").withColumn("before", _before(F.col("at"), masks)).drop("words")
-        first = _first_hits(seeds, index, masks).select(*own, "__doc", "__size", "item", "item_size", "at", "item_at").withColumn("shift", F.expr("at - item_at")).drop("at", "item_at").distinct()
-        sides = first.select(*[F.col(k).alias(f"{k}_") for k in own], F.col("__doc").alias("__doc_"), F.col("__size").alias("__size_"), "item", "item_size", F.col("shift").alias("at"), F.lit(0).alias("item_at"))
-        alike = (F.col("__doc") == F.col("__doc_")) & (F.col("__size") == F.col("__size_"))
-        for k in own:
-            alike = alike & F.col(k).eqNullSafe(F.col(f"{k}_"))
-        compared = _here(told.join(sides, alike), *own).join(known.select("item", F.col("words").alias("item_words")), "item")
+        seeds = _document_seeds(told, masks, *seeded).withColumn("before", _before(F.col("at"), masks)).drop("words")
+        compared = back(_first_hits(seeds, index, masks).select(*seeded, "item", "item_size", F.expr("at - item_at").alias("shift")).distinct())
+    if crowded is not None:
+        compared = compared.unionByName(crowded)
     there = F.slice("item_words", F.col("skip") + 1, F.size("here"))
     need = F.least(F.lit(min_words), F.col("item_size"))
     if whole:

@@ -310,6 +310,10 @@ def plain_contaminated(docs, items, masks=decontaminate.MASKS):
     for w, item in first.items():
         for d, t in docs:
             words = word_list(t)
+            if len(w) <= len(masks[0]):  # a short item is found as a whole, from five words on
+                if len(w) >= 5 and any(tuple(words[p:p + len(w)]) == w for p in range(len(words))):
+                    out[(d, item)] = (len(w), len(w))
+                continue
             places = {}
             for p, x in enumerate(words):
                 places.setdefault(x, []).append(p)
@@ -331,17 +335,20 @@ def plain_contaminated(docs, items, masks=decontaminate.MASKS):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
-def test_decontamination_equals_plain_version(spark, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, hot", [(decontaminate.BROADCAST_ROWS, decontaminate.HOT), (0, decontaminate.HOT), (decontaminate.BROADCAST_ROWS, 0), (0, 1)])
+def test_decontamination_equals_plain_version(spark, monkeypatch, broadcast_rows, hot):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(decontaminate, "HOT", hot)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(30)] + ["Été"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 9, 12, 20, 40])))) for i in range(12)]
+    items += [(20 + i, " ".join([*vocabulary[:10], *rng.choices(vocabulary, k=n)])) for i, n in enumerate([0, 1, 2, 3, 6, 6, 9])]  # one opening
+    items += [(40, "w1 w2 w3 w4"), (41, "w1 w2 w3 w4 w5"), (42, "w1 w2 w3 w4 w5 w6 w7 w8")]
     items += [(50, items[2][1].upper()), (51, None), (52, ""), (None, "a b c d e f g h i j k l m n o p")]
     docs = [(100 + i, t) for i, t in enumerate(ODD)]
     for i in range(60):
         words = rng.choices(vocabulary, k=rng.randrange(60))
-        taken = (rng.choice(items[:12])[1]).split()
+        taken = (rng.choice(items[:19])[1]).split()
         if i % 3:
             lo = rng.randrange(len(taken))
             taken = [x if rng.random() > 0.08 else "other" for x in (taken[lo:] if i % 5 == 0 else taken)]
@@ -375,6 +382,21 @@ def test_decontamination_with_clashing_names_and_one_id(spark, monkeypatch, broa
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "x", 7, 15, 15), (None, None, 7, 15, 15)]
 
 
+def test_items_of_one_opening_are_not_joined_to_each_line_of_it(spark, monkeypatch):
+    """Lines and items that begin alike: the pairs compared grow with the items found, not with lines times items."""
+    n = 200
+    opening = " ".join(f"o{i}" for i in range(10))
+    items = [(i, f"{opening} " + " ".join(f"i{i}x{j}" for j in range(10))) for i in range(n)]
+    lines = [f"{opening} " + " ".join(f"d{i}x{j}" for j in range(10)) for i in range(n)]
+    docs = spark.createDataFrame([(d, "\n".join([*lines, items[d][1]])) for d in range(4)], "doc_id long, text string")
+    seen = []
+    here = decontaminate._here
+    monkeypatch.setattr(decontaminate, "_here", lambda hits, *columns: seen.append(here(hits, *columns)) or seen[-1])
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], whole=True)
+    assert sorted(map(tuple, got.collect())) == [(d, d, 20, 20) for d in range(4)]
+    assert sum(x.count() for x in seen) < 10 * n
+
+
 def plain_most_equal(same):
     """Most equal words, then fewest words, of all stretches with the share."""
     found = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]

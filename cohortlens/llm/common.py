@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
@@ -87,6 +87,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")
 
 
+def in_ranges(df: DataFrame, order: list[str], name: str, rows: int) -> DataFrame:
+    """``df`` with the number of each row's range of ``order``: ranges ascend, equal keys share one, each has about ``rows`` rows."""
+    ranges = max(1, -(-df.count() // rows))
+    if ranges == 1:
+        return df.withColumn(name, F.lit(0))
+    return stored(df.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def before(sums: DataFrame, place: str, values: list[str], keys: list[str], width: int) -> DataFrame:
+    """``keys``, ``place`` and, instead of each of ``values``, its total at the places of the key before this one.
+
+    ``sums`` has one row for each key and place. Totals are added up inside blocks of ``width`` places and then over blocks, so the window over
+    all blocks of a key has one row for that many places.
+    """
+    to_here = lambda order, *by: Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda v, window: F.coalesce(F.sum(v).over(window), F.lit(0))
+    dealt = sums.withColumn("__block", F.floor(F.col(place) / F.lit(width)))
+    blocks = dealt.groupBy(*keys, "__block").agg(*[F.sum(v).alias(v) for v in values])
+    blocks = blocks.select(*keys, "__block", *[so_far(v, to_here("__block")).alias(f"__{v}") for v in values])
+    inside = dealt.select(*keys, "__block", place, *[so_far(v, to_here(place, "__block")).alias(v) for v in values])
+    return inside.join(blocks, [*keys, "__block"]).select(*keys, place, *[(F.col(v) + F.col(f"__{v}")).alias(v) for v in values])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an undirected graph, as (node, component); component is the smallest node.
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from cohortlens.llm import mixing
+from cohortlens.llm.common import before
 
 
 def shared(sizes: list[int]) -> list[float]:
@@ -21,7 +22,8 @@ def shared(sizes: list[int]) -> list[float]:
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_targets_follow_the_rule(spark, seed):
+def test_targets_follow_the_rule(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", (3, 4096)[seed < 3])  # many ranges and blocks of sources, or one
     rng = random.Random(seed)
     sizes = [rng.choice([0, 1, 7, 100, 3000, 10**6]) + rng.randrange(50) * (seed % 2) for _ in range(2 + 3 * seed)]
     rows = spark.createDataFrame([(f"={i:03}", n) for i, n in enumerate(sizes)], "source string, source_size long")
@@ -81,6 +83,15 @@ def test_mix_equals_one_sorted_queue(spark, monkeypatch):
         assert abs(taken - target) <= most
 
 
+def test_totals_before_a_place(spark):
+    rng = random.Random(9)
+    rows = {(k, p): rng.randrange(100) for k in "ab" for p in rng.sample(range(500), 120)}
+    frame = spark.createDataFrame([(k, p, n, -n) for (k, p), n in rows.items()], "k string, p int, n long, m long")
+    for r in before(frame, "p", ["n", "m"], ["k"], 7).collect():
+        want = sum(n for (k, p), n in rows.items() if k == r.k and p < r.p)
+        assert (r.n, r.m) == (want, -want)
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string, taken int, size int")
     assert mixing.mix(empty).columns == ["doc_id", "source", "text", "taken", "size", "size_", "source_size", "target", "taken_"]

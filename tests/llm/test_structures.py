@@ -150,7 +150,11 @@ def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-5.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (20, [2.0, 0.0, 1.0]), (1, [1.0, 0.0]), (1, [9.0, 9.0]), (40, [0.0, 3.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
     got = [tuple(r) for r in ann.nearest(frame, F.col("id") % 20 == 0, 3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 40, 0.0), (40, 1, 3, 3.0), (40, 2, 0, 0.0), (40, 3, 1, 0.0)]
+    assert got == [(0, 1, 1, 9.0), (0, 2, 1, 1.0), (0, 3, 1, 1.0), (40, 1, 1, 27.0), (40, 2, 3, 3.0), (40, 3, None, 3.0)]
+    # rows without an id and of repeated ids, a query's own twin among them, are candidates like any other
+    twins = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (None, [3.0, 0.0]), (None, [1.0, 0.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(twins, F.col("id") % 20 == 0, 9).orderBy("query_id", "rank", "vec_id").collect()]
+    assert got == sorted([(0, 1, None, 3.0), (0, 2, 0, 1.0), (0, 3, None, 1.0), (0, 4, 5, 0.0)] * 2, key=lambda r: r[1])
     assert ann.nearest(frame.limit(0), F.col("id") % 20 == 0).count() == 0
     copies = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(200)], "vec_id long, embedding array<float>")
     got = ann.nearest(copies, F.col("id") % 20 == 0, 20, block=64).where("query_id = 20").orderBy("rank").collect()

@@ -3,9 +3,8 @@
 A mask selects some of the positions of a window of words and ignores the others, so a replaced word at an ignored
 position does not spoil the hash. The selected words of every window of every benchmark item and of every
 document are hashed; equal hashes of one mask are hits. Of hits that follow each other on one diagonal only the first goes
-on. Around it, document and item are compared word by word along the diagonal. With ``whole`` the item is found if any stretch
-has enough equal words at the share; without it only the stretch with the best score (a word alike +1, a replaced word
--REPLACED) is looked at. The queries and the pipeline use ``whole``.
+on. Around it, document and item are compared word by word along the diagonal, and the item is found if any stretch has
+enough equal words at the share.
 
 The index of the benchmark is sent to every task if it has at most ``BROADCAST_ROWS`` rows of a few numbers, else both sides
 are shuffled by the hash, the documents' words left behind. A seed that more than ``HOT`` places of items share is not joined to all
@@ -28,8 +27,6 @@ MASKS = ("111010011", "110011011", "101101101")
 MIN_WORDS = 13
 #: Share of the stretch's words that must be equal.
 MIN_SHARE = 0.8
-#: Cost of a replaced word.
-REPLACED = 2
 #: Rows of the index (about 50 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 2_000_000
 #: Places of items with one seed beyond which a hit on it needs a word outside the window.
@@ -73,24 +70,6 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") ->
     return rows.groupBy("words").agg(F.min("item").alias("item")).where("item is not null")
 
 
-def best_stretch(words: Column, item: Column) -> Column:
-    """Of two equally long word lists the stretch with the best score: score, n_equal, n_words; the first of equals."""
-    start = F.struct(*[F.lit(0).alias(x) for x in ("score", "equal", "length", "best", "best_equal", "best_length")])
-
-    def step(a: Column, same: Column) -> Column:
-        score, equal, length = a["score"] + F.when(same, 1).otherwise(-REPLACED), a["equal"] + same.cast("int"), a["length"] + 1
-        fresh, better = score <= 0, score > a["best"]
-        return F.struct(
-            *[F.when(fresh, 0).otherwise(x).alias(n) for x, n in ((score, "score"), (equal, "equal"), (length, "length"))],
-            F.when(better, score).otherwise(a["best"]).alias("best"),
-            F.when(better, equal).otherwise(a["best_equal"]).alias("best_equal"),
-            F.when(better, length).otherwise(a["best_length"]).alias("best_length"),
-        )
-
-    same = F.zip_with(words, item, lambda x, y: x == y)
-    return F.aggregate(same, start, step, lambda a: F.struct(a["best"].alias("score"), a["best_equal"].alias("n_equal"), a["best_length"].alias("n_words")))
-
-
 def most_equal(words: Column, item: Column, min_share: float) -> Column:
     """Of two equally long word lists the stretch with the most equal words among those with the share: n_equal, n_words; the shortest of equals.
 
@@ -171,11 +150,11 @@ def _hot_hits(told: DataFrame, index: DataFrame, known: DataFrame, hot: DataFram
     return met.select(*columns, "item", "item_size", F.expr("at - item_at").alias("shift")).distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, whole: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each distinct ``keep`` of ``docs`` and benchmark item found in it: the columns ``keep``, item_id, n_equal, n_words.
 
-    n_equal of the n_words words of the best stretch are alike; with ``whole`` that is the stretch with the most equal words of all that have
-    enough of them at the share, else the one with the best score, which may fail where another would do. Null, empty and short texts hold nothing; items no longer than a mask
+    n_equal of the n_words words of the best stretch are alike: the one with the most equal words of all that have the share,
+    the shortest of equals. Null, empty and short texts hold nothing; items no longer than a mask
     are found where all their words stand in a row, those of fewer than ``SHORTEST`` words never; of items with equal words the smallest id is named. Repeated rows
     of one ``keep`` give one row per item. Names of ``keep`` that clash with the new columns get the new ones underscores.
     """
@@ -212,18 +191,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
         compared = compared.unionByName(crowded)
     there = F.slice("item_words", F.col("skip") + 1, F.size("here"))
     need = F.least(F.lit(min_words), F.col("item_size"))
-    if whole:
-        compared = compared.where(F.size(F.filter(F.zip_with("here", there, lambda x, y: x == y), lambda x: x)) >= need)
-    stretch = most_equal(F.col("here"), there, min_share) if whole else best_stretch(F.col("here"), there)
+    compared = compared.where(F.size(F.filter(F.zip_with("here", there, lambda x, y: x == y), lambda x: x)) >= need)
+    stretch = most_equal(F.col("here"), there, min_share)
     found = compared.select(*own, F.col("item").alias("__item"), need.alias("need"), stretch.alias("b"))
-    enough = found.where((F.col("b.n_equal") >= F.col("need")) & (F.lit(whole) | (F.col("b.n_equal") >= min_share * F.col("b.n_words"))))
-    best = enough.groupBy(*own, "__item").agg(F.max(F.struct("b.n_equal", "b.n_words")).alias("b"))
+    best = found.where(F.col("b.n_equal") >= F.col("need")).groupBy(*own, "__item").agg(F.max(F.struct("b.n_equal", "b.n_words")).alias("b"))
     item, n_equal, n_words = clear_of(keep, "item_id", "n_equal", "n_words")
     return best.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], F.col("__item").alias(item), F.col("b.n_equal").alias(n_equal), F.col("b.n_words").alias(n_words))
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """The rows of ``docs`` without any benchmark item (``whole`` as in ``contaminated``), every column as it was.
+def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without any benchmark item, every column as it was.
 
     The verdict depends on the text alone, so rows are told apart by it: equal texts go or stay together and rows without an id are
     judged like any other.
@@ -233,5 +210,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, whole: bool = False
     key = fresh(docs, "__text_key")
     keyed = docs.withColumn(key, F.md5("text"))
     own = docs.select(F.md5("text").alias("key"), "text")
-    gone = stored(contaminated(own, benchmark, ["key"], whole=whole).select("key").distinct(), "contaminated")
+    gone = stored(contaminated(own, benchmark, ["key"]).select("key").distinct(), "contaminated")
     return keyed.join(gone, keyed[key] == gone["key"], "left_anti").drop(key)

@@ -16,7 +16,7 @@ OPERATORS = {
     "op1": lambda d, keep: language_id.identify(d, language_id.learn_profiles(d), keep),
     "op2": license_scan.scan,
     "op4": lambda d, keep: secret_scan.secrets(d, shared_path(d.sparkSession, "ledger"), keep),
-    "op5": lambda d, keep: decontaminate.contaminated(d, d.sparkSession.createDataFrame([("item", WORDS)], "item_id string, text string"), keep, whole=True),
+    "op5": lambda d, keep: decontaminate.contaminated(d, d.sparkSession.createDataFrame([("item", WORDS)], "item_id string, text string"), keep),
     "op9": simhash.near_duplicates,
     "op10": lambda d, keep: token_count.count_tokens(d, public_tokenizers.path(TOKENIZER), keep),
     "op11": ngram_join.jaccard_components,

@@ -88,7 +88,11 @@ def test_language_id_long_text_and_nothing_learned(spark, monkeypatch):
 
 def test_rejected_documents(spark):
     docs = documents(spark).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
+    noise = random.Random(2)
+    strange = ["".join(noise.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=2000)), " ".join("".join(noise.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)), "Привет мир, как дела", "日本語のテキスト"]
     odd = docs.limit(3).withColumn("text", F.lit("12 34 !")).union(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    for text in strange:  # their ids are held out, so that nothing is learned from them
+        odd = odd.union(docs.where(language_id.held_out()).limit(1).withColumn("text", F.lit(text)))
     kept = language_id.reject_unidentified(docs.union(odd))
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
@@ -301,6 +305,13 @@ def word_list(text):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
 
 
+def plain_most_equal(same):
+    """Most equal words, then fewest words, of all stretches with the share."""
+    found = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+    n, minus = max(found, default=(0, 0))
+    return n, -minus
+
+
 def plain_contaminated(docs, items, masks=decontaminate.MASKS):
     """(doc, item) to the most equal words of a stretch on a diagonal where some mask hits."""
     out = {}
@@ -323,15 +334,9 @@ def plain_contaminated(docs, items, masks=decontaminate.MASKS):
                 hit = any(all(same.get(j + k, False) for k, c in enumerate(m) if c == "1") for m in masks for j in same if j + len(m) - 1 in same)
                 if not hit:
                     continue
-                best, score, n, length = (0, 0, 0), 0, 0, 0
-                for j in sorted(same):
-                    score, n, length = score + (1 if same[j] else -2), n + same[j], length + 1
-                    if score > best[0]:
-                        best = (score, n, length)
-                    if score <= 0:
-                        score = n = length = 0
-                if best[1] >= min(13, len(w)) and best[1] >= 0.8 * best[2]:
-                    out[(d, item)] = max(out.get((d, item), (0, 0)), best[1:])
+                best = plain_most_equal([same[j] for j in sorted(same)])
+                if best[0] >= min(13, len(w)):
+                    out[(d, item)] = max(out.get((d, item), (0, 0)), best)
     return out
 
 
@@ -392,18 +397,11 @@ def test_items_of_one_opening_are_not_joined_to_each_line_of_it(spark, monkeypat
     seen = []
     here = decontaminate._here
     monkeypatch.setattr(decontaminate, "_here", lambda hits, *columns: seen.append(here(hits, *columns)) or seen[-1])
-    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], whole=True)
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
     assert sorted(map(tuple, got.collect())) == [(d, d, 20, 20) for d in range(4)]
     assert sum(x.count() for x in seen) < 10 * n
 
 
-def plain_most_equal(same):
-    """Most equal words, then fewest words, of all stretches with the share."""
-    found = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
-    n, minus = max(found, default=(0, 0))
-    return n, -minus
-
-
 def test_most_equal_words_of_all_stretches(spark):
     rng = random.Random(8)
     rows = [[rng.random() < share for _ in range(rng.randrange(1, 45))] for share in (0.3, 0.6, 0.75, 0.8, 0.85, 0.95) for _ in range(40)]
@@ -423,10 +421,10 @@ def test_decontamination_takes_any_stretch(spark, monkeypatch, broadcast_rows):
     few = [x if i not in (1, 7, 13) else "other" for i, x in enumerate(items[1])]
     docs = spark.createDataFrame([(1, " ".join(ends)), (2, " ".join(on)), (3, " ".join(few))], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in decontaminate.contaminated(docs, bench, ["doc_id"], whole=True).collect()}
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_words) for r in decontaminate.contaminated(docs, bench, ["doc_id"]).collect()}
     same = [x == y for x, y in zip(on, items[2])]
     assert got == {(1, 1): (13, 15), (2, 2): plain_most_equal(same)}
-    assert [r.doc_id for r in decontaminate.without_benchmark(docs, bench, whole=True).collect()] == [3]
+    assert [r.doc_id for r in decontaminate.without_benchmark(docs, bench).collect()] == [3]
 
 
 def test_queries_take_any_stretch(spark, tmp_path):

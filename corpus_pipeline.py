@@ -13,7 +13,7 @@ from cohortlens.llm.common import drop_stored, read_table, scratch, shared_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be identified go."""
+    """Documents without a letter, and those that resemble no language's profile, go."""
     return language_id.reject_unidentified(docs)
 
 
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_benchmark(docs, read_table(spark, sf_dir, "benchmark"), whole=True)
+    return decontaminate.without_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

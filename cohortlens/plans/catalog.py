@@ -18,7 +18,7 @@ from cohortlens.operators import contexts, grounding, insights, portfolio, scena
 from cohortlens.operators import monetization as mon
 from cohortlens.operators import quality, segments, value
 from cohortlens.operators.scenario import Scenario
-from cohortlens.sources.files import read_initiatives_csv
+from cohortlens.sources.files import read_initiatives_csv, share_upload
 from cohortlens.operators.ranks import with_percentile_ranks
 from cohortlens.plans.baseline import baseline_table, fingerprint
 from cohortlens.schema import DEFAULT_ACQUISITION_COST, DEFAULT_DISCOUNT_RATE, KEY_COLUMNS
@@ -572,19 +572,9 @@ UPLOAD_CSV = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.pat
                           "tests", "fixtures", "initiatives_upload.csv")
 
 
-def uploaded(spark, path):
-    """The shared folder of an uploaded file: the driver has the upload, executors read the copy."""
-    from cohortlens.session import table_path
-    import uuid
-    folder = table_path(spark, f"upload_{uuid.uuid4().hex}")
-    with open(path, encoding="utf-8") as f:
-        spark.createDataFrame([(f.read(),)], "value string").coalesce(1).write.text(folder)
-    return folder
-
-
 def q_initiative_ranking_uploaded(spark, sf):
     """S5 + I1-I9 - an uploaded initiative CSV (BOM, no retention_risk column, blanks) ranked."""
-    ini = read_initiatives_csv(spark, uploaded(spark, UPLOAD_CSV))
+    ini = read_initiatives_csv(spark, share_upload(spark, UPLOAD_CSV))
     return finalize(portfolio.score_initiatives(_base(spark, sf), ini, RATE).drop("thesis"))
 
 

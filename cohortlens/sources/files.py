@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.schema import COHORT_SCHEMA
+from cohortlens.session import table_path
 
 # ---- fixed values: spellings read as missing (pandas' documented list) ------
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -109,6 +110,19 @@ def ensure_dataset(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def share_upload(spark: SparkSession, path: str) -> str:
+    """S5 - where executors find an uploaded file: the driver's copy, streamed by the file system into the shared folder.
+
+    It goes when the application ends. A path that names a file system is shared already and is returned as it is.
+    """
+    if "://" in path:
+        return path
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    target = at(table_path(spark, f"upload_{uuid.uuid4().hex}.csv"))
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).copyFromLocalFile(False, True, at(path), target)
+    return target.toString()
+
+
 def read_initiatives_csv(spark: SparkSession, path: str) -> DataFrame:
     """S5 - an uploaded/edited initiative table (any subset of the 15 columns; BOM tolerated)."""
     renamed = _read_text_cells(spark, path).drop(RECORD)

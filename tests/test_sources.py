@@ -111,3 +111,10 @@ def test_csv_dialect_keeps_quotes_line_breaks_and_fractions(spark):
     out = os.path.join(d, "out")
     files.write_results(df, out, fmt="csv")
     assert {r.note for r in files.read_cohort_csv(spark, out).collect()} == {r.note for r in rows}
+
+
+def test_share_upload_copies_the_file_as_it_is(spark):
+    from cohortlens.plans.catalog import UPLOAD_CSV
+    shared = files.share_upload(spark, UPLOAD_CSV)
+    assert files.share_upload(spark, f"file://{UPLOAD_CSV}") == f"file://{UPLOAD_CSV}"
+    assert files.read_initiatives_csv(spark, shared).collect() == files.read_initiatives_csv(spark, UPLOAD_CSV).collect()

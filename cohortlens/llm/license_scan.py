@@ -8,7 +8,9 @@ candidate, which is aligned with the template inside a band around those diagona
 searched on, so notices that follow each other closely are all found.
 
 Winnowing keeps the smallest of every ``WINDOW`` neighbouring fingerprints of a template, so any run of GRAM + WINDOW - 1 words
-that a text shares with a template is found.
+that a text shares with a template is found; templates of up to ``KEEP_ALL`` words keep all. With that every occurrence at
+MIN_COVERAGE has a hit, if it has GRAM neighbouring words as they are - only one of five words with another in the middle has not.
+An alignment may stray from its diagonals as far as the coverage allows.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import clear_of, quoted
 
 #: Words in a fingerprint, and neighbouring fingerprints of which one is kept.
-GRAM, WINDOW = 3, 3
-#: Words that an alignment may stray from its candidate's diagonals.
+GRAM, WINDOW = 3, 2
+#: Words of the longest template that keeps all its fingerprints: runs of at most three words make up four fifths of no longer one.
+KEEP_ALL = 15
+#: Words that an alignment may stray from its candidate's diagonals, at least.
 BAND = 8
 #: Matched words as a share of a template's words and those put between.
 MIN_COVERAGE = 0.8
@@ -68,6 +72,46 @@ TEMPLATES = {
     "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
     "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "mit-licensed": "Licensed under the MIT License.",
+    "bsd-2-clause-short": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-short": "Licensed under the BSD 3-Clause License.",
+    "bsd-no-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "gpl-2.0-short": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "lgpl-3.0-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software."
+    ),
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-1.0-short": "CC0 1.0 Universal",
 }
 
 # What tells a template apart: runs of its words that must be found without a word replaced or put between.
@@ -81,8 +125,39 @@ IDENTITY = {
     "cc-by-nc-4.0-short": ("CC BY-NC 4.0",),
     "cc-by-sa-4.0-short": ("CC BY-SA 4.0",),
     "cc-by-4.0-short": ("CC BY 4.0",),
+    "mit-licensed": ("MIT",),
+    "bsd-2-clause-short": ("BSD 2-Clause",),
+    "bsd-3-clause-short": ("BSD 3-Clause",),
+    "mpl-2.0": ("Mozilla Public License v. 2.0",),
+    "gpl-2.0-short": ("GNU General Public License", "2"),
+    "gpl-2.0": ("GNU General Public License", "2"),
+    "lgpl-3.0-short": ("GNU Lesser General Public License", "3"),
+    "lgpl-2.1": ("GNU Lesser General Public License", "version 2.1"),
+    "agpl-3.0": ("GNU Affero General Public License", "3"),
+    "epl-2.0": ("Eclipse Public License 2.0",),
+    "bsl-1.0": ("Boost Software License", "1.0"),
+    "cc0-1.0-short": ("CC0 1.0 Universal",),
 }
 
+# Identifiers of which "SPDX-License-Identifier:" lines are looked for.
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2",
+    "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-2.0", "MS-PL", "OFL-1.1", "PostgreSQL", "Unlicense", "WTFPL", "Zlib",
+)
+TEMPLATES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+IDENTITY |= {f"spdx-{x.lower()}": (f"SPDX-License-Identifier: {x}",) for x in SPDX}
+
+# The Creative Commons statements follow one form: parts beside Attribution, and versions with their scope.
+_PARTS = {"sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
+for _kind in ("", "sa", "nc", "nd", "nc-sa", "nc-nd"):
+    _code, _title = "-".join(filter(None, ("by", _kind))), "-".join(["Attribution", *[_PARTS[x] for x in _kind.split("-") if x]])
+    for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES.setdefault(f"cc-{_code}-{_version}", f"This work is licensed under a Creative Commons {_title} {_version} {_scope} License.")
+        IDENTITY.setdefault(f"cc-{_code}-{_version}", (f"Creative Commons {_title} {_version}",))
+        TEMPLATES.setdefault(f"cc-{_code}-{_version}-short", f"Licensed under CC {_code.upper()} {_version}.")
+        IDENTITY.setdefault(f"cc-{_code}-{_version}-short", (f"CC {_code.upper()} {_version}",))
+
 _BASE = 0x9E3779B97F4A7C15  # odd, so it can be divided by
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FOLD = np.arange(256, dtype=np.uint64) + 1
@@ -149,9 +224,9 @@ class Scanner:
     def __init__(self, templates: dict[str, str], identity: dict[str, tuple[str, ...]] | None = None):
         self.names = sorted(templates)
         self.words = [words(templates[x].encode())[2] for x in self.names]
+        self.phrases = [[words(p.encode())[2] for p in (identity or {}).get(x, ())] for x in self.names]
         self.marks = [[_places(w, words(p.encode())[2]) for p in (identity or {}).get(x, ())] for x, w in zip(self.names, self.words)]
-        # a short template keeps all its fingerprints, else one changed word may lose the few that are kept
-        rows = [(int(g[p]), t, int(p)) for t, w in enumerate(self.words) for g in [grams(w)] for p in (range(len(g)) if len(w) < GRAM + WINDOW + 1 else winnow(g))]
+        rows = [(int(g[p]), t, int(p)) for t, w in enumerate(self.words) for g in [grams(w)] for p in (range(len(g)) if len(w) <= KEEP_ALL else winnow(g))]
         rows.sort()
         self.prints = np.array([r[0] for r in rows], dtype=np.uint64)
         self.where = np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, 2)
@@ -202,7 +277,8 @@ class Scanner:
         found and what lies behind it is searched in turn, until no hit is left.
         """
         template = self.words[t]
-        reach = len(template) + max(BAND, len(template), math.ceil(len(template) / max(min_coverage, 1e-9)) - len(template))
+        spare = math.ceil(len(template) / max(min_coverage, 1e-9)) - len(template)  # words put between, at most
+        band, reach = max(BAND, spare), len(template) + max(BAND, len(template), spare)
         todo = [(0, len(hashes), 0)]  # words from and to, first hit to look at
         while todo:
             lo, hi, k = todo.pop()
@@ -211,11 +287,11 @@ class Scanner:
                 continue
             start, end = max(lo, int(at[k]) - reach), min(hi, int(at[k]) + reach)
             near = diagonals[np.searchsorted(at, start) : np.searchsorted(at, end - GRAM, "right")]
-            near = self._chain(near, int(diagonals[k]))
+            near = self._chain(near, int(diagonals[k]), band)
             text = hashes[start:end]
             pairs, share = [], 0.0
-            if np.isin(template, text).sum() >= min_coverage * len(template):
-                pairs, inserted = _aligned(template, text, int(near[0]) - BAND - start, int(near[-1]) + BAND - start)
+            if all(_holds(text, p) for p in self.phrases[t]) and np.isin(template, text).sum() >= min_coverage * len(template):
+                pairs, inserted = _aligned(template, text, int(near[0]) - band - start, int(near[-1]) + band - start)
                 share = len(pairs) / (len(template) + inserted)
             if pairs and share >= min_coverage and self._identified(t, pairs):
                 first, last = pairs[0][1] + start, pairs[-1][1] + start
@@ -225,13 +301,24 @@ class Scanner:
                 todo.append((lo, hi, k + 1))
 
     @staticmethod
-    def _chain(diagonals: np.ndarray, own: int) -> np.ndarray:
-        """The diagonals that ``own`` reaches in steps of up to BAND."""
+    def _chain(diagonals: np.ndarray, own: int, band: int) -> np.ndarray:
+        """The diagonals that ``own`` reaches in steps of up to ``band``."""
         found = np.unique(diagonals)
-        groups = np.split(found, np.flatnonzero(np.diff(found) > BAND) + 1)
+        groups = np.split(found, np.flatnonzero(np.diff(found) > band) + 1)
         return next(g for g in groups if g[0] <= own <= g[-1])
 
 
+def _holds(text: np.ndarray, phrase: np.ndarray) -> bool:
+    """Whether the words of the phrase stand in a row somewhere in the text."""
+    n = len(text) - len(phrase) + 1
+    if n <= 0:
+        return False
+    found = np.ones(n, dtype=bool)
+    for i, x in enumerate(phrase):
+        found &= text[i : i + n] == x
+    return bool(found.any())
+
+
 def _places(template: np.ndarray, phrase: np.ndarray) -> tuple[list[int], int]:
     """Where the template holds the phrase, and its words."""
     n = len(phrase)

@@ -1,6 +1,7 @@
 """Line dedup by site-relative frequency.
 
-Pages are grouped by host. For each line, the pages of the host that contain it are divided by all pages of the
+Pages are grouped by host; rows of one host and text are one page, so a group of copies beyond the ratio does not take its own
+lines and leave no document. For each line, the pages of the host that contain it are divided by all pages of the
 host; a line beyond the boilerplate ratio is dropped from every page of that host.
 
 Only line digests are shuffled for counting, added up per task first, so a host or a line with a third of the rows
@@ -32,32 +33,29 @@ def _digest(value: Column) -> Column:
     return F.unhex(F.md5(value))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line, n_pages, host_pages) of the lines to drop; ``pages`` has host, page (digest of the text) and text, ``line`` is a digest.
 
-    A line counts once per page; with ``distinct`` the pages of a host with equal texts count as one. Lines of white space alone are
-    never boilerplate.
+    A line counts once per page, and the rows of a host with equal texts are one page. Lines of white space alone are never boilerplate.
     """
     lines = pages.select("host", "page", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(F.col("line").rlike(r"\S"))
-    held = lines.select("host", "page", _digest(F.col("line")).alias("line"))
-    if distinct:
-        held, pages = held.distinct(), pages.select("host", "page").distinct()
+    held = lines.select("host", "page", _digest(F.col("line")).alias("line")).distinct()
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n_pages"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
     return counts.where(F.col("n_pages") >= min_pages).join(totals, "host").where(F.col("n_pages") > max_ratio * F.col("host_pages"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All rows and columns of ``docs``, the text without boilerplate lines; with n_lines and n_dropped.
 
     Names that ``docs`` has already get underscores added. Pages with a null host form one host of their own. A null text
-    stays null (0 lines) and counts as a page. A page that loses all its lines has an empty text. Repeated rows are
-    separate pages (with ``distinct``, rows of one host and text are one page) and each give a row. The order of the lines that stay is kept.
+    stays null (0 lines); those of a host count as one page. A page that loses all its lines has an empty text. Repeated rows are
+    one page and each give a row. The order of the lines that stay is kept.
     """
     h, n_lines, n_dropped, gone = (fresh(docs, x) for x in ("__host", "n_lines", "n_dropped", "__gone"))
     keyed = docs.withColumn(h, F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")))
     pages = keyed.select(F.col(h).alias("host"), _digest(F.col(text)).alias("page"), F.col(text).alias("text"))
-    boiler = stored(boilerplate(pages, max_ratio, min_pages, distinct).select("host", "line"), "boilerplate")
+    boiler = stored(boilerplate(pages, max_ratio, min_pages).select("host", "line"), "boilerplate")
     held = boiler.agg(F.coalesce(F.sum(F.length("host") + F.length("line") + 32), F.lit(0))).first()[0]
     if held <= BROADCAST_BYTES:
         joined = _with_lines_of_host(keyed, boiler, h, gone)
@@ -87,9 +85,6 @@ def _with_lines_of_page(keyed: DataFrame, pages: DataFrame, boiler: DataFrame, h
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """``docs`` with boilerplate lines of each source dropped and n_chars, where there is one, counted anew.
-
-    Copies of one text are one page, else a group of them beyond the ratio would take all its own lines and leave no document.
-    """
-    out = dedup_lines(docs, distinct=True).select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with boilerplate lines of each source dropped and n_chars, where there is one, counted anew."""
+    out = dedup_lines(docs).select(*[f"`{c}`" for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 LINE_DEDUP = r"""
 WITH pages AS (SELECT doc_id, coalesce('=' || source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
-totals AS (SELECT host, count(*) AS host_pages FROM pages GROUP BY host),
-held AS (SELECT host, unnest(list_distinct(lines)) AS line FROM pages),
+distinct_pages AS (SELECT DISTINCT host, text, lines FROM pages),
+totals AS (SELECT host, count(*) AS host_pages FROM distinct_pages GROUP BY host),
+held AS (SELECT host, unnest(list_distinct(lines)) AS line FROM distinct_pages),
 boiler AS (
   SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host
   WHERE regexp_matches(h.line, '[^ \t-\r]') GROUP BY h.host, h.line, t.host_pages HAVING count(*) >= 5 AND count(*) > 0.08::DOUBLE * t.host_pages),

@@ -2,36 +2,52 @@
 
 A value is read as the decimal that Spark prints for it: digits times a power of ten. Values (or products of a value and a
 weight) of one power add up as whole numbers, so nothing is rounded before the end and the size of a value does not change how it
-is added. After a partial aggregate in every task one shuffle carries a row per group, sum and power, at most some 1,300 a sum
-and in practice a dozen; the powers are then put together digit by digit and rounded to a double once.
+is added. Digits add up in parts of seven, as longs over chunks of 32,768 rows and then as decimals. After a partial aggregate
+in every task a shuffle carries a row per group, sum, power and chunk, the next a row per group, sum and power, at most some
+1,300 a sum and in practice a dozen; the powers are then put together digit by digit and rounded to a double once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import safe_div
 
-#: Digits of a piece of a total, and digits of a factor of a product.
-PIECE, HALF = 18, 9
+#: Digits of a piece of a total, and digits of a part of a factor.
+PIECE, PART = 18, 7
+#: Rows, as a power of two, whose products of parts (at most three together, below 2.1e14) a long adds up for certain.
+CHUNK = 15
 #: Pieces that hold 38 digits moved up by less than a piece.
 PIECES = 4
 WHOLE = "decimal(38,0)"
 
 
-def _decimal(x: Column) -> tuple[Column, Column]:
-    """The decimal of a finite double or whole number: its digits, and the power of ten that they count."""
-    part = lambda text, mark, n: F.split_part(text, F.lit(mark), F.lit(n))
-    printed = x.cast("string")
-    number, power = part(printed, "E", 1), part(printed, "E", 2)
-    fraction = part(number, ".", 2)
-    return F.concat(part(number, ".", 1), fraction).cast("long"), F.coalesce(F.nullif(power, F.lit("")).cast("int"), F.lit(0)) - F.length(fraction)
+def _decimal(df: DataFrame, side: str) -> DataFrame:
+    """``df`` with the decimal of a factor, the double ``side`` or the whole number ``side``_whole: its digits, and the power of ten that they count.
+
+    Null where the factor is null or not finite. A small step at a time, as a JVM leaves large generated methods uncompiled.
+    """
+    text, mark, number, point = (F.col(f"__{c}") for c in ("text", "mark", "number", "point"))
+    df = df.withColumn("__text", F.when(F.abs(side) < float("inf"), F.col(side).cast("string")))  # NaN is above infinity
+    df = df.withColumn("__mark", F.instr(text, "E"))
+    df = df.withColumns({"__number": F.when(mark > 0, F.substring(text, F.lit(1), mark - 1)).otherwise(text),
+                         "__power": F.when(mark > 0, F.substring(text, mark + 1, F.length(text)).cast("int")).otherwise(F.lit(0))})
+    df = df.withColumn("__point", F.instr(number, "."))
+    whole = F.col(f"{side}_whole")
+    return df.withColumns({
+        f"{side}_digits": F.coalesce(whole, F.replace(number, F.lit("."), F.lit("")).cast("long")),
+        f"{side}_power": F.when(whole.isNotNull(), F.lit(0)).otherwise(F.col("__power") - F.when(point > 0, F.length(number) - point).otherwise(F.lit(0)))})
 
 
-def _halves(digits: Column) -> tuple[Column, Column]:
-    """The lower nine digits of a whole number and those before them, both with its sign."""
-    return tuple(x.cast("decimal(10,0)") for x in (digits % F.lit(10**HALF), F.call_function("div", digits, F.lit(10**HALF))))
+def _split(digits: Column) -> list[Column]:
+    """A whole number as parts of seven digits, the lowest first, each with its sign."""
+    div = lambda x, n: F.call_function("div", x, F.lit(n))
+    base = F.lit(10**PART)
+    return [digits % base, div(digits, 10**PART) % base, div(digits, 10 ** (2 * PART))]
 
 
 def _pieces(total: Column, power: Column) -> Column:
@@ -64,9 +80,11 @@ def _rounded(pieces: Column) -> Column:
     return F.when(plus["carry"] < 0, -value(minus)).otherwise(value(plus))
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """Whole numbers as they are, anything else as a double."""
-    return F.col(name).cast("long" if df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long") else "double")
+def _number(df: DataFrame, name: str, side: str) -> list[Column]:
+    """A factor as a double (``side``), or as a whole number (``side``_whole) if its column holds such; the other is null."""
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    null = F.lit(None)
+    return [(null if whole else F.col(name)).cast("double").alias(side), (F.col(name) if whole else null).cast("long").alias(f"{side}_whole")]
 
 
 def exact_totals(df: DataFrame, sums: dict, by: list[str] | None = None) -> DataFrame:
@@ -80,22 +98,23 @@ def exact_totals(df: DataFrame, sums: dict, by: list[str] | None = None) -> Data
     pairs = {n: s if isinstance(s, tuple) else (s, F.lit(1).cast("long")) for n, s in sums.items()}
     col = lambda c: F.col(c) if isinstance(c, str) else c
     keys = [f"__k{i}" for i in range(len(by))]
-    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], *[col(c).alias(f"__{side}{i}") for i, pair in enumerate(pairs.values()) for side, c in zip("xw", pair)])
-    terms = []
-    for i in range(len(pairs)):
-        x, w = _number(rows, f"__x{i}"), _number(rows, f"__w{i}")
-        product = x.cast("double") * w.cast("double")
-        finite = (F.abs(x.cast("double")) < float("inf")) & (F.abs(w.cast("double")) < float("inf"))  # NaN is above infinity
-        # the factors' own digits count: a product of finite factors may have no double
-        (x_digits, x_power), (w_digits, w_power) = (_decimal(F.when(finite, c)) for c in (x, w))
-        terms.append(F.struct(F.lit(i).alias("sum"), x_digits.alias("x"), w_digits.alias("w"), (x_power + w_power).alias("power"), F.when(~finite, product).alias("other")))
-    terms = rows.select(*keys, F.explode(F.array(*terms)).alias("t")).select(*keys, "t.*")
-    (x_low, x_high), (w_low, w_high) = _halves(F.col("x")), _halves(F.col("w"))
-    parts = (x_low * w_low, x_low * w_high + x_high * w_low, x_high * w_high)
-    powers = terms.groupBy(*keys, "sum", "power").agg(*[F.sum(p.cast("decimal(28,0)")).alias(f"p{i}") for i, p in enumerate(parts)], F.sum("other").alias("other"))
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], *[col(c).alias(f"__{side}{i}") for i, pair in enumerate(pairs.values()) for side, c in zip("xw", pair)],
+                     F.shiftright(F.monotonically_increasing_id(), CHUNK).alias("__chunk"))
+    terms = F.array(*[F.struct(F.lit(i).alias("sum"), *_number(rows, f"__x{i}", "x"), *_number(rows, f"__w{i}", "w")) for i in range(len(pairs))])
+    terms = rows.select(*keys, "__chunk", F.explode(terms).alias("t")).select(*keys, "__chunk", "t.*")
+    # the factors' own digits count: a product of finite factors may have no double
+    terms = _decimal(_decimal(terms, "x"), "w")
+    x, w = (F.coalesce(side, F.col(f"{side}_whole").cast("double")) for side in "xw")
+    finite = (F.abs(x) < float("inf")) & (F.abs(w) < float("inf"))
+    terms = terms.select(*keys, "__chunk", "sum", (F.col("x_power") + F.col("w_power")).alias("power"), F.when(~finite, x * w).alias("other"),
+                         *[part.alias(f"{side}{i}") for side in "xw" for i, part in enumerate(_split(F.col(f"{side}_digits")))])
+    products = lambda k: reduce(add, [F.col(f"x{i}") * F.col(f"w{k - i}") for i in range(3) if 0 <= k - i < 3])
+    sums_of = [f"p{k}" for k in range(5)]
+    chunks = terms.groupBy(*keys, "sum", "power", "__chunk").agg(*[F.sum(products(k)).alias(p) for k, p in enumerate(sums_of)], F.sum("other").alias("other"))
+    powers = chunks.groupBy(*keys, "sum", "power").agg(*[F.sum(F.col(p).cast("decimal(28,0)")).alias(p) for p in sums_of], F.sum("other").alias("other"))
 
     # from here on a row per group, sum and power
-    each = F.array(*[F.struct((F.col("power") + HALF * i).alias("power"), F.col(f"p{i}").alias("total")) for i in range(len(parts))])
+    each = F.array(*[F.struct((F.col("power") + PART * i).alias("power"), F.col(p).alias("total")) for i, p in enumerate(sums_of)])
     placed = powers.select(*keys, "sum", "other", F.explode(each).alias("e")).select(*keys, "sum", "other", F.explode(_pieces(F.col("e.total"), F.col("e.power"))).alias("p"))
     places = placed.groupBy(*keys, "sum", "p.place").agg(F.sum(F.col("p.piece").cast("decimal(18,0)")).alias("piece"), F.sum("other").alias("other"))
     held = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("place", "piece")))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import struct
 from decimal import Decimal
 from fractions import Fraction
@@ -90,3 +91,26 @@ def test_one_row_a_group_sum_and_power_is_shuffled(spark):
     lines = plan.splitlines()
     last = max(i for i, x in enumerate(lines) if "Exchange" in x)
     assert any("HashAggregate" in x and "partial_sum" in x for x in lines[last + 1:])
+
+
+def test_methods_are_small_enough_to_be_compiled(spark):
+    """The JVM runs generated methods of 8,000 bytes and more without compiling them, some ten times slower."""
+    frame = spark.range(1000).select((F.col("id") / 7).alias("x"), (F.col("id") * 1e-20).alias("y"), F.col("id").alias("n"), (F.col("id") % 3).alias("k"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the code of an adaptive plan is not made before it runs
+    try:
+        plan = exact_totals(frame, {"x": "x", "xn": ("x", "n"), "yn": ("y", "n"), "n": "n"}, ["k"])._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    code = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$").codegenString(plan)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_sums_of_parts_do_not_overflow(spark):
+    """Whole numbers and doubles whose parts are all nines or near it, in more rows than one long could add up."""
+    n, x, most = 2**17, 9.9999999999999e21, 2**63 - 1
+    frame = spark.range(0, n, 1, 1).select(F.lit(most).alias("n"), F.lit(x).alias("x"), F.lit(99999999999999).alias("nines"))
+    got = exact_totals(frame, {"nn": ("n", "n"), "xn": ("x", "n"), "nines": ("nines", "nines"), "n": "n"}).first()
+    whole = Fraction(Decimal(repr(x)))
+    assert tuple(got) == tuple(map(rounded, (Fraction(n * most * most), n * most * whole, Fraction(n * 99999999999999**2), Fraction(n * most))))

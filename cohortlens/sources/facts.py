@@ -25,10 +25,12 @@ support_cost_per_household     0.2 + 0.005 * avg(line items)
 
 Plan shape (designed for billions of line items):
 
-1. line items are pre-aggregated per order (partial hash aggregate before the
-   shuffle, so a hot order key collapses map-side);
-2. orders left-join those order stats on the order key (orders without line
-   items still count as orders);
+1. line items are dealt by order key to as many tasks as their number asks
+   for (``LINES_PER_TASK``) and aggregated per order there: a task holds a
+   bounded number of orders, however large the files' splits are and in
+   whichever order lines come; a hot order is one group, read as a stream;
+2. orders, dealt alike, left-join those order stats on the order key (orders
+   without line items still count as orders, lines without a key have none);
 3. aggregate to (customer, month) - again map-side combined, so even a
    customer holding a third of all orders leaves at most one row per month;
 4. window ``min(month)`` per customer over those bounded customer-month rows,
@@ -60,6 +62,8 @@ WINDOW_WIDTH_MONTHS = 12
 MEASURE_DIGITS = 9
 AMOUNT = "decimal(18,6)"
 HELD_TO = 1e-9
+#: Line items whose orders one task adds up and joins: this bounds its memory, whatever the splits of the files.
+LINES_PER_TASK = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,13 +102,24 @@ def _whole(name: str, where: F.Column | None = None) -> F.Column:
     return F.coalesce(held + rest, held, rest).alias(name)
 
 
+def order_tasks(lineitem: DataFrame) -> int:
+    """Tasks that line items and orders are dealt to by order key; the count of a Parquet table reads its footers only."""
+    return max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-lineitem.count() // LINES_PER_TASK))
+
+
 def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per customer with the per-customer quantities of the mapping."""
-    per_order = lineitem.groupBy("l_orderkey").agg(
+    tasks = order_tasks(lineitem)
+    lines = lineitem.where(F.col("l_orderkey").isNotNull()).select(
+        "l_orderkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax",
+        F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("flag_n"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("status_o"),
+    ).repartition(tasks, "l_orderkey")
+    per_order = lines.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("li_n"),
         *_amounts("l_quantity", "li_qty"),
-        F.sum(F.when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("li_flag_n"),
-        F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("li_status_o"),
+        F.sum("flag_n").alias("li_flag_n"),
+        F.sum("status_o").alias("li_status_o"),
         *_amounts("l_discount", "li_disc"),
         *_amounts("l_extendedprice", "li_price"),
         *_amounts("l_tax", "li_tax"),
@@ -115,7 +130,7 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         month_index(F.col("o_orderdate")).alias("m"),
         F.col("o_totalprice"),
         F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("urgent"),
-    )
+    ).repartition(tasks, "o_orderkey")
     ol = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
     cm = ol.groupBy("custkey", "m").agg(
         F.count(F.lit(1)).alias("n_ord"),

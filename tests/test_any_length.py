@@ -145,3 +145,18 @@ def test_amounts_beyond_the_decimal(spark):
     assert got[7].qty == got[7].qty_m0 == 3e12 + 2.5 and got[7].disc == pytest.approx(0.75 + 4e-7, rel=1e-12) and got[7].sum_total == 5e13 + 1.5
     assert got[8].qty == 1e25 and got[8].sum_total is None and got[7].price == 40.0
     assert got[9].qty == 0.0 and got[9].sum_total == 2.25
+
+
+def test_orders_of_a_task_are_bounded(spark, monkeypatch):
+    """Line items are dealt by order key to as many tasks as their number asks for, before any of them are added up."""
+    from cohortlens.sources import facts
+    monkeypatch.setattr(facts, "LINES_PER_TASK", 50)
+    lines = spark.range(2000).selectExpr("IF(id % 10 = 9, NULL, id % 700) AS l_orderkey", "1D AS l_quantity", "0D AS l_discount", "2D AS l_extendedprice",
+                                         "0D AS l_tax", "IF(id % 2 = 0, 'N', 'R') AS l_returnflag", "'O' AS l_linestatus")
+    orders = spark.range(720).selectExpr("IF(id = 719, NULL, id) AS o_orderkey", "id % 7 AS o_custkey", "TIMESTAMP'1995-01-01' AS o_orderdate", "1D AS o_totalprice", "'1-URGENT' AS o_orderpriority")
+    found = facts.customer_facts(lines, orders)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, x in enumerate(plan) if "hashpartitioning(l_orderkey" in x and ", 40)" in x)
+    assert not any("Aggregate" in x for x in plan[dealt:dealt + 3])
+    got = found.agg(F.sum("n_ord"), F.sum("n_li"), F.sum("qty"), F.sum("n_flag_n")).first()
+    assert tuple(got) == (720, 1800, 1800.0, 1000)

@@ -36,6 +36,8 @@ BROADCAST_ROWS = 2_000_000
 # from this many high-cardinality columns on, one narrow long-form join + pivot replaces one wide shuffle
 # join per column (measured: 3 columns x 2M rows are faster as per-column joins)
 LONG_FORM_MIN_COLUMNS = 4
+# long-form rows that one task puts together again: this bounds its memory
+LONG_ROWS_PER_TASK = 2_000_000
 
 
 def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,11 +49,11 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None, rows_per_bucket: int | None = None,
-               broadcast_rows: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+               broadcast_rows: int | None = None) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
     """Distributed rank lookup ``(metric, value, pr)``.
 
-    Returns the lookup and the number of distinct values per column (an upper
-    bound when it was not measured). Value counts and lookup are parquet
+    Returns the lookup, the number of distinct values and that of ranked rows
+    per column (upper bounds when not measured). Value counts and lookup are parquet
     tables in the shared folder: the source is read once, and the statistics,
     cut-point, window and join jobs read the tables.
 
@@ -69,7 +71,7 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None, r
         n = F.sum("cnt").over(Window.partitionBy("metric"))
         ranked = vc.select("metric", "value", ((F.sum("cnt").over(w_cum) - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
                                                / n).alias("pr"))
-        return ranked, {c: max_rows for c in columns}
+        return ranked, {c: max_rows for c in columns}, {c: max_rows for c in columns}
     vc = materialize(vc, "rank_counts")  # read by the statistics, cut-point and window jobs
     stats = {r["metric"]: (int(r["n_distinct"]), int(r["n"]))
              for r in vc.groupBy("metric").agg(F.count(F.lit(1)).alias("n_distinct"),
@@ -89,8 +91,8 @@ def rank_table(df: DataFrame, columns: list[str], max_rows: int | None = None, r
               .select("metric", "value",
                       ((F.col("offset") + F.col("cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)
                        / F.col("n")).alias("pr")))
-    distinct = {c: stats.get(c, (0, 0))[0] for c in columns}
-    return materialize(ranked, "rank_lookup"), distinct
+    distinct, rows = ({c: stats.get(c, (0, 0))[i] for c in columns} for i in (0, 1))
+    return materialize(ranked, "rank_lookup"), distinct, rows
 
 
 def with_ranges(df: DataFrame, keys: list[str], name: str, ranges: int | None = None) -> DataFrame:
@@ -166,7 +168,7 @@ def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] |
     names = names or [f"{c}_pr" for c in columns]
     name_of = dict(zip(columns, names))
     broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    ranks, distinct = rank_table(df, columns, max_rows, rows_per_bucket, broadcast_rows)
+    ranks, distinct, rows = rank_table(df, columns, max_rows, rows_per_bucket, broadcast_rows)
     small, large = _broadcast_split(distinct, columns, broadcast_rows)
     out = df
     if small:
@@ -179,10 +181,11 @@ def with_percentile_ranks(df: DataFrame, columns: list[str], names: list[str] |
                 for c in large])).alias("__kv"))
             .select(row_id, "__kv.metric", "__kv.value")
             .where(F.col("value").isNotNull() & ~F.isnan("value")))
-        hit = long.join(ranks.where(F.col("metric").isin(large)), ["metric", "value"])
-        wide = hit.groupBy(row_id).pivot("metric", large).agg(F.first("pr"))
-        wide = wide.select(row_id, *[F.col(f"`{c}`").alias(name_of[c]) for c in large])
-        return out.join(wide, row_id, "left")
+        # dealt before they are put together: a partial aggregate of unique ids would hold all rows of its task for nothing
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(rows[c] for c in large) / LONG_ROWS_PER_TASK))
+        hit = long.join(ranks.where(F.col("metric").isin(large)), ["metric", "value"]).select(row_id, "metric", "pr").repartition(tasks, row_id)
+        wide = hit.groupBy(row_id).agg(*[F.max(F.when(F.col("metric") == c, F.col("pr"))).alias(name_of[c]) for c in large])
+        return out.repartition(tasks, row_id).join(wide, row_id, "left")
     for i, c in enumerate(large):
         key = f"__rk{i}"
         lookup = ranks.where(F.col("metric") == c).select(F.col("value").alias(key), F.col("pr").alias(name_of[c]))

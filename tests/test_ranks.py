@@ -92,3 +92,20 @@ def test_long_form_join_back_matches(spark, monkeypatch):
     got = ranks.with_percentile_ranks(df, cols, [f"p_{c}" for c in cols], row_id="rid").toPandas().sort_values("rid")
     for c in cols:
         assert np.allclose(got[f"p_{c}"].to_numpy(), pdf[c].rank(pct=True).to_numpy())
+
+
+def test_rows_are_dealt_before_ranks_are_put_together(spark, monkeypatch):
+    """The long form is dealt by row id to as many tasks as its rows ask for; none adds up ids before."""
+    monkeypatch.setattr(ranks, "LONG_ROWS_PER_TASK", 100)
+    n, cols = 300, ["a", "b", "c", "d"]
+    df = spark.range(n).selectExpr("id AS rid", "id % 7 + 0D AS a", "IF(id % 5 = 0, NULL, id / 3D) AS b", "id * id + 0D AS c", "IF(id % 3 = 0, double('NaN'), 1D) AS d")
+    found = ranks.with_percentile_ranks(df, cols, [f"{c}_pr" for c in cols], row_id="rid", rows_per_bucket=50, broadcast_rows=0)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [i for i, x in enumerate(plan) if "hashpartitioning(rid" in x]
+    assert dealt and all(", 11)" in plan[i] for i in dealt)  # 300 + 240 + 300 + 200 rows
+    assert not any("Aggregate" in x for x in plan[dealt[-1]:])
+    got = {r.rid: tuple(r)[-4:] for r in found.collect()}
+    pdf = df.toPandas()
+    want = pdf[cols].rank(pct=True).to_numpy()
+    for i, rid in enumerate(pdf["rid"]):
+        assert [g for g in got[rid]] == [None if np.isnan(w) else pytest.approx(w, abs=1e-12) for w in want[i]]

@@ -31,10 +31,13 @@ Plan shape (designed for billions of line items):
    whichever order lines come; a hot order is one group, read as a stream;
 2. orders, dealt alike, left-join those order stats on the order key (orders
    without line items still count as orders, lines without a key have none);
-3. aggregate to (customer, month) - again map-side combined, so even a
-   customer holding a third of all orders leaves at most one row per month;
-4. window ``min(month)`` per customer over those bounded customer-month rows,
-   and the per-customer aggregate reuses the same hash partitioning;
+3. aggregate to (customer, month, part of the orders), dealt to as many tasks:
+   a part is the orders of one task of step 2, so even a customer holding a
+   third of all orders is added up in many tasks and leaves at most one row
+   per month and part;
+4. those rows are dealt by customer to as many tasks, which add them up per
+   (customer, month), take the window ``min(month)`` per customer and the
+   per-customer aggregate: no task's share depends on the session's partitions;
 5. join customer, then the nation/region dimensions (Spark broadcasts them
    from their measured file size), and aggregate to the cohort grain.
 
@@ -131,8 +134,8 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("o_totalprice"),
         F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("urgent"),
     ).repartition(tasks, "o_orderkey")
-    ol = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-    cm = ol.groupBy("custkey", "m").agg(
+    ol = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left").withColumn("part", F.pmod(F.hash("o_orderkey"), F.lit(tasks)))
+    parts = ol.repartition(tasks, "custkey", "m", "part").groupBy("custkey", "m", "part").agg(
         F.count(F.lit(1)).alias("n_ord"),
         F.sum("urgent").alias("n_urgent"),
         *_amounts("o_totalprice", "sum_total"),
@@ -144,6 +147,8 @@ def customer_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         *_summed("li_price", "price"),
         *_summed("li_tax", "tax"),
     )
+    keys = ["custkey", "m"]
+    cm = parts.repartition(tasks, "custkey").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*keys, "part")])
     cm = cm.withColumn("m0", F.min("m").over(Window.partitionBy("custkey")))
     off = F.col("m") - F.col("m0")
     flags = [

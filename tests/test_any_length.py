@@ -160,3 +160,23 @@ def test_orders_of_a_task_are_bounded(spark, monkeypatch):
     assert not any("Aggregate" in x for x in plan[dealt:dealt + 3])
     got = found.agg(F.sum("n_ord"), F.sum("n_li"), F.sum("qty"), F.sum("n_flag_n")).first()
     assert tuple(got) == (720, 1800, 1800.0, 1000)
+
+
+def test_customer_months_of_a_task_are_bounded(spark, monkeypatch):
+    """Customer months are dealt to as many tasks as the lines ask for, whatever the session's partitions; a large customer's orders are added up in parts."""
+    from cohortlens.sources import facts
+    monkeypatch.setattr(facts, "LINES_PER_TASK", 50)
+    lines = spark.range(2000).selectExpr("id % 1000 AS l_orderkey", "1D AS l_quantity", "0D AS l_discount", "2D AS l_extendedprice", "0D AS l_tax",
+                                         "'N' AS l_returnflag", "'O' AS l_linestatus")
+    orders = spark.range(1200).selectExpr("id AS o_orderkey", "IF(id % 3 = 0, 0, id) AS o_custkey", "add_months(DATE'1995-01-01', CAST(id % 2 AS INT)) AS o_orderdate",
+                                          "IF(id % 2 = 0, CAST(id AS DOUBLE), NULL) AS o_totalprice", "IF(id % 4 = 0, '1-URGENT', '5-LOW') AS o_orderpriority")
+    found = facts.customer_facts(lines, orders)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [x for x in plan if "hashpartitioning(custkey" in x]
+    assert len(dealt) == 2 and all(", 40)" in x for x in dealt)
+    assert "part#" in dealt[1] and "part#" not in dealt[0]  # by customer, after customer, month and part
+    got = {r.custkey: r for r in found.collect()}
+    big = got[0]
+    assert len(got) == 801 and sum(r.n_ord for r in got.values()) == 1200 and sum(r.n_li for r in got.values()) == 2000
+    assert (big.n_ord, big.n_urgent, big.n_li, big.qty, big.price, big.n_li_m0, big.qty_m0) == (400, 100, 668, 668.0, 1336.0, 334, 334.0)
+    assert big.sum_total == float(sum(range(0, 1200, 6))) and got[1].sum_total is None and got[1100].qty == 0.0 and got[1100].n_li == 0
